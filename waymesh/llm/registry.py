@@ -25,11 +25,31 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), 4096)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components that they link into."""
+    from waymesh.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, t=2)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest, licence and licence notices of every document."""
+    from waymesh.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op4_license_scan": op4_license_scan,
         "op6_token_counts": op6_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from waymesh.llm.licenses import scan_sql
+
+    return {
+        "op4_license_scan": scan_sql(),
+    }
