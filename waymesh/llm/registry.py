@@ -39,11 +39,19 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents and of their edited texts."""
+    from waymesh.llm.merkle import edited_likeness
+
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_license_scan": op4_license_scan,
         "op6_token_counts": op6_token_counts,
+        "op10_merkle_fingerprints": op10_merkle_fingerprints,
     }
 
 
