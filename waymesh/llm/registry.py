@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +26,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), 4096)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    from waymesh.llm.toxicity import score_toxicity
+
+    out = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mod=4, remainder=2, threshold=0.3)
+    return out.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components that they link into."""
     from waymesh.llm.simhash import near_duplicates
@@ -39,6 +48,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    from waymesh.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mod=3, remainder=1, threshold=0.5)
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of all documents and of their edited texts."""
     from waymesh.llm.merkle import edited_likeness
@@ -48,9 +64,11 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_license_scan": op4_license_scan,
         "op6_token_counts": op6_token_counts,
+        "op8_quality": op8_quality,
         "op10_merkle_fingerprints": op10_merkle_fingerprints,
     }
 
