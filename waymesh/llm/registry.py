@@ -41,6 +41,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, t=2)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    from waymesh.llm.decontamination import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digest, licence and licence notices of every document."""
     from waymesh.llm.licenses import scan_licenses
@@ -66,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_decontamination": op3_decontamination,
         "op4_license_scan": op4_license_scan,
         "op6_token_counts": op6_token_counts,
         "op8_quality": op8_quality,
