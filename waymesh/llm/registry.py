@@ -62,6 +62,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mod=3, remainder=1, threshold=0.5)
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written and read back."""
+    from waymesh.llm.token_store import token_index
+
+    return token_index(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end=2)
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of all documents and of their edited texts."""
     from waymesh.llm.merkle import edited_likeness
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": op4_license_scan,
         "op6_token_counts": op6_token_counts,
         "op8_quality": op8_quality,
+        "op9_token_ids": op9_token_ids,
         "op10_merkle_fingerprints": op10_merkle_fingerprints,
     }
 
