@@ -19,6 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from waymesh.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 32k piece model."""
     from waymesh.llm.token_counts import with_token_counts
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_license_scan": op4_license_scan,
+        "op5_html_main_text": op5_html_main_text,
         "op6_token_counts": op6_token_counts,
         "op8_quality": op8_quality,
         "op9_token_ids": op9_token_ids,
