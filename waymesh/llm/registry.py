@@ -62,6 +62,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, encoded and decoded."""
+    from waymesh.llm.piece_sampling import sampled_pieces
+
+    return sampled_pieces(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2, ids=False)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     from waymesh.llm.quality import score_quality
@@ -83,14 +90,23 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's rows; see corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_toxicity": op1_toxicity,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_license_scan": op4_license_scan,
         "op5_html_main_text": op5_html_main_text,
         "op6_token_counts": op6_token_counts,
+        "op7_piece_sampling": op7_piece_sampling,
         "op8_quality": op8_quality,
         "op9_token_ids": op9_token_ids,
         "op10_merkle_fingerprints": op10_merkle_fingerprints,
