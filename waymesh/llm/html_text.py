@@ -180,7 +180,8 @@ def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.5) -> Dat
                     if not article:  # an article's text is never template
                         count[path, s] = count.get((path, s), 0) + 1
                 rows += [(h, p, _token(path), _token(path, s) if s else None, n) for (path, s), n in count.items()]
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "token", "n"]).astype({"token": "Int64"})
+            host, page, path, token, n = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pd.DataFrame({"host": host, "page": page, "path": path, "token": pd.array(token, "Int64"), "n": n})
 
     seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("page"), "html")
     found = seen.mapInPandas(tokens, "host string, page long, path long, token long, n int")

@@ -88,6 +88,7 @@ SPELLINGS = [
     ("licence", "license"),
     ("licenced", "licensed"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"),
     ("copyright owner", "copyright holder"),
