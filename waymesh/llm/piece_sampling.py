@@ -51,7 +51,7 @@ def _uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
 class PieceLattice:
     """Lattices of words over the pieces of a model, and a bounded memory of them."""
 
-    def __init__(self, model_file: str, alpha: float = 1.0, most: int = 150_000):
+    def __init__(self, model_file: str, alpha: float = 1.0, most: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -70,22 +70,57 @@ class PieceLattice:
         for b in range(256) if byte else ():
             self.raw[self.byte[b]] = bytes([b])
         self.rare = -alpha * math.log(len(normal) + 2)
-        # lengths that pieces starting with a given character have
-        lens: dict[str, set[int]] = {}
-        for p in self.ids:
-            lens.setdefault(p[0], set()).add(len(p))
-        self.lens = {c: sorted(x) for c, x in lens.items()}
+        self._trie()
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         """Forget all words."""
         self.at: dict[str, int] = {}
-        self.first: list[np.ndarray] = []
         self.n_nodes = self.n_edges = 0
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.flat: tuple[np.ndarray, ...] | None = None
 
+    def _trie(self) -> None:
+        """The pieces as a trie: sorted (node, character) keys, what they lead to, and the piece that ends at each node."""
+        edges: dict[tuple[int, int], int] = {}
+        ends = [-1]
+        for p, i in self.ids.items():
+            node = 0
+            for c in p:
+                k = (node, ord(c))
+                if k not in edges:
+                    edges[k] = len(ends)
+                    ends.append(-1)
+                node = edges[k]
+            ends[node] = i
+        keys = np.array([n << 21 | c for n, c in edges], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next, self.ends = keys[order], np.array(list(edges.values()), np.int64)[order], np.array(ends, np.int64)
+
+    def _arcs(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece, cost) of every piece at every character; left: characters to the word's end."""
+        start, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found, depth, single = [], 0, np.zeros(len(codes), bool)
+        while len(start):
+            k = node << 21 | codes[start + depth]
+            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            hit = self.keys[at] == k
+            start, node = start[hit], self.next[at[hit]]
+            depth += 1
+            piece = self.ends[node]
+            is_piece = piece >= 0
+            found.append((start[is_piece], np.full(int(is_piece.sum()), depth), piece[is_piece], self.cost[piece[is_piece]]))
+            if depth == 1:
+                single[start[is_piece]] = True
+            more = left[start] > depth
+            start, node = start[more], node[more]
+        odd = np.flatnonzero(~single)
+        c = codes[odd]
+        wide = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
+        found.append((odd, np.ones(len(odd), np.int64), -1 - c, self.rare * wide))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def learn(self, words: list[str]) -> None:
         """Add the lattices of words not seen yet: for each end position its arcs with cumulative chances.
 
@@ -94,48 +129,37 @@ class PieceLattice:
         """
         if not words:
             return
-        first, back, piece, cum = [], [], [], []
-        base, edge = self.n_nodes, self.n_edges
-        ids, cost = self.ids, self.cost
-        for w in words:
-            n = len(w)
-            self.at[w] = base + n
-            total = [-math.inf] * (n + 1)
-            total[0] = 0.0
-            arcs: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-            for s in range(n):
-                t = total[s]
-                c = w[s]
-                single = False
-                for k in self.lens.get(c, ()):
-                    if s + k > n:
-                        break
-                    i = ids.get(w[s : s + k])
-                    if i is not None:
-                        arcs[s + k].append((k, i, t + cost[i]))
-                        single |= k == 1
-                if not single:
-                    arcs[s + 1].append((1, -1 - ord(c), t + self.rare * len(c.encode("utf-8", "surrogatepass"))))
-                e = arcs[s + 1]
-                if len(e) == 1:
-                    total[s + 1] = e[0][2]
-                elif e:
-                    top = max(x[2] for x in e)
-                    total[s + 1] = top + math.log(sum(math.exp(x[2] - top) for x in e))
-            for p in range(n + 1):
-                first.append(edge)
-                acc, z = 0.0, total[p]
-                for k, i, v in arcs[p]:
-                    acc += math.exp(v - z)
-                    back.append(k)
-                    piece.append(i)
-                    cum.append(acc)
-                    edge += 1
-                if arcs[p]:
-                    cum[-1] = 2.0
-            base += n + 1
-        self.parts.append((np.array(first, np.int64), np.array(back, np.int16), np.array(piece, np.int32), np.array(cum)))
-        self.n_nodes, self.n_edges, self.flat = base, edge, None
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), n)
+        pos = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+        start, k, piece, cost = self._arcs(codes, n[word] - pos)
+        source = start + word[start]  # each word has one node more than characters
+        target, at = source + k, pos[start] + k
+        order = np.lexsort((target, at))  # by position, so that what leads to a node is known before it
+        source, target, k, piece, cost, at = (x[order] for x in (source, target, k, piece, cost, at))
+        total = np.zeros(len(codes) + len(words))
+        value = np.empty(len(source))
+        bounds = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            v, t = total[source[lo:hi]] + cost[lo:hi], target[lo:hi]
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            top = np.maximum.reduceat(v, first)
+            size = np.diff(np.r_[first, hi - lo])
+            total[t[first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), first))
+            value[lo:hi] = v
+        order = np.argsort(target, kind="stable")
+        target, k, piece = target[order], k[order], piece[order]
+        chance = np.exp(value[order] - total[target])
+        count = np.bincount(target, minlength=len(total))
+        first = np.cumsum(count) - count
+        run = np.cumsum(chance)
+        cum = run - (run - chance)[np.minimum(first, len(run) - 1)][target]
+        cum[(first + count - 1)[count > 0]] = 2.0
+        ends = self.n_nodes + np.cumsum(n + 1) - 1
+        self.at.update(zip(words, ends.tolist(), strict=True))
+        self.parts.append((first + self.n_edges, k.astype(np.int16), piece.astype(np.int32), cum))
+        self.n_nodes, self.n_edges, self.flat = self.n_nodes + len(total), self.n_edges + len(cum), None
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """(first arc of each node, arc lengths, pieces, cumulative chances)."""
@@ -175,27 +199,29 @@ class PieceLattice:
     def other(self, word: str, taken: list[tuple[int, ...]], seed: int, salt: int) -> tuple[np.ndarray, float]:
         """A spelling of a word, drawn by weight among those not taken, and its log chance."""
         for tries in range(1 << 12):
-            m = 4 if not tries else 4096
+            m = 8 if not tries else 4096
             node, length = np.full(m, self.at[word], np.int64), np.full(m, len(word), np.int64)
             who, what, logp = self.draw(node, length, np.full(m, seed, np.uint64), np.uint64(salt + (tries << 13)) + np.arange(m, dtype=np.uint64))
-            order = np.argsort(who, kind="stable")
-            ends = np.cumsum(np.bincount(who, minlength=m))
-            for i, got in enumerate(np.split(what[order], ends[:-1])):
-                if tuple(got[::-1].tolist()) not in taken:
-                    return got[::-1], float(logp[i])
+            what = what[np.argsort(who, kind="stable")]
+            lo = 0
+            for i, hi in enumerate(np.cumsum(np.bincount(who, minlength=m)).tolist()):
+                got = what[lo:hi][::-1]
+                if tuple(got.tolist()) not in taken:
+                    return got, float(logp[i])
+                lo = hi
         raise RuntimeError("the spellings left weigh too little to be drawn")
 
     def bytes_of(self, what: np.ndarray) -> np.ndarray:
         """Piece ids, characters without a piece as those of their bytes (or as unknown)."""
-        if not len(what) or what.min() >= 0:
+        odd = np.flatnonzero(what < 0)
+        if not len(odd):
             return what.astype(np.int64)
-        out: list[int] = []
-        for i in what.tolist():
-            if i >= 0:
-                out.append(i)
-            else:
-                out += [self.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
-        return np.array(out, np.int64)
+        spelt = [[self.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] if self.byte else [self.unknown] for i in what[odd].tolist()]
+        n = np.ones(len(what), np.int64)
+        n[odd] = list(map(len, spelt))
+        out = np.repeat(what.astype(np.int64), n)
+        out[np.repeat(what < 0, n)] = [b for x in spelt for b in x]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that pieces spell, without the model's leading space."""
@@ -331,8 +357,8 @@ def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float =
             _LATTICES[model_file, alpha] = PieceLattice(model_file, alpha)
         lat = _LATTICES[model_file, alpha]
         for b in batches:
-            for lo in range(0, len(b), 64):
-                part, rows = b.iloc[lo : lo + 64], []
+            for lo in range(0, len(b), 128):
+                part, rows = b.iloc[lo : lo + 128], []
                 texts = [t or "" for t in part["text"]]
                 for d, t, got in zip(part["doc_id"].tolist(), texts, sample_batch(lat, texts, part["key"].tolist(), k), strict=True):
                     want = t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
