@@ -1,6 +1,305 @@
-"""Queries of matching, metric, experiment and streaming operators, with SQL."""
+"""Queries of direction, matching, metric, experiment and streaming operators, with SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from waymesh.functions import geo
+from waymesh.operators import directions, experiment, graph, iterate, losses, matching, metrics, raster
+from waymesh.sources import io
+from waymesh.sources.fixtures import table
+from waymesh.streaming.scores import running_scores
+
 Q: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+KEYS = ["patch_id", "kp_seq"]
+
+
+def _d(s, d):
+    return table(s, d, "fx_direction")
+
+
+_SUB = "(select list_sort(list(v order by v)) subset, count(*) k from (select m, unnest(range(6)) v from (select unnest(range(1,64)) m) a) b where (m >> v) & 1 = 1 group by m)"
+_ALLOC = f"(select patch_id, kp_seq, a, arg_min(subset, (list_sum([abs(a[i] - (subset[i]*60+30)) for i in range(1, k+1)]), subset)) subset from (select patch_id, kp_seq, list_sort(list(deg)) a from fx_direction group by 1,2) q join {_SUB} s on s.k = len(a) group by 1,2,3)"
+
+
+@query("d1_allocate", f"select patch_id, kp_seq, unnest(a) deg, unnest(subset) sector from {_ALLOC} t")
+def _(s, d):
+    return directions.allocate(_d(s, d), KEYS)
+
+
+@query("d2_in_order", "select patch_id, kp_seq, deg, row_number() over (partition by patch_id, kp_seq order by deg, dir_idx)-1 sector from fx_direction")
+def _(s, d):
+    return directions.in_order(_d(s, d), KEYS)
+
+
+@query("d3_without_order", "select patch_id, kp_seq, deg, row_number() over (partition by patch_id, kp_seq order by dir_idx)-1 sector from fx_direction")
+def _(s, d):
+    return directions.reslot(_d(s, d), KEYS, "without_order")
+
+
+@query("d5_flip", "select patch_id, kp_seq, 447-x x, y, dir_idx, (540-deg) % 360 deg from fx_direction")
+def _(s, d):
+    return directions.flip(_d(s, d), 448, 448, True).select("patch_id", "kp_seq", "x", "y", "dir_idx", "deg")
+
+
+@query("d6_rotate", "select patch_id, kp_seq, y x, 447-x y, dir_idx, (deg+270) % 360 deg from fx_direction")
+def _(s, d):
+    return directions.rotate(_d(s, d), 448, 1).select("patch_id", "kp_seq", "x", "y", "dir_idx", "deg")
+
+
+@query("d7_clean")
+def _(s, d):
+    slots = directions.with_vectors(_d(s, d)).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("dir_idx", "prob", "sin", "cos"))).alias("a"))
+    arr = F.transform("a", lambda x: F.struct(x["prob"].alias("prob"), x["sin"].alias("sin"), x["cos"].alias("cos")))
+    return slots.select(*KEYS, F.size(directions.clean(arr, 30.0)).alias("n"))
+
+
+@query("d9_normalise", "select patch_id, kp_seq, dir_idx, case when prob >= 0.3 then prob else 0 end prob, case when prob >= 0.3 then sin(radians(deg)) else 0 end sin, case when prob >= 0.3 then cos(radians(deg)) else 0 end cos from fx_direction")
+def _(s, d):
+    v = directions.with_vectors(_d(s, d)).withColumns({"sin": 3 * F.col("sin"), "cos": 3 * F.col("cos")})
+    return directions.normalise(v, 0.3).select(*KEYS, "dir_idx", "prob", "sin", "cos")
+
+
+@query("d10_pack_unpack", f"select patch_id, kp_seq, cast(sector as int) sector, 1e0 prob, sin(radians(deg)) sin, cos(radians(deg)) cos from (select patch_id, kp_seq, unnest(a) deg, unnest(subset) sector from {_ALLOC} t) u")
+def _(s, d):
+    v = directions.with_vectors(directions.allocate(_d(s, d), KEYS))
+    return directions.unpack(directions.pack(v, KEYS), KEYS)
+
+
+@query("d11_shift_border")
+def _(s, d):
+    return directions.shift_border(table(s, d, "fx_keypoint"), 5, 448, 448, 3)
+
+
+def _sectors(s, d):
+    kp = table(s, d, "fx_keypoint").select(*KEYS, "x", "y")
+    return directions.with_vectors(directions.allocate(_d(s, d), KEYS).join(kp, KEYS))
+
+
+_SEC = f"(select patch_id, kp_seq, unnest(subset) sector from {_ALLOC} t)"
+
+
+@query("j1_direction_pairs", f"with d as (select * from {_SEC} q) select a.patch_id, a.kp_seq i, a.sector si, b.kp_seq j, b.sector sj from d a join d b on a.patch_id=b.patch_id and a.kp_seq < b.kp_seq and (b.sector - a.sector + 6) % 6 in (2,3,4)")
+def _(s, d):
+    return matching.direction_pairs(_sectors(s, d)).select("patch_id", "i", "si", "j", "sj")
+
+
+@query("j2_link_greedy")
+def _(s, d):
+    return matching.link_greedy(matching.pair_costs(_sectors(s, d)))
+
+
+@query("j3_link_closest")
+def _(s, d):
+    return matching.link_closest(matching.pair_costs(_sectors(s, d)))
+
+
+@query("j4_link_assign")
+def _(s, d):
+    return matching.link_assign(matching.pair_costs(_sectors(s, d)))
+
+
+def _nodes(s, d):
+    return graph.to_node_edge(table(s, d, "fx_edge_gt"))[0].select("image_id", F.col("node_id").cast("long").alias("id"), "x", "y")
+
+
+_BOTH = "(select image_id, x1 x, y1 y, x2 nx, y2 ny from {t} union all select image_id, x2, y2, x1, y1 from {t})"
+_NUM = "(select image_id, x, y, row_number() over (partition by image_id order by x, y)-1 id from (select distinct image_id, x, y from " + _BOTH + " b0) b1)"
+_GT, _PR = _NUM.format(t="fx_edge_gt"), _NUM.format(t="fx_edge_pred")
+
+
+@query("j5_nearest", f"select image_id, ida, idb, dist from (select a.image_id, a.id ida, b.id idb, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) dist, row_number() over (partition by a.image_id, a.id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.id) r from {_GT} a join {_PR} b using (image_id)) t where r = 1 and dist <= 40")
+def _(s, d):
+    a, b = table(s, d, "fx_edge_gt"), table(s, d, "fx_edge_pred")
+    return _knn(a, b, 1, 40).drop("rank")
+
+
+def _knn(a, b, k, r):
+    n = lambda e, p: graph.to_node_edge(e)[0].select("image_id", F.col("node_id").alias(f"id{p}"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    return matching.knn_join(n(a, "a"), n(b, "b"), k, r).select("image_id", "ida", "idb", "dist", "rank")
+
+
+@query("j6_seam_match")
+def _(s, d):
+    return matching.seam_match(_nodes(s, d), 224, 40, 50)
+
+
+_PAIRS = "(select image_id, ida a, idb b, round(dist, 6) cost from (select a.image_id, a.id ida, b.id idb, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) dist from {a} a join {b} b using (image_id)) t where dist <= 20)"
+
+
+@query("j7_select_ascending")
+def _(s, d):
+    p = _knn(table(s, d, "fx_edge_gt"), table(s, d, "fx_edge_pred"), 50, 20)
+    return matching.select_ascending(p.select("image_id", F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("dist").alias("cost")), "image_id")
+
+
+@query("j8_matching_size")
+def _(s, d):
+    p = _knn(table(s, d, "fx_edge_gt"), table(s, d, "fx_edge_pred"), 50, 20).select("image_id", F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("dist").alias("cost"))
+    return matching.component_match(p, "image_id").groupBy("image_id").agg(F.count("*").alias("size"))
+
+
+@query("j9_radius_join", f"select a.image_id, a.id ida, b.id idb, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) dist from {_GT} a join {_GT} b using (image_id) where a.id < b.id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 1600")
+def _(s, d):
+    n = _nodes(s, d)
+    j = iterate.grid_join(n.toDF("image_id", "ida", "ax", "ay"), n.toDF("image_id", "idb", "bx", "by"), 40)
+    return j.where("ida < idb").select("image_id", "ida", "idb", "dist")
+
+
+@query("j10_knn_join", f"select * from (select a.image_id, a.id ida, b.id idb, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) dist, row_number() over (partition by a.image_id, a.id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.id) rank from {_GT} a join {_PR} b using (image_id)) t where rank <= 10 and dist <= 40")
+def _(s, d):
+    return _knn(table(s, d, "fx_edge_gt"), table(s, d, "fx_edge_pred"), 10, 40)
+
+
+@query("j12_sorted_pairs", "select patch_id, a.kp_seq i, b.kp_seq j, row_number() over (partition by patch_id order by (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), a.kp_seq, b.kp_seq) r from fx_keypoint a join fx_keypoint b using (patch_id) where a.kp_seq < b.kp_seq")
+def _(s, d):
+    from pyspark.sql import Window
+
+    k = table(s, d, "fx_keypoint").select(*KEYS, "x", "y")
+    p = k.toDF("patch_id", "i", "ax", "ay").join(k.toDF("patch_id", "j", "bx", "by"), "patch_id").where("i < j")
+    w = Window.partitionBy("patch_id").orderBy(geo.euclidean("ax", "ay", "bx", "by"), "i", "j")
+    return p.select("patch_id", "i", "j", F.row_number().over(w).alias("r"))
+
+
+def _score(s, d):
+    return table(s, d, "fx_score").withColumn("apls", F.when(F.col("is_nan") == 1, F.lit(float("nan"))).otherwise(F.col("apls_raw")))
+
+
+@query("a_control_points", f"select image_id, x, y, row_number() over (partition by image_id order by x, y)-1 ord from (select image_id, x, y from {_BOTH.format(t='fx_edge_gt')} b group by 1,2,3 having count(distinct (nx, ny)) <> 2) t")
+def _(s, d):
+    return metrics.control_points(table(s, d, "fx_edge_gt"))
+
+
+@query("a5_path_scores", "select image_id, count(e) n, 1-avg(e) score from (select image_id, case when matched = 0 then 1 when d1 > 25 then least(1, abs(d1-greatest(d2,0))/d1) end e from (select image_id, is_nan matched, apls_raw*100 d1, precision_raw*100-10 d2 from fx_score) a) b group by 1")
+def _(s, d):
+    p = table(s, d, "fx_score").select("image_id", (F.col("is_nan") == 1).alias("matched"), (F.col("apls_raw") * 100).alias("d1"), (F.col("precision_raw") * 100 - 10).alias("d2"))
+    return metrics.path_scores(p, 25.0)
+
+
+@query("a7_mean_score", "select run_id, coalesce(sum(case when is_nan=0 then apls_raw end),0)/greatest(sum(case when is_nan=0 then 1 else 0 end),1) mean from fx_score group by 1")
+def _(s, d):
+    return metrics.mean_score(_score(s, d), "apls", ["run_id"])
+
+
+@query("b11_apls")
+def _(s, d):
+    return metrics.apls(table(s, d, "fx_edge_pred"), table(s, d, "fx_edge_gt"))
+
+
+@query("t1_evaluation_window", f"select *, case when max_lat-min_lat < 0.01 then 0.0015e0 else 0.003e0 end radius from (select image_id, min(lat)-300/111111e0 min_lat, max(lat)+300/111111e0 max_lat, min(lon)-300/111111e0 min_lon, max(lon)+300/111111e0 max_lon from (select image_id, 41 - x/111111e0 lat, -71 + y/111111e0/cos(radians(41 - x/111111e0)) lon from (select image_id, x, y from {_GT} a union all select image_id, x, y from {_PR} b) c) e group by 1) f")
+def _(s, d):
+    return metrics.evaluation_window(graph.road_graph(table(s, d, "fx_edge_pred"))[0], graph.road_graph(table(s, d, "fx_edge_gt"))[0])
+
+
+@query("t6_sample_matches")
+def _(s, d):
+    return metrics.sample_matches(metrics.samples(table(s, d, "fx_edge_pred"), 8.0), metrics.samples(table(s, d, "fx_edge_gt"), 8.0), 10.0)
+
+
+@query("b11_sampled_topology")
+def _(s, d):
+    return metrics.sampled_topology(table(s, d, "fx_edge_pred"), table(s, d, "fx_edge_gt"))
+
+
+@query("t9_dataset_topology", "select run_id, precision, recall, coalesce(2*precision*recall/nullif(precision+recall,0),0) f1 from (select run_id, avg(precision_raw) precision, avg(recall_raw) recall from fx_score group by 1) t")
+def _(s, d):
+    return metrics.dataset_topology(table(s, d, "fx_score").withColumns({"precision": F.col("precision_raw"), "recall": F.col("recall_raw")}), ["run_id"])
+
+
+@query("s9_score_lines", "select image_id, printf('%.6f %.6f %.6f', apls_raw, precision_raw, recall_raw) line from fx_score where run_id = 1")
+def _(s, d):
+    return io.score_lines(table(s, d, "fx_score").where("run_id = 1"), "apls_raw", "precision_raw", "recall_raw")
+
+
+@query("s10_parse_lines", "select image_id, recall_raw v, precision_raw p, case when is_nan = 1 then 0 else recall_raw end r from fx_score where run_id = 1")
+def _(s, d):
+    t = table(s, d, "fx_score").where("run_id = 1")
+    line = F.concat(F.lit("precision="), F.col("precision_raw").cast("string"), F.when(F.col("is_nan") == 1, "").otherwise(F.concat(F.lit(" recall="), F.col("recall_raw").cast("string"))))
+    p, r = io.parse_topology_line(line)
+    v = F.element_at(F.split(F.concat(F.lit("0 1 "), F.col("recall_raw").cast("string")), " "), -1).cast("double")
+    return t.select("image_id", v.alias("v"), p.alias("p"), r.alias("r"))
+
+
+@query("s12_pairing", "select 'both' side, image_id from (select image_id from fx_edge_gt intersect select image_id from fx_edge_pred where image_id % 3 <> 0) a union all select 'truth', image_id from (select image_id from fx_edge_gt except select image_id from fx_edge_pred where image_id % 3 <> 0) b")
+def _(s, d):
+    both, lone = io.pair_inputs(table(s, d, "fx_edge_pred").where("image_id % 3 <> 0"), table(s, d, "fx_edge_gt"), "image_id")
+    return both.select(F.lit("both").alias("side"), "image_id").union(lone.select("side", "image_id"))
+
+
+@query("s13_unscored", "select run_id, image_id from fx_score a where run_id = 1 and not exists (select 1 from fx_score b where b.run_id = 2 and b.image_id = a.image_id)")
+def _(s, d):
+    t = table(s, d, "fx_score")
+    return io.unscored(t.where("run_id = 1"), t.where("run_id = 2"), ["image_id"]).select("run_id", "image_id")
+
+
+_FOREST = "(select road_id tree_id, seq id, seq-1 parent, cast(y as double) lat, cast(x as double) lon, case when ord_key % 9 = 0 then road_id end sim_tree, case when ord_key % 9 = 0 then 0 end sim_id from fx_vertex)"
+
+
+@query("s14_forest_edges", f"with f as (select *, coalesce(sim_tree,tree_id) t, coalesce(sim_id,id) i from {_FOREST} q where lat between 50 and 400 and lon between 50 and 400) select distinct p.t t1, p.i i1, c.t t2, c.i i2 from f c join f p on p.tree_id=c.tree_id and p.id=c.parent where not (p.t=c.t and p.i=c.i)")
+def _(s, d):
+    hit = F.col("ord_key") % 9 == 0
+    f = table(s, d, "fx_vertex").select(F.col("road_id").alias("tree_id"), F.col("seq").alias("id"), (F.col("seq") - 1).alias("parent"), F.col("y").cast("double").alias("lat"), F.col("x").cast("double").alias("lon"), F.when(hit, F.col("road_id")).alias("sim_tree"), F.when(hit, F.lit(0).cast("long")).alias("sim_id"))
+    e = io.forest_edges(f, (50, 50, 400, 400))
+    return e.select(F.col("n1.t").alias("t1"), F.col("n1.i").alias("i1"), F.col("n2.t").alias("t2"), F.col("n2.i").alias("i2"))
+
+
+@query("b1_sequential_batches", "select epoch, o_orderkey, (n // 64) batch, cast(n % 64 as int) slot from (select epoch, o_orderkey, row_number() over (partition by epoch order by o_orderkey)-1 n from orders cross join (select unnest([1,2]) epoch) e) t where n < (select count(*) // 64 * 64 from orders)")
+def _(s, d):
+    return experiment.epoch_batches(table(s, d, "orders").select("o_orderkey"), "o_orderkey", [1, 2], 64, None).select("epoch", "o_orderkey", "batch", "slot")
+
+
+@query("b1_shuffled_batches")
+def _(s, d):
+    return experiment.epoch_batches(table(s, d, "orders").select("o_orderkey"), "o_orderkey", [1, 2], 64, 7)
+
+
+@query("b2_epoch_means", "select run_id, image_id // 1000 epoch, avg(apls_raw) apls_raw, avg(precision_raw) precision_raw from fx_score group by 1,2")
+def _(s, d):
+    return experiment.epoch_means(table(s, d, "fx_score").withColumn("epoch", F.floor(F.col("image_id") / 1000)), ["run_id", "epoch"], ["apls_raw", "precision_raw"])
+
+
+@query("b3_best_checkpoints", "select run_id, image_id, apls_raw from (select *, coalesce(max(apls_raw) over (partition by run_id order by image_id rows between unbounded preceding and 1 preceding), -999) b from fx_score where image_id >= 10 and image_id % 5 = 0) t where apls_raw > b")
+def _(s, d):
+    return experiment.best_checkpoints(table(s, d, "fx_score"), "run_id", "image_id", "apls_raw", 5, 10).select("run_id", "image_id", "apls_raw")
+
+
+@query("b4_score_tiles", "select image_id, row_, col_, cast(b+g+r as double)/3 loc from fx_pixel")
+def _(s, d):
+    return experiment.score_tiles(table(s, d, "fx_pixel"), lambda p: p.assign(loc=(p["b"] + p["g"] + p["r"]) / 3)[["image_id", "row_", "col_", "loc"]], "image_id long, row_ int, col_ int, loc double")
+
+
+@query("b7_truth_relink")
+def _(s, d):
+    links = matching.link_closest(matching.pair_costs(_sectors(s, d), loc_range=(2.0, 448.0)))
+    return links.select("patch_id", "i", "j").distinct()
+
+
+@query("b10_heat_export", "select image_id, cast(2*(row_//16) + col_//16 as int) patch_seq, row_ % 16 row_, col_ % 16 col_, cast(round_even(255/(1+exp(-heat)), 0) as int) level from fx_pixel")
+def _(s, d):
+    p = raster.assign_patches(table(s, d, "fx_pixel"), raster.patches(s, 32, 32, 16, 0))
+    p = raster.heat_overlay(p)
+    return p.select("image_id", "patch_seq", (F.col("row_") - F.col("top")).alias("row_"), (F.col("col_") - F.col("left")).alias("col_"), F.rint("heat8").cast("int").alias("level"))
+
+
+@query("st1_running_scores", "select run_id, sum(case when is_nan=0 then apls_raw end) total, count(case when is_nan=0 then 1 end) n, avg(case when is_nan=0 then apls_raw end) mean from fx_score group by 1")
+def _(s, d):
+    return running_scores(_score(s, d))
+
+
+@query("l7_detector_labels", "select sample_id, least(sum(pow(pred-gt,2)*w*valid)/greatest(sum(w*valid),1e-8),100) loss from (select *, case when gt = 0 then 0.002e0 else gt end w from fx_loss) q where pos < 32 group by 1")
+def _(s, d):
+    t = table(s, d, "fx_loss").where("pos < 32").withColumn("w", F.when(F.col("gt") == 0, 0.002).otherwise(F.col("gt")))
+    return losses.mse(t, "sample_id")
