@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from waymesh.llm.token_counts import SPACE, pre_tokens
 
 _G = np.uint64(0x9E3779B97F4A7C15)
+#: 64 steps of the counter: each word's noise has its own.
+_STRIDE = np.uint64((64 * 0x9E3779B97F4A7C15) % (1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +53,7 @@ def _uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
 class PieceLattice:
     """Lattices of words over the pieces of a model, and a bounded memory of them."""
 
-    def __init__(self, model_file: str, alpha: float = 1.0, most: int = 250_000):
+    def __init__(self, model_file: str, alpha: float = 1.0, most: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -158,13 +160,13 @@ class PieceLattice:
         cum[(first + count - 1)[count > 0]] = 2.0
         ends = self.n_nodes + np.cumsum(n + 1) - 1
         self.at.update(zip(words, ends.tolist(), strict=True))
-        self.parts.append((first + self.n_edges, k.astype(np.int16), piece.astype(np.int32), cum))
+        self.parts.append((first + self.n_edges, k.astype(np.int16), piece.astype(np.int32), cum, np.log(np.maximum(chance, 1e-300))))
         self.n_nodes, self.n_edges, self.flat = self.n_nodes + len(total), self.n_edges + len(cum), None
 
     def tables(self) -> tuple[np.ndarray, ...]:
-        """(first arc of each node, arc lengths, pieces, cumulative chances)."""
+        """(first arc of each node, arc lengths, pieces, cumulative chances, log chances)."""
         if self.flat is None:
-            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))] if self.parts else [(np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int32), np.zeros(0))]
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))] if self.parts else [(np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int32), np.zeros(0), np.zeros(0))]
             self.flat = self.parts[0]
         return self.flat
 
@@ -173,27 +175,25 @@ class PieceLattice:
 
         node: the words' last nodes; salt: counters of their noise.
         """
-        first, back, piece, cum = self.tables()
-        live, left = np.arange(len(node)), length.copy()
-        at, logp = node.copy(), np.zeros(len(node))
-        who, what, step = [], [], 0
+        first, back, piece, cum, share = self.tables()
+        live, left, at = np.arange(len(node)), length, node
+        state = seed + salt * _STRIDE
+        logp = np.zeros(len(node))
+        who, what = [], []
         while len(live):
-            u = _uniform(seed[live], salt[live] * np.uint64(64) + np.uint64(step))
+            u = (_mix(state) >> np.uint64(11)).astype(np.float64) * (1 / (1 << 53))
             arc = first[at]
             go = np.flatnonzero(u > cum[arc])
             while len(go):
                 arc[go] += 1
                 go = go[u[go] > cum[arc[go]]]
-            c = np.minimum(cum[arc], 1.0)
-            logp[live] += np.log(np.maximum(c - np.where(arc > first[at], cum[arc - 1], 0.0), 1e-300))
+            logp[live] += share[arc]
             who.append(live)
             what.append(piece[arc])
-            k = back[arc].astype(np.int64)
-            left = left - k
-            at = at - k
-            more = left > 0
-            live, left, at = live[more], left[more], at[more]
-            step += 1
+            k = back[arc]
+            left, at = left - k, at - k
+            more = np.flatnonzero(left > 0)
+            live, left, at, state = live[more], left[more], at[more], state[more] + _G
         return np.concatenate([np.zeros(0, np.int64), *who]), np.concatenate([np.zeros(0, np.int32), *what]), logp
 
     def other(self, word: str, taken: list[tuple[int, ...]], seed: int, salt: int) -> tuple[np.ndarray, float]:
@@ -296,6 +296,9 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
     lat.learn(new)
     every = [_Search(ws, key, k) if ws else None for ws, key in zip(split, keys, strict=True)]
     live = [s for s in every if s]
+    for s in live:
+        s.node = np.fromiter(map(lat.at.__getitem__, s.words), np.int64, len(s.words))
+        s.length = np.fromiter(map(len, s.words), np.int64, len(s.words))
     for r in range(k + 1):
         popped = [(s, heapq.heappop(s.heap)) for s in live if s.heap]
         if r == k:
@@ -307,15 +310,14 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
         begin = [max(n[3], 0) for _, n in popped]
         sizes = np.array([len(s.words) - b for (s, _), b in zip(popped, begin, strict=True)], np.int64)
         base = np.cumsum(sizes) - sizes
-        words = [w for (s, _), b in zip(popped, begin, strict=True) for w in s.words[b:]]
-        at = np.fromiter(map(lat.at.__getitem__, words), np.int64, len(words))
-        length = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.concatenate([s.node[b:] for (s, _), b in zip(popped, begin, strict=True)])
+        length = np.concatenate([s.length[b:] for (s, _), b in zip(popped, begin, strict=True)])
         seed = np.repeat(np.array([s.seed for s, _ in popped], np.uint64), sizes)
-        salt = np.arange(len(words), dtype=np.uint64) - np.repeat(base, sizes).astype(np.uint64) + np.uint64((r + 1) << 40)
+        salt = np.arange(len(at), dtype=np.uint64) - np.repeat(base, sizes).astype(np.uint64) + np.uint64((r + 1) << 40)
         who, what, logp = lat.draw(at, length, seed, salt)
         order = np.argsort(who, kind="stable")  # by word, each word's pieces from its end
         who, what = who[order], what[order]
-        n = np.bincount(who, minlength=len(words))
+        n = np.bincount(who, minlength=len(at))
         turn = np.repeat(2 * (np.cumsum(n) - n) + n - 1, n) - np.arange(len(who))
         what = what[turn]
         ends = np.searchsorted(who, base + sizes)
@@ -357,8 +359,8 @@ def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float =
             _LATTICES[model_file, alpha] = PieceLattice(model_file, alpha)
         lat = _LATTICES[model_file, alpha]
         for b in batches:
-            for lo in range(0, len(b), 128):
-                part, rows = b.iloc[lo : lo + 128], []
+            for lo in range(0, len(b), 256):
+                part, rows = b.iloc[lo : lo + 256], []
                 texts = [t or "" for t in part["text"]]
                 for d, t, got in zip(part["doc_id"].tolist(), texts, sample_batch(lat, texts, part["key"].tolist(), k), strict=True):
                     want = t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
