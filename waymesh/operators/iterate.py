@@ -5,8 +5,10 @@ All images go through a round together; lineage is cut by reliable checkpoints.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,3 +150,35 @@ def quotient(edges: DataFrame, mapping: DataFrame, g: str = "image_id") -> DataF
     for c in ("a", "b"):
         edges = edges.join(mapping.select(g, F.col("old").alias(c), F.col("new").alias("_n")), [g, c], "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
     return edges.where("a <> b").select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def paths_by_group(edges: DataFrame, sources: DataFrame, g: str = "image_id", blocks: int = 8) -> DataFrame:
+    """(g, source, node, dist): shortest_paths where a group's graph is small enough for one task, as an image's is.
+
+    A group's sources are dealt to `blocks` tasks, each of which searches from
+    its own over the group's edges(g, a, b, w), all integers.
+    """
+    kind = dict(edges.dtypes)[g]
+    part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    e = edges.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("long"), part.alias("part"))
+    s = sources.select(g, F.col("source").cast("long")).distinct().withColumn("part", F.pmod(F.col("source"), F.lit(blocks)).cast("int"))
+
+    def search(es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[tuple[int, int]]] = {}
+        for a, b, w in zip(es["a"].tolist(), es["b"].tolist(), es["w"].tolist(), strict=True):
+            near.setdefault(a, []).append((b, w))
+            near.setdefault(b, []).append((a, w))
+        rows = []
+        for src in ss["source"].tolist():
+            best, heap = {}, [(0, src)]
+            while heap:
+                d, n = heapq.heappop(heap)
+                if n not in best:
+                    best[n] = d
+                    for m, w in near.get(n, ()):
+                        if m not in best:
+                            heapq.heappush(heap, (d + w, m))
+            rows += [(ss[g].iloc[0], src, n, d) for n, d in best.items()]
+        return pd.DataFrame(rows, columns=[g, "source", "node", "dist"])
+
+    return e.groupBy(g, "part").cogroup(s.groupBy(g, "part")).applyInPandas(search, f"{g} {kind}, source long, node long, dist long")
