@@ -161,7 +161,7 @@ def paths_by_group(edges: DataFrame, sources: DataFrame, g: str = "image_id", bl
     kind = dict(edges.dtypes)[g]
     part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     e = edges.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("long"), part.alias("part"))
-    s = sources.select(g, F.col("source").cast("long")).distinct().withColumn("part", F.pmod(F.col("source"), F.lit(blocks)).cast("int"))
+    s = sources.select(g, F.col("source").cast("long")).distinct().withColumn("part", F.pmod(F.col("source"), F.lit(blocks)).cast("int")).toDF("_g", "source", "part")
 
     def search(es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[tuple[int, int]]] = {}
@@ -178,7 +178,7 @@ def paths_by_group(edges: DataFrame, sources: DataFrame, g: str = "image_id", bl
                     for m, w in near.get(n, ()):
                         if m not in best:
                             heapq.heappush(heap, (d + w, m))
-            rows += [(ss[g].iloc[0], src, n, d) for n, d in best.items()]
+            rows += [(ss["_g"].iloc[0], src, n, d) for n, d in best.items()]
         return pd.DataFrame(rows, columns=[g, "source", "node", "dist"])
 
-    return e.groupBy(g, "part").cogroup(s.groupBy(g, "part")).applyInPandas(search, f"{g} {kind}, source long, node long, dist long")
+    return e.groupBy(g, "part").cogroup(s.groupBy("_g", "part")).applyInPandas(search, f"{g} {kind}, source long, node long, dist long")
