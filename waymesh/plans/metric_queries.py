@@ -214,7 +214,7 @@ def _(s, d):
     return metrics.sampled_topology(table(s, d, "fx_edge_pred"), table(s, d, "fx_edge_gt"))
 
 
-@query("t9_dataset_topology", "select run_id, p "precision", r "recall", coalesce(2*p*r/nullif(p+r,0),0) f1 from (select run_id, avg(precision_raw) p, avg(recall_raw) r from fx_score group by 1) t")
+@query("t9_dataset_topology", 'select run_id, p "precision", r "recall", coalesce(2*p*r/nullif(p+r,0),0) f1 from (select run_id, avg(precision_raw) p, avg(recall_raw) r from fx_score group by 1) t')
 def _(s, d):
     return metrics.dataset_topology(table(s, d, "fx_score").withColumns({"precision": F.col("precision_raw"), "recall": F.col("recall_raw")}), ["run_id"])
 
