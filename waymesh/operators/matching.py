@@ -92,6 +92,32 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def largest_matching(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many of the pairs as can be without a common end, by breadth-first augmenting paths."""
+    near: dict[int, list[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    of_b: dict[int, int] = {}
+    for root in near:
+        came: dict[int, int] = {}  # which row reached each column
+        queue, end = [root], None
+        for a in queue:
+            for b in near[a]:
+                if b not in came:
+                    came[b] = a
+                    if b not in of_b:
+                        end = b
+                        break
+                    queue.append(of_b[b])
+            if end is not None:
+                break
+        had = {a: b for b, a in of_b.items() if a in queue} if end is not None else {}
+        while end is not None:
+            a = came[end]
+            of_b[end], end = a, None if a == root else had[a]
+    return [(a, b) for b, a in of_b.items()]
+
+
 def component_match(pairs: DataFrame, g: str, filler: float | None = None) -> DataFrame:
     """pairs(g, a, b, cost) matched exactly within each connected component.
 
@@ -105,12 +131,15 @@ def component_match(pairs: DataFrame, g: str, filler: float | None = None) -> Da
     full = keyed.withColumn("_a", F.col("a") * 2).join(comp, [g, "_a"]).drop("_a")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        if filler is None:
+            keep = largest_matching(sorted(set(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))))
+            return pdf.merge(pd.DataFrame(keep, columns=["a", "b"]), on=["a", "b"]).drop_duplicates(["a", "b"])[[g, "a", "b", "cost"]]
         rows, cols = pdf["a"].unique(), pdf["b"].unique()
         ri, ci = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-        lone = 1e6 if filler is None else filler
+        lone = filler
         c = np.full((len(rows), len(cols) + len(rows)), lone)
         for a, b, x in zip(pdf["a"], pdf["b"], pdf["cost"], strict=True):
-            c[ri[a], ci[b]] = min(c[ri[a], ci[b]], x if filler is not None else 0.0)
+            c[ri[a], ci[b]] = min(c[ri[a], ci[b]], x)
         got = assignment(c)
         keep = [(rows[i], cols[j]) for i, j in enumerate(got) if j < len(cols) and c[i, j] < lone]
         return pdf.merge(pd.DataFrame(keep, columns=["a", "b"]), on=["a", "b"]).drop_duplicates(["a", "b"])[[g, "a", "b", "cost"]]
