@@ -25,6 +25,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,9 +52,9 @@ def _uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
 
 
 class PieceLattice:
-    """Lattices of words over the pieces of a model, and a bounded memory of them."""
+    """Lattices of words over the pieces of a model, and a memory of them: `most` arcs and those of one batch."""
 
-    def __init__(self, model_file: str, alpha: float = 1.0, most: int = 400_000):
+    def __init__(self, model_file: str, alpha: float = 1.0, most: int = 2_500_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -80,8 +81,8 @@ class PieceLattice:
         """Forget all words."""
         self.at: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.flat: tuple[np.ndarray, ...] | None = None
+        # first arc of each node, arc lengths, pieces, cumulative chances, log chances; filled so far as counted
+        self.tables = [np.zeros(1 << 12, t) for t in (np.int64, np.int16, np.int32, np.float64, np.float64)]
 
     def _trie(self) -> None:
         """The pieces as a trie: sorted (node, character) keys, what they lead to, and the piece that ends at each node."""
@@ -160,22 +161,20 @@ class PieceLattice:
         cum[(first + count - 1)[count > 0]] = 2.0
         ends = self.n_nodes + np.cumsum(n + 1) - 1
         self.at.update(zip(words, ends.tolist(), strict=True))
-        self.parts.append((first + self.n_edges, k.astype(np.int16), piece.astype(np.int32), cum, np.log(np.maximum(chance, 1e-300))))
-        self.n_nodes, self.n_edges, self.flat = self.n_nodes + len(total), self.n_edges + len(cum), None
-
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """(first arc of each node, arc lengths, pieces, cumulative chances, log chances)."""
-        if self.flat is None:
-            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))] if self.parts else [(np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int32), np.zeros(0), np.zeros(0))]
-            self.flat = self.parts[0]
-        return self.flat
+        for i, x in enumerate((first + self.n_edges, k, piece, cum, np.log(np.maximum(chance, 1e-300)))):
+            lo, have = self.n_edges if i else self.n_nodes, self.tables[i]
+            if lo + len(x) > len(have):
+                self.tables[i] = np.zeros(max(lo + len(x), len(have) * 3 // 2), have.dtype)
+                self.tables[i][:lo] = have[:lo]
+            self.tables[i][lo : lo + len(x)] = x
+        self.n_nodes, self.n_edges = self.n_nodes + len(total), self.n_edges + len(cum)
 
     def draw(self, node: np.ndarray, length: np.ndarray, seed: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A spelling of each word, drawn by weight: (which word, piece) from its end, and each word's log chance.
 
         node: the words' last nodes; salt: counters of their noise.
         """
-        first, back, piece, cum, share = self.tables()
+        first, back, piece, cum, share = self.tables
         live, left, at = np.arange(len(node)), length, node
         state = seed + salt * _STRIDE
         logp = np.zeros(len(node))
@@ -231,6 +230,8 @@ class PieceLattice:
 
 #: Spellings of a word that weigh less than this together count as none.
 LEAST = 1e-6
+#: Characters of the texts that are sampled side by side; a longer text is alone.
+AT_ONCE = 1 << 18
 _LATTICES: dict[tuple[str, float], PieceLattice] = {}
 
 
@@ -289,11 +290,9 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
     The searches run side by side, so that one draw serves a step of all of them.
     """
     split = [[w if w[0] == SPACE else SPACE + w for w in pre_tokens(t or "")] for t in texts]
-    new = list({w for ws in split for w in ws if w not in lat.at})
-    if len(lat.at) + len(new) > lat.most:
+    if lat.n_edges > lat.most:
         lat.clear()
-        new = list({w for ws in split for w in ws})
-    lat.learn(new)
+    lat.learn(list(set(chain.from_iterable(split)).difference(lat.at)))
     every = [_Search(ws, key, k) if ws else None for ws, key in zip(split, keys, strict=True)]
     live = [s for s in every if s]
     for s in live:
@@ -359,9 +358,13 @@ def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float =
             _LATTICES[model_file, alpha] = PieceLattice(model_file, alpha)
         lat = _LATTICES[model_file, alpha]
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part, rows = b.iloc[lo : lo + 256], []
-                texts = [t or "" for t in part["text"]]
+            whole, lo = [t or "" for t in b["text"]], 0
+            run_of = np.cumsum([len(t) for t in whole])
+            while lo < len(b):
+                # so many texts at once, fewer if they are long
+                hi = min(lo + 256, max(lo + 1, int(np.searchsorted(run_of, (run_of[lo - 1] if lo else 0) + AT_ONCE))))
+                part, texts, rows = b.iloc[lo:hi], whole[lo:hi], []
+                lo = hi
                 for d, t, got in zip(part["doc_id"].tolist(), texts, sample_batch(lat, texts, part["key"].tolist(), k), strict=True):
                     want = t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
                     for i, (x, p, q) in enumerate(got):
