@@ -79,7 +79,7 @@ class PieceLattice:
 
     def clear(self) -> None:
         """Forget all words."""
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {}  # last node << 32 | length
         self.n_nodes = self.n_edges = 0
         # first arc of each node, arc lengths, pieces, cumulative chances, log chances; filled so far as counted
         self.tables = [np.zeros(1 << 12, t) for t in (np.int64, np.int16, np.int32, np.float64, np.float64)]
@@ -139,7 +139,8 @@ class PieceLattice:
         start, k, piece, cost = self._arcs(codes, n[word] - pos)
         source = start + word[start]  # each word has one node more than characters
         target, at = source + k, pos[start] + k
-        order = np.lexsort((target, at))  # by position, so that what leads to a node is known before it
+        # by position, so that what leads to a node is known before it
+        order = np.argsort(at * (len(codes) + len(words)) + target, kind="stable")
         source, target, k, piece, cost, at = (x[order] for x in (source, target, k, piece, cost, at))
         total = np.zeros(len(codes) + len(words))
         value = np.empty(len(source))
@@ -160,7 +161,7 @@ class PieceLattice:
         cum = run - (run - chance)[np.minimum(first, len(run) - 1)][target]
         cum[(first + count - 1)[count > 0]] = 2.0
         ends = self.n_nodes + np.cumsum(n + 1) - 1
-        self.at.update(zip(words, ends.tolist(), strict=True))
+        self.at.update(zip(words, (ends << 32 | n).tolist(), strict=True))
         for i, x in enumerate((first + self.n_edges, k, piece, cum, np.log(np.maximum(chance, 1e-300)))):
             lo, have = self.n_edges if i else self.n_nodes, self.tables[i]
             if lo + len(x) > len(have):
@@ -170,7 +171,7 @@ class PieceLattice:
         self.n_nodes, self.n_edges = self.n_nodes + len(total), self.n_edges + len(cum)
 
     def draw(self, node: np.ndarray, length: np.ndarray, seed: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A spelling of each word, drawn by weight: (which word, piece) from its end, and each word's log chance.
+        """A spelling of each word, drawn by weight: how many pieces of each, all pieces in order, and each word's log chance.
 
         node: the words' last nodes; salt: counters of their noise.
         """
@@ -178,6 +179,7 @@ class PieceLattice:
         live, left, at = np.arange(len(node)), length, node
         state = seed + salt * _STRIDE
         logp = np.zeros(len(node))
+        n = np.zeros(len(node), np.int64)
         who, what = [], []
         while len(live):
             u = (_mix(state) >> np.uint64(11)).astype(np.float64) * (1 / (1 << 53))
@@ -187,24 +189,27 @@ class PieceLattice:
                 arc[go] += 1
                 go = go[u[go] > cum[arc[go]]]
             logp[live] += share[arc]
+            n[live] += 1
             who.append(live)
             what.append(piece[arc])
             k = back[arc]
             left, at = left - k, at - k
             more = np.flatnonzero(left > 0)
             live, left, at, state = live[more], left[more], at[more], state[more] + _G
-        return np.concatenate([np.zeros(0, np.int64), *who]), np.concatenate([np.zeros(0, np.int32), *what]), logp
+        out, end = np.empty(int(n.sum()), np.int32), np.cumsum(n) - 1
+        for step, (w, x) in enumerate(zip(who, what, strict=True)):  # a word's pieces came from its end
+            out[end[w] - step] = x
+        return n, out, logp
 
     def other(self, word: str, taken: list[tuple[int, ...]], seed: int, salt: int) -> tuple[np.ndarray, float]:
         """A spelling of a word, drawn by weight among those not taken, and its log chance."""
         for tries in range(1 << 12):
             m = 8 if not tries else 4096
-            node, length = np.full(m, self.at[word], np.int64), np.full(m, len(word), np.int64)
-            who, what, logp = self.draw(node, length, np.full(m, seed, np.uint64), np.uint64(salt + (tries << 13)) + np.arange(m, dtype=np.uint64))
-            what = what[np.argsort(who, kind="stable")]
+            node, length = np.full(m, self.at[word] >> 32, np.int64), np.full(m, len(word), np.int64)
+            n, what, logp = self.draw(node, length, np.full(m, seed, np.uint64), np.uint64(salt + (tries << 13)) + np.arange(m, dtype=np.uint64))
             lo = 0
-            for i, hi in enumerate(np.cumsum(np.bincount(who, minlength=m)).tolist()):
-                got = what[lo:hi][::-1]
+            for i, hi in enumerate(np.cumsum(n).tolist()):
+                got = what[lo:hi]
                 if tuple(got.tolist()) not in taken:
                     return got, float(logp[i])
                 lo = hi
@@ -232,18 +237,21 @@ class PieceLattice:
 LEAST = 1e-6
 #: Characters of the texts that are sampled side by side; a longer text is alone.
 AT_ONCE = 1 << 18
-_LATTICES: dict[tuple[str, float], PieceLattice] = {}
+_LATTICES: dict[tuple[str, float, int], PieceLattice] = {}
 
 
 class _Path:
-    """One sampled segmentation: word of each piece, pieces, and log chance of each word's spelling."""
+    """One sampled segmentation: where each word's pieces end, pieces, and log chance of each word's spelling."""
 
-    def __init__(self, who: np.ndarray, what: np.ndarray, logp: np.ndarray):
-        self.who, self.what, self.logp = who, what, logp
+    def __init__(self, end: np.ndarray, what: np.ndarray, logp: np.ndarray):
+        self.end, self.what, self.logp = end, what, logp
+
+    def before(self, i: int) -> int:
+        """Pieces before word i."""
+        return int(self.end[i - 1]) if i else 0
 
     def word(self, i: int) -> tuple[int, ...]:
-        lo, hi = np.searchsorted(self.who, [i, i + 1])
-        return tuple(self.what[lo:hi].tolist())
+        return tuple(self.what[self.before(i) : self.end[i]].tolist())
 
 
 class _Search:
@@ -296,8 +304,7 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
     every = [_Search(ws, key, k) if ws else None for ws, key in zip(split, keys, strict=True)]
     live = [s for s in every if s]
     for s in live:
-        s.node = np.fromiter(map(lat.at.__getitem__, s.words), np.int64, len(s.words))
-        s.length = np.fromiter(map(len, s.words), np.int64, len(s.words))
+        s.at = np.fromiter(map(lat.at.__getitem__, s.words), np.int64, len(s.words))
     for r in range(k + 1):
         popped = [(s, heapq.heappop(s.heap)) for s in live if s.heap]
         if r == k:
@@ -309,29 +316,25 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
         begin = [max(n[3], 0) for _, n in popped]
         sizes = np.array([len(s.words) - b for (s, _), b in zip(popped, begin, strict=True)], np.int64)
         base = np.cumsum(sizes) - sizes
-        at = np.concatenate([s.node[b:] for (s, _), b in zip(popped, begin, strict=True)])
-        length = np.concatenate([s.length[b:] for (s, _), b in zip(popped, begin, strict=True)])
+        at = np.concatenate([s.at[b:] for (s, _), b in zip(popped, begin, strict=True)])
+        at, length = at >> 32, at & 0xFFFFFFFF
         seed = np.repeat(np.array([s.seed for s, _ in popped], np.uint64), sizes)
         salt = np.arange(len(at), dtype=np.uint64) - np.repeat(base, sizes).astype(np.uint64) + np.uint64((r + 1) << 40)
-        who, what, logp = lat.draw(at, length, seed, salt)
-        order = np.argsort(who, kind="stable")  # by word, each word's pieces from its end
-        who, what = who[order], what[order]
-        n = np.bincount(who, minlength=len(at))
-        turn = np.repeat(2 * (np.cumsum(n) - n) + n - 1, n) - np.arange(len(who))
-        what = what[turn]
-        ends = np.searchsorted(who, base + sizes)
+        n, what, logp = lat.draw(at, length, seed, salt)
+        end = np.cumsum(n)
         lo = 0
-        for (s, (value, _, parent, word, taken, taken_p)), b, start, size, hi in zip(popped, begin, base.tolist(), sizes.tolist(), ends.tolist(), strict=True):
-            w, x, p = who[lo:hi] - start + b, what[lo:hi], logp[start : start + size]
+        for (s, (value, _, parent, word, taken, taken_p)), start, size in zip(popped, base.tolist(), sizes.tolist(), strict=True):
+            hi = int(end[start + size - 1])
+            e, x, p = end[start : start + size] - lo, what[lo:hi], logp[start : start + size]
             lo = hi
             if word >= 0:
-                head = int(np.searchsorted(w, word + 1))
+                head = int(e[0])
                 if tuple(x[:head].tolist()) in taken:
                     got, q = lat.other(s.words[word], taken, s.seed, (1 << 52) + (r << 40))
-                    w, x, p = np.r_[np.full(len(got), word), w[head:]], np.r_[got, x[head:]], np.r_[q, p[1:]]
-                cut = int(np.searchsorted(parent.who, word))
-                w, x, p = np.r_[parent.who[:cut], w], np.r_[parent.what[:cut], x], np.r_[parent.logp[:word], p]
-            s.grown(-value, _Path(w, x, p), word, taken, taken_p)
+                    e, x, p = e + (len(got) - head), np.concatenate([got, x[head:]]), np.concatenate([[q], p[1:]])
+                cut = parent.before(word)
+                e, x, p = np.concatenate([parent.end[:word], e + cut]), np.concatenate([parent.what[:cut], x]), np.concatenate([parent.logp[:word], p])
+            s.grown(-value, _Path(e, x, p), word, taken, taken_p)
     done = []
     for s in every:
         if s is None:
@@ -345,18 +348,20 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
     return done
 
 
-def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, ids: bool = True) -> DataFrame:
+def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, ids: bool = True, arcs: int = 2_500_000) -> DataFrame:
     """(doc_id, sample, n_pieces, log_prob, log_inclusion, ids_crc32, round_trip) per text and sample, and ids where asked for.
 
-    round_trip: whether decoding the pieces gives the text back (a SPACE
+    arcs: how many lattice arcs of words each Python worker remembers, at about
+    40 bytes each; fewer mean learning words again more often, with the same
+    results. round_trip: whether decoding the pieces gives the text back (a SPACE
     character in a text counts as the space that it means).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if (model_file, alpha) not in _LATTICES:
-            _LATTICES[model_file, alpha] = PieceLattice(model_file, alpha)
-        lat = _LATTICES[model_file, alpha]
+        if (model_file, alpha, arcs) not in _LATTICES:
+            _LATTICES[model_file, alpha, arcs] = PieceLattice(model_file, alpha, arcs)
+        lat = _LATTICES[model_file, alpha, arcs]
         for b in batches:
             whole, lo = [t or "" for t in b["text"]], 0
             run_of = np.cumsum([len(t) for t in whole])
