@@ -66,7 +66,7 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, encoded and decoded."""
     from waymesh.llm.piece_sampling import sampled_pieces
 
-    return sampled_pieces(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2, ids=False)
+    return sampled_pieces(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2, ids=False, arcs=8_000_000)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
