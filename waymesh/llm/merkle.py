@@ -7,7 +7,8 @@ covers the hashes below it and the bytes between, so roots are equal exactly
 for equal texts (up to a 128-bit collision).
 
 A fingerprint is the root and a bottom-k sketch of the chunk hashes: at most
-k of them, so its size has a bound. Likeness is the overlap of two sketches.
+k of them, so its size has a bound. Likeness compares all chunks of two trees,
+and differing branches are found from the root down.
 
 Null texts count as empty; the empty text has a tree of one empty chunk. Rows
 repeated under one doc_id are ordered by their text.
@@ -15,7 +16,9 @@ repeated under one doc_id are ordered by their text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -61,10 +64,15 @@ def tree(text: str | None, mean: int = 5, most: int = 24) -> tuple[bytes, list[t
 
 def fingerprint(text: str | None, k: int = 96) -> str:
     """Root (32 hex digits) and, after a dash, the k smallest chunk hashes (8 hex digits each)."""
-    root, sections = tree(text)
+    return _sketch(tree(text), k)
+
+
+def _sketch(made: tuple, k: int) -> str:
+    """The fingerprint of a tree."""
+    root, sections = made
     seen: dict[bytes, int] = {}
     marks = set()
-    for x in [x for _, ps in sections for _, ls in ps for x in ls]:
+    for x in _leaves(sections):
         if x in seen:  # a repeat counts by its number
             seen[x] += 1
             marks.add(_h(x + seen[x].to_bytes(4, "little"))[:4])
@@ -74,15 +82,44 @@ def fingerprint(text: str | None, k: int = 96) -> str:
     return f"{root.hex()}-{b''.join(sorted(marks)[:k]).hex()}"
 
 
-def likeness(a: str, b: str, k: int = 96) -> float:
-    """Estimated share of chunks in common (twice the shared ones by both counts), from two fingerprints; 1 for equal roots."""
-    if a[:32] == b[:32]:
+def _leaves(sections: list) -> list[bytes]:
+    return [x for _, ps in sections for _, ls in ps for x in ls]
+
+
+def _shared(x: list[bytes], y: list[bytes]) -> int:
+    """How many hashes two lists share, repeats counted."""
+    a, b = set(x), set(y)
+    if len(a) == len(x) or len(b) == len(y):
+        return len(a & b)
+    return (Counter(x) & Counter(y)).total()
+
+
+def likeness(a: tuple, b: tuple) -> float:
+    """Share of chunks in common (twice the shared ones by both counts) of two trees; 1 for equal roots only.
+
+    Where unequal texts have all chunks in common, the nodes above them count too.
+    """
+    if a[0] == b[0]:
         return 1.0
-    x = {a[i : i + 8] for i in range(33, len(a), 8)}
-    y = {b[i : i + 8] for i in range(33, len(b), 8)}
-    low = sorted(x | y)[:k]
-    both = sum(c in x and c in y for c in low)
-    return 2 * both / (len(low) + both) if low else 0.0
+    x, y = _leaves(a[1]), _leaves(b[1])
+    both = _shared(x, y)
+    if 2 * both == len(x) + len(y):
+        for t, z in ((a, x), (b, y)):
+            z += [t[0], *(h for h, _ in t[1]), *(p for _, ps in t[1] for p, _ in ps)]
+        both = _shared(x, y)
+    return 2 * both / (len(x) + len(y))
+
+
+def branches(a: tuple, b: tuple) -> list[str]:
+    """Sections ("3") and paragraphs ("3/0") by place that differ between two trees; equal branches are not entered."""
+    out: list[str] = []
+    if a[0] == b[0]:
+        return out
+    for i, (x, y) in enumerate(zip_longest(a[1], b[1], fillvalue=(b"", []))):
+        if x[0] != y[0]:
+            out.append(str(i))
+            out += [f"{i}/{j}" for j, (p, q) in enumerate(zip_longest(x[1], y[1], fillvalue=(b"", []))) if p[0] != q[0]]
+    return out
 
 
 def fingerprints(text: Column, k: int = 96) -> Column:
@@ -176,20 +213,20 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def edited_likeness(docs: DataFrame, k: int = 96, parts: int | None = None) -> DataFrame:
-    """Fingerprints of every text, of its edited text (its last third replaced from the next document) and their likeness."""
+    """Fingerprints of every text, of its edited text (its last third replaced from the next document) and their likeness; `branches` of the two trees that differ."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import sha256
 
         for b in batches:
-            rows, last = [], ("", "")
+            rows, last = [], ("", tree(""))
             for d, t, nxt in b.itertuples(index=False, name=None):
                 m = len(t) // 3
                 e = t[: len(t) - m] + nxt[:m]
-                own = last[1] if last[0] == t else fingerprint(t, k)
-                last = (nxt, fingerprint(nxt, k))
-                edited = fingerprint(e, k)
-                rows.append((d, len(t), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), own, edited, likeness(own, edited, k), likeness(own, last[1], k)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+                own = last[1] if last[0] == t else tree(t)
+                last = (nxt, tree(nxt))
+                edited = tree(e)
+                rows.append((d, len(t), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), _sketch(own, k), _sketch(edited, k), likeness(own, edited), likeness(own, last[1]), branches(own, edited)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "branches"]).astype({"doc_id": "Int64"})
 
-    return with_next(docs, parts).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, parts).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, branches array<string>")
