@@ -13,8 +13,8 @@ its members are linked through their one-bit variants instead (two
 fingerprints within two bits share a variant), which is exact and linear.
 
 Null texts count as empty; texts without words get fingerprint zero, which
-links like any other; rows are never dropped, and rows repeated under one
-doc_id get the same component.
+links like any other; rows are never dropped, and each row repeated under one
+doc_id gets the component of its own text.
 """
 
 from __future__ import annotations
@@ -128,10 +128,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, t: int = 2, m: int = 16, cap
     return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each component left: that of the smallest doc_id.
+def drop_near_duplicates(docs: DataFrame, size: int = 3, t: int = 2, m: int = 16, cap: int = 48) -> DataFrame:
+    """docs with one row of each component left: that of the smallest doc_id.
 
-    Rows without a doc_id can't be named by a component and stay.
+    Rows without a doc_id and rows repeated under one are judged like any other:
+    of equal ones one stays, and a component without any doc_id keeps one row.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), **how).select(F.col("component_id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    prints = materialise(docs.withColumn("_fp", fingerprint(F.col("text"), size)), "simhash")
+    nodes = prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
+    comps = connected_components(fingerprint_links(nodes.select(F.col("_fp").alias("fp")), t, m, cap))
+    joined = nodes.join(comps.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_component", F.coalesce("component", "_fp"))
+    lows = joined.groupBy("_component").agg(F.min("rep").alias("_low"))
+    named = prints.join(joined.join(lows, "_component").select("_fp", "_component", "_low"), "_fp")
+    return named.where(F.col("doc_id").eqNullSafe(F.col("_low"))).dropDuplicates(["_component"]).select(docs.columns)
