@@ -10,9 +10,11 @@ the window against the region. A budget of k edits is allowed for `window`
 characters and proportionally fewer for a shorter window.
 
 The benchmark's q-gram index is broadcast in blocks of at most `block_chars`
-characters; a larger benchmark takes several passes. Items whose window would
-be shorter than `shortest` characters are too short to tell from chance and
-never match; null and empty texts match nothing. Repeated rows match alike.
+characters; a larger benchmark takes several passes. An item of fewer than q
+characters has no q-gram and never matches; null and empty texts match nothing.
+Every row is judged by its own text: repeated rows match alike, rows without a
+doc_id too. Work is taken by characters, so a batch of long texts is no larger
+than one of short ones.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymesh.llm.labelled import by_size
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -70,11 +74,11 @@ class GramIndex:
     filter: np.ndarray
 
     @staticmethod
-    def build(items: list[tuple[int, str]], window: int, edits: int, q: int, shortest: int) -> GramIndex:
+    def build(items: list[tuple[int, str]], window: int, edits: int, q: int) -> GramIndex:
         ids, offs, wins = [], [], []
         for i, text in items:
             c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            if len(c) < shortest:
+            if len(c) < q:
                 continue
             starts = sorted({*range(0, max(len(c) - window, 0) + 1, window // 2), max(len(c) - window, 0)})
             for s in starts:
@@ -187,35 +191,61 @@ def _matches(index: GramIndex, texts: list[str | None]) -> list[list[tuple[int,
     return [sorted(set(m)) for m in out]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: int = 5, q: int = 10, shortest: int = 40, block_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id, windows, edits, start, end) per document and item with a verified window.
-
-    start and end: the extent of the matches in the normalised text; edits: the
-    fewest of one window.
-    """
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, window: int, edits: int, q: int, block_chars: int) -> list:
+    """The benchmark's index, broadcast in blocks of about `block_chars` characters."""
+    spark = benchmark.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_chars))
+    out = []
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
+        out.append(spark.sparkContext.broadcast(GramIndex.build(sorted((r["item_id"], normalise(r["text"])) for r in rows), window, edits, q)))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: int = 5, q: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, item_id, windows, edits, start, end) per row of docs and item with a verified window.
+
+    start and end: the extent of the matches in the normalised text; edits: the
+    fewest of one window. An item is in one block of the index, so a row's
+    matches with it come together.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(GramIndex.build(sorted((r["item_id"], normalise(r["text"])) for r in rows), window, edits, q, shortest))
+    for index in _indexes(benchmark, window, edits, q, block_chars):
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 ids, texts, found = pdf["doc_id"].tolist(), pdf["text"].tolist(), []
-                for i in range(0, len(texts), 200):
-                    for d, ms in zip(ids[i : i + 200], _matches(index.value, texts[i : i + 200]), strict=True):
-                        found += [(d, *m) for m in ms]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "edits", "start", "end"])
-
-        part = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id long, edits int, start int, end int")
+                for part in by_size(texts, rows=400):
+                    for d, ms in zip(ids[part], _matches(index.value, texts[part]), strict=True):
+                        items: dict[int, list[tuple[int, int, int]]] = {}
+                        for i, *m in ms:
+                            items.setdefault(i, []).append(tuple(m))
+                        found += [(d, i, len(v), min(x[0] for x in v), min(x[1] for x in v), max(x[2] for x in v)) for i, v in items.items()]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "windows", "edits", "start", "end"])
+
+        # an id travels as text: pandas would make floats of integers next to a null
+        part = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, item_id long, windows long, edits int, start int, end int")
         out = part if out is None else out.union(part)
-    return out.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.min("edits").alias("edits"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: int = 5, q: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs whose text holds no passage of the benchmark, whether they have a doc_id or not."""
+    for index in _indexes(benchmark, window, edits, q, block_chars):
+        docs = docs.where(_clean("text", index))
+    return docs
+
+
+def _clean(text: str, index) -> Column:
+    """Whether a text holds no passage of a block of the index."""
 
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            texts = s.tolist()
+            yield pd.Series([not m for part in by_size(texts, rows=400) for m in _matches(index.value, texts[part])], dtype=bool)
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that hold no passage of the benchmark; rows without a doc_id are judged by their own text only and stay."""
-    return docs.join(leaks(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti")
+    return run(text)
