@@ -2,8 +2,11 @@
 
 Pre-tokens (a run of spaces and what follows it) are held as ragged numpy
 arrays of symbol ids. In every round each sequence applies its lowest-rank
-adjacent pair, the leftmost one at a tie, all sequences at once; what survives
-is counted. Pieces never span two pre-tokens, so the sum over a text's
+adjacent pair wherever it stands, from left to right, all sequences at once;
+what survives is counted. Where a piece is part of one of lower rank than its
+own, which could come between, a pair that makes it waits for the one before it
+if that is within the longest piece's reach, so the result is that of one merge
+after another. Pieces never span two pre-tokens, so the sum over a text's
 pre-tokens is the count of the text. A bounded cache keeps the counts of
 pre-tokens already seen by a worker.
 
@@ -13,7 +16,6 @@ get their own count, and only the named columns are read.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _SHIFT = 20
 _NONE = np.iinfo(np.int64).max
-#: Sequences longer than this go through a heap, whose cost is n log n.
+#: Pre-tokens longer than this aren't remembered.
 LONG = 400
 
 
@@ -64,6 +66,15 @@ class PieceMerger:
         self.ranks = np.array(ranks, np.int64)[order]
         self.made = np.array(made, np.int64)[order]
         self.touching = np.array(sorted(touching), np.int64)
+        # pieces that no better piece is made of: all pairs that make one can be applied at once
+        own = np.full(len(ids) + 1, -1, np.int64)
+        for p, score in normal.items():
+            own[ids[p]] = levels[score]
+        left, right = self.keys >> _SHIFT, self.keys & ((1 << _SHIFT) - 1)
+        self.reach = max(map(len, normal), default=1)
+        self.calm = np.ones(len(ids) + 1, bool)
+        self.calm[left[own[left] > self.ranks]] = False
+        self.calm[right[own[right] > self.ranks]] = False
         self.byte_fallback = proto.trainer_spec.byte_fallback
         codes = np.full(0x110000, len(ids), np.int32)  # one id for characters that no piece has
         for c, i in self.char_id.items():
@@ -105,18 +116,10 @@ class PieceMerger:
         else:
             each = np.ones(len(sym), np.int64)
         out += np.bincount(word[alone], weights=each[alone], minlength=len(words)).astype(np.int64)
-        long = size > LONG
-        for k in np.flatnonzero(long):
-            s = slice(heads[k], heads[k] + size[k])
-            out[word[heads[k]]] += self._weigh(self._by_heap(sym[s]))
-        mine = ~alone & ~long[seq]
+        mine = ~alone
         self._rounds(sym[mine], word[mine], seq[mine], out)
         return out
 
-    def _weigh(self, sym: np.ndarray) -> int:
-        odd = ~self.known[sym]
-        return int(len(sym) - odd.sum() + (self.n_bytes[sym[odd]].sum() if self.byte_fallback else odd.sum()))
-
     def _rounds(self, sym: np.ndarray, word: np.ndarray, seq: np.ndarray, out: np.ndarray) -> None:
         if not len(sym):
             return
@@ -141,8 +144,13 @@ class PieceMerger:
                 if not len(sym):
                     return
             hit = np.flatnonzero(rank == np.repeat(low, n))
-            hit = hit[np.r_[True, seq[hit[1:]] != seq[hit[:-1]]]]  # the leftmost of each sequence
             at, _ = self._find(self.keys, (sym[hit] << _SHIFT) | sym[hit + 1])
+            # of a run of overlapping pairs every second one, from its start
+            nth = np.arange(len(hit))
+            ok = (nth - np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], nth, 0))) % 2 == 0
+            first = np.r_[True, (seq[hit[1:]] != seq[hit[:-1]]) | (np.diff(hit) > self.reach)]
+            ok &= first | self.calm[self.made[at]]
+            hit, at = hit[ok], at[ok]
             sym[hit] = self.made[at]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -157,32 +165,6 @@ class PieceMerger:
             left = left[seq[left - 1] == seq[left]]
             rank[left - 1] = self._rank(sym[left - 1], sym[left])
 
-    def _by_heap(self, sym: np.ndarray) -> np.ndarray:
-        """The same merges for one very long sequence."""
-        n, sym = len(sym), sym.copy()
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
-        first = self._rank(sym[:-1], sym[1:])
-        heap = [(int(first[i]), int(i), int(sym[i]), int(sym[i + 1])) for i in np.flatnonzero(first != _NONE)]
-        heapq.heapify(heap)
-        alive = np.ones(n, bool)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if not alive[i] or sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i] = self.made[np.searchsorted(self.keys, (a << _SHIFT) | b)]
-            alive[j] = False
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            for x in (prv[i], i):
-                if x >= 0 and nxt[x] < n:
-                    r = int(self._rank(sym[x : x + 1], sym[nxt[x] : nxt[x] + 1])[0])
-                    if r != _NONE:
-                        heapq.heappush(heap, (r, int(x), int(sym[x]), int(sym[nxt[x]])))
-        return sym[alive]
-
-
 def pre_tokens(text: str) -> list[str]:
     """Runs of spaces with what follows, after the model's leading space.
 
@@ -223,6 +205,9 @@ def count_batch(texts: list[str | None], model_file: str, cache_size: int = 400_
             new = list({w for ws in split for w in ws})
         cache.update(zip(new, merger.counts([w if w[0] == SPACE else SPACE + w for w in new]).tolist(), strict=True))
         out[lo : lo + 500] = [sum(map(cache.__getitem__, ws)) for ws in split]
+        for w in new:
+            if len(w) > LONG:
+                del cache[w]
     return out
 
 
