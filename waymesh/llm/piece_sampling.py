@@ -15,6 +15,10 @@ The first k values and the one after give inclusion scores: log of the chance
 that a path of its weight is above that threshold. All noise comes from a
 counter-based hash of the row's key, so a row has the same samples anywhere.
 
+The chance of what is left of a word is summed over its other spellings where
+1 - p would lose it, and a spelling among the others is drawn from the lattice
+without those taken, so no spelling is too unlikely to be found.
+
 A null or empty text has one segmentation, of no pieces. A text with fewer
 than k segmentations has as many samples, all with inclusion score 0.
 """
@@ -25,7 +29,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -79,7 +83,8 @@ class PieceLattice:
 
     def clear(self) -> None:
         """Forget all words."""
-        self.at: dict[str, int] = {}  # last node << 32 | length
+        self.at: dict[str, int] = {}  # last node << 32 | length, by word without the one space before it
+        self.small: dict[tuple, float] = {}  # chance of a word's spellings but some, where it is small
         self.n_nodes = self.n_edges = 0
         # first arc of each node, arc lengths, pieces, cumulative chances, log chances; filled so far as counted
         self.tables = [np.zeros(1 << 12, t) for t in (np.int64, np.int16, np.int32, np.float64, np.float64)]
@@ -97,19 +102,47 @@ class PieceLattice:
                     ends.append(-1)
                 node = edges[k]
             ends[node] = i
-        keys = np.array([n << 21 | c for n, c in edges], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next, self.ends = keys[order], np.array(list(edges.values()), np.int64)[order], np.array(ends, np.int64)
+        self.ends = np.array(ends, np.int64)
+        # an open-addressed table of (node, character) -> next node, at most a quarter full
+        bits = max(10, (4 * len(edges)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot_key, self.slot_next = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        todo_key = np.array([n << 21 | c for n, c in edges], np.int64)
+        todo_next, at = np.array(list(edges.values()), np.int64), self._slot(np.array([n << 21 | c for n, c in edges], np.int64))
+        while len(todo_key):
+            free = self.slot_key[at] == -1
+            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            put = np.zeros(len(at), bool)
+            put[first] = True
+            put &= free
+            self.slot_key[at[put]], self.slot_next[at[put]] = todo_key[put], todo_next[put]
+            todo_key, todo_next, at = todo_key[~put], todo_next[~put], (at[~put] + 1) & (len(self.slot_key) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _G) >> self.shift).astype(np.int64)
+
+    def _follow(self, key: np.ndarray) -> np.ndarray:
+        """The node that each (node, character) key leads to, -1 for none."""
+        at = self._slot(key)
+        have = self.slot_key[at]
+        out = np.where(have == key, self.slot_next[at], -1)
+        on = np.flatnonzero((have != key) & (have != -1))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.slot_key) - 1)
+            have = self.slot_key[at[on]]
+            hit = have == key[on]
+            out[on[hit]] = self.slot_next[at[on[hit]]]
+            on = on[~hit & (have != -1)]
+        return out
 
     def _arcs(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece, cost) of every piece at every character; left: characters to the word's end."""
         start, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
         found, depth, single = [], 0, np.zeros(len(codes), bool)
         while len(start):
-            k = node << 21 | codes[start + depth]
-            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-            hit = self.keys[at] == k
-            start, node = start[hit], self.next[at[hit]]
+            node = self._follow(node << 21 | codes[start + depth])
+            hit = node >= 0
+            start, node = start[hit], node[hit]
             depth += 1
             piece = self.ends[node]
             is_piece = piece >= 0
@@ -122,16 +155,18 @@ class PieceLattice:
         c = codes[odd]
         wide = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
         found.append((odd, np.ones(len(odd), np.int64), -1 - c, self.rare * wide))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        # long pieces first: a word's likeliest last piece mostly is its longest
+        return tuple(np.concatenate(x) for x in zip(*reversed(found), strict=True))
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, names: list[str]) -> None:
         """Add the lattices of words not seen yet: for each end position its arcs with cumulative chances.
 
         A word's nodes are its positions 0..n; arcs into a node are drawn going
         backwards in proportion to the weight of all paths through them.
         """
-        if not words:
+        if not names:
             return
+        words = [w if w[0] == SPACE else SPACE + w for w in names]
         n = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(words)), n)
@@ -139,30 +174,31 @@ class PieceLattice:
         start, k, piece, cost = self._arcs(codes, n[word] - pos)
         source = start + word[start]  # each word has one node more than characters
         target, at = source + k, pos[start] + k
-        # by position, so that what leads to a node is known before it
-        order = np.argsort(at * (len(codes) + len(words)) + target, kind="stable")
+        order = np.argsort(target, kind="stable")
         source, target, k, piece, cost, at = (x[order] for x in (source, target, k, piece, cost, at))
+        # by position, so that what leads to a node is known before it
+        turn = np.argsort(at.astype(np.int16), kind="stable") if n.max() < 1 << 15 else np.argsort(at, kind="stable")
         total = np.zeros(len(codes) + len(words))
         value = np.empty(len(source))
-        bounds = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+        bounds = np.flatnonzero(np.r_[True, np.diff(at[turn]) != 0, True])
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            v, t = total[source[lo:hi]] + cost[lo:hi], target[lo:hi]
+            i = turn[lo:hi]
+            v, t = total[source[i]] + cost[i], target[i]
             first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             top = np.maximum.reduceat(v, first)
             size = np.diff(np.r_[first, hi - lo])
             total[t[first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), first))
-            value[lo:hi] = v
-        order = np.argsort(target, kind="stable")
-        target, k, piece = target[order], k[order], piece[order]
-        chance = np.exp(value[order] - total[target])
+            value[i] = v
+        value -= total[target]
+        chance = np.exp(value)
         count = np.bincount(target, minlength=len(total))
         first = np.cumsum(count) - count
         run = np.cumsum(chance)
         cum = run - (run - chance)[np.minimum(first, len(run) - 1)][target]
         cum[(first + count - 1)[count > 0]] = 2.0
         ends = self.n_nodes + np.cumsum(n + 1) - 1
-        self.at.update(zip(words, (ends << 32 | n).tolist(), strict=True))
-        for i, x in enumerate((first + self.n_edges, k, piece, cum, np.log(np.maximum(chance, 1e-300)))):
+        self.at.update(zip(names, (ends << 32 | n).tolist(), strict=True))
+        for i, x in enumerate((first + self.n_edges, k, piece, cum, value)):
             lo, have = self.n_edges if i else self.n_nodes, self.tables[i]
             if lo + len(x) > len(have):
                 self.tables[i] = np.zeros(max(lo + len(x), len(have) * 3 // 2), have.dtype)
@@ -201,29 +237,59 @@ class PieceLattice:
             out[end[w] - step] = x
         return n, out, logp
 
+    def _ways(self, node: int, left: int) -> list[tuple[int, int, float]]:
+        """(piece, characters, chance) of the arcs into a node that is `left` characters into its word."""
+        first, back, piece, cum, share = self.tables
+        lo, out = int(first[node]), []
+        while left:
+            out.append((int(piece[lo]), int(back[lo]), math.exp(share[lo])))
+            if cum[lo] == 2.0:
+                break
+            lo += 1
+        return out
+
+    def _left(self, node: int, left: int, taken: list[tuple[int, ...]], seen: dict) -> float:
+        """Chance of the spellings up to a node other than those taken, all terms positive."""
+        if not taken:
+            return 1.0
+        if not left:
+            return 0.0  # what is taken is the whole of it
+        key = (node, tuple(taken))
+        if key not in seen:
+            seen[key] = sum(p * self._left(node - k, left - k, [t[:-1] for t in taken if t[-1] == piece], seen) for piece, k, p in self._ways(node, left))
+        return seen[key]
+
+    def remaining(self, word: str, taken: list[tuple[int, ...]]) -> float:
+        """Chance of all spellings of a word but those taken, without the loss of 1 - p."""
+        at = self.at[word]
+        return self._left(at >> 32, at & 0xFFFFFFFF, taken, {})
+
     def other(self, word: str, taken: list[tuple[int, ...]], seed: int, salt: int) -> tuple[np.ndarray, float]:
         """A spelling of a word, drawn by weight among those not taken, and its log chance."""
-        for tries in range(1 << 12):
-            m = 8 if not tries else 4096
-            node, length = np.full(m, self.at[word] >> 32, np.int64), np.full(m, len(word), np.int64)
-            n, what, logp = self.draw(node, length, np.full(m, seed, np.uint64), np.uint64(salt + (tries << 13)) + np.arange(m, dtype=np.uint64))
-            lo = 0
-            for i, hi in enumerate(np.cumsum(n).tolist()):
-                got = what[lo:hi]
-                if tuple(got.tolist()) not in taken:
-                    return got, float(logp[i])
-                lo = hi
-        raise RuntimeError("the spellings left weigh too little to be drawn")
+        node, left = self.at[word] >> 32, self.at[word] & 0xFFFFFFFF
+        got, logp, seen, step = [], 0.0, {}, 0
+        while left:
+            ways = [(piece, k, p, [t[:-1] for t in taken if t[-1] == piece]) for piece, k, p in self._ways(node, left)]
+            weight = [p * self._left(node - k, left - k, t, seen) for _, k, p, t in ways]
+            u = float(_uniform(np.array([seed], np.uint64), np.array([salt + step], np.uint64))[0]) * sum(weight)
+            i = next(i for i, c in enumerate(accumulate(weight)) if u <= c or i == len(weight) - 1)
+            while not weight[i]:  # rounding at the end
+                i -= 1
+            piece, k, p, taken = ways[i]
+            got.append(piece)
+            logp += math.log(p)
+            node, left, step = node - k, left - k, step + 1
+        return np.array(got[::-1], np.int32), logp
 
     def bytes_of(self, what: np.ndarray) -> np.ndarray:
         """Piece ids, characters without a piece as those of their bytes (or as unknown)."""
+        if not len(what) or what.min() >= 0:
+            return what
         odd = np.flatnonzero(what < 0)
-        if not len(odd):
-            return what.astype(np.int64)
         spelt = [[self.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] if self.byte else [self.unknown] for i in what[odd].tolist()]
         n = np.ones(len(what), np.int64)
         n[odd] = list(map(len, spelt))
-        out = np.repeat(what.astype(np.int64), n)
+        out = np.repeat(what, n)
         out[np.repeat(what < 0, n)] = [b for x in spelt for b in x]
         return out
 
@@ -233,8 +299,8 @@ class PieceLattice:
         return out[1:] if out[:1] == b" " else out
 
 
-#: Spellings of a word that weigh less than this together count as none.
-LEAST = 1e-6
+#: Where a word's other spellings weigh less than this, their weight is summed up instead of taken as 1 - p.
+SMALL = 1e-10
 #: Characters of the texts that are sampled side by side; a longer text is alone.
 AT_ONCE = 1 << 18
 _LATTICES: dict[tuple[str, float, int], PieceLattice] = {}
@@ -270,7 +336,7 @@ class _Search:
         self.noise += 1
         return -np.log(_uniform(np.full(n, self.seed, np.uint64), np.uint64((1 << 62) + (self.noise << 36)) + np.arange(n, dtype=np.uint64)))
 
-    def grown(self, value: float, path: _Path, word: int, taken: list[tuple[int, ...]], taken_p: float) -> None:
+    def grown(self, lat: PieceLattice, value: float, path: _Path, word: int, taken: list[tuple[int, ...]], taken_p: float) -> None:
         """Keep a sample and open the siblings it passed: at its branching word and at every word after."""
         self.out.append((path, float(path.logp.sum())))
         start = max(word, 0)
@@ -278,13 +344,19 @@ class _Search:
         rest = -np.expm1(tail)
         if word >= 0:
             rest[0] = 1.0 - taken_p - math.exp(tail[0])
+        for i in np.flatnonzero(rest < SMALL).tolist():
+            known = (self.words[start + i], path.word(start + i), *(taken if word >= 0 and not i else ()))
+            if known not in lat.small:
+                lat.small[known] = lat.remaining(known[0], list(known[1:]))
+            rest[i] = lat.small[known]
         before = path.logp[:start].sum() + np.cumsum(tail) - tail
-        open_ = np.flatnonzero(rest > LEAST)
+        open_ = np.flatnonzero(rest > 0.0)
         if not len(open_):
             return
         place = before[open_] + np.log(rest[open_])
         x = place - np.log(self.exponential(len(open_)) + np.exp(np.minimum(place - value, 700)))
-        for i in np.argsort(-x, kind="stable")[: self.k + 1].tolist():  # more can't be among the first k
+        best = np.argpartition(-x, self.k)[: self.k + 1] if len(x) > self.k + 1 else np.arange(len(x))
+        for i in best[np.lexsort((best, -x[best]))].tolist():  # more can't be among the first k
             at = start + int(open_[i])
             first = word >= 0 and at == word
             self.tie += 1
@@ -297,7 +369,7 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
 
     The searches run side by side, so that one draw serves a step of all of them.
     """
-    split = [[w if w[0] == SPACE else SPACE + w for w in pre_tokens(t or "")] for t in texts]
+    split = [pre_tokens(t or "") for t in texts]
     if lat.n_edges > lat.most:
         lat.clear()
     lat.learn(list(set(chain.from_iterable(split)).difference(lat.at)))
@@ -334,11 +406,11 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
                     e, x, p = e + (len(got) - head), np.concatenate([got, x[head:]]), np.concatenate([[q], p[1:]])
                 cut = parent.before(word)
                 e, x, p = np.concatenate([parent.end[:word], e + cut]), np.concatenate([parent.what[:cut], x]), np.concatenate([parent.logp[:word], p])
-            s.grown(-value, _Path(e, x, p), word, taken, taken_p)
+            s.grown(lat, -value, _Path(e, x, p), word, taken, taken_p)
     done = []
     for s in every:
         if s is None:
-            done.append([(np.zeros(0, np.int64), 0.0, 0.0)])
+            done.append([(np.zeros(0, np.int32), 0.0, 0.0)])
             continue
         row = []
         for path, total in s.out:
@@ -348,8 +420,8 @@ def sample_batch(lat: PieceLattice, texts: list[str | None], keys: list[int], k:
     return done
 
 
-def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, ids: bool = True, arcs: int = 2_500_000) -> DataFrame:
-    """(doc_id, sample, n_pieces, log_prob, log_inclusion, ids_crc32, round_trip) per text and sample, and ids where asked for.
+def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, arcs: int = 2_500_000) -> DataFrame:
+    """(doc_id, sample, n_pieces, log_prob, log_inclusion, ids_crc32, round_trip, ids) per text and sample.
 
     arcs: how many lattice arcs of words each Python worker remembers, at about
     40 bytes each; fewer mean learning words again more often, with the same
@@ -373,11 +445,11 @@ def sampled_pieces(docs: DataFrame, model_file: str, k: int = 2, alpha: float =
                 for d, t, got in zip(part["doc_id"].tolist(), texts, sample_batch(lat, texts, part["key"].tolist(), k), strict=True):
                     want = t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
                     for i, (x, p, q) in enumerate(got):
-                        row = (d, i, len(x), p, q, zlib.crc32(x.astype("<u4").tobytes()), lat.decode(x) == want)
-                        rows.append((*row, x.astype(np.int32)) if ids else row)
-                cols = ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_crc32", "round_trip", *["ids"] * ids]
-                out = pd.DataFrame(rows, columns=cols)
-                yield out.astype({"doc_id": "Int64"}) if kind in ("bigint", "int") else out
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
-    return keyed.mapInPandas(run, f"doc_id {kind}, sample int, n_pieces long, log_prob double, log_inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids)
+                        x = np.ascontiguousarray(x, np.int32)
+                        rows.append((d, i, len(x), p, q, zlib.crc32(x), lat.decode(x) == want, x))
+                yield pd.DataFrame(rows, columns=["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_crc32", "round_trip", "ids"])
+
+    # an id travels as text: pandas would make floats of integers next to a null
+    keyed = docs.select(F.col("doc_id").cast("string"), "text", F.xxhash64("doc_id").alias("key"))
+    got = keyed.mapInPandas(run, "doc_id string, sample int, n_pieces long, log_prob double, log_inclusion double, ids_crc32 long, round_trip boolean, ids array<int>")
+    return got.withColumn("doc_id", F.col("doc_id").cast(kind))
