@@ -33,7 +33,7 @@ from waymesh.session import materialise, shared_dir
 
 EVERY = 128
 #: The pre-token pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -46,41 +46,58 @@ def _byte_chars() -> dict[int, str]:
 class TextEncoder:
     """Ids of texts by a tokenizer file of the tokenizers library.
 
-    Where the file is a plain byte-level BPE with its merges in id order, its
-    merges are run by tiktoken, which gives the same ids in a third of the
-    time; texts that hold an added token, and other files, go through the
-    tokenizers library.
+    Where the file is a plain byte-level BPE, a text is cut into pre-tokens
+    here, and the library's model encodes each different one once; a bounded
+    memory keeps their ids. Characters are tried with the library's own pre-tokens
+    before they are trusted. Texts with an added token or such a character, and
+    files of other kinds, go through the library whole.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, most: int = 400_000, longest: int = 64):
+        import regex
         import tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = tokenizers.Tokenizer.from_file(file)
         spec = json.loads(self.tok.to_str())
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.plain = self._plain(spec)
-
-    @staticmethod
-    def _plain(spec: dict):
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        if not (model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")):
-            return None
-        import tiktoken
-
-        back = {ord(c): b for b, c in _byte_chars().items()}
-        merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-        ids = [model["vocab"][m.replace(" ", "", 1)] for m in merged]
-        if ids != sorted(set(ids)):
-            return None
-        added = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(back[ord(c)] for c in t): i for t, i in model["vocab"].items() if t not in added}
-        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = model["type"] == "BPE" and not model.get("dropout") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.words = regex.compile(PATTERN).findall
+        self.known: dict[str, bytes] = {}
+        self.trusted: dict[str, bool] = {}
+        self.most, self.longest = most, longest
+        self.bytes = _byte_chars()
+
+    def _trust(self, c: str) -> bool:
+        """Whether the library cuts a text with this character as the pattern does."""
+        s = f"a{c}1{c}{c} {c}.{c}\n{c}"
+        return [s[i:j] for _, (i, j) in self.tok.pre_tokenizer.pre_tokenize_str(s)] == self.words(s)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.plain and not any(t in text for t in self.added):
-            return array("I", self.plain(text)).tobytes()
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.plain or any(t in text for t in self.added):
+            return self._whole(text)
+        for c in set(text).difference(self.trusted):
+            self.trusted[c] = self._trust(c)
+        if not text.isascii() and not all(map(self.trusted.__getitem__, set(text))):
+            return self._whole(text)
+        words = self.words(text)
+        new = list(set(words).difference(self.known))
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+                new = list(set(words))
+            tokenize, table = self.tok.model.tokenize, self.bytes
+            for w in new:
+                self.known[w] = array("I", [t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))]).tobytes()
+        out = b"".join(map(self.known.__getitem__, words))
+        for w in new:
+            if len(w) > self.longest:
+                del self.known[w]
+        return out
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -117,12 +134,11 @@ def widen(data: bytes) -> np.ndarray:
 
 
 def code_lengths(counts: np.ndarray, limit: int = 16) -> np.ndarray:
-    """Optimal code lengths of at most `limit` bits for positive counts, by package-merge."""
+    """Optimal code lengths of at most `limit` bits for positive counts, by package-merge; more symbols than codes of that length raise the limit to what they need."""
     n = len(counts)
     if n <= 1:
         return np.ones(n, np.int64)
-    if n > 1 << limit:
-        raise ValueError("too many symbols for this code length")
+    limit = max(limit, (n - 1).bit_length() + 1 if n > 1 << limit else limit)
     order = np.argsort(counts, kind="stable")
     w = counts[order].astype(np.float64)
     level, kinds = w, []
@@ -190,6 +206,8 @@ class Code:
         b = np.frombuffer(b"".join(d for d, _, _ in blocks) + b"\0" * 8, np.uint8).astype(np.uint32)
         pos, left = np.concatenate([np.zeros(0, np.int64), *begin]), np.concatenate([np.zeros(0, np.int64), *left]).astype(np.int64)
         pos = pos.astype(np.int64)
+        if self.width > 25:  # a window of 32 bits starts within a byte
+            raise ValueError("codes of more than 25 bits")
         words = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
         out = np.zeros((len(pos), EVERY), np.uint32)
         shift = 32 - self.width
@@ -249,14 +267,16 @@ def write_tokens(docs: DataFrame, path: str, file: str, end: int, block_ids: int
                 if held and (size >= block_ids or r != held[-1][1] + 1):  # full, or another part begins
                     done.append(block())
                     held, size = [], 0
-                held.append((None if d is None or d != d else d, r, widen(x)))
+                held.append((d, r, widen(x)))
                 size += len(held[-1][2])
             yield pd.DataFrame(done, columns=cols)
         if held:
             yield pd.DataFrame([block()], columns=cols)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids.select("doc_id", "row", "ids").mapInPandas(pack, f"part long, row long, doc_ids array<{kind}>, lengths array<int>, marks array<int>, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # an id travels as text: pandas would make floats of integers next to a null
+    packed_ids = ids.select(F.col("doc_id").cast("string"), "row", "ids").mapInPandas(pack, "part long, row long, doc_ids array<string>, lengths array<int>, marks array<int>, payload binary")
+    packed_ids.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>")).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
@@ -279,10 +299,10 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = True) -> DataFram
                     for k, d in enumerate(ds):
                         one = raw[at[k] : at[k + 1]]
                         rows.append((part, row, k, d, int(ns[k]), zlib.crc32(one) if digest else one))
-                out = pd.DataFrame(rows, columns=["part", "row", "nth", "doc_id", "n_tokens", last.split()[0]])
-                yield out.astype({"doc_id": "Int64"}) if kind in ("bigint", "int") else out
+                yield pd.DataFrame(rows, columns=["part", "row", "nth", "doc_id", "n_tokens", last.split()[0]])
 
-    return blocks.select("part", "row", "doc_ids", "lengths", "marks", "payload").mapInPandas(run, f"part long, row long, nth int, doc_id {kind}, n_tokens long, {last}")
+    named = blocks.select("part", "row", F.col("doc_ids").cast("array<string>"), "lengths", "marks", "payload")
+    return named.mapInPandas(run, f"part long, row long, nth int, doc_id string, n_tokens long, {last}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def token_index(docs: DataFrame, file: str, end: int = 2, path: str | None = None) -> DataFrame:
