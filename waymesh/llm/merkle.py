@@ -148,7 +148,8 @@ def merkle_nodes(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "level", "section", "paragraph", "hash"]).astype({"section": "Int32", "paragraph": "Int32"})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, level int, section int, paragraph int, hash string")
+    got = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, level int, section int, paragraph int, hash string")
+    return got.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def differing_branches(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -165,37 +166,50 @@ def _heads(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(marks or []), reverse=True)
 
 
+def _even(sizes: list[int], parts: int) -> list[int]:
+    """Which of about `parts` runs each of some sizes in a row belongs to, all runs about as large."""
+    out, run, full, share = [], 0, 0, sum(sizes) / max(parts, 1)
+    for n in sizes:
+        if full and full + n / 2 > share:
+            run, full = run + 1, 0
+        out.append(run)
+        full += n
+    return out
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text and next_text: the text of the next row by descending doc_id, the first one's after the last.
 
-    Ranges of doc_id are dealt to partitions; the row that heads a range is
-    also sent to the range before it, so no row waits for another partition.
-    Rows without a doc_id come last.
+    Ranges of doc_id, eight times as many as partitions, are put together to
+    partitions of about as many bytes each; the row that heads a partition is
+    also sent to the one before it, so no row waits for another partition. Rows
+    without a doc_id come last.
     """
     spark = docs.sparkSession
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    heads = _heads(docs, parts)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    heads = _heads(docs, 8 * parts)
     n = len(heads)
     bounds = F.array(*(F.lit(h) for h in heads)) if heads else F.array().cast("array<bigint>")
     # range r holds heads[r] >= doc_id > heads[r + 1]; ids above heads[0] (a rounded maximum) join range 0, nulls the last
     r = F.when(F.col("doc_id").isNull(), max(n - 1, 0)).otherwise(F.greatest(F.size(F.filter(bounds, lambda h: h >= F.col("doc_id"))) - 1, F.lit(0)))
-    placed = docs.select("*", r.cast("int").alias("range"))
-    # the first row of every range: that of its highest id, the smallest text at a tie
-    first = placed.groupBy("range").agg(F.max("doc_id").alias("top"), F.min(F.when(F.col("doc_id").isNull(), 1).otherwise(0)).alias("nulls")).collect()
-    tops = {x["range"]: x["top"] for x in first}
+    placed = docs.withColumn("range", r.cast("int"))
+    first = placed.groupBy("range").agg(F.max("doc_id").alias("top"), F.sum(F.octet_length("text") + 64).alias("bytes")).collect()  # one row per range
+    first.sort(key=lambda x: x["range"])
+    part_of = dict(zip([x["range"] for x in first], _even([x["bytes"] for x in first], parts), strict=True))
+    tops: dict[int, int | None] = {}
+    for x in first:
+        tops.setdefault(part_of[x["range"]], x["top"])
     order = sorted(tops)
-    before = {b: a for a, b in zip(order, order[1:], strict=False)}
-    if order:
-        before[order[0]] = order[-1]
-    # (range, top id) -> range that also needs it; one small map entry per range
-    send = F.create_map(*(F.lit(v) for k in order for v in (k, before[k]))) if order else F.create_map().cast("map<int,int>")
-    top = F.create_map(*(F.lit(v) for k in order for v in (k, tops[k]))).cast("map<int,bigint>") if order else F.create_map().cast("map<int,bigint>")
-    is_top = F.col("doc_id").eqNullSafe(F.element_at(top, F.col("range")))
-    own = F.struct(F.col("range"), F.lit(False).alias("ahead"))
-    ahead = F.struct(F.element_at(send, F.col("range")).alias("range"), F.lit(True).alias("ahead"))
-    dealt = placed.select("doc_id", "text", F.explode(F.when(is_top, F.array(own, ahead)).otherwise(F.array(own))).alias("p")).select("doc_id", "text", "p.range", "p.ahead")
-    ordered = dealt.repartition(max(n, 1), "range").sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), "text")
+    table = lambda pairs, kind: F.create_map(*(F.lit(v) for kv in pairs for v in kv)).cast(f"map<int,{kind}>") if order else F.create_map().cast(f"map<int,{kind}>")
+    part = F.element_at(table(part_of.items(), "int"), F.col("range"))
+    placed = placed.withColumn("part", part)
+    # (part, top id) -> part that also needs it; one small map entry per part
+    is_top = F.col("doc_id").eqNullSafe(F.element_at(table(tops.items(), "bigint"), F.col("part")))
+    send = F.element_at(table([(p, order[i - 1]) for i, p in enumerate(order)], "int"), F.col("part"))
+    own, ahead = F.struct("part", F.lit(False).alias("ahead")), F.struct(send.alias("part"), F.lit(True).alias("ahead"))
+    dealt = placed.select("doc_id", "text", F.explode(F.when(is_top, F.array(own, ahead)).otherwise(F.array(own))).alias("p")).select("doc_id", "text", "p.part", "p.ahead")
+    ordered = dealt.repartitionById(max(len(order), 1), "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "text")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, closed = None, None
@@ -205,11 +219,12 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 if held is not None and held[2] == row[2] and closed != row[2]:
                     rows.append((held[0], held[1], row[1]))
                 if row[3]:
-                    closed = row[2]  # the first row sent ahead ends its range; more are its repeats
+                    closed = row[2]  # the first row sent ahead ends its part; more are its repeats
                 held = row
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "next_text"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "next_text"])
 
-    return ordered.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(pair, "doc_id long, text string, next_text string")
+    # an id travels as text: pandas would make floats of integers next to a null
+    return ordered.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(pair, "doc_id string, text string, next_text string")
 
 
 def edited_likeness(docs: DataFrame, k: int = 96, parts: int | None = None) -> DataFrame:
@@ -227,6 +242,7 @@ def edited_likeness(docs: DataFrame, k: int = 96, parts: int | None = None) -> D
                 last = (nxt, tree(nxt))
                 edited = tree(e)
                 rows.append((d, len(t), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), _sketch(own, k), _sketch(edited, k), likeness(own, edited), likeness(own, last[1]), branches(own, edited)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "branches"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "branches"])
 
-    return with_next(docs, parts).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, branches array<string>")
+    got = with_next(docs, parts).mapInPandas(run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, branches array<string>")
+    return got.withColumn("doc_id", F.col("doc_id").cast("long"))
