@@ -1,20 +1,26 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Every page becomes a sequence of tags and text blocks, each with the path of
-open elements above it. A token is a path with a tag, or a path with a text.
-Tokens of one host that occur equally often on every page (the same occurrence
-vector) form an equivalence class; a class on at least half of the host's
-pages is part of its template, and classes nest by their paths. What the
-template leaves open are its slots, the places where text differs from page to
-page. A page's main text is what fills its slots, except slots inside menus,
-headers, footers, sidebars, notices, adverts, forms, comments and the like,
-which the elements and names on their path show; where a page marks its
-article, only slots within it count, and all their text does, repeated or not.
-
-Counting is by (host, token) with a combined hash of the occurrence vector,
-so neither pages nor hosts are gathered. Null html gives an empty text; a null
-or malformed url is a host of its own name; repeated rows give repeated
-results. A host with fewer than `least_pages` different pages has no template.
+Every page is parsed once into tag tokens (the paths of its elements) and text
+blocks. Tokens of one host that occur equally often on every page have one
+occurrence vector and form an equivalence class; a class of two tokens or more
+on at least `share` of the host's different pages is valid. Valid classes nest
+by the elements that their tags lie in, which gives the host's template. A text
+token is a path with its text; it can be in its path's class only if all of the
+path's blocks on a page say the same, so only such texts are counted. What the
+template's texts leave open are its slots: each block's slot is the nearest
+element above it that a valid class holds.
+
+A page's main text is what fills its slots, in page order, except slots inside
+menus, headers, footers, sidebars, notices, adverts, forms, comments and the
+like, which elements and names on their path show; where a page marks its
+article, only slots within it count. Marks choose among slots only; text of
+the template is main text nowhere.
+
+Counting is by (host, token), so neither pages nor hosts are gathered. Copies
+of one page count once. Null html gives an empty text; a null or malformed url
+is a host of its own name; repeated rows give repeated results. A host with
+fewer than `least_pages` different pages has no template. Parsing is one pass,
+linear in a page's length: a tag without an end swallows the rest.
 """
 
 from __future__ import annotations
@@ -30,14 +36,12 @@ from xxhash import xxh64_intdigest
 
 from waymesh.session import materialise
 
-_PART = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|select|canvas|audio|video|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>"
-    r"|<[!?/][^>]*>"
-    r"|<[a-zA-Z][^<>]*>",
-    re.S | re.I,
-)
+#: Elements whose whole content is no text.
+_RAW = frozenset("script style noscript template textarea svg math iframe object select canvas audio video title".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_TAG = re.compile(r"[a-zA-Z][\w:-]*")
+_STOP = re.compile(r"[>=]")
+_QUOTE = re.compile(r"\s*([\"'])")
 # The elements of HTML by what they mean here.
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -50,7 +54,7 @@ _NAME = re.compile(
 )
 _HEADER = re.compile(r"(?:^|[-_\s])headers?(?:$|[-_\s])", re.I)
 _ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu", re.I)
-_ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"(?<![\w:-])([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _CLOSES_P = _BLOCK - {"body", "html"}
 # What an element's start closes where the element itself was left open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -69,13 +73,43 @@ def _attributes(raw: str, article: bool) -> tuple[str, bool]:
     return name, off
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
-    """Text blocks in page order: (path of the block, marked as chrome, within an article, text)."""
+def _tag_end(page: str, at: int) -> int:
+    """Where a tag that is open at `at` ends (behind its >), quoted values skipped; -1 if nowhere."""
+    while True:
+        m = _STOP.search(page, at)
+        if m is None:
+            return -1
+        at = m.end()
+        if m.group() == ">":
+            return at
+        q = _QUOTE.match(page, at)
+        if q:
+            end = page.find(q.group(1), q.end())
+            at = end + 1 if end >= 0 else q.end()
+            if end < 0 and page.find(">", at) < 0:
+                return -1
+
+
+def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list]]:
+    """Text blocks in page order (path of the block, marked as chrome, within an article, text), and every element path with its parent's and how often it occurs."""
     page = page or ""
-    # tag, label, chrome (1: a form, which may wrap a whole page, 2: anything else), article
+    # tag, path, chrome (1: a form, which may wrap a whole page, 2: anything else), article
     stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
-    out, text, where = [], [], None
-    at = 0
+    out, text, where, tags = [], [], None, {}
+    at, size = 0, len(page)
+    # how many elements of each name are open, and how many inline ones since each open block
+    opened: dict[str, int] = {}
+    inline: list[dict[str, int]] = [{}]
+
+    def cut(i: int) -> None:
+        """Close the element at place i and all within it."""
+        while len(stack) > i:
+            name = stack.pop()[0]
+            opened[name] -= 1
+            if name in _BLOCK:
+                inline.pop()
+            else:
+                inline[-1][name] -= 1
 
     def flush() -> None:
         nonlocal where
@@ -83,7 +117,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
             s = "".join(text)
             s = " ".join((_html.unescape(s) if "&" in s else s).split())
             if s:
-                out.append(("/".join(x[1] for x in where if x[0] in _BLOCK), where[-1][2] > 0, where[-1][3], s))
+                out.append((where[1], where[2] > 0, where[3], s))
             text.clear()
         where = None
 
@@ -91,64 +125,103 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
         nonlocal where
         if s:
             if where is None and not s.isspace():
-                where = list(stack)
+                where = next(x for x in reversed(stack) if x[0] in _BLOCK or not x[0])[:2] + stack[-1][2:]
             text.append(s)
 
-    def close(tags: frozenset[str] | set[str], scope: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in scope:
-                return
+    def close(names: frozenset[str] | set[str], scope: frozenset[str]) -> None:
+        if any(opened.get(n) for n in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in names:
+                    return cut(i)
+                if stack[i][0] in scope:
+                    return None
+        return None
 
-    for m in _PART.finditer(page):
-        put(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            if m.group(1) or page.startswith("<!--", m.start()):
-                put("" if m.group(1) is None else " ")
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            put(page[at:])
+            break
+        put(page[at:lt])
+        nxt = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            put(" ")
+            at = end + 3 if end >= 0 else size
+            continue
+        if nxt in ("!", "?"):
+            end = page.find(">", lt)
+            at = end + 1 if end >= 0 else size
+            continue
+        end_tag = nxt == "/"
+        m = _TAG.match(page, lt + 1 + end_tag)
+        if m is None:  # no tag: a bare sign, or an end tag without a name
+            if end_tag:
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else size
+            else:
+                put("<")
+                at = lt + 1
             continue
-        tag, end = tag.lower(), bool(m.group(2))
-        if tag == "br" or tag == "wbr":
+        tag, at = m.group().lower(), _tag_end(page, m.end())
+        if at < 0:
+            break
+        raw = page[m.end() : at - 1]
+        if tag in ("br", "wbr"):
             put(" " if tag == "br" else "")
             continue
         block = tag in _BLOCK
         if block:
             flush()
-        if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if not block and stack[i][0] in _BLOCK:
-                    break  # an inline end tag doesn't close the block around it
+        if end_tag:
+            # an inline end tag doesn't close the block around it
+            if opened.get(tag) if block else inline[-1].get(tag):
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
+            continue
+        if tag in _RAW and not raw.endswith("/"):
+            m = _RAW_END[tag].search(page, at)
+            if m is None:
+                break
+            at = _tag_end(page, m.end())
+            if at < 0:
+                break
             continue
-        if tag in _VOID:
+        if tag in _VOID or tag in _RAW:
             continue
         if block:
-            for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends here, with what is open inside
-                if stack[i][0] == "p" and tag in _CLOSES_P:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+            if stack[-1][0] == "head":
+                cut(len(stack) - 1)  # a head may be left open
+            if tag in _CLOSES_P:
+                close({"p"}, _SCOPE)  # an open paragraph ends here, with what is open inside
             if tag in _CLOSES:
                 close(_CLOSES[tag], _SCOPE - _CLOSES[tag])
-        _, _, chrome, article = stack[-1]
-        name, off = _attributes(m.group(4), article) if m.group(4) else ("", False)
+        _, path, chrome, article = stack[-1]
+        name, off = _attributes(raw, article) if raw else ("", False)
         main = tag in ("article", "main")
         if main and chrome == 1:
             chrome = 0
-        if off and tag not in ("html", "body", "article", "main") or tag in _CHROME and tag != "form" and not (tag == "header" and article):
+        if off and tag not in ("html", "body", "article", "main") or tag in _CHROME and tag != "form" and not (tag == "header" and article) or tag == "head":
             chrome = 2
         elif tag == "form" and (article or not chrome):
             chrome = max(chrome, 2 if article else 1)
-        stack.append((tag, f"{tag}.{name}" if name else tag, chrome, (article or main) and not chrome))
-    put(page[at:])
+        if block:
+            parent, path = path, f"{path}/{tag}.{name}" if name else f"{path}/{tag}"
+            tags.setdefault(path, [parent, 0])[1] += 1
+            if len(stack) > 200:  # deeper elements share a path, which keeps paths short
+                path = parent
+        opened[tag] = opened.get(tag, 0) + 1
+        if block:
+            inline.append({})
+        else:
+            inline[-1][tag] = inline[-1].get(tag, 0) + 1
+        stack.append((tag, path, chrome, (article or main) and not chrome))
     flush()
-    return out
+    return out, tags
+
+
+def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
+    """The text blocks of parse()."""
+    return parse(page)[0]
 
 
 def _token(path: str, text: str = "") -> int:
@@ -162,54 +235,81 @@ def host(url: Column) -> Column:
     return F.when(got != "", got).otherwise(F.lower(F.coalesce(url, F.lit(""))))
 
 
+PARSED = "tags array<struct<path:bigint,parent:bigint,n:int>>, blocks array<struct<path:bigint,token:bigint,n:int,chrome:boolean,article:boolean,text:string>>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, page, tags, blocks) of every row; page: a hash of its html. A block's token is null unless all blocks of its path on the page say the same."""
+
+    @F.pandas_udf(PARSED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            tags, found = [], []
+            for page in b:
+                got, paths = parse(page)
+                texts: dict[str, list[str]] = {}
+                for path, _, _, s in got:
+                    texts.setdefault(path, []).append(s)
+                ids = {p: _token(p) for p in {*paths, *texts, *(q for q, _ in paths.values())}}
+                same = {p: _token(p, ss[0]) if len(set(ss)) == 1 else None for p, ss in texts.items()}
+                tags.append([{"path": ids[p], "parent": ids[q], "n": n} for p, (q, n) in paths.items()])
+                found.append([{"path": ids[p], "token": same[p], "n": len(texts[p]), "chrome": c, "article": a, "text": s} for p, c, a, s in got])
+            yield pd.DataFrame({"tags": tags, "blocks": found})
+
+    keyed = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("page"), run("html").alias("p"))
+    return keyed.select("page_id", "url", "host", "page", "p.tags", "p.blocks")
+
+
+def classes(parsed_pages: DataFrame, least_pages: int = 3, share: float = 0.5) -> DataFrame:
+    """(host, class, path, token, parent): the tokens of every valid class of each host; token is null for a tag, parent the path that a tag lies in.
+
+    Copies of a page count once, and a vector is a sum over different pages.
+    """
+    tags = parsed_pages.select("host", "page", F.explode("tags").alias("t")).select("host", "page", "t.path", F.lit(None).cast("long").alias("token"), "t.n", "t.parent")
+    said = parsed_pages.select("host", "page", F.explode("blocks").alias("b")).where("b.token is not null").select("host", "page", "b.path", "b.token", "b.n", F.lit(None).cast("long").alias("parent"))
+    once = tags.union(said).groupBy("host", "path", "token", "page").agg(F.max("n").alias("n"), F.min("parent").alias("parent"))
+    # two independent sums of 64 bits stand for the vector
+    mark = lambda k: F.sum(F.shiftright(F.xxhash64(F.lit(k), "page", "n"), 20)).alias(f"v{k}")
+    per = once.groupBy("host", "path", "token").agg(mark(1), mark(2), F.count("*").alias("pages"), F.min("parent").alias("parent"))
+    total = parsed_pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
+    valid = per.join(total, "host").where((F.col("all_pages") >= least_pages) & (F.col("pages") >= share * F.col("all_pages")) & (F.col("pages") >= least_pages))
+    # a path's texts join the class of its tag alone: a text that comes and goes with other tags is content
+    tag = valid.where("token is null").select("host", "path", "v1", "v2")
+    kept = valid.where("token is null").unionByName(valid.where("token is not null").join(tag, ["host", "path", "v1", "v2"], "left_semi").select(valid.columns))
+    named = kept.withColumn("class", F.xxhash64("v1", "v2")).select("host", "class", "path", "token", "parent")
+    several = named.groupBy("host", "class").agg(F.count("*").alias("c")).where("c > 1").select("host", "class")
+    return named.join(several, ["host", "class"], "left_semi")
+
+
 def templates(pages: DataFrame, least_pages: int = 3, share: float = 0.5) -> DataFrame:
-    """(host, tokens): hashes of the text tokens of each host's valid classes.
+    """(host, class, within, tags, texts): each host's template as nested classes.
 
-    A class is valid with at least two tokens on at least `share` of the
-    host's pages: a text is part of the template only together with the tag
-    token of its path, that is, where both have one occurrence vector.
+    within: the class that holds the element around the class's outermost tag,
+    null at the top; tags and texts: hashes of its tokens.
     """
+    return nested(materialise(classes(parsed(pages), least_pages, share), "classes"))
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for h, p, text in zip(b["host"], b["page"], b["html"], strict=True):
-                count: dict[tuple[str, str], int] = {}
-                for path, _, article, s in blocks(text):
-                    count[path, ""] = count.get((path, ""), 0) + 1
-                    if not article:  # an article's text is never template
-                        count[path, s] = count.get((path, s), 0) + 1
-                rows += [(h, p, _token(path), _token(path, s) if s else None, n) for (path, s), n in count.items()]
-            host, page, path, token, n = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pd.DataFrame({"host": host, "page": page, "path": path, "token": pd.array(token, "Int64"), "n": n})
-
-    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("page"), "html")
-    found = seen.mapInPandas(tokens, "host string, page long, path long, token long, n int")
-    keyed = found.select("host", "path", "token", F.xxhash64("page", "n").alias("mark"))
-    per = keyed.groupBy("host", "path", "token").agg(F.bit_xor("mark").alias("vector"), F.count("*").alias("pages"))
-    total = seen.groupBy("host").agg(F.approx_count_distinct("html", 0.02).alias("distinct_pages"), F.count("*").alias("all_pages"))
-    valid = per.join(total, "host").where((F.col("distinct_pages") >= least_pages) & (F.col("pages") >= share * F.col("all_pages")))
-    classes = valid.where("token is null").select("host", "path", "vector")
-    fixed = valid.where("token is not null").join(classes, ["host", "path", "vector"], "left_semi")
-    return fixed.groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+
+def nested(found: DataFrame) -> DataFrame:
+    """templates() of the table that classes() gives."""
+    tags = found.where("token is null")
+    own = tags.select("host", F.col("path").alias("parent"), F.col("class").alias("within"))
+    up = tags.join(own, ["host", "parent"], "left").where("within is null or within <> class").groupBy("host", "class").agg(F.min("within").alias("within"))
+    out = found.groupBy("host", "class").agg(F.array_sort(F.collect_set(F.when(F.col("token").isNull(), F.col("path")))).alias("tags"), F.array_sort(F.collect_set("token")).alias("texts"))
+    return out.join(up, ["host", "class"], "left").select("host", "class", "within", "tags", "texts")
 
 
 def main_text(pages: DataFrame, least_pages: int = 3, share: float = 0.5, broadcast_bytes: int = 16_000_000) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages."""
-    made = materialise(templates(pages, least_pages, share), "templates")
-    size = made.agg(F.coalesce(F.sum(F.size("tokens") * 8 + F.length("host") + 32), F.lit(0)).alias("n")).first()["n"]
-    keyed = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
-    joined = keyed.join(F.broadcast(made) if size <= broadcast_bytes else made, "host", "left")
-
-    @F.pandas_udf("string")
-    def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, fixed in batches:
-            out = []
-            for text, known in zip(page, fixed, strict=True):
-                got = blocks(text)
-                known = set() if known is None else set(known)
-                inside = any(a for _, _, a, _ in got)
-                out.append("\n\n".join(s for path, chrome, article, s in got if (article if inside else not chrome and (not known or _token(path, s) not in known))))
-            yield pd.Series(out)
-
-    return joined.select("page_id", "url", extract("html", "tokens").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    seen = materialise(parsed(pages), "pages")
+    template = nested(materialise(classes(seen, least_pages, share), "classes"))
+    fixed = materialise(template.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("texts"))).alias("fixed")), "templates")
+    size = fixed.agg(F.coalesce(F.sum(F.size("fixed") * 8 + F.length("host") + 32), F.lit(0)).alias("n")).first()["n"]
+    joined = seen.select("page_id", "url", "host", "blocks").join(F.broadcast(fixed) if size <= broadcast_bytes else fixed, "host", "left")
+    known = F.coalesce("fixed", F.array().cast("array<bigint>"))
+    slots = F.filter("blocks", lambda b: b["token"].isNull() | ~F.array_contains(known, b["token"]))
+    marked = F.exists("blocks", lambda b: b["article"])
+    chosen = F.filter("slots", lambda b: F.when(F.col("marked"), b["article"]).otherwise(~b["chrome"]))
+    out = joined.withColumns({"slots": slots, "marked": marked})
+    text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n")
+    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
