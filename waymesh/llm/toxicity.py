@@ -9,8 +9,12 @@ likelihood. Forward-backward marginals of a whole text give its toxic spans
 with their offsets, and a logistic of the marginals' sum, maximum and share
 gives its score.
 
+The fit sees a bounded sample of labelled rows; its chain is fitted on all toxic
+texts of it and `balance` times as many others, its document score on all.
+
 A null or empty text has the score of a text without a toxic token. Without
-labelled rows, or with one class only, every score is that class's share.
+labelled rows, or with one class only, every score is that class's share. Work
+is taken by characters, so memory does not grow with a batch of long texts.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.llm.labelled import fit_sample, held_out
+from waymesh.llm.labelled import by_size, fit_sample, held_out
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Tokens of one block of the scan over a text.
@@ -144,13 +148,18 @@ class ToxicField:
             return out
         open_ = False
         for w, p in zip(_TOKEN.finditer(text), m.tolist(), strict=True):
-            if p >= least:
-                out = [*out[:-1], (out[-1][0], w.end())] if open_ else [*out, (w.start(), w.end())]
+            if p >= least and open_:
+                out[-1] = (out[-1][0], w.end())
+            elif p >= least:
+                out.append((w.start(), w.end()))
             open_ = p >= least
         return out
 
-    def fit(self, texts: list[str], y: np.ndarray, rounds: int = 60) -> ToxicField:
-        """Fit clues, transitions and the document score to document labels."""
+    def fit(self, texts: list[str], y: np.ndarray, rounds: int = 60, balance: float = 1.0) -> ToxicField:
+        """Fit clues, transitions and the document score to document labels.
+
+        The chain sees all toxic texts and about `balance` times as many others.
+        """
         if not len(y) or y.min() == y.max():
             self.constant = float(y[0]) if len(y) else 0.0
             return self
@@ -162,9 +171,8 @@ class ToxicField:
         odds = {c: math.log((k + 0.1) / (n1 + 1)) - math.log((good[c] + 0.1) / (n0 + 1)) for c, k in bad.items() if k >= 3}
         telling = {c: o for c, o in odds.items() if o > 2.5}
         strong = {c for c, o in telling.items() if o > 3.5 and bad[c] >= 5}
-        # the fit sees all toxic texts and as many others
         other = np.flatnonzero(y == 0)
-        rows = [*np.flatnonzero(y == 1), *other[:: max(1, len(other) // max(int(n1), 1))]]
+        rows = [*np.flatnonzero(y == 1), *other[:: max(1, len(other) // max(int(balance * n1), 1))]]
         index = {c: i for i, c in enumerate(sorted(telling))}
         w = np.array([0.5 * telling[c] for c in sorted(telling)])
         seqs, lab, at, ids = [], [], [], []
@@ -221,10 +229,10 @@ def toxicity(text: Column, field: ToxicField) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             texts, score, spans = s.tolist(), [], []
-            for i in range(0, len(texts), 300):
-                p, m = field.scores(texts[i : i + 300])
+            for part in by_size(texts, rows=300):
+                p, m = field.scores(texts[part])
                 score.append(p)
-                spans += [[{"start": a, "end": b} for a, b in field.spans(t or "", v)] for t, v in zip(texts[i : i + 300], m, strict=True)]
+                spans += [[{"start": a, "end": b} for a, b in field.spans(t or "", v)] for t, v in zip(texts[part], m, strict=True)]
             yield pd.DataFrame({"score": np.concatenate(score) if score else np.zeros(0), "spans": spans})
 
     return run(text)
