@@ -1,7 +1,8 @@
 """Document quality by attention-based multiple-instance learning.
 
-A text is a bag of passages of `PASSAGE` words. A passage becomes a vector of
-surface statistics, an encoder turns it into a hidden vector, gated attention
+A text is a bag of passages of `PASSAGE` words. A passage is read as its words
+and neighbouring pairs of words, hashed to `BUCKETS` counts, next to statistics
+of its surface; an encoder turns that into a hidden vector, gated attention
 weighs the passages of a document, and the weighed sum is scored. Encoder,
 attention and scorer are learnt together from document labels on a bounded
 sample of labelled rows.
@@ -15,24 +16,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.llm.labelled import fit_sample, held_out
+from waymesh.llm.labelled import by_size, fit_sample, held_out
 
 PASSAGE = 128
 _MARKS = "!?.,;:|#$%&*@/=<>\"'()[]{}-_"
-N_FEATURES = 18 + len(_MARKS)
+N_SURFACE = 18 + len(_MARKS)
+#: Buckets of words, and of pairs of words.
+BUCKETS = 128
+N_FEATURES = N_SURFACE + 2 * BUCKETS
 
 
 def passage_vector(words: list[str]) -> list[float]:
     """Surface statistics of one passage."""
     n = len(words)
     if not n:
-        return [0.0] * N_FEATURES
+        return [0.0] * N_SURFACE
     s = " ".join(words)
     m = len(s)
     lens = list(map(len, words))
@@ -72,10 +77,34 @@ def passage_vector(words: list[str]) -> list[float]:
     return base + [math.log1p(100 * s.count(c) / m) for c in _MARKS]
 
 
-def bag(text: str | None) -> list[list[float]]:
-    """The passage vectors of a text."""
+class _Buckets(dict):
+    """Bucket of each word seen; a bounded memory that starts again when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        h = self[word] = crc32(word.lower().encode("utf-8", "surrogatepass"))
+        return h
+
+
+_HASH = _Buckets()
+
+
+def bag(text: str | None) -> np.ndarray:
+    """The passage vectors of a text: surface statistics, then square roots of the shares of hashed words and of hashed pairs."""
     words = (text or "").split()
-    return [passage_vector(words[i : i + PASSAGE]) for i in range(0, max(len(words), 1), PASSAGE)]
+    out = np.zeros((max(-(-len(words) // PASSAGE), 1), N_FEATURES), np.float32)
+    if words:
+        h = np.fromiter(map(_HASH.__getitem__, words), np.int64, len(words))
+        at = np.arange(len(words)) // PASSAGE
+        n = np.bincount(at)[:, None]
+        one = np.bincount(at * BUCKETS + h % BUCKETS, minlength=len(out) * BUCKETS).reshape(-1, BUCKETS)
+        pair = (h[:-1] * 31 + h[1:]) % 1_000_003 % BUCKETS
+        two = np.bincount(at[:-1] * BUCKETS + pair, minlength=len(out) * BUCKETS).reshape(-1, BUCKETS)
+        out[:, N_SURFACE : N_SURFACE + BUCKETS], out[:, N_SURFACE + BUCKETS :] = np.sqrt(one / n), np.sqrt(two / n)
+    for i in range(len(out)):
+        out[i, :N_SURFACE] = passage_vector(words[i * PASSAGE : (i + 1) * PASSAGE])
+    return out
 
 
 class AttentionModel:
@@ -105,7 +134,20 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, starts)
         return {"doc": doc, "h": h, "t": t, "s": s, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))}
 
-    def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.03, decay: float = 1e-4) -> AttentionModel:
+    def gradient(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss, by parameter."""
+        p, f = self.p, self._forward(x, starts)
+        h, t, s, a, doc = f["h"], f["t"], f["s"], f["a"], f["doc"]
+        dy = (f["y"] - y) / len(y)
+        dz = np.outer(dy, p["c"])[doc]
+        da = (dz * h).sum(1)
+        de = a * (da - np.add.reduceat(a * da, starts)[doc])
+        dg = np.outer(de, p["w"])
+        dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
+        dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
+
+    def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.03, decay: float = 1e-3) -> AttentionModel:
         """Full-batch Adam on the mean logistic loss."""
         if not len(y) or y.min() == y.max():
             self.constant = float(y[0]) if len(y) else 0.5
@@ -115,16 +157,7 @@ class AttentionModel:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, rounds + 1):
-            p, f = self.p, self._forward(x, starts)
-            h, t, s, a, doc = f["h"], f["t"], f["s"], f["a"], f["doc"]
-            dy = (f["y"] - y) / len(y)
-            dz = np.outer(dy, p["c"])[doc]
-            da = (dz * h).sum(1)
-            de = a * (da - np.add.reduceat(a * da, starts)[doc])
-            dg = np.outer(de, p["w"])
-            dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
+            p, grad = self.p, self.gradient(x, starts, y)
             for k, g in grad.items():
                 g = g + decay * p[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -132,7 +165,7 @@ class AttentionModel:
                 p[k] = p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def score(self, bags: list[list[list[float]]]) -> np.ndarray:
+    def score(self, bags: list[np.ndarray]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(bags), self.constant)
         if not bags:
@@ -141,11 +174,10 @@ class AttentionModel:
         return self._forward(np.clip((x - self.mean) / self.scale, -8, 8), starts)["y"]
 
 
-def stack(bags: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+def stack(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Bags as one matrix and the first row of each."""
     sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-    x = np.array([v for b in bags for v in b], np.float64).reshape(-1, N_FEATURES)
-    return x, np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+    return np.concatenate(bags).astype(np.float64), np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int = 3, remainder: int = 1, most: int = 3000) -> AttentionModel:
@@ -154,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", mod
     @F.pandas_udf("array<float>")
     def bags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([np.array(bag(t), np.float32).ravel() for t in s])
+            yield pd.Series([bag(t).ravel() for t in s])
 
     rows = fit_sample(docs, labels, target, mod, remainder, most).select("doc_id", "y", bags("text").alias("x")).toPandas().sort_values(["doc_id", "y"], kind="stable")
     got = [np.asarray(v, np.float64).reshape(-1, N_FEATURES) for v in rows["x"]]
@@ -171,7 +203,7 @@ def quality_score(text: Column, model: AttentionModel) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = s.tolist()
-            yield pd.Series(np.concatenate([model.score([bag(t) for t in texts[i : i + 500]]) for i in range(0, len(texts), 500)]) if texts else np.zeros(0))
+            yield pd.Series(np.concatenate([np.zeros(0), *(model.score([bag(t) for t in texts[part]]) for part in by_size(texts))]))
 
     return run(text)
 
