@@ -34,11 +34,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document."""
+    """Toxicity of every document and the offsets of its toxic spans, as "start-end" in code points."""
     from waymesh.llm.toxicity import score_toxicity
 
     out = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mod=4, remainder=2, threshold=0.3)
-    return out.withColumn("n_spans", F.size("spans")).drop("spans")
+    offsets = F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return out.withColumn("n_spans", F.size("spans")).withColumn("spans", F.array_join(offsets, ","))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, encoded and decoded."""
     from waymesh.llm.piece_sampling import sampled_pieces
 
-    return sampled_pieces(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2, ids=False, arcs=8_000_000)
+    return sampled_pieces(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2, arcs=8_000_000)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
