@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 METRES = 111111.0
 LAT0, LON0 = 41.0, -71.0
+#: Width of a degree of longitude at the anchor.
+COS0 = math.cos(math.radians(LAT0))
 
 
 def _c(x) -> Column:
@@ -30,15 +32,13 @@ def geo_to_pixel(lon, lat, a, c, e, f, size: int = 1300) -> tuple[Column, Column
 
 
 def rowcol_to_latlon(row, col) -> tuple[Column, Column]:
-    """Latitude falls with the row; longitude grows with the column at that latitude's width."""
-    lat = F.lit(LAT0) - _c(row) / METRES
-    return lat, F.lit(LON0) + _c(col) / METRES / F.cos(F.radians(lat))
+    """Latitude falls with the row; longitude grows with the column at the anchor's width."""
+    return F.lit(LAT0) - _c(row) / METRES, F.lit(LON0) + _c(col) / METRES / COS0
 
 
 def xy_to_latlon(x, y) -> tuple[Column, Column]:
     """The other convention: x drives latitude, y longitude."""
-    lat = F.lit(LAT0) - _c(x) / METRES
-    return lat, F.lit(LON0) + _c(y) / METRES / F.cos(F.radians(lat))
+    return F.lit(LAT0) - _c(x) / METRES, F.lit(LON0) + _c(y) / METRES / COS0
 
 
 def deg_distance(lat1, lon1, lat2, lon2) -> Column:
@@ -83,10 +83,11 @@ def angle_distance(ax, ay, bx, by) -> Column:
 
 
 def in_bounds(lat, lon, region: float, margin: float) -> Column:
-    """Whether a position is within the square region, `margin` metres off its sides."""
-    down = (F.lit(LAT0) - _c(lat)) * METRES
-    right = (_c(lon) - LON0) * METRES * F.cos(F.radians(_c(lat)))
-    return down.between(margin, region - margin) & right.between(margin, region - margin)
+    """Whether a position is inside the square region, more than `margin` metres off its sides, longitude at the anchor's width."""
+    low, left = LAT0 - region / METRES, LON0
+    right, edge = LON0 + region / METRES / COS0, margin / METRES
+    inside_lat = (_c(lat) > low + edge) & (_c(lat) < LAT0 - edge)
+    return inside_lat & (_c(lon) > left + edge / COS0) & (_c(lon) < right - edge / COS0)
 
 
 def grid_key(lat, lon, cell: float = 2.0) -> tuple[Column, Column]:
@@ -108,7 +109,7 @@ def angle_deg(sin, cos) -> Column:
 def vector_angle(ax, ay, bx, by, eps: float = 1e-8) -> Column:
     """Angle in degrees between two vectors, its cosine clipped."""
     ax, ay, bx, by = (_c(v).cast("double") for v in (ax, ay, bx, by))
-    c = (ax * bx + ay * by) / (F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by) + eps)
+    c = (ax * bx + ay * by) / F.greatest(F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by), F.lit(eps))
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
 
 
@@ -163,10 +164,10 @@ def ray_segment(ox, oy, dx, dy, ax, ay, bx, by) -> tuple[Column, Column, Column]
 
 
 def window_index(lat, lon, min_lat, min_lon, max_lat, max_lon, size_x: int, size_y: int) -> tuple[Column, Column]:
-    """Raster index of a position in a window, truncating; rows go down from max_lat."""
+    """(row, column) of a position in a window of size_x rows and size_y columns: size_x less the truncated step count from min_lat, and the truncated one from min_lon."""
     return (
-        ((_c(max_lat) - _c(lat)) / (_c(max_lat) - _c(min_lat)) * size_y).cast("int"),
-        ((_c(lon) - _c(min_lon)) / (_c(max_lon) - _c(min_lon)) * size_x).cast("int"),
+        F.lit(size_x) - ((_c(lat) - _c(min_lat)) / ((_c(max_lat) - _c(min_lat)) / size_x)).cast("int"),
+        ((_c(lon) - _c(min_lon)) / ((_c(max_lon) - _c(min_lon)) / size_y)).cast("int"),
     )
 
 
@@ -190,11 +191,16 @@ def step_vector(x1, y1, x2, y2) -> tuple[Column, Column]:
     return (_c(y2) - _c(y1)) / n, (_c(x2) - _c(x1)) / n
 
 
-def pair_cost(dist, angle_sum, line_sum, d1, d2, angle_range=(60.0, 40.0), line_range=(20.0, 60.0), loc_range=(30.0, 448.0), scale=(1.0, 2.0), reject: float = 1000.0) -> Column:
-    """Cost of joining two directions: `reject` beyond the interpolated angle or line limit."""
+def pair_cost(dist, angle_sum, line_sum, angle_range=(44.99, 45.0), line_range=(70.0, 140.0), loc_range=(0.0, 448.0), scale=(0.0, 1.0), scale_range=(0.0, 448.0), reject: float = 1000.0) -> Column:
+    """Cost of joining two directions: the sum of their line distances, scaled by the keypoints' distance; `reject` at or beyond the interpolated angle or line limit."""
     near, far = loc_range
     bad = (_c(angle_sum) >= lerp_clamped(dist, near, far, *angle_range)) | (_c(line_sum) >= lerp_clamped(dist, near, far, *line_range))
-    return F.when(bad, reject).otherwise((_c(d1) + _c(d2)) * lerp_clamped(dist, near, far, *scale))
+    return F.when(bad, reject).otherwise(_c(line_sum) * lerp_clamped(dist, *scale_range, *scale))
+
+
+def designed_distance(dist, vector_gap, size: float) -> Column:
+    """100 times the distance of two keypoints over the shorter image side, times the least length of the sum of two of their directions."""
+    return 100 * _c(dist) / size * _c(vector_gap)
 
 
 def line_pixels(x1, y1, x2, y2) -> Column:

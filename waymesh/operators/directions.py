@@ -7,29 +7,49 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymesh.functions.geo import angle_deg
-
 SECTORS = 6
 
 
 def _subsets(spark: SparkSession) -> DataFrame:
-    """The 63 non-empty subsets of the six sectors: k, subset (sorted sectors)."""
+    """The 63 non-empty subsets of the six sectors: _n, subset (sorted sectors)."""
     rows = [(k, list(c)) for k in range(1, SECTORS + 1) for c in itertools.combinations(range(SECTORS), k)]
-    return spark.createDataFrame(rows, "k int, subset array<int>")
+    return spark.createDataFrame(rows, "_n int, subset array<int>")
+
+
+def _six_of(angles: Column) -> Column:
+    """struct(cost, subset, a): six of more than six sorted angles for the six sectors at least cost, the smallest six at a tie.
+
+    Angle by angle, the best way to fill the first k sectors is kept for every k.
+    """
+    empty = F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<double>").alias("a"))
+    none = F.struct(F.lit(float("inf")).alias("cost"), F.array().cast("array<double>").alias("a"))
+
+    def step(best: Column, x: Column) -> Column:
+        def fill(k: int) -> Column:
+            before = best[k - 1]
+            return F.least(best[k], F.struct((before["cost"] + F.abs(x - (60 * k - 30))).alias("cost"), F.concat(before["a"], F.array(x)).alias("a")))
+
+        return F.array(empty, *(fill(k) for k in range(1, SECTORS + 1)))
+
+    full = F.element_at(F.aggregate(F.transform(angles, lambda x: x.cast("double")), F.array(empty, *[none] * SECTORS), step), -1)
+    return F.struct(full["cost"].alias("cost"), F.array(*(F.lit(k) for k in range(SECTORS))).alias("subset"), full["a"].alias("a"))
 
 
 def allocate(dirs: DataFrame, keys: list[str], angle: str = "deg") -> DataFrame:
-    """(keys, deg, sector): up to six angles per key to sectors with middles 30, 90, ..., 330, least total |angle - middle|.
+    """(keys, deg, sector): angles of a key to sectors with middles 30, 90, ..., 330, least total |angle - middle|.
 
     Costs on a line keep order, so the sorted angles meet each subset of
     sectors in order; the smallest subset wins a tie. Of more than six angles
-    the six smallest are taken.
+    the six that fit best are taken, whatever their number.
     """
-    angles = dirs.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(angle)), 1, SECTORS).alias("a"))
-    fit = angles.join(F.broadcast(_subsets(dirs.sparkSession)), F.size("a") == F.col("k"))
+    kind = dirs.schema[angle].dataType.simpleString()
+    angles = dirs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(angle).cast("double"))).alias("a"))
+    fit = angles.where(F.size("a") <= SECTORS).join(F.broadcast(_subsets(dirs.sparkSession)), F.size("a") == F.col("_n"))
     cost = F.aggregate(F.arrays_zip(F.col("a").alias("a"), F.col("subset").alias("s")), F.lit(0.0), lambda acc, z: acc + F.abs(z["a"] - (z["s"] * 60 + 30)))
     best = fit.groupBy(*keys).agg(F.min(F.struct(cost.alias("cost"), F.col("subset"), F.col("a"))).alias("m"))
-    return best.select(*keys, F.explode(F.arrays_zip(F.col("m.a").alias("deg"), F.col("m.subset").alias("sector"))).alias("z")).select(*keys, "z.deg", "z.sector")
+    best = best.unionByName(angles.where(F.size("a") > SECTORS).select(*keys, _six_of(F.col("a")).alias("m")))
+    out = best.select(*keys, F.explode(F.arrays_zip(F.col("m.a").alias("deg"), F.col("m.subset").alias("sector"))).alias("z"))
+    return out.select(*keys, F.col("z.deg").cast(kind).alias("deg"), "z.sector")
 
 
 def in_order(dirs: DataFrame, keys: list[str], angle: str = "deg") -> DataFrame:
@@ -57,15 +77,45 @@ def flip(dirs: DataFrame, w: int, h: int, horizontal: bool) -> DataFrame:
 
 
 def rotate(dirs: DataFrame, n: int, turns: int) -> DataFrame:
-    """Keypoints and angles of n x n patches turned by quarter turns."""
+    """Keypoints and angles of n x n patches turned clockwise by quarter turns."""
     for _ in range(turns % 4):
-        dirs = dirs.withColumns({"x": F.col("y"), "y": n - 1 - F.col("x"), "deg": F.pmod(F.col("deg") + 270, F.lit(360))})
+        dirs = dirs.withColumns({"x": n - 1 - F.col("y"), "y": F.col("x"), "deg": F.pmod(F.col("deg") + 90, F.lit(360))})
     return dirs
 
 
-def coin(seed: int, share: float, *keys: str) -> Column:
+def draw(seed: int, n: int, *keys: str | Column) -> Column:
+    """A seeded number of 0 .. n - 1 per key."""
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n).cast("long")).cast("int")
+
+
+def coin(seed: int, share: float, *keys: str | Column) -> Column:
     """Seeded choice per key: true for about `share` of them."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 20)) < int(share * (1 << 20))
+    return draw(seed, 1 << 20, *keys) < int(share * (1 << 20))
+
+
+def _slotted(dirs: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """Directions (keys, x, y, dir_idx, deg) sorted into slots anew, with their keypoints' places."""
+    place = dirs.groupBy(*keys).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    return reslot(dirs, keys, mode).join(place, keys).select(*keys, "x", "y", F.col("sector").cast("int").alias("dir_idx"), "deg")
+
+
+def random_flip(dirs: DataFrame, keys: list[str], image: list[str], w: int, h: int, seed: int, share_horizontal: float = 0.5, share_vertical: float = 0.5, mode: str = "allocate") -> DataFrame:
+    """Directions (keys, x, y, dir_idx, deg) of patches mirrored by a seeded coin of each image (and epoch, if that is part of `image`), slots sorted anew."""
+    for name, share, horizontal in (("h", share_horizontal, True), ("v", share_vertical, False)):
+        hit = coin(seed, share, F.lit(name), *image)
+        cols = [*keys, "x", "y", "dir_idx", "deg"]
+        moved = _slotted(flip(dirs.where(hit), w, h, horizontal), keys, mode).select(cols)
+        dirs = dirs.where(~hit).select(cols).union(moved)
+    return dirs
+
+
+def random_rotate(dirs: DataFrame, keys: list[str], image: list[str], n: int, seed: int, mode: str = "allocate") -> DataFrame:
+    """Directions (keys, x, y, dir_idx, deg) of n x n patches turned by a seeded 0 to 3 quarter turns of each image, slots sorted anew where turned."""
+    cols, turn = [*keys, "x", "y", "dir_idx", "deg"], draw(seed, 4, F.lit("turn"), *image)
+    out = dirs.where(turn == 0).select(cols)
+    for k in (1, 2, 3):
+        out = out.union(_slotted(rotate(dirs.where(turn == k), n, k), keys, mode).select(cols))
+    return out
 
 
 def normalise(dirs: DataFrame, threshold: float) -> DataFrame:
@@ -76,33 +126,46 @@ def normalise(dirs: DataFrame, threshold: float) -> DataFrame:
 
 
 def clean(slots: Column, degrees: float) -> Column:
-    """Array of (prob, sin, cos) in which each slot in turn claims later ones that point nearly its way, the likeliest staying.
+    """Array of (prob, sin, cos) slots in which directions that point nearly the same way keep the likeliest one only.
 
-    Likeness is the cosine of the three-vectors.
+    Each live slot in turn, claimed itself or not, claims the others that none
+    has claimed and whose three-vector's cosine with its own reaches that of
+    `degrees`. Then in each of these groups, in turn, the first slot of the
+    largest probability left keeps it and the others' becomes 0; places, sines
+    and cosines stay.
     """
-    limit = F.cos(F.radians(F.lit(degrees)))
+    limit = F.cos(F.radians(F.lit(float(degrees))))
+    places = F.sequence(F.lit(0), F.size(slots) - 1)
 
     def norm(d: Column) -> Column:
         return F.sqrt(d["prob"] ** 2 + d["sin"] ** 2 + d["cos"] ** 2)
 
     def alike(a: Column, b: Column) -> Column:
-        return (a["prob"] * b["prob"] + a["sin"] * b["sin"] + a["cos"] * b["cos"]) >= limit * norm(a) * norm(b)
+        return (a["prob"] * b["prob"] + a["sin"] * b["sin"] + a["cos"] * b["cos"]) / (norm(a) * norm(b)) >= limit
+
+    live = F.filter(places, lambda i: F.get(slots, i)["prob"] > 0)
 
-    def step(acc: Column, d: Column) -> Column:
-        hit = F.exists(acc, lambda e: alike(e["head"], d))
-        grown = F.transform(
-            acc,
-            lambda e, i: F.when(
-                (i == F.array_position(F.transform(acc, lambda z: alike(z["head"], d)), True) - 1) & (d["prob"] > e["best"]["prob"]),
-                F.struct(e["head"].alias("head"), d.alias("best")),
-            ).otherwise(e),
-        )
-        return F.when(hit, grown).otherwise(F.concat(acc, F.array(F.struct(d.alias("head"), d.alias("best")))))
+    def claim(acc: Column, i: Column) -> Column:
+        mine = F.filter(live, lambda j: (j != i) & ~F.array_contains(acc["done"], j) & alike(F.get(slots, i), F.get(slots, j)))
+        group = F.concat(F.array(i), mine)
+        return F.struct(F.concat(acc["done"], group).alias("done"), F.concat(acc["groups"], F.array(group)).alias("groups"))
 
-    one = "struct<prob:double,sin:double,cos:double>"
-    live = F.filter(slots, lambda d: d["prob"] > 0)
-    start = F.array().cast(f"array<struct<head:{one},best:{one}>>")
-    return F.transform(F.aggregate(live, start, step), lambda e: e["best"])
+    start = F.struct(F.array().cast("array<int>").alias("done"), F.array().cast("array<array<int>>").alias("groups"))
+    groups = F.aggregate(live, start, claim)["groups"]
+
+    def settle(probs: Column, group: Column) -> Column:
+        top = F.array_max(F.transform(group, lambda j: F.get(probs, j)))
+        best = F.get(F.filter(group, lambda j: F.get(probs, j) == top), F.lit(0))
+        return F.transform(probs, lambda p, j: F.when(F.array_contains(group, j) & (j != best), 0.0).otherwise(p))
+
+    probs = F.aggregate(groups, F.transform(slots, lambda d: d["prob"]), settle)
+    return F.when(F.size(slots) > 0, F.transform(F.arrays_zip(slots.alias("d"), probs.alias("p")), lambda z: F.struct(z["p"].alias("prob"), z["d"]["sin"].alias("sin"), z["d"]["cos"].alias("cos")))).otherwise(slots)
+
+
+def clean_border(slots: Column, x: Column, y: Column, w: int, h: int, degrees: float = 15.0, band: int = 20) -> Column:
+    """clean for keypoints less than `band` from a side of the patch; others stay."""
+    inner = x.between(band, w - band) & y.between(band, h - band)
+    return F.when(~inner & (x >= 0) & (y >= 0), clean(slots, degrees)).otherwise(slots)
 
 
 def pack(dirs: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,9 +181,9 @@ def unpack(packed: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*keys, F.explode(F.filter(pairs, lambda p: p["sin"].isNotNull())).alias("p")).select(*keys, "p.*")
 
 
-def shift_border(kp: DataFrame, radius: int, w: int, h: int, seed: int) -> DataFrame:
+def shift_border(kp: DataFrame, radius: int, w: int, h: int, seed: int, keys: tuple[str, ...] = ("patch_id", "kp_seq")) -> DataFrame:
     """Keypoints exactly on the border moved inward by a seeded 1..radius pixels."""
-    by = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "patch_id", "kp_seq"), F.lit(radius)).cast("int") + 1
+    by = lambda n: draw(seed, radius, F.lit(n), *keys) + 1
 
     def move(c: str, last: int) -> Column:
         return F.when(F.col(c) == 0, by(c)).when(F.col(c) == last, last - by(c)).otherwise(F.col(c))
@@ -131,6 +194,3 @@ def shift_border(kp: DataFrame, radius: int, w: int, h: int, seed: int) -> DataF
 def with_vectors(dirs: DataFrame) -> DataFrame:
     """dirs with sin and cos of deg."""
     return dirs.withColumns({"sin": F.sin(F.radians("deg")), "cos": F.cos(F.radians("deg"))})
-
-
-__all__ = ["allocate", "angle_deg", "clean", "coin", "flip", "in_order", "normalise", "pack", "reslot", "rotate", "shift_border", "unpack", "with_vectors", "without_order"]

@@ -33,8 +33,9 @@ def canonical(edges: DataFrame) -> DataFrame:
 
 
 def edges_from_vertices(vertices: DataFrame) -> DataFrame:
-    """Edges between consecutive vertices of roads (image_id, road_id, seq, x, y)."""
-    w = Window.partitionBy("road_id").orderBy("seq")
+    """Edges between consecutive vertices of roads (image_id, road_id[, part], seq, x, y); roads are numbered within their image."""
+    keys = [G, "road_id", *(["part"] if "part" in vertices.columns else [])]
+    w = Window.partitionBy(*keys).orderBy("seq")
     nxt = vertices.select(G, F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
     return canonical(nxt.where("x2 is not null"))
 
@@ -57,6 +58,13 @@ def from_adjacency(adjacency: DataFrame) -> DataFrame:
     return _xy(e.where("a <> b").select(G, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def edges_from_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges of links (image_id, i, j) between nodes (image_id, node_id, x, y); of each pair the link with i < j counts."""
+    p = nodes.select(G, "node_id", "x", "y")
+    up = links.where("i < j").distinct()
+    return canonical(up.join(p.toDF(G, "i", "x1", "y1"), [G, "i"]).join(p.toDF(G, "j", "x2", "y2"), [G, "j"]))
+
+
 def to_node_edge(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (image_id, node_id, x, y, lat, lon) numbered in (x, y) order, and edges (image_id, n1, n2)."""
     nodes = edges.select(G, F.col("x1").alias("x"), F.col("y1").alias("y")).union(edges.select(G, "x2", "y2")).distinct()
@@ -88,22 +96,32 @@ def drop_small_components(edges: DataFrame, length: float) -> DataFrame:
     return _xy(named.join(small, [G, "component"], "left_anti"))
 
 
-def _groups(near: DataFrame) -> DataFrame:
-    """(image_id, old, new): first-come-first-served clusters of pairs near(image_id, a, b), a before b, and their rounded centres."""
-    ids = near.select(G, F.col("a").alias("id")).union(near.select(G, F.col("b").alias("id"))).distinct()
-    taken = iterate.ordered_greedy(ids, near, G)
+def _clusters(near: DataFrame) -> DataFrame:
+    """(image_id, old, head): first-come-first-served clusters of pairs near(image_id, a, b), a before b; a node that stays alone is absent."""
+    ids = near.select(G, F.explode(F.array("a", "b")).alias("id")).distinct()
+    taken = iterate.cut(iterate.ordered_greedy(ids, near, G))
     heads = taken.where("taken").select(G, F.col("id").alias("a"))
     member = near.join(heads, [G, "a"]).join(taken.where("not taken").select(G, F.col("id").alias("b")), [G, "b"]).groupBy(G, F.col("b").alias("old")).agg(F.min("a").alias("head"))
-    head = member.select(G, F.col("head").alias("old"), "head").distinct()
-    every = member.union(head)
+    return member.union(member.select(G, F.col("head").alias("old"), "head").distinct())
+
+
+def _groups(near: DataFrame) -> DataFrame:
+    """(image_id, old, new): clusters of pairs and their rounded centres."""
+    every = iterate.cut(_clusters(near))
     mid = every.groupBy(G, "head").agg(F.struct(F.rint(F.avg("old.x")).cast("int").alias("x"), F.rint(F.avg("old.y")).cast("int").alias("y")).alias("new"))
     return every.join(mid, [G, "head"]).select(G, "old", "new")
 
 
+def _merged(edges: DataFrame, near: DataFrame) -> DataFrame:
+    """Edges (image_id, a, b) with the clusters of near pairs merged; as they are where there is no pair."""
+    near = iterate.cut(near)
+    return edges if near.isEmpty() else iterate.quotient(edges, _groups(near), G)
+
+
 def merge_close(edges: DataFrame, d: float) -> DataFrame:
     """Nodes joined by an edge of at most d merge into rounded centres, in (x, y) order."""
     ab = _ab(edges)
-    return _xy(iterate.quotient(ab, _groups(ab.where(_length() <= d)), G))
+    return _xy(_merged(ab, ab.where(_length() <= d)))
 
 
 def _near_nodes(nodes: DataFrame, r: float) -> DataFrame:
@@ -113,19 +131,55 @@ def _near_nodes(nodes: DataFrame, r: float) -> DataFrame:
 
 
 def connect_ends(edges: DataFrame, w: int, h: int, r: float = 30, border: int = 20) -> DataFrame:
-    """Ends of roads off the image border that are at most r apart merge into rounded centres."""
+    """Ends of roads more than `border` off the image's sides that are at most r apart merge into rounded centres."""
     ab = _ab(edges)
-    ends = iterate.degree(ab, G).where("degree = 1").where(F.col("node.x").between(border, w - border) & F.col("node.y").between(border, h - border))
-    return _xy(iterate.quotient(ab, _groups(_near_nodes(ends, r)), G))
+    x, y = F.col("node.x"), F.col("node.y")
+    ends = iterate.degree(ab, G).where("degree = 1").where((x > border) & (y > border) & (x < w - border) & (y < h - border))
+    return _xy(_merged(ab, _near_nodes(ends, r)))
 
 
 def merge_at_seams(edges: DataFrame, seams: DataFrame, buffer: float, r: float) -> DataFrame:
-    """Nodes within buffer of a seam(image_id, vertical, at) that are at most r apart merge into rounded centres."""
+    """Nodes within buffer of a seam that are at most r apart merge into rounded centres.
+
+    seams: (image_id, vertical, at) and, for seams that don't cross the image, lo and hi.
+    """
     ab = _ab(edges)
     nodes = ab.select(G, F.explode(F.array("a", "b")).alias("node")).distinct()
-    at = F.when(F.col("vertical"), F.col("node.x")).otherwise(F.col("node.y"))
-    near = nodes.join(seams, G).where(F.abs(at - F.col("at")) <= buffer).select(G, "node").distinct()
-    return _xy(iterate.quotient(ab, _groups(_near_nodes(near, r)), G))
+    across, along = F.when(F.col("vertical"), F.col("node.x")).otherwise(F.col("node.y")), F.when(F.col("vertical"), F.col("node.y")).otherwise(F.col("node.x"))
+    hit = F.abs(across - F.col("at")) <= buffer
+    if "lo" in seams.columns:
+        hit = hit & along.between(F.col("lo") - buffer, F.col("hi") + buffer)
+    near = nodes.join(seams, G).where(hit).select(G, "node").distinct()
+    return _xy(_merged(ab, _near_nodes(near, r)))
+
+
+def separate_border_ends(edges: DataFrame, w: int, h: int, band: float = 10, d: float = 10, seed: int = 0, tries: int = 100) -> DataFrame:
+    """Ends of roads in the border band that are within d of each other moved apart.
+
+    Clusters of such ends get up to `tries` seeded moves of at most d / 2 + 1 a
+    side within the image; the first with all pairs at least d and at most
+    1.8 d apart counts, and a cluster without one stays.
+    """
+    ab = _ab(edges)
+    x, y = F.col("node.x"), F.col("node.y")
+    inner = (x > band) & (y > band) & (x < w - band) & (y < h - band)
+    near = iterate.cut(_near_nodes(iterate.degree(ab, G).where("degree = 1").where(~inner), d))
+    if near.isEmpty():
+        return edges
+    reach = int(d / 2) + 1
+    members = iterate.cut(_clusters(near))
+
+    def moved(c: str, size: int) -> F.Column:
+        low, high = F.greatest(F.lit(-reach), -F.col(f"old.{c}")), F.least(F.lit(reach), size - 1 - F.col(f"old.{c}"))
+        return (F.col(f"old.{c}") + low + F.pmod(F.xxhash64(F.lit(seed), F.lit(c), G, "old", "try"), (high - low + 1).cast("long"))).cast("int")
+
+    drawn = members.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))).select(G, "head", "try", "old", F.struct(moved("x", w).alias("x"), moved("y", h).alias("y")).alias("new"))
+    a, b = drawn.alias("a"), drawn.alias("b")
+    pair = a.join(b, (F.col(f"a.{G}") == F.col(f"b.{G}")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.try") == F.col("b.try")) & (F.col("a.old") < F.col("b.old")))
+    gap = geo.euclidean("a.new.x", "a.new.y", "b.new.x", "b.new.y")
+    good = pair.groupBy(F.col(f"a.{G}").alias(G), F.col("a.head").alias("head"), F.col("a.try").alias("try")).agg(F.min(gap).alias("lo"), F.max(gap).alias("hi")).where((F.col("lo") >= d) & (F.col("hi") <= 1.8 * d))
+    first = good.groupBy(G, "head").agg(F.min("try").alias("try"))
+    return _xy(iterate.quotient(ab, drawn.join(first, [G, "head", "try"]).select(G, "old", "new"), G))
 
 
 def cut_at_rect(edges: DataFrame) -> DataFrame:
@@ -148,33 +202,50 @@ def cut_at_rect(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def crop(edges: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Edges of every tile (image_id, tile, left, top, right, bottom), cut at it and in its own coordinates."""
-    e = edges.alias("e").join(tiles.alias("t"), G)
-    e = e.where("least(x1, x2) <= right and greatest(x1, x2) >= left and least(y1, y2) <= bottom and greatest(y1, y2) >= top")
-    got = cut_at_rect(e.select(G, "tile", "x1", "y1", "x2", "y2", "left", "top", "right", "bottom"))
-    return got.select(G, "tile", *((F.col(c) - F.col("left" if c[0] == "x" else "top")).alias(c) for c in ("x1", "y1", "x2", "y2")))
-
-
-def hop_neighbourhood(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
-    """(image_id, source, node, hops) of nodes at most that many edges away, the source included."""
-    e = _ab(edges).withColumn("w", F.lit(1))
-    return iterate.shortest_paths(e, sources, G, max_hops=hops).withColumnRenamed("dist", "hops")
-
+def crop(edges: DataFrame, tiles: DataFrame, cell: int = 256, clean: bool = False, merge: float = 20, band: float = 15, d: float = 15, seed: int = 0) -> DataFrame:
+    """Edges of every tile (image_id, tile, left, top, right, bottom), cut at it and in its own coordinates.
 
-def densify(geo_edges: DataFrame, longest: float = 3.0, piece: float = 2.0) -> DataFrame:
-    """Edges (image_id, lat1, lon1, lat2, lon2) over `longest` metres cut into trunc(d / piece) + 1 equal pieces, with keys of 1e-7 degrees."""
+    Edges meet tiles by grid cells. With `clean`, near nodes are merged twice
+    and border ends set apart three times, and all that twice over.
+    """
+    e = edges.withColumns({"al": F.least("x1", "x2"), "ar": F.greatest("x1", "x2"), "ab": F.least("y1", "y2"), "at": F.greatest("y1", "y2")})
+    t = tiles.withColumns({"bl": F.col("left"), "br": F.col("right"), "bb": F.col("top"), "bt": F.col("bottom")})
+    got = cut_at_rect(iterate.box_join(e, t, cell, G).select(G, "tile", "x1", "y1", "x2", "y2", "left", "top", "right", "bottom"))
+    size = got.select((F.col("right") - F.col("left") + 1).alias("w"), (F.col("bottom") - F.col("top") + 1).alias("h")).distinct().limit(2).collect() if clean else []
+    got = got.select(G, "tile", *((F.col(c) - F.col("left" if c[0] == "x" else "top")).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    if not clean or not size:
+        return got
+    if len(size) > 1:
+        raise ValueError("tiles of one size only can be cleaned")
+    one = iterate.cut(got.select(F.struct(G, "tile").alias(G), "x1", "y1", "x2", "y2"))
+    for _ in range(2):
+        for _ in range(2):
+            one = iterate.cut(merge_close(one, merge))
+        for k in range(3):
+            one = iterate.cut(separate_border_ends(one, size[0]["w"], size[0]["h"], band, d, seed + k))
+    return one.select(f"{G}.{G}", f"{G}.tile", "x1", "y1", "x2", "y2")
+
+
+def densify_places(geo_edges: DataFrame, longest: float = 3.0, piece: float = 2.0) -> DataFrame:
+    """Pieces (image_id, ka1, ko1, la1, lo1, ka2, ko2, la2, lo2): keys and places of both ends of densify."""
     d = geo.gps_distance("lat1", "lon1", "lat2", "lon2")
     n = F.when(d > longest, (d / piece).cast("long") + 1).otherwise(1)
     e = geo_edges.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
 
     def at(i: F.Column, c: str) -> F.Column:
-        return F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * i / F.col("n")
+        part = i / F.col("n")
+        return F.when(i == 0, F.col(f"{c}1")).when(i == F.col("n"), F.col(f"{c}2")).otherwise(F.col(f"{c}1") * (1 - part) + F.col(f"{c}2") * part)
 
     cols = {}
     for k, i in ((1, F.col("i")), (2, F.col("i") + 1)):
-        cols[f"ka{k}"], cols[f"ko{k}"] = geo.fine_key(at(i, "lat"), at(i, "lon"))
-    return e.select(G, *(v.alias(k) for k, v in cols.items())).where("not (ka1 = ka2 and ko1 = ko2)").distinct()
+        cols[f"la{k}"], cols[f"lo{k}"] = at(i, "lat"), at(i, "lon")
+        cols[f"ka{k}"], cols[f"ko{k}"] = geo.fine_key(cols[f"la{k}"], cols[f"lo{k}"])
+    return e.select(G, *(v.alias(k) for k, v in cols.items())).where("not (ka1 = ka2 and ko1 = ko2)")
+
+
+def densify(geo_edges: DataFrame, longest: float = 3.0, piece: float = 2.0) -> DataFrame:
+    """Edges (image_id, lat1, lon1, lat2, lon2) over `longest` metres cut into trunc(d / piece) + 1 equal pieces, with keys of 1e-7 degrees."""
+    return densify_places(geo_edges, longest, piece).select(G, "ka1", "ko1", "ka2", "ko2").distinct()
 
 
 def pixel_graph(pixels: DataFrame) -> DataFrame:
@@ -191,14 +262,18 @@ def skeleton_ends(pixels: DataFrame) -> DataFrame:
     return both.groupBy(G, "row_", "col_").agg(F.count("*").alias("n")).where("n = 1").select(G, "row_", "col_")
 
 
-def pixel_components(pixels: DataFrame, value: str = "heat", least: int = 4) -> DataFrame:
-    """8-connected components of set pixels: size, and where the best value is; is_road where of at least `least` pixels."""
+def label_pixels(pixels: DataFrame) -> DataFrame:
+    """pixels with component: the first pixel (row_, col_) of their 8-connected component."""
     e = pixel_graph(pixels)
     pair = e.select(G, F.struct("row_", "col_").alias("a"), F.struct(F.col("row2").alias("row_"), F.col("col2").alias("col_")).alias("b"))
     comp = iterate.components(pair, G).select(G, "node.row_", "node.col_", "component")
-    px = pixels.join(comp, [G, "row_", "col_"], "left").withColumn("component", F.coalesce("component", F.struct("row_", "col_")))
+    return pixels.join(comp, [G, "row_", "col_"], "left").withColumn("component", F.coalesce("component", F.struct("row_", "col_")))
+
+
+def pixel_components(pixels: DataFrame, value: str = "heat", least: int = 4) -> DataFrame:
+    """8-connected components of set pixels: size, and where the best value is; is_road where of at least `least` pixels."""
     best = F.max_by(F.struct("row_", "col_"), F.struct(F.col(value), (-F.col("row_")).alias("r"), (-F.col("col_")).alias("c")))
-    out = px.groupBy(G, "component").agg(F.count("*").alias("size"), best.alias("best"))
+    out = label_pixels(pixels).groupBy(G, "component").agg(F.count("*").alias("size"), best.alias("best"))
     return out.select(G, F.col("component.row_").alias("comp_row"), F.col("component.col_").alias("comp_col"), "size", F.col("best.row_").alias("row_"), F.col("best.col_").alias("col_"), (F.col("size") >= least).alias("is_road"))
 
 
@@ -229,18 +304,36 @@ def remove_nodes(dedges: DataFrame, nodes: DataFrame) -> DataFrame:
     return dedges
 
 
-def dead_ends(dedges: DataFrame) -> DataFrame:
-    """Nodes of one undirected neighbour, or without outgoing or incoming links."""
+def attach_edges(nodes: DataFrame, dedges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (image_id, key, node_id, lat, lon) and directed edges (image_id, edge_id, n1, n2, score) with edges from positions to nodes that exist.
+
+    new: (image_id, key, lat, lon, n2, score). A key not known yet gets the next
+    node id of its image, by key, with its smallest position; edges get the next
+    edge ids, by key and n2. Images without nodes have nothing to attach to.
+    """
+    fresh = new.join(nodes.select(G, "key"), [G, "key"], "left_anti").groupBy(G, "key").agg(F.min(F.struct("lat", "lon")).alias("p"))
+    ends = nodes.groupBy(G).agg(F.max("node_id").alias("top"))
+    got = fresh.join(ends, G).select(G, "key", (F.col("top") + F.row_number().over(Window.partitionBy(G).orderBy("key"))).alias("node_id"), "p.lat", "p.lon")
+    every = nodes.select(G, "key", "node_id", "lat", "lon").union(got)
+    last = dedges.groupBy(G).agg(F.max("edge_id").alias("last"))
+    link = new.join(every.select(G, "key", F.col("node_id").alias("n1")), [G, "key"]).join(last, G, "left")
+    number = F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy(G).orderBy("key", "n2", "score"))
+    return every, dedges.select(G, "edge_id", "n1", "n2", "score").union(link.select(G, number.alias("edge_id"), "n1", "n2", "score"))
+
+
+def dead_ends(dedges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """Nodes of one undirected neighbour, or without outgoing or incoming links, but for those in keep(image_id, node_id): terminals and roots of trees."""
     half = dedges.select(G, F.col("n1").alias("node_id"), F.col("n2").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(
         dedges.select(G, F.col("n2").alias("node_id"), F.col("n1").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i"))
     )
     d = half.groupBy(G, "node_id").agg(F.count_distinct("n").alias("d"), F.sum("o").alias("o"), F.sum("i").alias("i"))
-    return d.where("d = 1 or o = 0 or i = 0").select(G, "node_id")
+    dead = d.where("d = 1 or o = 0 or i = 0").select(G, "node_id")
+    return dead if keep is None else dead.join(keep.select(G, "node_id"), [G, "node_id"], "left_anti")
 
 
-def remove_dead_ends(dedges: DataFrame) -> DataFrame:
-    """One simultaneous pass over all dead ends."""
-    return remove_nodes(dedges, dead_ends(dedges))
+def remove_dead_ends(dedges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """One simultaneous pass over all dead ends that aren't kept."""
+    return remove_nodes(dedges, dead_ends(dedges, keep))
 
 
 def keypoint_directions(edges: DataFrame) -> DataFrame:
@@ -251,34 +344,67 @@ def keypoint_directions(edges: DataFrame) -> DataFrame:
 
 
 def chain_table(edges: DataFrame) -> DataFrame:
-    """(image_id, x1, y1, x2, y2, cx1, cy1, cx2, cy2): every edge with the first edge of its run."""
+    """(image_id, x1, y1, x2, y2, cx1, cy1, cx2, cy2): every edge with the smallest edge of its run."""
     ch = iterate.chains(_ab(edges), G)
     return ch.select(G, F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), F.col("chain.a.x").alias("cx1"), F.col("chain.a.y").alias("cy1"), F.col("chain.b.x").alias("cx2"), F.col("chain.b.y").alias("cy2"))
 
 
-def simplify(edges: DataFrame, eps: float, max_rounds: int = 40) -> DataFrame:
-    """Ramer-Douglas-Peucker on every run of nodes of degree 2, all runs at once, level by level.
+def ring_halves(edges: DataFrame) -> DataFrame:
+    """(image_id, chain, half, pos, x, y): the nodes of every closed run, from its junction if it has one, as two halves that share the middle node."""
+    pos = iterate.chain_positions(_ab(edges), G).where("closed")
+    mid = F.floor(F.col("n_edges") / 2)
+    half = F.explode(F.when(F.col("pos") < mid, F.array(F.lit(0))).when(F.col("pos") > mid, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
+    return pos.select(G, "chain", half.alias("half"), "pos", "node.x", "node.y")
+
 
-    Each round splits every open interval at its farthest node if that is over
-    eps from the chord (from the point, where the ends are one).
+def run_pixels(edges: DataFrame, raster: bool = True) -> DataFrame:
+    """(image_id, chain, part, pos, node): the pixels of every run in order, legs drawn and the last node added; a closed run is two parts.
+
+    Without raster the nodes themselves.
+    """
+    r = iterate.runs(_ab(edges), G)
+    mid = F.floor(F.col("n_edges") / 2)
+    part = F.when(F.col("closed") & (F.col("pos") >= mid), 1).otherwise(0)
+    legs = r.withColumn("part", part)
+    if raster:
+        line = geo.line_pixels("a.x", "a.y", "b.x", "b.y")
+    else:
+        line = F.array(F.struct("a.x", "a.y"))
+    legs = legs.withColumn("line", line)
+    w = Window.partitionBy(G, "chain", "part").orderBy("pos")
+    legs = legs.select(G, "chain", "part", "line", "b", (F.sum(F.size("line")).over(w) - F.size("line")).alias("at"), F.lead("pos").over(w).isNull().alias("last"))
+    full = F.when(F.col("last"), F.concat("line", F.array(F.struct("b.x", "b.y")))).otherwise(F.col("line"))
+    return legs.select(G, "chain", "part", "at", F.posexplode(full).alias("i", "node")).select(G, F.struct("chain", "part").alias("chain"), (F.col("at") + F.col("i")).alias("pos"), "node")
+
+
+def simplify(edges: DataFrame, eps: float, raster: bool = True) -> DataFrame:
+    """Ramer-Douglas-Peucker on every run of nodes of degree 2, rasterised, all runs at once, level by level to the end.
+
+    Each round splits every open interval at its farthest pixel, the first at a
+    tie, if that is over eps from the chord (from the point, where the ends are
+    one); only pixels within open intervals are read again. A closed run is
+    simplified as two halves.
     """
-    pos = iterate.cut(iterate.chain_positions(_ab(edges), G).select(G, "chain", "pos", "node", "n_edges"))
-    spans = pos.select(G, "chain", F.lit(0).alias("lo"), F.col("n_edges").alias("hi")).distinct()
-    done = None
-    at = lambda k, n: pos.select(G, "chain", F.col("pos").alias(k), F.col("node").alias(n))
-    for _ in range(max_rounds):
-        s = spans.join(at("lo", "a"), [G, "chain", "lo"]).join(at("hi", "b"), [G, "chain", "hi"])
-        inner = s.join(pos.select(G, "chain", "pos", "node"), [G, "chain"], "left").where("pos > lo and pos < hi")
-        dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-        n = F.sqrt((dx * dx + dy * dy).cast("double"))
-        px, py = F.col("node.x") - F.col("a.x"), F.col("node.y") - F.col("a.y")
-        dist = F.when(n == 0, F.sqrt((px * px + py * py).cast("double"))).otherwise(F.abs(px * dy - py * dx) / F.nullif(n, F.lit(0.0)))
-        far = inner.groupBy(G, "chain", "lo", "hi").agg(F.max(F.struct(dist.alias("d"), (-F.col("pos")).alias("p"))).alias("m")).where(F.col("m.d") > eps)
-        split = iterate.cut(spans.join(far, [G, "chain", "lo", "hi"], "left").select(G, "chain", "lo", "hi", (-F.col("m.p")).alias("at")))
-        closed = split.where("at is null").select(G, "chain", "lo", "hi")
-        done = closed if done is None else done.union(closed)
-        spans = split.where("at is not null").select(G, "chain", F.explode(F.array(F.struct(F.col("lo"), F.col("at").alias("hi")), F.struct(F.col("at").alias("lo"), F.col("hi")))).alias("s")).select(G, "chain", "s.lo", "s.hi")
-        if spans.isEmpty():
-            break
-    got = done.join(at("lo", "a"), [G, "chain", "lo"]).join(at("hi", "b"), [G, "chain", "hi"]).select(G, "a", "b")
+    px = iterate.cut(run_pixels(edges, raster))
+    ends = px.groupBy(G, "chain").agg(F.min(F.struct("pos", "node")).alias("lo"), F.max(F.struct("pos", "node")).alias("hi"))
+    span = ends.select(G, "chain", F.col("lo.pos").cast("long").alias("lo"), F.col("hi.pos").cast("long").alias("hi"), F.col("lo.node").alias("a"), F.col("hi.node").alias("b"))
+    done = [span.where("hi - lo = 1").select(G, "a", "b")]
+    inner = iterate.cut(px.join(span, [G, "chain"]).where("pos > lo and pos < hi"))
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    n = F.sqrt((dx * dx + dy * dy).cast("double"))
+    px_, py_ = F.col("node.x") - F.col("a.x"), F.col("node.y") - F.col("a.y")
+    dist = F.when(n == 0, F.sqrt((px_ * px_ + py_ * py_).cast("double"))).otherwise(F.abs(px_ * dy - py_ * dx) / F.nullif(n, F.lit(0.0)))
+    while not inner.isEmpty():
+        far = inner.groupBy(G, "chain", "lo", "hi", "a", "b").agg(F.max(F.struct(dist.alias("d"), (-F.col("pos")).alias("p"), "node")).alias("m"))
+        far = iterate.cut(far.select(G, "chain", "lo", "hi", "a", "b", F.when(F.col("m.d") > eps, -F.col("m.p")).alias("at"), F.col("m.node").alias("mid")))
+        done.append(far.where("at is null").select(G, "a", "b"))
+        split = far.where("at is not null")
+        done += [split.where("at - lo = 1").select(G, "a", F.col("mid").alias("b")), split.where("hi - at = 1").select(G, F.col("mid").alias("a"), "b")]
+        more = inner.join(split.select(G, "chain", "lo", "at", "mid"), [G, "chain", "lo"]).where("pos <> at")
+        left = F.col("pos") < F.col("at")
+        side = lambda x, y: F.when(left, x).otherwise(y)
+        inner = iterate.cut(more.select(G, "chain", "pos", "node", side(F.col("lo"), F.col("at")).alias("lo"), side(F.col("at"), F.col("hi")).alias("hi"), side(F.col("a"), F.col("mid")).alias("a"), side(F.col("mid"), F.col("b")).alias("b")))
+    got = done[0]
+    for part in done[1:]:
+        got = got.union(part)
     return _xy(got.where("a <> b").select(G, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

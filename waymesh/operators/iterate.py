@@ -1,6 +1,7 @@
 """Loops over tables: greedy selection, components, chains, shortest paths, grid joins.
 
 All images go through a round together; lineage is cut by reliable checkpoints.
+No loop has a cap: each ends when nothing changes.
 """
 
 from __future__ import annotations
@@ -9,82 +10,142 @@ import heapq
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.session import cut
 
 
-def fixpoint(df: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 100) -> DataFrame:
-    """Apply step until changed(before, after) has no rows."""
-    for _ in range(max_rounds):
+def fixpoint(df: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Apply step, each time on a checkpointed table, until open_rows(before, after) is empty."""
+    df = cut(df)
+    while True:
         after = cut(step(df))
-        if changed(df, after).isEmpty():
+        if open_rows(df, after).isEmpty():
             return after
         df = after
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def ordered_greedy(items: DataFrame, conflicts: DataFrame, g: str = "image_id", max_rounds: int = 200) -> DataFrame:
+def _in_order(conflicts: pd.DataFrame) -> pd.DataFrame:
+    """Items of one group's conflicts (a, b) and whether a scan takes them, by counting predecessors down."""
+    after: dict[str, list[str]] = {}
+    waits: dict[str, int] = {}
+    for a, b in zip(conflicts["a"], conflicts["b"], strict=True):
+        after.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+    taken = {x: True for x in {*after, *waits}}
+    ready = [x for x in taken if x not in waits]
+    while ready:
+        x = ready.pop()
+        for b in after.get(x, ()):
+            taken[b] &= not taken[x]
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    return pd.DataFrame({"id": list(taken), "taken": list(taken.values())})
+
+
+def ordered_greedy(items: DataFrame, conflicts: DataFrame, g: str = "image_id", hand_over: int = 20, most: int = 200_000) -> DataFrame:
     """First-come-first-served selection: items(g, id) with taken, in rounds.
 
     conflicts(g, a, b): a comes before b and they can't both be taken. An
     undecided item is dropped if a taken one precedes it and taken once nothing
-    undecided precedes it, which is what a scan in order does.
+    undecided precedes it, which is what a scan in order does. After `hand_over`
+    rounds, groups with at most `most` conflicts left are scanned by one task
+    each; larger ones go on in rounds. A clash within an item itself is none.
     """
-    state = cut(items.select(g, "id").withColumn("taken", F.lit(None).cast("boolean")))
-    conflicts = cut(conflicts.select(g, "a", "b").distinct())
-    for _ in range(max_rounds):
-        before = conflicts.join(state.select(g, F.col("id").alias("a"), F.col("taken").alias("pa")), [g, "a"])
-        seen = before.groupBy(g, F.col("b").alias("id")).agg(F.max(F.coalesce("pa", F.lit(False)).cast("int")).alias("hit"), F.max(F.col("pa").isNull().cast("int")).alias("open"))
-        nxt = state.join(seen, [g, "id"], "left").withColumn(
-            "taken", F.when(F.col("taken").isNotNull(), F.col("taken")).when(F.col("hit") == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        )
-        state = cut(nxt.select(g, "id", "taken"))
-        if state.where("taken is null").isEmpty():
-            return state
-    raise RuntimeError(f"undecided items after {max_rounds} rounds")
-
-
-def components(edges: DataFrame, g: str = "image_id", max_rounds: int = 60) -> DataFrame:
-    """(g, node, component) of edges(g, a, b): the smallest node that each node reaches."""
-    both = cut(edges.select(g, "a", "b").union(edges.select(g, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(g, F.col("a").alias("node")).agg(F.min("b").alias("m")).select(g, "node", F.least("node", "m").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(label.select(g, F.col("node").alias("b"), F.col("component").alias("c")), [g, "b"]).groupBy(g, F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        low = label.join(near, [g, "node"]).select(g, "node", "component", F.least("component", "c").alias("low"))
-        # pointer jumping: take the label of the label
-        up = low.select(g, F.col("node").alias("low"), F.col("low").alias("next"))
-        jumped = cut(low.join(up, [g, "low"], "left").select(g, "node", "component", F.least("low", F.coalesce("next", "low")).alias("low")))
-        done = jumped.where(F.col("low") != F.col("component")).isEmpty()
-        label = jumped.select(g, "node", F.col("low").alias("component"))
-        if done:
-            return label
-    raise RuntimeError("components did not settle")
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, g: str = "image_id", max_dist: float | None = None, max_hops: int | None = None, max_rounds: int = 2000) -> DataFrame:
-    """(g, source, node, dist) over undirected edges(g, a, b, w) from sources(g, source[, node, dist]).
-
-    Label-correcting: only nodes whose distance fell in a round go on.
+    state = items.select(g, "id").distinct().withColumn("taken", F.lit(None).cast("boolean"))
+    left = cut(conflicts.select(g, "a", "b").where("a <> b").distinct())
+    # an item in no conflict is taken at once
+    inside = left.select(g, F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("in", F.lit(True))
+    state = cut(state.join(inside, [g, "id"], "left").select(g, "id", F.when(F.col("in").isNull(), True).alias("taken")))
+    done, rounds = state.where("taken is not null"), 0
+    state = state.where("taken is null")
+    while not state.isEmpty():
+        if rounds == hand_over:
+            sizes = left.groupBy(g).agg(F.count("*").alias("n"))
+            small = left.join(sizes.where(F.col("n") <= most).select(g), g, "left_semi")
+            name = lambda c, to: F.to_json(F.struct(F.col(c).alias("k"))).alias(to)
+
+            def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+                return _in_order(pdf).assign(_g=pdf["_g"].iloc[0])
+
+            got = small.select(name(g, "_g"), name("a", "a"), name("b", "b")).groupBy("_g").applyInPandas(scan, "id string, taken boolean, _g string")
+            back = state.select(g, "id", name(g, "_g"), name("id", "_k"))
+            decided = cut(back.join(got.withColumnRenamed("id", "_k"), ["_g", "_k"]).select(g, "id", "taken"))
+            done = done.union(decided)
+            state = cut(state.join(decided.select(g, "id"), [g, "id"], "left_anti"))
+            left = cut(left.join(sizes.where(F.col("n") > most).select(g), g, "left_semi"))
+            rounds += 1
+            continue
+        seen = left.groupBy(g, F.col("b").alias("id")).agg(F.lit(1).alias("waits"))
+        free = state.join(seen, [g, "id"], "left_anti").select(g, "id")
+        lost = left.join(free.select(g, F.col("id").alias("a")), [g, "a"], "left_semi").select(g, F.col("b").alias("id")).distinct()
+        fresh = cut(free.withColumn("taken", F.lit(True)).union(lost.withColumn("taken", F.lit(False))))
+        done = done.union(fresh)
+        gone = fresh.select(g, "id")
+        left = cut(left.join(gone.select(g, F.col("id").alias("a")), [g, "a"], "left_anti").join(gone.select(g, F.col("id").alias("b")), [g, "b"], "left_anti").select(g, "a", "b"))
+        state = cut(state.join(gone, [g, "id"], "left_anti"))
+        rounds += 1
+    return done.select(g, "id", "taken")
+
+
+def components(edges: DataFrame, g: str = "image_id") -> DataFrame:
+    """(g, node, component) of edges(g, a, b): the smallest node that each node reaches, by alternating star contraction.
+
+    Each round links every node's larger neighbours to its smallest one, then
+    its smaller neighbours to that, until the edges are stars: log rounds, and a
+    node of any degree is spread by its edges. A self-link is a component.
+    """
+    lone = edges.where("a = b").select(g, F.col("a").alias("node"), F.col("a").alias("component"))
+    start = edges.where("a <> b").select(g, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+    def step(e: DataFrame) -> DataFrame:
+        both = e.union(e.select(g, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(g, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, [g, "u"]).select(g, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy(g, "u").agg(F.min("v").alias("m"))
+        return large.join(least, [g, "u"]).select(g, F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+    def loose(_: DataFrame, e: DataFrame) -> DataFrame:
+        """Nodes of two centres, and centres that have one."""
+        several = e.groupBy(g, "u").agg(F.count("*").alias("n")).where("n > 1").select(g, "u")
+        return several.union(e.select(g, F.col("v").alias("u")).distinct().join(e.select(g, "u"), [g, "u"], "left_semi"))
+
+    e = fixpoint(start, step, loose)
+    stars = e.select(g, F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(g, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return stars.union(lone.join(stars.select(g, "node"), [g, "node"], "left_anti")).distinct()
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, g: str = "image_id", max_dist: float | None = None, max_hops: int | None = None, directed: bool = False) -> DataFrame:
+    """(g, source, node, dist) over edges(g, a, b, w) from sources(g, source[, node, dist]), to the end.
+
+    Label-correcting: only nodes whose distance fell in a round go on, and only
+    they are written; what is known is read for the comparison alone.
     """
-    both = edges.select(g, "a", "b", "w").union(edges.select(g, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    both = cut(both.groupBy(g, "a", "b").agg(F.min("w").alias("w")).repartition(g))
+    both = edges.select(g, "a", "b", "w")
+    if not directed:
+        both = both.union(edges.select(g, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = cut(both.groupBy(g, "a", "b").agg(F.min("w").alias("w")))
     if "node" not in sources.columns:
         sources = sources.select(g, "source", F.col("source").alias("node"), F.lit(0).cast(edges.schema["w"].dataType).alias("dist"))
-    best = cut(sources.groupBy(g, "source", "node").agg(F.min("dist").alias("dist")))
-    front = best
-    for _ in range(max_rounds if max_hops is None else max_hops):
-        step = front.join(both, (front[g] == both[g]) & (front["node"] == both["a"])).select(front[g], "source", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+    first = sources.where(F.col("dist") <= max_dist) if max_dist is not None else sources
+    best = front = cut(first.groupBy(g, "source", "node").agg(F.min("dist").alias("dist")))
+    rounds = 0
+    while max_hops is None or rounds < max_hops:
+        step = front.withColumnRenamed("node", "a").join(both, [g, "a"]).select(g, "source", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
         if max_dist is not None:
             step = step.where(F.col("dist") <= max_dist)
-        step = step.groupBy(g, "source", "node").agg(F.min("dist").alias("new"))
-        merged = cut(best.join(step, [g, "source", "node"], "full_outer").select(g, "source", "node", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("fell")))
-        front = merged.where("fell").select(g, "source", "node", "dist")
-        best = merged.drop("fell")
+        step = step.groupBy(g, "source", "node").agg(F.min("dist").alias("dist")).alias("s")
+        same = [F.col(f"s.{c}") == F.col(f"k.{c}") for c in (g, "source", "node")]
+        front = cut(step.join(best.alias("k"), same[0] & same[1] & same[2] & (F.col("k.dist") <= F.col("s.dist")), "left_anti"))
         if front.isEmpty():
             break
-    return best
+        best = best.union(front)
+        rounds += 1
+        if rounds % 8 == 0:  # keep one row of each, and few partitions
+            best = cut(best.groupBy(g, "source", "node").agg(F.min("dist").alias("dist")))
+    return best.groupBy(g, "source", "node").agg(F.min("dist").alias("dist"))
 
 
 def grid_join(a: DataFrame, b: DataFrame, radius: float, g: str = "image_id") -> DataFrame:
@@ -101,42 +162,89 @@ def grid_join(a: DataFrame, b: DataFrame, radius: float, g: str = "image_id") ->
     return left.join(right, [g, "cx", "cy"]).withColumn("dist", d).where(F.col("dist") <= radius).drop("cx", "cy")
 
 
+def box_cells(cell: float, left: Column, low: Column, right: Column, high: Column) -> Column:
+    """Array of the grid cells (cx, cy) that a box touches."""
+    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
+    return F.flatten(F.transform(span(left, right), lambda i: F.transform(span(low, high), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def box_join(a: DataFrame, b: DataFrame, cell: float, g: str = "image_id") -> DataFrame:
+    """Pairs of a(g, ..., al, ab, ar, at) and b(g, ..., bl, bb, br, bt) whose boxes (left, low, right, high) touch, each once, through grid cells."""
+    p = a.withColumn("_c", F.explode(box_cells(cell, F.col("al"), F.col("ab"), F.col("ar"), F.col("at"))))
+    q = b.withColumn("_c", F.explode(box_cells(cell, F.col("bl"), F.col("bb"), F.col("br"), F.col("bt"))))
+    j = p.join(q, [g, "_c"]).where("al <= br and bl <= ar and ab <= bt and bb <= at")
+    # of the cells that both touch, the one with the lowest corner of the overlap counts
+    first = (F.col("_c.cx") == F.floor(F.greatest("al", "bl") / cell)) & (F.col("_c.cy") == F.floor(F.greatest("ab", "bb") / cell))
+    return j.where(first).drop("_c")
+
+
+def _doubled(half: DataFrame, g: str) -> DataFrame:
+    """half(g, a, b, na, nb) with ja, jb, d: the last half-edge that each leads to and how many steps on; rows of rings are left open.
+
+    Pointer doubling: as long as a run that ends has open rows, some close in
+    every round, so rows that stay open are rings.
+    """
+    start = F.col("na").isNull()
+    state = cut(half.select(g, "a", "b", "na", "nb", F.coalesce("na", "a").alias("ja"), F.coalesce("nb", "b").alias("jb"), F.when(start, 0).otherwise(1).cast("long").alias("d"), (~start).alias("open")))
+    n = -1
+    while True:
+        had, n = n, state.where("open").count()
+        if n in (0, had):
+            return state
+        far = state.select(g, F.col("a").alias("ja"), F.col("b").alias("jb"), F.col("ja").alias("ka"), F.col("jb").alias("kb"), F.col("d").alias("e"), F.col("open").alias("more"))
+        moved = state.where("open").join(far, [g, "ja", "jb"]).select(g, "a", "b", "na", "nb", F.col("ka").alias("ja"), F.col("kb").alias("jb"), (F.col("d") + F.col("e")).alias("d"), F.col("more").alias("open"))
+        state = cut(state.where("not open").union(moved))
+
+
+def _half_edges(edges: DataFrame, g: str) -> DataFrame:
+    """(g, a, b, na, nb) both ways of every edge, with what follows where b has two neighbours, and whether a has (mid)."""
+    und = edges.select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    both = und.union(und.select(g, F.col("b").alias("a"), F.col("a").alias("b")))
+    two = both.groupBy(g, F.col("a").alias("n")).agg(F.count("*").alias("c"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("c = 2").drop("c")
+    h = both.join(two.withColumnRenamed("n", "b"), [g, "b"], "left").select(g, "a", "b", F.when(F.col("lo").isNotNull(), F.col("b")).alias("na"), F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("nb"))
+    return h.join(two.select(g, F.col("n").alias("a"), F.lit(True).alias("mid")), [g, "a"], "left").select(g, "a", "b", "na", "nb", F.coalesce("mid", F.lit(False)).alias("mid"))
+
+
+def runs(edges: DataFrame, g: str = "image_id") -> DataFrame:
+    """(g, chain, pos, a, b, n_edges, closed): the edges of every maximal run through nodes of degree 2, in order.
+
+    A run starts at its smaller end, a loop at its junction (a ring at its
+    smallest node) towards the smaller neighbour; chain is its first half-edge.
+    """
+    half = cut(_half_edges(edges, g))
+    state = _doubled(half.drop("mid"), g)
+    closed = state.where("not open").select(g, "a", "b", "ja", "jb", "d")
+    ring = state.where("open").select(g, "a", "b", "na", "nb")
+    if not ring.isEmpty():
+        low = components(ring.select(g, "a", "b"), g).where("node = component").select(g, F.col("node").alias("b"), F.lit(True).alias("cut"))
+        opened = ring.join(low, [g, "b"], "left").select(g, "a", "b", F.when(F.col("cut").isNull(), F.col("na")).alias("na"), F.when(F.col("cut").isNull(), F.col("nb")).alias("nb"))
+        closed = closed.union(_doubled(opened, g).select(g, "a", "b", "ja", "jb", "d"))
+        heads = half.where("not mid").select(g, "a", "b").union(ring.join(low.select(g, F.col("b").alias("a")), [g, "a"], "left_semi").select(g, "a", "b"))
+    else:
+        heads = half.where("not mid").select(g, "a", "b")
+    closed = cut(closed)
+    # a run's first half-edge names it; of the two ways through, the smaller first half-edge counts
+    first = closed.join(heads, [g, "a", "b"], "left_semi").where(F.struct("a", "b") <= F.struct(F.col("jb").alias("a"), F.col("ja").alias("b")))
+    first = first.select(g, F.struct("a", "b").alias("chain"), "ja", "jb", F.col("d").alias("last"), (F.col("a") == F.col("jb")).alias("closed"))
+    return closed.join(first, [g, "ja", "jb"]).select(g, "chain", (F.col("last") - F.col("d")).alias("pos"), "a", "b", (F.col("last") + 1).alias("n_edges"), "closed")
+
+
 def chains(edges: DataFrame, g: str = "image_id") -> DataFrame:
     """(g, a, b, chain): every undirected edge with its maximal run through nodes of degree 2.
 
     Two edges that meet in a node of degree 2 belong to one run; chain is the
     run's smallest edge. A ring is a run of its own.
     """
-    und = edges.select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    e = und.select(g, F.struct("a", "b").alias("e"), F.explode(F.array("a", "b")).alias("n"))
-    pairs = e.groupBy(g, "n").agg(F.count("*").alias("deg"), F.min("e").alias("a"), F.max("e").alias("b")).where("deg = 2")
-    comp = components(pairs.select(g, "a", "b"), g)
-    return und.join(comp.select(g, F.col("node.a").alias("a"), F.col("node.b").alias("b"), "component"), [g, "a", "b"], "left").select(g, "a", "b", F.coalesce("component", F.struct("a", "b")).alias("chain"))
+    r = runs(edges, g).select(g, F.col("chain").alias("run"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    low = r.groupBy(g, "run").agg(F.min(F.struct("a", "b")).alias("chain"))
+    return r.join(low, [g, "run"]).select(g, "a", "b", "chain")
 
 
 def chain_positions(edges: DataFrame, g: str = "image_id") -> DataFrame:
-    """(g, chain, pos, node, n_edges, closed): the nodes of every run in order.
-
-    An open run starts at its smaller end; a ring at its junction, or else its
-    smallest node, towards the smaller neighbour, and ends where it starts.
-    """
-    ch = cut(chains(edges, g))
-    deg = degree(ch.select(g, "a", "b"), g)
-    half = ch.select(g, "chain", "a", "b").union(ch.select(g, "chain", F.col("b").alias("a"), F.col("a").alias("b")))
-    own = half.groupBy(g, "chain", F.col("a").alias("node")).agg(F.count("*").alias("own"), F.max("b").alias("far"))
-    own = own.join(deg, [g, "node"])
-    start = own.groupBy(g, "chain").agg(
-        F.min(F.when(F.col("own") == 1, F.col("node"))).alias("end"),
-        F.min(F.struct(F.when(F.col("degree") == 2, 1).otherwise(0).alias("plain"), "node", "far")).alias("ring"),
-        (F.count("*") - F.max(F.when(F.col("own") == 1, 1).otherwise(0))).cast("int").alias("n_edges"),
-    )
-    start = start.select(g, "chain", F.coalesce("end", "ring.node").alias("source"), F.when(F.col("end").isNull(), F.col("ring.far")).alias("skip"), F.col("end").isNull().alias("closed"), "n_edges")
-    keyed = ch.join(start, [g, "chain"]).withColumn("gc", F.struct(g, "chain"))
-    open_ = keyed.where(~(F.col("closed") & ((F.col("a") == F.col("source")) & (F.col("b") == F.col("skip")) | (F.col("b") == F.col("source")) & (F.col("a") == F.col("skip")))))
-    walked = shortest_paths(open_.select("gc", "a", "b", F.lit(1).alias("w")), keyed.select("gc", "source").distinct(), "gc")
-    at = walked.select(F.col(f"gc.{g}").alias(g), F.col("gc.chain").alias("chain"), F.col("dist").alias("pos"), "node").join(start, [g, "chain"])
-    again = start.where("closed").select(g, "chain", F.col("n_edges").alias("pos"), F.col("source").alias("node"), "n_edges", "closed")
-    return at.select(g, "chain", "pos", "node", "n_edges", "closed").union(again)
+    """(g, chain, pos, node, n_edges, closed): the nodes of every run in order; a closed run ends where it starts."""
+    r = runs(edges, g)
+    last = r.where("pos = n_edges - 1").select(g, "chain", F.col("n_edges").alias("pos"), F.col("b").alias("node"), "n_edges", "closed")
+    return r.select(g, "chain", "pos", F.col("a").alias("node"), "n_edges", "closed").union(last)
 
 
 def degree(edges: DataFrame, g: str = "image_id") -> DataFrame:
@@ -152,33 +260,44 @@ def quotient(edges: DataFrame, mapping: DataFrame, g: str = "image_id") -> DataF
     return edges.where("a <> b").select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def paths_by_group(edges: DataFrame, sources: DataFrame, g: str = "image_id", blocks: int = 8) -> DataFrame:
-    """(g, source, node, dist): shortest_paths where a group's graph is small enough for one task, as an image's is.
+def paths_by_group(edges: DataFrame, pairs: DataFrame, g: str = "image_id", blocks: int = 8, most: int = 500_000) -> DataFrame:
+    """(g, source, node, dist) of pairs(g, source, node) that edges(g, a, b, w) connect; all longs, edges directed.
 
-    A group's sources are dealt to `blocks` tasks, each of which searches from
-    its own over the group's edges(g, a, b, w), all integers.
+    A group of at most `most` edges is searched by `blocks` tasks, each from its
+    own sources and only until their targets are settled; larger groups go
+    through shortest_paths.
     """
+    want = pairs.select(g, F.col("source").cast("long"), F.col("node").cast("long")).distinct()
+    e = edges.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("long"))
+    big = cut(e.groupBy(g).agg(F.count("*").alias("n")).where(F.col("n") > most).select(g))
+    few = big.isEmpty()
     kind = dict(edges.dtypes)[g]
     part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    e = edges.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("long"), part.alias("part"))
-    s = sources.select(g, F.col("source").cast("long")).distinct().withColumn("part", F.pmod(F.col("source"), F.lit(blocks)).cast("int")).toDF("_g", "source", "part")
+    small_e, small_w = (e, want) if few else (e.join(big, g, "left_anti"), want.join(big, g, "left_anti"))
+    s = small_w.groupBy(g, "source").agg(F.collect_list("node").alias("nodes")).withColumn("part", F.pmod(F.col("source"), F.lit(blocks)).cast("int")).toDF("_g", "source", "nodes", "part")
 
     def search(es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[tuple[int, int]]] = {}
-        for a, b, w in zip(es["a"].tolist(), es["b"].tolist(), es["w"].tolist(), strict=True):
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-        rows = []
-        for src in ss["source"].tolist():
-            best, heap = {}, [(0, src)]
-            while heap:
+        rows: list[tuple] = []
+        if len(ss):
+            for a, b, w in zip(es["a"].tolist(), es["b"].tolist(), es["w"].tolist(), strict=True):
+                near.setdefault(a, []).append((b, w))
+        for src, nodes in zip(ss["source"].tolist(), ss["nodes"], strict=True):
+            best, heap, left = {}, [(0, src)], set(nodes.tolist())
+            while heap and left:
                 d, n = heapq.heappop(heap)
                 if n not in best:
                     best[n] = d
+                    if n in left:
+                        left.discard(n)
+                        rows.append((ss["_g"].iloc[0], src, n, d))
                     for m, w in near.get(n, ()):
                         if m not in best:
                             heapq.heappush(heap, (d + w, m))
-            rows += [(ss["_g"].iloc[0], src, n, d) for n, d in best.items()]
         return pd.DataFrame(rows, columns=[g, "source", "node", "dist"])
 
-    return e.groupBy(g, "part").cogroup(s.groupBy("_g", "part")).applyInPandas(search, f"{g} {kind}, source long, node long, dist long")
+    out = small_e.withColumn("part", part).groupBy(g, "part").cogroup(s.groupBy("_g", "part")).applyInPandas(search, f"{g} {kind}, source long, node long, dist long")
+    if few:
+        return out
+    far = shortest_paths(e.join(big, g, "left_semi"), want.join(big, g, "left_semi").select(g, "source").distinct(), g, directed=True)
+    return out.union(far.join(want, [g, "source", "node"], "left_semi").select(g, "source", "node", "dist"))

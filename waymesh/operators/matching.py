@@ -13,28 +13,60 @@ from waymesh.operators import iterate
 
 
 def direction_pairs(dirs: DataFrame, g: str = "patch_id") -> DataFrame:
-    """(g, i, si, j, sj): directions of different keypoints, i < j, whose sectors are two to four apart modulo six."""
-    d = dirs.select(g, F.col("kp_seq").alias("i"), F.col("sector").alias("si"))
-    left = d.select("*", F.explode(F.transform(F.array(*(F.lit(k) for k in (2, 3, 4))), lambda k: (F.col("si") + k) % 6)).alias("sj"))
-    right = d.toDF(g, "j", "sj")
-    return left.join(right, [g, "sj"]).where("i < j").select(g, "i", "si", "j", "sj")
+    """(g, i, si, j, sj): directions (slots si, sj) of different keypoints, i < j, that point to 60-degree sectors two to four apart modulo six.
 
+    dirs: (g, kp_seq, slot, deg).
+    """
+    d = dirs.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"), (F.floor(F.col("deg") / 60) % 6).cast("int").alias("_s"))
+    left = d.withColumn("_s", F.explode(F.array(*((F.col("_s") + k) % 6 for k in (2, 3, 4)))))
+    right = d.toDF(g, "j", "sj", "_s")
+    return left.join(right, [g, "_s"]).where("i < j").select(g, "i", "si", "j", "sj")
+
+
+def _with_sums(pairs: DataFrame, dirs: DataFrame, g: str, penalty: float = 1e4) -> DataFrame:
+    """Pairs (g, i, si, j, sj) with the keypoints' distance, the sum of both angles to the other keypoint, and of both line distances."""
+    a = dirs.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("sin").alias("is"), F.col("cos").alias("ic"))
+    b = dirs.select(g, F.col("kp_seq").alias("j"), F.col("slot").alias("sj"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("sin").alias("js"), F.col("cos").alias("jc"))
+    q = pairs.join(a, [g, "i", "si"]).join(b, [g, "j", "sj"]).withColumn("dist", geo.euclidean("ix", "iy", "jx", "jy"))
+    ux, uy = F.col("jx") - F.col("ix"), F.col("jy") - F.col("iy")
+    l1, l2 = geo.ray_distance("jx", "jy", "ix", "iy", "ic", "is", penalty), geo.ray_distance("ix", "iy", "jx", "jy", "jc", "js", penalty)
+    return q.withColumns({"angle_sum": geo.vector_angle("ic", "is", ux, uy) + geo.vector_angle("jc", "js", -ux, -uy), "line_sum": l1 + l2})
 
-def pair_costs(dirs: DataFrame, g: str = "patch_id", loc_range: tuple[float, float] = (30.0, 448.0), reject: float = 1000.0) -> DataFrame:
-    """direction_pairs with the cost of joining them, those below reject only.
 
-    dirs: (g, kp_seq, x, y, sector, sin, cos).
+def pair_costs(dirs: DataFrame, g: str = "patch_id", reject: float = 1000.0, **limits) -> DataFrame:
+    """direction_pairs of keypoints apart with the cost of joining them (geo.pair_cost with these limits), those below reject only.
+
+    dirs: (g, kp_seq, slot, x, y, deg, sin, cos).
     """
-    p = direction_pairs(dirs, g)
-    a = dirs.select(g, F.col("kp_seq").alias("i"), F.col("sector").alias("si"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("sin").alias("is"), F.col("cos").alias("ic"))
-    b = dirs.select(g, F.col("kp_seq").alias("j"), F.col("sector").alias("sj"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("sin").alias("js"), F.col("cos").alias("jc"))
-    q = p.join(a, [g, "i", "si"]).join(b, [g, "j", "sj"]).withColumn("dist", geo.euclidean("ix", "iy", "jx", "jy")).where("dist > 0")
-    ux, uy = (F.col("jx") - F.col("ix")) / F.col("dist"), (F.col("jy") - F.col("iy")) / F.col("dist")
-    a1, a2 = geo.vector_angle("ic", "is", ux, uy), geo.vector_angle("jc", "js", -ux, -uy)
-    l1, l2 = geo.ray_distance("jx", "jy", "ix", "iy", "ic", "is"), geo.ray_distance("ix", "iy", "jx", "jy", "jc", "js")
-    q = q.withColumns({"angle_sum": a1 + a2, "line_sum": l1 + l2})
-    cost = geo.pair_cost("dist", "angle_sum", "line_sum", F.col("angle_sum") / 90.0, F.col("line_sum") / 100.0, loc_range=loc_range, reject=reject)
-    return q.withColumn("cost", F.round(cost, 9)).where(F.col("cost") < reject).select(g, "i", "si", "j", "sj", "dist", "cost")
+    q = _with_sums(direction_pairs(dirs, g), dirs, g).where("dist > 0")
+    q = q.withColumn("cost", F.round(geo.pair_cost("dist", "angle_sum", "line_sum", reject=reject, **limits), 9))
+    return q.where(F.col("cost") < reject).select(g, "i", "si", "j", "sj", "dist", "cost")
+
+
+def line_costs(dirs: DataFrame, g: str = "patch_id", distance_range: tuple[float, float] = (30.0, 448.0), line_range: tuple[float, float] = (50.0, 140.0), penalty: float = 1e4) -> DataFrame:
+    """All directions (g, i, si, j, sj, dist, cost) of two keypoints, i < j, whose line distances sum to at most the limit at their distance.
+
+    A patch has as many keypoints as its decoder's top k, which bounds its pairs.
+    """
+    d = dirs.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"))
+    pairs = d.join(d.toDF(g, "j", "sj"), g).where("i < j").select(g, "i", "si", "j", "sj")
+    q = _with_sums(pairs, dirs, g, penalty).where(F.col("line_sum") <= geo.lerp_clamped("dist", *distance_range, *line_range))
+    return q.select(g, "i", "si", "j", "sj", "dist", F.round("line_sum", 9).alias("cost"))
+
+
+def designed_distances(dirs: DataFrame, width: int, height: int, g: str = "patch_id") -> DataFrame:
+    """(g, i, j, dist) of keypoints of one patch that have directions: geo.designed_distance, i < j."""
+    d = dirs.select(g, F.col("kp_seq").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("sin").alias("is"), F.col("cos").alias("ic"))
+    p = d.join(d.toDF(g, "j", "jx", "jy", "js", "jc"), g).where("i < j")
+    gap = F.min(F.sqrt((F.col("is") + F.col("js")) ** 2 + (F.col("ic") + F.col("jc")) ** 2))
+    best = p.groupBy(g, "i", "j").agg(F.min(geo.euclidean("ix", "iy", "jx", "jy")).alias("apart"), gap.alias("gap"))
+    return best.select(g, "i", "j", geo.designed_distance("apart", "gap", min(width, height)).alias("dist"))
+
+
+def nearest_candidate(cands: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, loc_idx, dir_idx): of candidates (keys, dist, dir_dist, loc_idx, dir_idx) the nearest, the least direction distance at a tie, then the first."""
+    best = F.min(F.struct("dist", "dir_dist", "loc_idx", "dir_idx"))
+    return cands.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.loc_idx", "b.dir_idx")
 
 
 def _greedy(pairs: DataFrame, g: str, order: list, ends: list, also: list | None = None) -> DataFrame:
@@ -54,7 +86,7 @@ def link_greedy(costs: DataFrame, g: str = "patch_id") -> DataFrame:
 
 
 def link_closest(costs: DataFrame, g: str = "patch_id") -> DataFrame:
-    """Links by rising distance of keypoints, the cheapest unused directions first, one link for two keypoints."""
+    """Links by rising distance of keypoints, the cheapest unused directions first, one link for two keypoints; costs as of line_costs."""
     ends = [F.struct(F.col("i").alias("k"), F.col("si").cast("long").alias("s"), F.lit(0).alias("o")), F.struct(F.col("j").alias("k"), F.col("sj").cast("long").alias("s"), F.lit(0).alias("o"))]
     pair = [F.struct(F.col("i").alias("k"), F.col("j").cast("long").alias("s"), F.lit(1).alias("o"))]
     return _greedy(costs, g, ["dist", "i", "j", "cost", "si", "sj"], ends, pair)
@@ -66,6 +98,11 @@ def select_ascending(pairs: DataFrame, g: str, a: str = "a", b: str = "b", cost:
     return _greedy(pairs, g, [cost, a, b], ends)
 
 
+def ascending_totals(pairs: DataFrame, g: str) -> DataFrame:
+    """(g, matched, total) of select_ascending(pairs(g, a, b, cost))."""
+    return select_ascending(pairs, g).groupBy(g).agg(F.count("*").alias("matched"), F.sum("cost").alias("total"))
+
+
 def assignment(cost: np.ndarray) -> np.ndarray:
     """Column of each row in a least-cost assignment (rows <= columns), by shortest augmenting paths."""
     n, m = cost.shape
@@ -93,13 +130,21 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 
 def largest_matching(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As many of the pairs as can be without a common end, by breadth-first augmenting paths."""
+    """As many of the pairs as can be without a common end: a greedy start, then breadth-first augmenting paths."""
     near: dict[int, list[int]] = {}
     for a, b in pairs:
         near.setdefault(a, []).append(b)
     of_b: dict[int, int] = {}
-    for root in near:
+    free = []
+    for a, bs in near.items():
+        b = next((b for b in bs if b not in of_b), None)
+        if b is None:
+            free.append(a)
+        else:
+            of_b[b] = a
+    for root in free:
         came: dict[int, int] = {}  # which row reached each column
+        had: dict[int, int] = {}  # the column that a row held before
         queue, end = [root], None
         for a in queue:
             for b in near[a]:
@@ -108,43 +153,105 @@ def largest_matching(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
                     if b not in of_b:
                         end = b
                         break
+                    had[of_b[b]] = b
                     queue.append(of_b[b])
             if end is not None:
                 break
-        had = {a: b for b, a in of_b.items() if a in queue} if end is not None else {}
         while end is not None:
             a = came[end]
-            of_b[end], end = a, None if a == root else had[a]
+            of_b[end], end = a, had.get(a)
     return [(a, b) for b, a in of_b.items()]
 
 
-def component_match(pairs: DataFrame, g: str, filler: float | None = None) -> DataFrame:
+def matching_rounds(pairs: DataFrame, g: str) -> DataFrame:
+    """(g, a, b): a largest set of pairs(g, a, b) without a common end, in rounds of joins for components of any size.
+
+    From every free a alternating trees grow, each node in one tree only; every
+    tree that reaches a free b gives one path, all these are turned over at
+    once, and it ends when no tree reaches one.
+    """
+    e = iterate.cut(pairs.select(g, "a", "b").distinct())
+    m = iterate.cut(select_ascending(e.withColumn("cost", F.lit(0.0)), g).select(g, "a", "b"))
+    while True:
+        front = iterate.cut(e.select(g, "a").distinct().join(m.select(g, "a"), [g, "a"], "left_anti").withColumn("root", F.col("a")))
+        tree = None  # (g, b, a, root): b was reached from a
+        ends = None
+        while not front.isEmpty():
+            step = front.join(e, [g, "a"])
+            if tree is not None:
+                step = step.join(tree.select(g, "b"), [g, "b"], "left_anti")
+            step = iterate.cut(step.groupBy(g, "b").agg(F.min(F.struct("root", "a")).alias("p")).select(g, "b", "p.a", "p.root"))
+            tree = step if tree is None else tree.union(step)
+            hit = step.join(m.select(g, "b"), [g, "b"], "left_anti").groupBy(g, "root").agg(F.min("b").alias("b"))
+            ends = hit if ends is None else ends.union(hit.join(ends.select(g, "root"), [g, "root"], "left_anti"))
+            ends = iterate.cut(ends)
+            # trees that have their path stop growing
+            front = iterate.cut(step.join(m.toDF(g, "next", "b"), [g, "b"]).select(g, F.col("next").alias("a"), "root").join(ends.select(g, "root"), [g, "root"], "left_anti"))
+        if ends is None or ends.isEmpty():
+            return m
+        # walk every path back from its free b: the pair (a, b) comes in, a's old pair goes
+        at = ends
+        while not at.isEmpty():
+            add = iterate.cut(at.join(tree, [g, "b", "root"]).select(g, "a", "b", "root"))
+            old = m.join(add.select(g, "a", "root"), [g, "a"]).select(g, "root", "a", "b")
+            at = iterate.cut(old.select(g, "root", "b"))
+            m = iterate.cut(m.join(add.select(g, "a"), [g, "a"], "left_anti").union(add.select(g, "a", "b")))
+
+
+def component_match(pairs: DataFrame, g: str, filler: float | None = None, most: int = 200_000) -> DataFrame:
     """pairs(g, a, b, cost) matched exactly within each connected component.
 
     With a filler, a least-cost assignment in which a row may stay alone at
     that cost; without, as many pairs as can be. Components are split in Spark
-    and solved apart, which is exact for both.
+    and solved apart, which is exact for both. A component of more than `most`
+    pairs is matched by matching_rounds; with a filler, where pairs come from
+    one patch's top k directions, it is an error.
     """
     keyed = pairs.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double"))
     e = keyed.select(g, (F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"))
     comp = iterate.components(e, g).select(g, F.col("node").alias("_a"), "component")
-    full = keyed.withColumn("_a", F.col("a") * 2).join(comp, [g, "_a"]).drop("_a")
+    full = iterate.cut(keyed.groupBy(g, "a", "b").agg(F.min("cost").alias("cost")).withColumn("_a", F.col("a") * 2).join(comp, [g, "_a"]).drop("_a"))
+    large = iterate.cut(full.groupBy(g, "component").agg(F.count("*").alias("n")).where(F.col("n") > most).select(g, "component"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"], kind="stable")
         if filler is None:
-            keep = largest_matching(sorted(set(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))))
-            return pdf.merge(pd.DataFrame(keep, columns=["a", "b"]), on=["a", "b"]).drop_duplicates(["a", "b"])[[g, "a", "b", "cost"]]
-        rows, cols = pdf["a"].unique(), pdf["b"].unique()
-        ri, ci = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-        lone = filler
-        c = np.full((len(rows), len(cols) + len(rows)), lone)
-        for a, b, x in zip(pdf["a"], pdf["b"], pdf["cost"], strict=True):
-            c[ri[a], ci[b]] = min(c[ri[a], ci[b]], x)
-        got = assignment(c)
-        keep = [(rows[i], cols[j]) for i, j in enumerate(got) if j < len(cols) and c[i, j] < lone]
-        return pdf.merge(pd.DataFrame(keep, columns=["a", "b"]), on=["a", "b"]).drop_duplicates(["a", "b"])[[g, "a", "b", "cost"]]
+            keep = largest_matching(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)))
+        else:
+            rows, cols = pdf["a"].unique(), pdf["b"].unique()
+            ri, ci = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
+            c = np.full((len(rows), len(cols) + len(rows)), filler)
+            for a, b, x in zip(pdf["a"], pdf["b"], pdf["cost"], strict=True):
+                c[ri[a], ci[b]] = x
+            keep = [(rows[i], cols[j]) for i, j in enumerate(assignment(c)) if j < len(cols) and c[i, j] < filler]
+        return pdf.merge(pd.DataFrame(keep, columns=["a", "b"], dtype="int64"), on=["a", "b"])[[g, "a", "b", "cost"]]
+
+    schema = f"{g} {full.schema[g].dataType.simpleString()}, a long, b long, cost double"
+    if large.isEmpty():
+        return full.groupBy(g, "component").applyInPandas(solve, schema)
+    if filler is not None:
+        raise ValueError(f"a component has more than {most} pairs")
+    rest = full.join(large, [g, "component"], "left_semi").select(g, "a", "b", "cost")
+    few = full.join(large, [g, "component"], "left_anti").groupBy(g, "component").applyInPandas(solve, schema)
+    return few.union(matching_rounds(rest, g).join(rest, [g, "a", "b"]).select(g, "a", "b", "cost"))
+
+
+def matching_sizes(pairs: DataFrame, keys: list[str], most: int = 2_000_000) -> DataFrame:
+    """(keys, matched): how many of pairs(keys, a, b) go together without a common end, per key.
+
+    A key's pairs are solved by one task; they come from samples within one
+    walk's radius, and more than `most` of them is an error.
+    """
 
-    return full.groupBy(g, "component").applyInPandas(solve, f"{g} {dict(full.dtypes)[g]}, a long, b long, cost double")
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise ValueError(f"a walk has more than {most} pairs")
+        pdf = pdf.sort_values(["a", "b"], kind="stable")
+        n = len(largest_matching(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))))
+        return pdf.iloc[:1][keys].assign(matched=n)
+
+    kind = dict(pairs.dtypes)
+    return pairs.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kind[k]}" for k in keys) + ", matched long")
 
 
 def link_assign(costs: DataFrame, g: str = "patch_id", filler: float = 1000.0, most: float = 500.0) -> DataFrame:
@@ -155,27 +262,40 @@ def link_assign(costs: DataFrame, g: str = "patch_id", filler: float = 1000.0, m
     return got.select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cost").distinct()
 
 
-def seam_match(nodes: DataFrame, at: float, buffer: float, most: float, g: str = "image_id") -> DataFrame:
-    """Nodes (g, id, x, y) left and right of a vertical seam matched at least total distance; pairs at most `most` apart, with midpoints.
+def seam_match(nodes: DataFrame, seams: DataFrame, buffer: float, most: float, g: str = "image_id") -> DataFrame:
+    """Nodes (g, id, x, y) on both sides of seams matched at least total distance; pairs at most `most` apart, with truncated midpoints.
 
-    The cut comes after the assignment, so a seam's nodes are solved together.
+    seams: (g, seam, vertical, at, lo, hi). The first side is the seam's own
+    line and up to `buffer` before it, the second up to `buffer` behind. The cut
+    comes after the assignment, so a seam's nodes are solved together: as many
+    as pixels on its two strips at most.
     """
-    near = nodes.where(F.abs(F.col("x") - at) <= buffer)
+    across = F.when(F.col("vertical"), F.col("x")).otherwise(F.col("y"))
+    along = F.when(F.col("vertical"), F.col("y")).otherwise(F.col("x"))
+    near = nodes.join(seams, g).where((across >= F.col("at") - buffer) & (across <= F.col("at") + buffer) & along.between(F.col("lo"), F.col("hi")))
+    near = near.select(g, "seam", "id", "x", "y", (across > F.col("at")).alias("second"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["x"] < at].sort_values("id"), pdf[pdf["x"] >= at].sort_values("id")
-        cols = [g, "a", "b", "x", "y", "dist"]
+        a, b = pdf[~pdf["second"]].sort_values("id"), pdf[pdf["second"]].sort_values("id")
+        cols = [g, "seam", "a", "b", "x", "y", "dist"]
         if not len(a) or not len(b):
             return pd.DataFrame([], columns=cols)
+        d = np.hypot(a["x"].to_numpy()[:, None] - b["x"].to_numpy(), a["y"].to_numpy()[:, None] - b["y"].to_numpy())
         turned = len(a) > len(b)
-        p, q = (b, a) if turned else (a, b)
-        d = np.hypot(p["x"].to_numpy()[:, None] - q["x"].to_numpy(), p["y"].to_numpy()[:, None] - q["y"].to_numpy())
-        m = assignment(d)
-        r = [(pdf[g].iloc[0], *((y, x) if turned else (x, y)), d[k, j]) for k, (j, x) in enumerate(zip(m, p["id"], strict=True)) for y in [q["id"].iloc[j]]]
-        xy = pdf.set_index("id")
-        return pd.DataFrame([(i, x, y, (xy.x[x] + xy.x[y]) / 2, (xy.y[x] + xy.y[y]) / 2, z) for i, x, y, z in r if z <= most], columns=cols)
-
-    return near.groupBy(g).applyInPandas(solve, f"{g} {dict(nodes.dtypes)[g]}, a long, b long, x double, y double, dist double")
+        got = assignment(d.T if turned else d)
+        pairs = [(c, r) for r, c in enumerate(got)] if turned else list(enumerate(got))
+        rows = [(pdf[g].iloc[0], pdf["seam"].iloc[0], a["id"].iloc[i], b["id"].iloc[j], int((a["x"].iloc[i] + b["x"].iloc[j]) / 2), int((a["y"].iloc[i] + b["y"].iloc[j]) / 2), d[i, j]) for i, j in pairs if d[i, j] <= most]
+        return pd.DataFrame(rows, columns=cols)
+
+    kind = dict(near.dtypes)
+    return near.groupBy(g, "seam").applyInPandas(solve, f"{g} {kind[g]}, seam {kind['seam']}, a long, b long, x int, y int, dist double")
+
+
+def segment_box_join(points: DataFrame, segments: DataFrame, reach: float, cell: float, g: str = "image_id") -> DataFrame:
+    """Points (g, lat, lon, ...) with every segment (g, lat1, lon1, lat2, lon2, ...) whose bounding box touches the square `reach` around them."""
+    p = points.withColumns({"al": F.col("lat") - reach, "ar": F.col("lat") + reach, "ab": F.col("lon") - reach, "at": F.col("lon") + reach})
+    q = segments.withColumns({"bl": F.least("lat1", "lat2"), "br": F.greatest("lat1", "lat2"), "bb": F.least("lon1", "lon2"), "bt": F.greatest("lon1", "lon2")})
+    return iterate.box_join(p, q, cell, g).drop("al", "ar", "ab", "at", "bl", "br", "bb", "bt")
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, radius: float, g: str = "image_id") -> DataFrame:

@@ -24,26 +24,26 @@ def rescale8(px: DataFrame, bands: tuple[str, ...] = ("b", "g", "r")) -> DataFra
     return out.select(px.columns)
 
 
-def clahe(px: DataFrame, value: str, tile: int, clip: float = 4.0, size: int = 32) -> DataFrame:
-    """Contrast-limited adaptive equalisation of a band of 0..255 over tiles of a square image.
+def clahe(px: DataFrame, value: str, tile: int, clip: float = 4.0) -> DataFrame:
+    """Contrast-limited adaptive equalisation of a band of 0..255 over tiles of an image, whose size is that of its pixels.
 
     Counts over the clip limit are dealt evenly to all values; each pixel
     blends the cumulative maps of the four tile centres around it.
     """
     n, limit = tile * tile, max(1.0, clip * tile * tile / 256)
+    sizes = px.groupBy(G).agg(F.max(F.floor(F.col("row_") / tile)).alias("last_r"), F.max(F.floor(F.col("col_") / tile)).alias("last_c"))
     tiled = px.select(G, F.floor(F.col("row_") / tile).alias("tr"), F.floor(F.col("col_") / tile).alias("tc"), F.col(value).alias("v"))
     hist = tiled.groupBy(G, "tr", "tc", "v").agg(F.count("*").alias("c"))
     over = hist.groupBy(G, "tr", "tc").agg(F.sum(F.greatest(F.col("c") - limit, F.lit(0.0))).alias("over"))
     run = Window.partitionBy(G, "tr", "tc").orderBy("v")
     cum = hist.join(over, [G, "tr", "tc"]).withColumn("m", 255.0 / n * (F.sum(F.least("c", F.lit(limit))).over(run) + F.col("over") * (F.col("v") + 1) / 256))
-    last = size // tile - 1
     fr, fc = (F.col("row_") + 0.5) / tile - 0.5, (F.col("col_") + 0.5) / tile - 0.5
     corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
-    p = px.select(G, "row_", "col_", F.col(value).alias("v"), corner.alias("o"))
+    p = px.join(sizes, G).select(G, "row_", "col_", F.col(value).alias("v"), "last_r", "last_c", corner.alias("o"))
     wr = F.when(F.col("o.i") == 1, fr - F.floor(fr)).otherwise(1 - (fr - F.floor(fr)))
     wc = F.when(F.col("o.j") == 1, fc - F.floor(fc)).otherwise(1 - (fc - F.floor(fc)))
-    clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(last), x))
-    p = p.select(G, "row_", "col_", "v", clamp(F.floor(fr) + F.col("o.i")).alias("tr"), clamp(F.floor(fc) + F.col("o.j")).alias("tc"), (wr * wc).alias("w"))
+    clamp = lambda x, last: F.greatest(F.lit(0), F.least(F.col(last), x))
+    p = p.select(G, "row_", "col_", "v", clamp(F.floor(fr) + F.col("o.i"), "last_r").alias("tr"), clamp(F.floor(fc) + F.col("o.j"), "last_c").alias("tc"), (wr * wc).alias("w"))
     # a tile may lack a pixel's value: the map of the next lower value holds there, with its share of what was over
     cover = cum.groupBy(G, "tr", "tc").agg(F.array_sort(F.collect_list(F.struct("v", "m"))).alias("map"), F.first("over").alias("over"))  # at most 256 entries
     at = F.filter("map", lambda e: e["v"] <= F.col("v"))
@@ -58,42 +58,87 @@ def valid_ratio(px: DataFrame, nodata: int = 5) -> DataFrame:
     return px.groupBy(G).agg(F.avg(F.when(bad, 0.0).otherwise(1.0)).alias("valid_ratio"))
 
 
+def starts(size: int, crop: int, overlap: int) -> list[int]:
+    """Where the patches along one side begin; the last is flush with the end."""
+    return sorted({*range(0, max(size - crop, 0), crop - overlap), max(size - crop, 0)})
+
+
 def patches(spark: SparkSession, w: int, h: int, crop: int, overlap: int) -> DataFrame:
     """The grid of patches of an image: patch_seq, left, top, right, bottom, the last ones flush with its sides."""
+    rows = [(i, x, y, x + crop, y + crop) for i, (y, x) in enumerate((y, x) for y in starts(h, crop, overlap) for x in starts(w, crop, overlap))]
+    return spark.createDataFrame(rows, "patch_seq int, left int, top int, right int, bottom int")
 
-    def starts(size: int) -> list[int]:
-        return sorted({*range(0, max(size - crop, 0), crop - overlap), max(size - crop, 0)})
 
-    rows = [(i, x, y, x + crop, y + crop) for i, (y, x) in enumerate((y, x) for y in starts(h) for x in starts(w))]
-    return spark.createDataFrame(rows, "patch_seq int, left int, top int, right int, bottom int")
+def _covering(at: Column, size: int, crop: int, overlap: int) -> Column:
+    """Array of (nth, start) of the patches along one side that cover a place: at most a few, by arithmetic."""
+    step, last = crop - overlap, len(starts(size, crop, overlap)) - 1
+    flush = max(size - crop, 0)
+    low = F.greatest(F.lit(0), F.floor((at - crop) / step) + 1)
+    high = F.least(F.lit(last - 1), F.floor(at / step))
+    regular = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    regular = F.transform(regular, lambda k: F.struct(k.cast("int").alias("nth"), (k * step).cast("int").alias("start")))
+    end = F.struct(F.lit(last).alias("nth"), F.lit(flush).alias("start"))
+    return F.filter(F.concat(regular, F.array(end)), lambda p: (p["start"] <= at) & (at < p["start"] + crop))
 
 
-def assign_patches(px: DataFrame, grid: DataFrame) -> DataFrame:
-    """px with every patch that covers a pixel; grid is one image's patches, few by construction."""
-    return px.join(F.broadcast(grid), F.expr("col_ >= left and col_ < right and row_ >= top and row_ < bottom"))
+def assign_patches(px: DataFrame, w: int, h: int, crop: int, overlap: int) -> DataFrame:
+    """px with patch_seq, left and top of every patch of the grid that covers a pixel."""
+    across = len(starts(w, crop, overlap))
+    p = px.withColumn("_x", F.explode(_covering(F.col("col_"), w, crop, overlap))).withColumn("_y", F.explode(_covering(F.col("row_"), h, crop, overlap)))
+    return p.withColumns({"patch_seq": (F.col("_y.nth") * across + F.col("_x.nth")).cast("int"), "left": F.col("_x.start"), "top": F.col("_y.start")}).drop("_x", "_y")
 
 
-def ownership(px: DataFrame, grid: DataFrame, overlap: int) -> DataFrame:
+def ownership(px: DataFrame, w: int, h: int, crop: int, overlap: int) -> DataFrame:
     """(image_id, row_, col_, patch_seq): the first patch whose core holds a pixel.
 
     A core is a patch trimmed by half the overlap on its sides within the image.
     """
-    ends = grid.agg(F.max("right").alias("w"), F.max("bottom").alias("h"))
     half = overlap // 2
-    core = grid.crossJoin(F.broadcast(ends)).selectExpr(
-        "patch_seq",
-        f"if(left = 0, 0, left + {half}) left",
-        f"if(top = 0, 0, top + {half}) top",
-        f"if(right = w, right, right - {half}) right",
-        f"if(bottom = h, bottom, bottom - {half}) bottom",
-    )
-    return assign_patches(px.select(G, "row_", "col_"), core).groupBy(G, "row_", "col_").agg(F.min("patch_seq").alias("patch_seq"))
-
-
-def border_penalty(px: DataFrame, w: int, h: int, band: int, penalty: float = 0.1, value: str = "heat") -> DataFrame:
-    """value less a penalty within `band` pixels of the border."""
+
+    def within(at: str, start: str, size: int) -> Column:
+        low = F.when(F.col(start) == 0, 0).otherwise(F.col(start) + half)
+        high = F.when(F.col(start) == max(size - crop, 0), F.col(start) + crop).otherwise(F.col(start) + crop - half)
+        return (F.col(at) >= low) & (F.col(at) < high)
+
+    p = assign_patches(px.select(G, "row_", "col_"), w, h, crop, overlap)
+    return p.where(within("col_", "left", w) & within("row_", "top", h)).groupBy(G, "row_", "col_").agg(F.min("patch_seq").alias("patch_seq"))
+
+
+def _valid_spans(size: int, crop: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(start, first, last) of what each patch along one side owns: its core without its predecessors' cores."""
+    half, out, taken = overlap // 2, [], 0
+    for s in starts(size, crop, overlap):
+        low = max(s + half if s else 0, taken)
+        taken = s + crop if s == max(size - crop, 0) else s + crop - half
+        out.append((s, low, taken - 1))
+    return out
+
+
+def valid_rects(spark: SparkSession, w: int, h: int, crop: int, overlap: int) -> DataFrame:
+    """(patch_seq, x0, y0, left, top, right, bottom): a patch's corner in the image, and the rectangle that it owns in its own coordinates, sides included."""
+    xs, ys = _valid_spans(w, crop, overlap), _valid_spans(h, crop, overlap)
+    rows = [(i, x, y, x1 - x, y1 - y, x2 - x, y2 - y) for i, ((y, y1, y2), (x, x1, x2)) in enumerate((a, b) for a in ys for b in xs)]
+    return spark.createDataFrame(rows, "patch_seq int, x0 int, y0 int, left int, top int, right int, bottom int")
+
+
+def seams(spark: SparkSession, w: int, h: int, crop: int, overlap: int) -> DataFrame:
+    """(seam, vertical, at, lo, hi): the lower and right sides of what patches own, but for the image's own border."""
+    xs, ys = _valid_spans(w, crop, overlap), _valid_spans(h, crop, overlap)
+    rows = []
+    for _, y1, y2 in ys:
+        for _, x1, x2 in xs:
+            rows += [(False, y2, x1, x2)] * (y2 != h - 1) + [(True, x2, y1, y2)] * (x2 != w - 1)
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seam int, vertical boolean, at int, lo int, hi int")
+
+
+def border_penalty(px: DataFrame, w: int, h: int, band: int, penalty: float = 0.1, values: tuple[str, ...] = ("heat",), dirs: str | None = None) -> DataFrame:
+    """values, and the probabilities of an array column of directions (prob, sin, cos), less a penalty within `band` pixels of the border."""
     near = (F.col("col_") < band) | (F.col("col_") >= w - band) | (F.col("row_") < band) | (F.col("row_") >= h - band)
-    return px.withColumn(value, F.when(near, F.col(value) - penalty).otherwise(F.col(value)))
+    out = px.withColumns({v: F.when(near, F.col(v) - penalty).otherwise(F.col(v)) for v in values})
+    if dirs:
+        less = F.transform(dirs, lambda d: F.struct((d["prob"] - penalty).alias("prob"), d["sin"].alias("sin"), d["cos"].alias("cos")))
+        out = out.withColumn(dirs, F.when(near, less).otherwise(F.col(dirs)))
+    return out
 
 
 def suppress(px: DataFrame, size: int, value: str = "heat", g: str = G) -> DataFrame:
@@ -105,9 +150,9 @@ def suppress(px: DataFrame, size: int, value: str = "heat", g: str = G) -> DataF
 
 
 def top_k(px: DataFrame, k: int, threshold: float, value: str = "heat", g: str = G) -> DataFrame:
-    """The k largest values per image over a threshold, with their rank; ties by row and column."""
+    """Of the k largest values per image those that reach a threshold, with their rank; ties by row and column."""
     w = Window.partitionBy(g).orderBy(F.desc(value), "row_", "col_")
-    return px.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col(value) > threshold))
+    return px.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col(value) >= threshold))
 
 
 def gather(peaks: DataFrame, maps: DataFrame, g: str = G) -> DataFrame:
@@ -121,15 +166,32 @@ def decode_keypoints(px: DataFrame, size: int, k: int, threshold: float) -> Data
     return gather(peaks, px.select(G, "row_", "col_", "b", "g", "r"))
 
 
-def gaussian_maps(kp: DataFrame, radius: int, w: int, h: int, sigma: float = 1.0, k: float = 1.0, g: str = "patch_id") -> DataFrame:
-    """(g, row_, col_, loc, kp_seq): Gaussian weights around keypoints, and whose is the largest (the first at a tie)."""
+def gaussian_maps(kp: DataFrame, radius: int, w: int, h: int, k: float = 1.0, g: str = "patch_id") -> DataFrame:
+    """(g, row_, col_, loc, kp_seq): Gaussian weights around keypoints, and whose is the largest (the first at a tie).
+
+    The standard deviation is a sixth of the diameter 2 r + 1; weights that
+    vanish at single precision are none.
+    """
+    sigma = (2 * radius + 1) / 6
     steps = F.sequence(F.lit(-radius), F.lit(radius))
     at = kp.select(g, "kp_seq", "x", "y", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
     at = at.select(g, "kp_seq", (F.col("y") + F.col("dy")).alias("row_"), (F.col("x") + F.col("dx")).alias("col_"), F.exp(-(F.col("dx") ** 2 + F.col("dy") ** 2) / (2 * sigma * sigma)).alias("wt"))
-    at = at.where(F.col("row_").between(0, h - 1) & F.col("col_").between(0, w - 1))
+    at = at.where(F.col("row_").between(0, h - 1) & F.col("col_").between(0, w - 1) & (F.col("wt") >= 2.0**-52))
     return at.groupBy(g, "row_", "col_").agg((k * F.max("wt")).alias("loc"), (-F.max(F.struct("wt", (-F.col("kp_seq")).alias("n")))["n"]).alias("kp_seq"))
 
 
+def direction_maps(maps: DataFrame, dirs: DataFrame, weighted: bool, g: str = "patch_id", slots: int = 6) -> DataFrame:
+    """(g, row_, col_, slot, prob, sin, cos) of all slots at the pixels of gaussian_maps, from the keypoint with the largest weight.
+
+    dirs: (g, kp_seq, slot, prob, sin, cos); a slot that the keypoint lacks is
+    zero. Weighted, every slot's probability is the pixel's weight.
+    """
+    every = maps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    j = every.join(dirs.select(g, "kp_seq", F.col("slot").cast("int").alias("slot"), "prob", "sin", "cos"), [g, "kp_seq", "slot"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return j.select(g, "row_", "col_", "slot", F.col("loc").alias("prob") if weighted else zero("prob"), zero("sin"), zero("cos"))
+
+
 def keypoint_mask(px: DataFrame, kp: DataFrame) -> DataFrame:
     """px's pixels with 1 at keypoints (image_id, x, y), else 0."""
     marks = kp.select(G, F.col("y").alias("row_"), F.col("x").alias("col_"), F.lit(1).alias("m")).distinct()
@@ -161,9 +223,9 @@ def flip(px: DataFrame, w: int, h: int, horizontal: bool) -> DataFrame:
 
 
 def rotate(px: DataFrame, n: int, turns: int) -> DataFrame:
-    """Pixels of an n x n image turned by quarter turns, counter-clockwise."""
+    """Pixels of an n x n image turned clockwise by quarter turns."""
     for _ in range(turns % 4):
-        px = px.withColumns({"row_": n - 1 - F.col("col_"), "col_": F.col("row_")})
+        px = px.withColumns({"row_": F.col("col_"), "col_": n - 1 - F.col("row_")})
     return px
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
@@ -41,19 +41,19 @@ def _(s, d):
     return _v(s, d).select("image_id", "road_id", "seq", x.alias("px"), y.alias("py"))
 
 
-@query("e2_rowcol_to_latlon", f"select {K}, 41 - y/111111e0 lat, -71 + x/111111e0/cos(radians(41 - y/111111e0)) lon from fx_vertex")
+@query("e2_rowcol_to_latlon", f"select {K}, 41 - y/111111e0 lat, -71 + x/111111e0/cos(radians(41)) lon from fx_vertex")
 def _(s, d):
     lat, lon = geo.rowcol_to_latlon("y", "x")
     return _v(s, d).select("image_id", "road_id", "seq", lat.alias("lat"), lon.alias("lon"))
 
 
-@query("e3_xy_to_latlon", f"select {K}, 41 - x/111111e0 lat, -71 + y/111111e0/cos(radians(41 - x/111111e0)) lon from fx_vertex")
+@query("e3_xy_to_latlon", f"select {K}, 41 - x/111111e0 lat, -71 + y/111111e0/cos(radians(41)) lon from fx_vertex")
 def _(s, d):
     lat, lon = geo.xy_to_latlon("x", "y")
     return _v(s, d).select("image_id", "road_id", "seq", lat.alias("lat"), lon.alias("lon"))
 
 
-_LL = "select image_id, x1, y1, x2, y2, 41 - y1/111111e0 lat1, -71 + x1/111111e0/cos(radians(41 - y1/111111e0)) lon1, 41 - y2/111111e0 lat2, -71 + x2/111111e0/cos(radians(41 - y2/111111e0)) lon2 from fx_edge_gt"
+_LL = "select image_id, x1, y1, x2, y2, 41 - y1/111111e0 lat1, -71 + x1/111111e0/cos(radians(41)) lon1, 41 - y2/111111e0 lat2, -71 + x2/111111e0/cos(radians(41)) lon2 from fx_edge_gt"
 _EK = ["image_id", "x1", "y1", "x2", "y2"]
 _EKS = "image_id, x1, y1, x2, y2"
 
@@ -94,7 +94,7 @@ def _(s, d):
     return _e(s, d).select(*_EK, geo.angle_distance("x1", "y1", "x2", "y2").alias("d"))
 
 
-@query("e10_in_bounds", f"select {_EKS} from ({_LL}) t where (41-lat1)*111111 between 60 and 340 and (lon1+71)*111111*cos(radians(lat1)) between 60 and 340")
+@query("e10_in_bounds", f"select {_EKS} from ({_LL}) t where lat1 > 41 - 400/111111e0 + 60/111111e0 and lat1 < 41 - 60/111111e0 and lon1 > -71 + 60/111111e0/cos(radians(41)) and lon1 < -71 + 400/111111e0/cos(radians(41)) - 60/111111e0/cos(radians(41))")
 def _(s, d):
     return geo_edges(_e(s, d)).where(geo.in_bounds("lat1", "lon1", 400, 60)).select(*_EK)
 
@@ -110,9 +110,9 @@ def _(s, d):
     return _e(s, d).select(*_EK, geo.angle_deg(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")).alias("deg"))
 
 
-@query("e13_vector_angle", f"select {_EKS}, degrees(acos(greatest(-1, least(1, (x1*x2+y1*y2)/(sqrt(x1*x1+y1*y1)*sqrt(x2*x2+y2*y2)+1e-8))))) deg from fx_edge_gt where x1+y1 > 0 and x2+y2 > 0 and x1*y2 <> x2*y1")
+@query("e13_vector_angle", f"select {_EKS}, round(degrees(acos(greatest(-1, least(1, (x1*x2+y1*y2)/greatest(sqrt(x1*x1+y1*y1)*sqrt(x2*x2+y2*y2), 1e-8))))), 4) deg from fx_edge_gt")
 def _(s, d):
-    return _e(s, d).where("x1 + y1 > 0 and x2 + y2 > 0 and x1*y2 <> x2*y1").select(*_EK, geo.vector_angle("x1", "y1", "x2", "y2").alias("deg"))
+    return _e(s, d).select(*_EK, F.round(geo.vector_angle("x1", "y1", "x2", "y2"), 4).alias("deg"))
 
 
 @query("e14_ray_distance", f"select {_EKS}, case when (x1-200)*0.6e0+(y1-200)*0.8e0 < 0 then 10000 else abs((x1-200)*0.8e0-(y1-200)*0.6e0) end d from fx_edge_gt")
@@ -128,16 +128,31 @@ def _(s, d):
 _LERP = "case when {d} <= 30 then {a}::double when {d} >= 448 then {b}::double else {a} + ({d}-30)*(({b}-{a})/418e0) end"
 
 
-@query("e16_pair_cost", f"select {_EKS}, case when x1/4e0 >= {_LERP.format(d='y2', a=60, b=40)} or y1/8e0 >= {_LERP.format(d='y2', a=20, b=60)} then 1000 else (x2/448e0+y1/448e0)*{_LERP.format(d='y2', a=1, b=2)} end cost from fx_edge_gt")
+@query("e16_pair_cost", f"select {_EKS}, case when x1/10e0 >= 44.99e0 + least(y2, 448)*(0.01e0/448) or y1/4e0 >= 70 + least(y2, 448)*(70e0/448) then 1000 else y1/4e0*least(y2, 448)/448e0 end cost from fx_edge_gt")
 def _(s, d):
-    return _e(s, d).select(*_EK, geo.pair_cost("y2", F.col("x1") / 4.0, F.col("y1") / 8.0, F.col("x2") / 448.0, F.col("y1") / 448.0).alias("cost"))
+    return _e(s, d).select(*_EK, geo.pair_cost("y2", F.col("x1") / 10.0, F.col("y1") / 4.0).alias("cost"))
 
 
-@query("e18_clip_segment", f"select {_EKS}, coalesce(case when least(x1,x2) <= 200 and greatest(x1,x2) >= 200 and x1 <> x2 and y1 + (200-x1)*(y2-y1)::double/(x2-x1) between 100 and 300 then cast(round_even(y1 + (200-x1)*(y2-y1)::double/(x2-x1), 0) as int) end, -1) at_left from fx_edge_gt")
+def _side(at, u, v, lo, hi, other, vertical):
+    """SQL of where an edge meets one side of a rectangle."""
+    t = f"({at} - {u}1)::double/({u}2 - {u}1)"
+    o = f"{v}1 + {t}*({v}2 - {v}1)"
+    x, y = (f"{at}::int", f"cast(round_even({o}, 0) as int)") if vertical else (f"cast(round_even({o}, 0) as int)", f"{at}::int")
+    return f"case when {u}1 <> {u}2 and {t} between 0 and 1 and {o} between {lo} and {hi} then {{'t': {t}, 'x': {x}, 'y': {y}}} end"
+
+
+def _clipped(left, top, right, bottom):
+    """SQL list of the distinct points where an edge meets a rectangle, from its first end on."""
+    sides = [_side(left, "x", "y", top, bottom, "y", True), _side(right, "x", "y", top, bottom, "y", True), _side(top, "y", "x", left, right, "x", False), _side(bottom, "y", "x", left, right, "x", False)]
+    return f"list_sort([q for q in [{', '.join(sides)}] if q is not null])"
+
+
+@query("e18_clip_segment", f"select {_EKS}, len(list_distinct([{{'x': q.x, 'y': q.y}} for q in h])) n, h[1].x fx, h[1].y fy, h[-1].x lx, h[-1].y ly from (select *, {_clipped(200, 100, 330, 300)} h from fx_edge_gt) t")
 def _(s, d):
-    hits = geo.clip_segment("x1", "y1", "x2", "y2", 200, 100, 1000, 300)
-    left = F.filter(hits, lambda h: (h["x"] == 200))
-    return _e(s, d).select(*_EK, F.coalesce(F.when(F.col("x1") != F.col("x2"), F.get(left, F.lit(0))["y"]), F.lit(-1)).alias("at_left"))
+    hits = geo.clip_segment("x1", "y1", "x2", "y2", 200, 100, 330, 300)
+    e = _e(s, d).withColumn("h", hits)
+    first, last = F.get("h", F.lit(0)), F.get("h", F.size("h") - 1)
+    return e.select(*_EK, F.size("h").cast("long").alias("n"), first["x"].alias("fx"), first["y"].alias("fy"), last["x"].alias("lx"), last["y"].alias("ly"))
 
 
 @query("e19_ray_segment", f"select {_EKS}, case when det <> 0 and t >= 0 and u between 0 and 1 then 200 + t else 0 end x, case when det <> 0 and t >= 0 and u between 0 and 1 then t else 0 end len from (select *, ey det, case when ey <> 0 then ((x1-200)*ey-(y1-201)*ex)::double/ey end t, case when ey <> 0 then -(y1-201)::double/ey end u from (select *, x2-x1 ex, y2-y1 ey from fx_edge_gt) a) b")
@@ -146,7 +161,7 @@ def _(s, d):
     return _e(s, d).select(*_EK, x.alias("x"), n.alias("len"))
 
 
-@query("e20_window_index", f"select {_EKS}, cast(trunc((41-lat1)/(41-40.99e0)*500) as int) r, cast(trunc((lon1+71)/(-70.99e0+71)*400) as int) c from ({_LL}) t")
+@query("e20_window_index", f"select {_EKS}, 400 - cast(trunc((lat1 - 40.99e0)/((41 - 40.99e0)/400)) as int) r, cast(trunc((lon1+71)/((-70.99e0+71)/500)) as int) c from ({_LL}) t")
 def _(s, d):
     r, c = geo.window_index("lat1", "lon1", 40.99, -71.0, 41.0, -70.99, 400, 500)
     return geo_edges(_e(s, d)).select(*_EK, r.alias("r"), c.alias("c"))
@@ -182,12 +197,13 @@ _IDE = f"(select e.image_id, a.id n1, b.id n2 from fx_edge_gt e join {_NODES} a
 
 @query("g1_edges", "select * from fx_edge_gt")
 def _(s, d):
-    return _e(s, d)
+    # roads numbered anew in every image, as files number them
+    return graph.edges_from_vertices(_v(s, d).withColumn("road_id", F.col("road_id") % 50))
 
 
 @query("g1_edges_pred", "select * from fx_edge_pred")
 def _(s, d):
-    return table(s, d, "fx_edge_pred")
+    return graph.edges_from_vertices(table(s, d, "fx_vertex_pred").withColumns({"part": F.col("road_id") % 5, "road_id": F.floor((F.col("road_id") % 50) / 5)}))
 
 
 @query("g2_degree", f"select image_id, x, y, cast(count(distinct (nx, ny)) as int) degree from {_BOTH} b group by 1,2,3")
@@ -221,6 +237,11 @@ def _(s, d):
     return graph.chain_table(_e(s, d))
 
 
+@query("g6_ring_halves")
+def _(s, d):
+    return graph.ring_halves(_e(s, d)).select("image_id", "half", "pos", "x", "y")
+
+
 @query("g7_simplify")
 def _(s, d):
     return graph.simplify(_e(s, d), 3.0)
@@ -231,10 +252,15 @@ def _(s, d):
     return graph.merge_close(_e(s, d), 17)
 
 
+@query("g9_separate_border_ends")
+def _(s, d):
+    return graph.separate_border_ends(_e(s, d), 448, 448, 80, 40, 5)
+
+
 @query("g10_merge_at_seams")
 def _(s, d):
     e = _e(s, d)
-    seams = e.select("image_id").distinct().withColumns({"vertical": F.lit(True), "at": F.lit(224)})
+    seams = e.select("image_id").distinct().withColumns({"vertical": F.lit(True), "at": F.lit(224), "lo": F.lit(0), "hi": F.lit(300)})
     return graph.merge_at_seams(e, seams, 40, 17)
 
 
@@ -243,34 +269,40 @@ def _(s, d):
     return graph.connect_ends(_e(s, d), 448, 448, 30, 20)
 
 
-_IN = "x{0} between 100 and 350 and y{0} between 100 and 350"
+def _cut_sql(source, keys, left, top, right, bottom):
+    """SQL of edges cut at a rectangle: inside ends stay, others give way to the boundary."""
+    inside = lambda k: f"x{k} between {left} and {right} and y{k} between {top} and {bottom}"
+    p = f"case when {inside(1)} then {{'x': x1, 'y': y1}} when {inside(2)} then {{'x': h[1].x, 'y': h[1].y}} when len(h) > 1 then {{'x': h[1].x, 'y': h[1].y}} end"
+    q = f"case when {inside(2)} then {{'x': x2, 'y': y2}} when {inside(1)} then {{'x': h[-1].x, 'y': h[-1].y}} when len(h) > 1 then {{'x': h[-1].x, 'y': h[-1].y}} end"
+    return f"select distinct {keys}, least(p, q).x x1, least(p, q).y y1, greatest(p, q).x x2, greatest(p, q).y y2 from (select *, {p} p, {q} q from (select *, {_clipped(left, top, right, bottom)} h from {source}) a) b where p.x is not null and q.x is not null and (p.x <> q.x or p.y <> q.y)"
 
 
-@query("g12_cut_inside", f"select {_EKS} from fx_edge_gt where {_IN.format(1)} and {_IN.format(2)}")
+@query("g12_cut_inside", _cut_sql("fx_edge_gt", "image_id", 100, 100, 350, 350))
 def _(s, d):
     e = _e(s, d).withColumns({"left": F.lit(100), "top": F.lit(100), "right": F.lit(350), "bottom": F.lit(350)})
-    cut = graph.cut_at_rect(e).select(*_EK)
-    return cut.where(f"{_IN.format(1)} and {_IN.format(2)}").join(_e(s, d), _EK, "left_semi")
+    return graph.cut_at_rect(e).select(*_EK).distinct()
+
+
+_TILES = "(select e.*, cast(3*(t.a//124) + l.a//124 as int) tile, l.a lft, t.a tp, l.a + 199 rgt, t.a + 199 btm from fx_edge_gt e cross join (select unnest([0, 150, 248]) a) l cross join (select unnest([0, 150, 248]) a) t)"
 
 
-@query("g13_crop")
+@query("g13_crop", f"select image_id, tile, x1-lft x1, y1-tp y1, x2-lft x2, y2-tp y2 from ({_cut_sql(_TILES, 'image_id, tile, lft, tp', 'lft', 'tp', 'rgt', 'btm')}) c")
 def _(s, d):
     from waymesh.operators.raster import patches
 
     e = _e(s, d)
-    tiles = e.select("image_id").distinct().crossJoin(F.broadcast(patches(s, 448, 448, 200, 50)))
-    return graph.crop(e, tiles.withColumnRenamed("patch_seq", "tile"))
+    tiles = e.select("image_id").distinct().crossJoin(F.broadcast(patches(s, 448, 448, 200, 50))).withColumnRenamed("patch_seq", "tile")
+    return graph.crop(e, tiles.withColumns({"right": F.col("right") - 1, "bottom": F.col("bottom") - 1}))
 
 
-@query("g14_hop_neighbourhood", f"with recursive ids as (select * from {_IDE} q), b as (select image_id, n1 a, n2 b from ids union select image_id, n2, n1 from ids), walk as (select distinct image_id, a src, a node, 0 h from b where a < 10 union select w.image_id, src, b.b, h+1 from walk w join b on b.image_id=w.image_id and b.a=w.node where h < 3) select image_id, src source, node, min(h) hops from walk group by 1,2,3")
+@query("g14_hop_neighbourhood", f"with recursive ids as (select * from {_IDE} q), b as (select image_id, n1 a, n2 b from ids union select image_id, n2, n1 from ids), walk as (select distinct image_id, a src, a node, 0 h from b union select w.image_id, src, b.b, h+1 from walk w join b on b.image_id=w.image_id and b.a=w.node where h < 3) select image_id, src source, node, min(h) hops from walk group by 1,2,3")
 def _(s, d):
-    _, e = graph.to_node_edge(_e(s, d))
-    e = e.select("image_id", F.col("n1").alias("a"), F.col("n2").alias("b"), F.lit(1).alias("w"))
-    src = e.select("image_id", F.explode(F.array("a", "b")).alias("source")).distinct().where("source < 10")
+    e = graph.to_node_edge(_e(s, d))[1].select("image_id", F.col("n1").alias("a"), F.col("n2").alias("b"), F.lit(1).alias("w"))
+    src = e.select("image_id", F.explode(F.array("a", "b")).alias("source")).distinct()
     return iterate.shortest_paths(e, src, max_hops=3).withColumnRenamed("dist", "hops")
 
 
-_KEYS = "cast(round_even((lat1+(lat2-lat1)*({i})/n)*1e7,0) as bigint) ka{k}, cast(round_even((lon1+(lon2-lon1)*({i})/n)*1e7,0) as bigint) ko{k}"
+_KEYS = "cast(round_even((lat1*(1-({i})::double/n)+lat2*(({i})::double/n))*1e7,0) as bigint) ka{k}, cast(round_even((lon1*(1-({i})::double/n)+lon2*(({i})::double/n))*1e7,0) as bigint) ko{k}"
 
 
 @query("g15_densify", f"select distinct * from (select image_id, {_KEYS.format(i='i', k=1)}, {_KEYS.format(i='i+1', k=2)} from (select *, unnest(range(n)) i from (select *, case when d > 3 then cast(trunc(d/2) as bigint)+1 else 1 end n from (select *, sqrt(pow(lat1-lat2,2)+pow((lon1-lon2)*cos(radians(lat1)),2))*111111 d from ({_LL}) a) b) c) e) f where not (ka1=ka2 and ko1=ko2)")
@@ -283,11 +315,21 @@ def _(s, d):
     return graph.road_graph(_e(s, d))[1]
 
 
-@query("g16_road_nodes", f"select image_id, id node_id, 41 - x/111111e0 lat, -71 + y/111111e0/cos(radians(41 - x/111111e0)) lon from {_NODES} n")
+@query("g16_road_nodes", f"select image_id, id node_id, 41 - x/111111e0 lat, -71 + y/111111e0/cos(radians(41)) lon from {_NODES} n")
 def _(s, d):
     return graph.road_graph(_e(s, d))[0]
 
 
+@query("g17_attach_edges", f"with n as (select image_id, id*7 k, id node_id from {_NODES} q), top as (select image_id, max(node_id) t from n group by 1), le as (select image_id, count(*)-1 last from {_IDE} q group by 1), w as (select image_id, id*14 k, 0 n2 from {_NODES} q where id % 5 = 0), f as (select image_id, k, t + row_number() over (partition by image_id order by k) node_id from (select distinct w.image_id, w.k from w where not exists (select 1 from n where n.image_id=w.image_id and n.k=w.k)) u join top using (image_id)) select w.image_id, last + row_number() over (partition by w.image_id order by w.k, n2) edge_id, e.node_id n1, n2 from w join (select image_id, k, node_id from n union all select * from f) e on e.image_id=w.image_id and e.k=w.k join le on le.image_id=w.image_id")
+def _(s, d):
+    n, e = graph.to_node_edge(_e(s, d))
+    ids = F.row_number().over(Window.partitionBy("image_id").orderBy("n1", "n2")) - 1
+    old = e.select("image_id", ids.alias("edge_id"), "n1", "n2", F.lit(1).alias("score"))
+    nodes = n.select("image_id", (F.col("node_id") * 7).alias("key"), "node_id", "lat", "lon")
+    new = n.where("node_id % 5 = 0").select("image_id", (F.col("node_id") * 14).alias("key"), "lat", "lon", F.lit(0).alias("n2"), F.lit(2).alias("score"))
+    return graph.attach_edges(nodes, old, new)[1].where("score = 2").select("image_id", "edge_id", "n1", "n2")
+
+
 @query("g18_reverse_links", f"select image_id, n2 n1, n1 n2 from {_IDE} q")
 def _(s, d):
     return graph.reverse_links(graph.to_node_edge(_e(s, d))[1])
@@ -304,34 +346,35 @@ def _(s, d):
     return graph.remove_nodes(e, n.where("node_id % 5 = 0")).select("image_id", "n1", "n2")
 
 
-@query("g21_remove_dead_ends", f"with e as (select * from {_IDE} q), h as (select image_id, n1 id, n2 n, 1 o, 0 i from e union all select image_id, n2, n1, 0, 1 from e), dead as (select image_id, id from h group by 1,2 having count(distinct n)=1 or sum(o)=0 or sum(i)=0) select image_id, n1, n2 from e where not exists (select 1 from dead where dead.image_id=e.image_id and dead.id in (n1, n2))")
+@query("g21_remove_dead_ends", f"with e as (select * from {_IDE} q), h as (select image_id, n1 id, n2 n, 1 o, 0 i from e union all select image_id, n2, n1, 0, 1 from e), dead as (select image_id, id from h group by 1,2 having (count(distinct n)=1 or sum(o)=0 or sum(i)=0) and id % 13 <> 0) select image_id, n1, n2 from e where not exists (select 1 from dead where dead.image_id=e.image_id and dead.id in (n1, n2))")
 def _(s, d):
-    return graph.remove_dead_ends(graph.to_node_edge(_e(s, d))[1]).select("image_id", "n1", "n2")
-
-
-_SP = f"with recursive nn as (select * from {_NODES} q0), ids as (select q.*, cast(trunc(100*sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) as bigint) w from {_IDE} q join nn a on a.image_id=q.image_id and a.id=n1 join nn b on b.image_id=q.image_id and b.id=n2), b as (select image_id, n1 a, n2 b, w from ids union select image_id, n2, n1, w from ids), walk as (select distinct image_id, a src, a node, cast(0 as bigint) dist from b where a < 3 union select w.image_id, src, b.b, dist + b.w from walk w join b on b.image_id=w.image_id and b.a=w.node where dist + b.w <= 9000)"
+    n, e = graph.to_node_edge(_e(s, d))
+    return graph.remove_dead_ends(e, n.where("node_id % 13 = 0")).select("image_id", "n1", "n2")
 
 
 def _weighted(s, d):
     n, e = graph.to_node_edge(_e(s, d))
     p = n.select("image_id", "node_id", "x", "y")
     e = e.join(p.toDF("image_id", "n1", "xa", "ya"), ["image_id", "n1"]).join(p.toDF("image_id", "n2", "xb", "yb"), ["image_id", "n2"])
-    return e.select("image_id", F.col("n1").alias("a"), F.col("n2").alias("b"), (100 * geo.euclidean("xa", "ya", "xb", "yb")).cast("long").alias("w"))
+    return e.select("image_id", F.col("n1").cast("long").alias("a"), F.col("n2").cast("long").alias("b"), (100 * geo.euclidean("xa", "ya", "xb", "yb")).cast("long").alias("w"))
 
 
-@query("g23_shortest_paths", f"{_SP} select image_id, src source, node, min(dist) dist from walk group by 1,2,3")
+@query("g23_shortest_paths")
 def _(s, d):
-    e = _weighted(s, d)
-    src = e.select("image_id", F.explode(F.array("a", "b")).alias("source")).distinct().where("source < 3")
-    return iterate.shortest_paths(e, src, max_dist=9000)
+    e = iterate.cut(_weighted(s, d))
+    ends = iterate.degree(e).where("degree <> 2").select("image_id", F.col("node").alias("source"))
+    pairs = ends.join(ends.withColumnRenamed("source", "node"), "image_id").where("source < node")
+    both = e.union(e.select("image_id", "b", "a", "w"))
+    found = iterate.paths_by_group(both, pairs)
+    return pairs.join(found, ["image_id", "source", "node"], "left").select("image_id", "source", "node", F.coalesce("dist", F.lit(-1)).alias("dist"))
 
 
-@query("g22_single_pair", f"{_SP} select image_id, coalesce(min(case when node = 5 then dist end)/100e0, -0.01) dist from walk where src = 0 group by 1")
+@query("g22_single_pair")
 def _(s, d):
-    e = _weighted(s, d)
-    src = e.select("image_id", F.lit(0).cast("int").alias("source")).distinct()
-    got = iterate.shortest_paths(e, src, max_dist=9000)
-    return got.groupBy("image_id").agg(F.coalesce(F.min(F.when(F.col("node") == 5, F.col("dist"))) / 100.0, F.lit(-0.01)).alias("dist"))
+    e = iterate.cut(_weighted(s, d))
+    last = e.groupBy("image_id").agg(F.max("b").alias("last"))
+    got = iterate.shortest_paths(e, last.select("image_id", F.lit(0).cast("long").alias("source")))
+    return last.join(got, (got["image_id"] == last["image_id"]) & (got["node"] == last["last"]), "left").select(last["image_id"], F.coalesce(F.col("dist") / 100.0, F.lit(-0.01)).alias("dist"))
 
 
 _SET = "(select image_id, row_, col_, heat from fx_pixel where heat > 0.3)"
@@ -347,9 +390,9 @@ def _(s, d):
     return graph.skeleton_ends(table(s, d, "fx_pixel").where("heat > 0.3"))
 
 
-@query("g29_pixel_components", "with recursive p as (select image_id, row_, col_, heat, row_*32+col_ id from fx_pixel where heat > 0.35 and image_id < 9), adj as (select a.image_id, a.id a, b.id b from p a join p b on a.image_id=b.image_id and abs(a.row_-b.row_)<=1 and abs(a.col_-b.col_)<=1 and a.id<>b.id), reach as (select image_id, id src, id node from p union select r.image_id, r.src, adj.b from reach r join adj on adj.image_id=r.image_id and adj.a=r.node), comp as (select image_id, node, min(src) c from reach group by 1,2) select p.image_id, c // 32 comp_row, c % 32 comp_col, count(*) size, arg_max(row_, (heat, -id)) row_, arg_max(col_, (heat, -id)) col_, count(*) >= 4 is_road from p join comp on comp.image_id=p.image_id and comp.node=p.id group by p.image_id, c")
+@query("g29_pixel_components", "with recursive p as (select image_id, row_, col_, heat, row_*32+col_ id from fx_pixel where heat > 0.35), adj as (select a.image_id, a.id a, b.id b from p a join p b on a.image_id=b.image_id and abs(a.row_-b.row_)<=1 and abs(a.col_-b.col_)<=1 and a.id<>b.id), reach as (select image_id, id src, id node from p union select r.image_id, r.src, adj.b from reach r join adj on adj.image_id=r.image_id and adj.a=r.node), comp as (select image_id, node, min(src) c from reach group by 1,2) select p.image_id, c // 32 comp_row, c % 32 comp_col, count(*) size, arg_max(row_, (heat, -id)) row_, arg_max(col_, (heat, -id)) col_, count(*) >= 4 is_road from p join comp on comp.image_id=p.image_id and comp.node=p.id group by p.image_id, c")
 def _(s, d):
-    return graph.pixel_components(table(s, d, "fx_pixel").where("heat > 0.35 and image_id < 9"))
+    return graph.pixel_components(table(s, d, "fx_pixel").where("heat > 0.35"))
 
 
 @query("g30_keypoint_directions", f"select image_id, x, y, nx, ny, sn sin, cs cos, case when degrees(atan2(sn,cs)) < 0 then degrees(atan2(sn,cs))+360 else degrees(atan2(sn,cs)) end deg from (select *, (ny-y)/sqrt((x-nx)*(x-nx)+(y-ny)*(y-ny)) sn, (nx-x)/sqrt((x-nx)*(x-nx)+(y-ny)*(y-ny)) cs from {_BOTH} b) t")
@@ -357,16 +400,18 @@ def _(s, d):
     return graph.keypoint_directions(_e(s, d))
 
 
-@query("s5_adjacency", f"select image_id, x node_x, y node_y, count(*) n, min(nx*1000+ny) lo, max(nx*1000+ny) hi from {_BOTH} b group by 1,2,3")
+@query("s5_adjacency", f"select image_id, x node_x, y node_y, string_agg(nx || ':' || ny, ',' order by nx, ny) near from {_BOTH} b group by 1,2,3")
 def _(s, d):
     a = graph.to_adjacency(_e(s, d))
-    one = lambda c: c["x"] * 1000 + c["y"]
-    return a.select("image_id", F.col("node.x").alias("node_x"), F.col("node.y").alias("node_y"), F.size("neighbors").cast("long").alias("n"), one(F.element_at("neighbors", 1)).alias("lo"), one(F.element_at("neighbors", -1)).alias("hi"))
+    near = F.array_join(F.transform("neighbors", lambda n: F.concat(n["x"].cast("string"), F.lit(":"), n["y"].cast("string"))), ",")
+    return a.select("image_id", F.col("node.x").alias("node_x"), F.col("node.y").alias("node_y"), near.alias("near"))
 
 
 @query("s6_adjacency_import", "select * from fx_edge_gt")
 def _(s, d):
-    return graph.from_adjacency(graph.to_adjacency(_e(s, d)))
+    # lists that name half of the neighbours twice, and every node itself
+    a = graph.to_adjacency(_e(s, d))
+    return graph.from_adjacency(a.withColumn("neighbors", F.concat("neighbors", F.array("node"), F.slice("neighbors", 1, 2))))
 
 
 @query("s7_node_edge_list", f"select * from {_IDE} q")
@@ -376,12 +421,50 @@ def _(s, d):
 
 @query("g31_graph_from_links", "select * from fx_edge_gt where x1 < x2")
 def _(s, d):
-    return graph.from_adjacency(graph.to_adjacency(_e(s, d))).where("x1 < x2")
+    n, e = graph.to_node_edge(_e(s, d).where("x1 < x2"))
+    links = e.union(e.select("image_id", "n2", "n1")).union(e.select("image_id", "n1", "n1"))
+    return graph.edges_from_links(n, links.toDF("image_id", "i", "j"))
+
+
+@query("path_error")
+def _(s, d):
+    from waymesh.operators import metrics
+
+    return metrics.one_way(_e(s, d), table(s, d, "fx_edge_pred")).select("image_id", "n", (1 - F.col("score")).alias("error"))
+
+
+@query("g24_position_distance")
+def _(s, d):
+    from waymesh.operators import topology
+
+    n, e = graph.road_graph(_e(s, d))
+    p = n.select("image_id", "node_id", "lat", "lon")
+    at = e.where("n1 < n2").join(p.toDF("image_id", "n1", "lat1", "lon1"), ["image_id", "n1"]).join(p.toDF("image_id", "n2", "lat2", "lon2"), ["image_id", "n2"])
+    at = at.select("image_id", "edge_id", "n1", "n2", (geo.deg_distance("lat1", "lon1", "lat2", "lon2") / 4).alias("d"))
+    a = at.select("image_id", F.col("edge_id").alias("pair"), F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("d").alias("ad1"), (3 * F.col("d")).alias("ad2"))
+    b = at.select("image_id", (F.col("edge_id") + 3).alias("pair"), F.col("n1").alias("b1"), F.col("n2").alias("b2"), (2 * F.col("d")).alias("bd1"), (2 * F.col("d")).alias("bd2"))
+    return topology.edge_position_distance(p, e, a.join(b, ["image_id", "pair"]), 0.002)
+
 
+def _starts(s, d):
+    n, e = graph.road_graph(_e(s, d))
+    p = n.select("image_id", "node_id", "lat", "lon")
+    at = e.where("n1 < n2 and edge_id % 20 = 0").join(p.toDF("image_id", "n1", "lat1", "lon1"), ["image_id", "n1"]).join(p.toDF("image_id", "n2", "lat2", "lon2"), ["image_id", "n2"])
+    off = geo.deg_distance("lat1", "lon1", "lat2", "lon2") / 2
+    return p, e, at.select("image_id", F.col("edge_id").alias("start"), "n1", "n2", off.alias("d1"), off.alias("d2"))
 
-@query("path_error", f"{_SP.replace('fx_edge_gt', 'fx_edge_gt')} select image_id, count(*) pairs, sum(dist)/100e0 total from (select image_id, src, node, min(dist) dist from walk group by 1,2,3) t group by 1")
+
+@query("g25_walk")
 def _(s, d):
-    e = _weighted(s, d)
-    src = e.select("image_id", F.explode(F.array("a", "b")).alias("source")).distinct().where("source < 3")
-    got = iterate.shortest_paths(e, src, max_dist=9000)
-    return got.groupBy("image_id").agg(F.count("*").alias("pairs"), (F.sum("dist") / 100.0).alias("total"))
+    from waymesh.operators import topology
+
+    p, e, starts = _starts(s, d)
+    return topology.walk(p, e, starts, r=0.0008)
+
+
+@query("g26_walk_from_nodes")
+def _(s, d):
+    from waymesh.operators import topology
+
+    p, e, starts = _starts(s, d)
+    return topology.walk_from_nodes(p, e, starts.select("image_id", "start", F.col("n1").alias("node")), r=0.0008)

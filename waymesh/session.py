@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Where that setting is absent (tests, one machine) a folder of this machine
-    is made and set once.
+    Where that setting is absent a folder of this machine is made and set once,
+    with a local master (tests, one machine) only; a cluster has to name one.
     """
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have.rstrip("/")
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(conf or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

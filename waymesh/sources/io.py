@@ -20,9 +20,9 @@ def read_geojson(spark: SparkSession, path: str, types: tuple[str, ...] = ("Line
     return p.select("file", "road_id", "part", "seq", F.get("c", F.lit(0)).alias("lon"), F.get("c", F.lit(1)).alias("lat"))
 
 
-def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """(image_name, height, width, kp_seq, x, y, flat) of dataset files."""
-    rec = spark.read.schema(DATASET).option("multiLine", True).json(path).select(F.explode("dataset_info").alias("r"))
+def read_dataset_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(image_name, height, width, kp_seq, x, y, flat) of dataset files: one document each, or with `lines` one on every line, as written below."""
+    rec = spark.read.schema(DATASET).option("multiLine", not lines).json(path).select(F.explode("dataset_info").alias("r"))
     k = rec.select("r.image_name", "r.height", "r.width", F.posexplode("r.keypoints").alias("kp_seq", "k"))
     return k.select("image_name", "height", "width", "kp_seq", F.get("k.location", F.lit(0)).alias("x"), F.get("k.location", F.lit(1)).alias("y"), F.col("k.directions").alias("flat"))
 
@@ -54,12 +54,12 @@ def score_lines(scores: DataFrame, a: str, b: str, c: str) -> DataFrame:
 
 def parse_path_line(line) -> F.Column:
     """The last number of a path-score line; null where it isn't one."""
-    return F.try_to_number(F.element_at(F.split(line, " "), -1), F.lit("S999999.999999")).cast("double")
+    return F.element_at(F.split(F.trim(line), " +"), -1).try_cast("double")
 
 
 def parse_topology_line(line) -> tuple[F.Column, F.Column]:
     """precision and recall of a line; zeros where absent."""
-    get = lambda k: F.coalesce(F.nullif(F.regexp_extract(line, rf"{k}=([-0-9.]+)", 1), F.lit("")).cast("double"), F.lit(0.0))
+    get = lambda k: F.coalesce(F.regexp_extract(line, rf"{k}=([-+.0-9eE]+|[nN]a[nN])", 1).try_cast("double"), F.lit(0.0))
     return get("precision"), get("recall")
 
 
@@ -68,10 +68,57 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def forest_edges(forest: DataFrame, region: tuple[float, float, float, float]) -> DataFrame:
-    """(tree_id, n1, n2) parent to node within a region; a node with a similar one stands for it."""
+def forest_edges(forest: DataFrame, region: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """Directed edges (n1, n2, lat1, lon1, lat2, lon2) from parents to nodes within a region, and terminal nodes (node).
+
+    forest: (tree_id, id, parent, lat, lon, sim_tree, sim_id, out_region). A
+    node is (t, i). A node that is similar to another stands for it, as a child
+    only: the parent of an edge is always the tree's own node. The region is
+    asked of the child; the parent of a node that leaves it is a terminal.
+    """
     lo_lat, lo_lon, hi_lat, hi_lon = region
-    f = forest.where(F.col("lat").between(lo_lat, hi_lat) & F.col("lon").between(lo_lon, hi_lon))
-    own = f.select("tree_id", "id", F.struct(F.coalesce("sim_tree", "tree_id").alias("t"), F.coalesce("sim_id", "id").alias("i")).alias("node"), "parent")
-    up = own.select("tree_id", F.col("id").alias("parent"), F.col("node").alias("n1"))
-    return own.join(up, ["tree_id", "parent"]).select("n1", F.col("node").alias("n2")).where("n1 <> n2").distinct()
+    place = forest.select("tree_id", "id", "lat", "lon")
+    kept = forest.where(F.col("lat").between(lo_lat, hi_lat) & F.col("lon").between(lo_lon, hi_lon))
+    up = place.toDF("tree_id", "parent", "lat1", "lon1")
+    like = place.toDF("sim_tree", "sim_id", "lats", "lons")
+    e = kept.join(up, ["tree_id", "parent"]).join(like, ["sim_tree", "sim_id"], "left")
+    node = lambda t, i: F.struct(F.col(t).alias("t"), F.col(i).alias("i"))
+    own = F.col("sim_tree").isNull()
+    edges = e.select(
+        node("tree_id", "parent").alias("n1"),
+        F.when(own, node("tree_id", "id")).otherwise(node("sim_tree", "sim_id")).alias("n2"),
+        "lat1",
+        "lon1",
+        F.when(own, F.col("lat")).otherwise(F.col("lats")).alias("lat2"),
+        F.when(own, F.col("lon")).otherwise(F.col("lons")).alias("lon2"),
+    )
+    ends = kept.where("out_region = 1").select(node("tree_id", "parent").alias("node")).distinct()
+    return edges.groupBy("n1", "n2").agg(*(F.min(c).alias(c) for c in ("lat1", "lon1", "lat2", "lon2"))), ends
+
+
+def append_summary(summary: DataFrame, path: str) -> None:
+    """Append summary rows as lines of `name: value` text."""
+    summary.select(F.concat_ws(": ", "name", F.col("value").cast("string")).alias("value")).write.mode("append").text(path)
+
+
+def read_tiles(spark: SparkSession, path: str, bands: int = 3) -> DataFrame:
+    """(file, row_, col_, band0, ...) of raster tiles in .npy files of shape (rows, columns[, bands]); another shape or a pickled file is an error."""
+    names = [f"band{k}" for k in range(bands)]
+
+    def pixels(batches):
+        import io as _bytes
+
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for f, data in zip(b["path"], b["content"], strict=True):
+                a = np.load(_bytes.BytesIO(data), allow_pickle=False)
+                a = a[:, :, None] if a.ndim == 2 else a
+                if a.ndim != 3 or a.shape[2] != bands:
+                    raise ValueError(f"{f} has shape {a.shape}, not (rows, columns, {bands})")
+                r, c = np.indices(a.shape[:2])
+                yield pd.DataFrame({"file": f, "row_": r.ravel(), "col_": c.ravel(), **{n: a[:, :, k].ravel().astype(float) for k, n in enumerate(names)}})
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    return raw.mapInPandas(pixels, "file string, row_ int, col_ int, " + ", ".join(f"{n} double" for n in names))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+G = "image_id"
+
 
 def running_scores(scores: DataFrame, by: tuple[str, ...] = ("run_id",), value: str = "apls") -> DataFrame:
     """Sum, count and mean per group without NaN; for a batch or a stream (complete or update output)."""
@@ -14,15 +16,38 @@ def running_scores(scores: DataFrame, by: tuple[str, ...] = ("run_id",), value:
     return scores.groupBy(*by).agg(F.sum(ok).alias("total"), F.count(ok).alias("n"), F.avg(ok).alias("mean"))
 
 
+def keep_running(scores: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = ("run_id",), value: str = "apls"):
+    """Start a stream that keeps running_scores of arriving scores as Parquet at path, written anew after every micro-batch."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(path)
+
+    return running_scores(scores, by, value).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def score_on_arrival(arriving: DataFrame, metric: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Start a stream that scores the images of each micro-batch not scored before and writes them by batch.
+    """Start a stream that scores arriving prediction edges (image_id, ...) with a metric of (image_id, ...) rows, at path.
 
-    A batch that is run again overwrites its own folder, so results stay whole.
+    Edges are kept by micro-batch, and a batch scores the images whose edges it
+    adds to, from all their edges so far; an image with nothing new is skipped,
+    and one without a row of the metric gets a null row. A batch that is run
+    again overwrites its own folders, so results stay whole.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        done = None if n == 0 else df.sparkSession.read.parquet(path).where(F.col("batch") < n).select("image_id").distinct()
-        fresh = df if done is None else df.join(done, "image_id", "left_anti")
-        metric(fresh).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        spark, cols = df.sparkSession, df.columns
+        earlier = spark.read.parquet(f"{path}/edges").where(F.col("batch") < n).select(cols) if n else spark.createDataFrame([], df.schema)
+        fresh = df.distinct().join(earlier, cols, "left_anti") if n else df.distinct()
+        fresh.write.mode("overwrite").parquet(f"{path}/edges/batch={n}")
+        fresh = spark.read.schema(df.schema).parquet(f"{path}/edges/batch={n}")
+        touched = fresh.select(G).distinct()
+        whole = fresh.union(earlier.join(touched, G, "left_semi"))
+        touched.join(metric(whole), G, "left").write.mode("overwrite").parquet(f"{path}/scores/batch={n}")
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The last score of every image that score_on_arrival wrote at path."""
+    w = Window.partitionBy(G).orderBy(F.desc("batch"))
+    return spark.read.parquet(f"{path}/scores").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
