@@ -222,7 +222,10 @@ def test_topology_score_equals_a_scan(spark, roads):
                 if near and tp[i].gap((me["n1"], me["n2"], me["d1"], me["d2"]), (o["n1"], o["n2"], o["d1"], o["d2"]), 0.0003) < 0.0002:
                     marked.add(t)
     thin = {(r["image_id"], r["start"]) for r in topology.thin(scores, *x.pred).collect()}
-    assert thin == set(kept) and len(thin) < len(got)
+    assert thin == set(kept)
+    # were every result unsure, those next to a better one would go
+    unsure = iterate.cut(scores.withColumn("precision", scores["precision"] * 0.8))
+    assert 0 < topology.thin(unsure, *x.pred, near=0.0006, reach=0.0008).count() < len(got)
     final = {r["image_id"]: r for r in topology.topo(pred, truth).collect()}
     for i in tt:
         mine = [r for k, r in kept.items() if k[0] == i]

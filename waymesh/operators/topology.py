@@ -99,7 +99,7 @@ def walk(nodes: DataFrame, dedges: DataFrame, starts: DataFrame, step: float = 0
     first = F.col("o").isNull() | (F.struct("dist", F.col("u").alias("k")) <= F.col("o"))
     limit = F.when(first, F.col("l")).otherwise(F.col("l") - F.col("covered"))
     k = both.where("n >= 0 and not hidden").withColumn("limit", limit).withColumn("off", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n")), lambda i: F.col("bias") + i * step)))
-    k = k.where("off <= limit and off < l and dist + off <= r")
+    k = k.where("off <= limit and off < l and dist + off <= r * (1 + 1e-12)")
     part = F.col("off") / F.col("l")
     pts = k.select(G, "start", (F.col("lat2") * part + F.col("lat1") * (1 - part)).alias("lat"), (F.col("lon2") * part + F.col("lon1") * (1 - part)).alias("lon"), (F.col("lat2") - F.col("lat1")).alias("dlat"), (F.col("lon2") - F.col("lon1")).alias("dlon"), "two_way")
     if own:
