@@ -91,6 +91,29 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the leading components of all different ones, whitened; a deviation too large for 64 bits is null."""
+    from waymesh.llm.whitening import whiten
+
+    out = whiten(_table(spark, sf_dir, "embeddings"), k=4, scale=256)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of all sources takes."""
+    from waymesh.llm.mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents"), keep=("doc_id",), weights=(5, 2, 1), limit=3)
+    return out.select("kept.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the manifest of all, and whether it still leads to the root after some were tampered with."""
+    from waymesh.llm.manifest import verified
+
+    return verified(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline's rows; see corpus_pipeline.py."""
     import corpus_pipeline
@@ -111,12 +134,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_token_ids": op9_token_ids,
         "op10_merkle_fingerprints": op10_merkle_fingerprints,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_source_mixing": op12_source_mixing,
+        "op13_dataset_manifest": op13_dataset_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from waymesh.llm.licenses import scan_sql
+    from waymesh.llm.manifest import verified_sql
+    from waymesh.llm.mixing import mix_sql
 
     return {
         "op4_license_scan": scan_sql(),
+        "op12_source_mixing": mix_sql(),
+        "op13_dataset_manifest": verified_sql(),
     }
