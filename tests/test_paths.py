@@ -5,8 +5,11 @@ import itertools
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from waymesh.functions import geo
-from waymesh.operators import graph, iterate, metrics
+from waymesh.operators import graph, iterate, metrics, regions
 from waymesh.sources.fixtures import table
 
 SF = "/root/testdata/sf0.001"
@@ -180,8 +183,8 @@ def test_greedy_hand_over_and_long_chain(spark):
     n = 300
     items = spark.range(n).selectExpr("1 image_id", "id")
     chain = spark.range(n - 1).selectExpr("1 image_id", "id a", "id + 1 b")
-    for over in (3, 10**9):
-        got = iterate.ordered_greedy(items.where("id < 40"), chain.where("b < 40"), hand_over=over).collect()
+    for most, region in ((30, lambda c: F.floor(c / 10)), (100, None)):
+        got = iterate.ordered_greedy(items.where("id < 40"), chain.where("b < 40"), most=most, region=region).collect()
         assert {x["id"]: x["taken"] for x in got} == {i: i % 2 == 0 for i in range(40)}
     got = iterate.ordered_greedy(items, chain).collect()
     assert {x["id"]: x["taken"] for x in got} == {i: i % 2 == 0 for i in range(n)}
@@ -210,3 +213,114 @@ def test_paths_by_group_falls_back_for_large_graphs(spark):
 def test_bounds_use_the_anchor(spark):
     row = spark.range(1).select(geo.in_bounds(*(v for v in geo.rowcol_to_latlon(20, 20)), 100, 20).alias("edge"), geo.in_bounds(*(v for v in geo.rowcol_to_latlon(21, 21)), 100, 20).alias("in")).first()
     assert not row["edge"] and row["in"]
+
+
+def scanned(n, conflicts):
+    taken, before = {}, {}
+    for a, b in conflicts:
+        if a != b:
+            before.setdefault(b, set()).add(a)
+    for i in range(n):
+        taken[i] = not any(taken[a] for a in before.get(i, ()))
+    return taken
+
+
+def test_scans_of_1000_random_conflict_graphs(spark):
+    r = random.Random(5)
+    graphs = {}
+    for k in range(1000):
+        n = r.randint(1, 40)
+        graphs[k] = n, [tuple(sorted((r.randrange(n), r.randrange(n)))) for _ in range(r.randint(0, 3 * n))]
+    items = spark.createDataFrame([(k, i) for k, (n, _) in graphs.items() for i in range(n)], "image_id long, id long")
+    conflicts = spark.createDataFrame([(k, a, b) for k, (_, c) in graphs.items() for a, b in c], "image_id long, a long, b long")
+    for how in ({}, {"most": 15}, {"most": 10, "region": lambda c: F.floor(c / 7)}):
+        some = F.col("image_id") < (200 if how else 1000)
+        got = {}
+        for x in iterate.ordered_greedy(items.where(some), conflicts.where(some), **how).collect():
+            got.setdefault(x["image_id"], {})[x["id"]] = x["taken"]
+        assert got == {k: scanned(*v) for k, v in graphs.items() if k in got} and len(got) == (200 if how else 1000)
+    named = F.struct((F.col("id") % 5).alias("y"), F.col("id").alias("x"))
+    end = lambda c: F.struct((F.col(c) % 5).alias("y"), F.col(c).alias("x")).alias(c)
+    few = iterate.ordered_greedy(items.where("image_id < 50").select("image_id", named.alias("id")), conflicts.where("image_id < 50").select("image_id", end("a"), end("b")), most=15, region=lambda c: c["y"])
+    assert all(x["taken"] == scanned(*graphs[x["image_id"]])[x["id"]["x"]] for x in few.collect())
+
+
+def test_circles_of_conflicts_are_an_error(spark):
+    items = spark.range(3).selectExpr("1L image_id", "id")
+    circle = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0)], "image_id long, a long, b long")
+    with pytest.raises(ValueError, match="circle"):
+        iterate.ordered_greedy(items, circle, most=1).collect()
+
+
+def test_groups_at_once_equal_rounds(spark):
+    r = random.Random(2)
+    rows = {(k, *sorted((r.randrange(n), r.randrange(n)))) for k in range(60) for n in [r.randint(2, 25)] for _ in range(r.randint(1, 30))}
+    rows |= {(99, i, (i + 1) % 6) for i in range(6)} | {(98, 3, 3)}
+    e = spark.createDataFrame(sorted(rows), "image_id long, a long, b long")
+    placed = e.select("image_id", *(F.struct((F.col(c) % 4).cast("int").alias("x"), F.col(c).alias("y")).alias(c) for c in "ab"))
+    for t in (e, placed):
+        for f in (iterate.components, iterate.runs):
+            one, more = f(t), f(t, most=4)
+            cols = one.columns
+            assert sorted(map(str, one.collect())) == sorted(map(str, more.select(*cols).collect()))
+    source = e.select("image_id", F.col("a").alias("source"))
+    near = {tuple(x) for x in iterate.within_hops(e, source, 3).collect()}
+    assert near == {tuple(x) for x in iterate.within_hops(e, source, 3, most=4).collect()}
+
+
+def test_quad_cells_hold_what_they_may(spark):
+    r = random.Random(4)
+    pts = [(g, i, r.gauss(0, 30), r.gauss(0, 1)) for g in (1, 2) for i in range(400 * g)] + [(3, i, 5.0, 5.0) for i in range(50)] + [(4, 0, -7.5, 2.0)]
+    df = spark.createDataFrame(pts, "image_id long, id long, x double, y double")
+    got = regions.quad_cells(df, 0.5, 40).collect()
+    assert sorted((x["image_id"], x["id"]) for x in got) == sorted((p[0], p[1]) for p in pts)
+    cells = {}
+    for x in got:
+        cells.setdefault((x["image_id"], x["_cell"]), []).append((x["x"], x["y"]))
+    for (_, c), inside in cells.items():
+        assert len(inside) <= 40 or c["k"] == 0
+        if c["k"] < 24:
+            side = 0.5 * 2 ** c["k"]
+            assert all((math.floor(x / side), math.floor(y / side)) == (c["cx"], c["cy"]) for x, y in inside)
+
+
+def test_overlay_of_a_grid_with_one_way_links(spark):
+    n, r = 200, random.Random(6)
+    edges = []
+    for i in range(n):
+        for j in range(n):
+            for a, b in ((i + 1, j), (i, j + 1)):
+                if a < n and b < n:
+                    u, v, w = i * n + j, a * n + b, r.randint(1, 9)
+                    way = r.random()
+                    edges += [(1, u, v, w)] * (way < 0.8) + [(1, v, u, w)] * (way > 0.2)
+    near = {}
+    for _, a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+    sources, targets = r.sample(range(n * n), 6), r.sample(range(n * n), 12)
+    want = {}
+    for s in sources:
+        best, heap = {}, [(0, s)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x not in best:
+                best[x] = d
+                for m, w in near.get(x, ()):
+                    heapq.heappush(heap, (d + w, m))
+        want |= {(s, t): best[t] for t in targets if t in best}
+    e = spark.createDataFrame(edges, "image_id long, a long, b long, w long").repartition(4)
+    pairs = spark.createDataFrame([(1, s, t) for s in sources for t in targets], "image_id long, source long, node long")
+    places = spark.range(n * n).selectExpr("1L image_id", "id node", f"double(id % {n}) x", f"double(id div {n}) y")
+    over = iterate.overlay(e, pairs, places, 1.0, 6000)
+    assert over.agg(F.count_distinct("a")).first()[0] < n * n / 5
+    got = {(x["source"], x["node"]): x["dist"] for x in iterate.paths_by_group(e, pairs, most=140_000, places=places, per_cell=6000).collect()}
+    assert got == want
+
+
+def test_distance_rows_of_large_groups(spark):
+    e = spark.createDataFrame([(1, i, i + 1, 5) for i in range(9)] + [(1, 9, 0, 2), (2, 1, 2, 7)], "image_id long, a long, b long, w long")
+    points = spark.createDataFrame([(1, 0, 0), (1, 1, 4), (1, 2, 9), (2, 0, 1), (2, 1, 2), (3, 0, 8)], "image_id long, idx long, node long")
+    places = spark.range(10).selectExpr("1L image_id", "id node", "double(id) x", "0.0D y")
+    for how in ({}, {"most": 3}, {"most": 3, "places": places, "per_cell": 3}):
+        got = {(x["image_id"], x["idx"]): x["dists"] for x in iterate.distance_rows(e, points, **how).collect()}
+        assert got[1, 0] == [0, 20, 45] and got[1, 1] == [27, 0, 25] and got[1, 2] == [2, 22, 0] and got[2, 0] == [0, 7] and got[2, 1] == [-1, 0]

@@ -189,14 +189,17 @@ def cut_at_rect(edges: DataFrame) -> DataFrame:
     def inside(x: str, y: str) -> F.Column:
         return F.col(x).between(box[0], box[2]) & F.col(y).between(box[1], box[3])
 
-    e = edges.withColumns({"in1": inside("x1", "y1"), "in2": inside("x2", "y2"), "hits": geo.clip_segment("x1", "y1", "x2", "y2", *box)})
+    # each is worked out once: without the step through an array the optimiser would write it out wherever it is used
+    once = lambda c: F.explode(F.array(c))
+    e = edges.select("*", inside("x1", "y1").alias("in1"), inside("x2", "y2").alias("in2"), once(geo.clip_segment("x1", "y1", "x2", "y2", *box)).alias("hits"))
     p = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
     q = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
     n = F.size("hits")
     first, last = F.get("hits", F.lit(0)), F.get("hits", n - 1)
     a = F.when(F.col("in1"), p).when(F.col("in2") & (n > 0), first).when(n > 1, first)
     b = F.when(F.col("in2"), q).when(F.col("in1") & (n > 0), last).when(n > 1, last)
-    got = e.select(*[c for c in edges.columns if c not in ("x1", "y1", "x2", "y2")], a.alias("a"), b.alias("b")).where("a is not null and b is not null and a <> b")
+    got = e.select(*[c for c in edges.columns if c not in ("x1", "y1", "x2", "y2")], once(F.struct(a.alias("a"), b.alias("b"))).alias("ends"))
+    got = got.select("*", "ends.a", "ends.b").where("a is not null and b is not null and a <> b")
     return got.select("*", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).select(
         *[c for c in edges.columns if c not in ("x1", "y1", "x2", "y2")], F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2")
     ).distinct()

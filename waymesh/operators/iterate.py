@@ -1,7 +1,8 @@
 """Loops over tables: greedy selection, components, chains, shortest paths, grid joins.
 
-All images go through a round together; lineage is cut by reliable checkpoints.
-No loop has a cap: each ends when nothing changes.
+Groups (images) that one task can hold are finished by one task each, all of
+them in one step. Larger ones go through rounds together; lineage is cut by
+reliable checkpoints. No loop has a cap: each ends when nothing changes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymesh.operators import regions
 from waymesh.session import cut
 
 
@@ -26,76 +28,41 @@ def fixpoint(df: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: C
         df = after
 
 
-def _in_order(conflicts: pd.DataFrame) -> pd.DataFrame:
-    """Items of one group's conflicts (a, b) and whether a scan takes them, by counting predecessors down."""
-    after: dict[str, list[str]] = {}
-    waits: dict[str, int] = {}
-    for a, b in zip(conflicts["a"], conflicts["b"], strict=True):
-        after.setdefault(a, []).append(b)
-        waits[b] = waits.get(b, 0) + 1
-    taken = {x: True for x in {*after, *waits}}
-    ready = [x for x in taken if x not in waits]
-    while ready:
-        x = ready.pop()
-        for b in after.get(x, ()):
-            taken[b] &= not taken[x]
-            waits[b] -= 1
-            if not waits[b]:
-                ready.append(b)
-    return pd.DataFrame({"id": list(taken), "taken": list(taken.values())})
-
-
-def ordered_greedy(items: DataFrame, conflicts: DataFrame, g: str = "image_id", hand_over: int = 20, most: int = 200_000) -> DataFrame:
-    """First-come-first-served selection: items(g, id) with taken, in rounds.
-
-    conflicts(g, a, b): a comes before b and they can't both be taken. An
-    undecided item is dropped if a taken one precedes it and taken once nothing
-    undecided precedes it, which is what a scan in order does. After `hand_over`
-    rounds, groups with at most `most` conflicts left are scanned by one task
-    each; larger ones go on in rounds. A clash within an item itself is none.
+def ordered_greedy(items: DataFrame, conflicts: DataFrame, g: str = "image_id", region: Callable[[Column], Column] | None = None, most: int = 200_000) -> DataFrame:
+    """First-come-first-served selection: items(g, id) with taken; conflicts(g, a, b): a comes before b and they can't both be taken.
+
+    A group of at most `most` conflicts is scanned by one task at once, larger
+    ones region by region; see regions.scan.
     """
-    state = items.select(g, "id").distinct().withColumn("taken", F.lit(None).cast("boolean"))
-    left = cut(conflicts.select(g, "a", "b").where("a <> b").distinct())
-    # an item in no conflict is taken at once
-    inside = left.select(g, F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("in", F.lit(True))
-    state = cut(state.join(inside, [g, "id"], "left").select(g, "id", F.when(F.col("in").isNull(), True).alias("taken")))
-    done, rounds = state.where("taken is not null"), 0
-    state = state.where("taken is null")
-    while not state.isEmpty():
-        if rounds == hand_over:
-            sizes = left.groupBy(g).agg(F.count("*").alias("n"))
-            small = left.join(sizes.where(F.col("n") <= most).select(g), g, "left_semi")
-            name = lambda c, to: F.to_json(F.struct(F.col(c).alias("k"))).alias(to)
-
-            def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-                return _in_order(pdf).assign(_g=pdf["_g"].iloc[0])
-
-            got = small.select(name(g, "_g"), name("a", "a"), name("b", "b")).groupBy("_g").applyInPandas(scan, "id string, taken boolean, _g string")
-            back = state.select(g, "id", name(g, "_g"), name("id", "_k"))
-            decided = cut(back.join(got.withColumnRenamed("id", "_k"), ["_g", "_k"]).select(g, "id", "taken"))
-            done = done.union(decided)
-            state = cut(state.join(decided.select(g, "id"), [g, "id"], "left_anti"))
-            left = cut(left.join(sizes.where(F.col("n") > most).select(g), g, "left_semi"))
-            rounds += 1
-            continue
-        seen = left.groupBy(g, F.col("b").alias("id")).agg(F.lit(1).alias("waits"))
-        free = state.join(seen, [g, "id"], "left_anti").select(g, "id")
-        lost = left.join(free.select(g, F.col("id").alias("a")), [g, "a"], "left_semi").select(g, F.col("b").alias("id")).distinct()
-        fresh = cut(free.withColumn("taken", F.lit(True)).union(lost.withColumn("taken", F.lit(False))))
-        done = done.union(fresh)
-        gone = fresh.select(g, "id")
-        left = cut(left.join(gone.select(g, F.col("id").alias("a")), [g, "a"], "left_anti").join(gone.select(g, F.col("id").alias("b")), [g, "b"], "left_anti").select(g, "a", "b"))
-        state = cut(state.join(gone, [g, "id"], "left_anti"))
-        rounds += 1
-    return done.select(g, "id", "taken")
+    return regions.scan(items, conflicts, g, region, most)
+
 
+def _split(edges: DataFrame, g: str, most: int, small: Callable[[DataFrame, str], DataFrame], large: Callable[[DataFrame, str], DataFrame], ready: bool = False) -> DataFrame:
+    """small(edges, g) of groups of at most `most` edges, large(edges, g) of the others; ready: edges are a table, not a plan."""
+    edges = edges if ready else cut(edges)
+    if not regions.countable(edges.schema["a"].dataType):
+        return large(edges, g)
+    big = regions.over_limit(edges, g, most)
+    if big is None:
+        return small(edges, g)
+    return small(edges.join(big, g, "left_anti"), g).union(large(edges.join(big, g, "left_semi"), g))
 
-def components(edges: DataFrame, g: str = "image_id") -> DataFrame:
-    """(g, node, component) of edges(g, a, b): the smallest node that each node reaches, by alternating star contraction.
+
+def components(edges: DataFrame, g: str = "image_id", most: int = 500_000) -> DataFrame:
+    """(g, node, component) of edges(g, a, b): the smallest node that each node reaches; a self-link is a component.
+
+    Groups of at most `most` edges are labelled by one task each, larger ones by
+    star contraction.
+    """
+    return _split(edges.select(g, "a", "b"), g, most, regions.labels, _contracted)
+
+
+def _contracted(edges: DataFrame, g: str) -> DataFrame:
+    """Components by alternating star contraction.
 
     Each round links every node's larger neighbours to its smallest one, then
     its smaller neighbours to that, until the edges are stars: log rounds, and a
-    node of any degree is spread by its edges. A self-link is a component.
+    node of any degree is spread by its edges.
     """
     lone = edges.where("a = b").select(g, F.col("a").alias("node"), F.col("a").alias("component"))
     start = edges.where("a <> b").select(g, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -148,6 +115,45 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, g: str = "image_id", ma
     return best.groupBy(g, "source", "node").agg(F.min("dist").alias("dist"))
 
 
+def within_hops(edges: DataFrame, sources: DataFrame, hops: int, g: str = "image_id", most: int = 500_000) -> DataFrame:
+    """(g, source, node), all longs: nodes at most `hops` edges (g, a, b), either way, from sources(g, source), itself among them.
+
+    Groups of at most `most` edges are searched by one task each. In larger ones
+    each of a few joins, with a link of every node to itself, widens the whole
+    neighbourhood; they make one plan.
+    """
+    kind = dict(edges.dtypes)[g]
+    e = edges.select(g, F.col("a").cast("long"), F.col("b").cast("long"))
+    s = sources.select(g, F.col("source").cast("long")).distinct()
+    big = regions.over_limit(e, g, most)
+
+    def around(es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {}
+        for a, b in zip(es["a"].tolist(), es["b"].tolist(), strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        rows = []
+        for x in ss["source"].tolist():
+            seen = ring = {x}
+            for _ in range(hops):
+                ring = {m for n in ring for m in near.get(n, ())} - seen
+                seen = seen | ring
+            rows.extend((x, n) for n in seen)
+        out = pd.DataFrame(rows, columns=["source", "node"], dtype="int64")
+        return out.assign(_k=ss["_g"].iloc[0] if len(ss) else None)
+
+    few_e, few_s = (e, s) if big is None else (e.join(big, g, "left_anti"), s.join(big, g, "left_anti"))
+    got = few_e.groupBy(g).cogroup(few_s.withColumnRenamed(g, "_g").groupBy("_g")).applyInPandas(around, f"source long, node long, _k {kind}").select(F.col("_k").alias(g), "source", "node")
+    if big is None:
+        return got
+    e, near = e.join(big, g, "left_semi"), s.join(big, g, "left_semi").withColumn("node", F.col("source"))
+    steps = e.union(e.select(g, F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(g, "a").agg(F.collect_set("b").alias("next"))
+    for _ in range(hops):
+        wide = near.withColumnRenamed("node", "a").join(steps, [g, "a"], "left")
+        near = wide.select(g, "source", F.explode(F.concat(F.array("a"), F.coalesce("next", F.array().cast("array<bigint>")))).alias("node")).distinct()
+    return got.union(near)
+
+
 def grid_join(a: DataFrame, b: DataFrame, radius: float, g: str = "image_id") -> DataFrame:
     """Pairs of a(g, ida, ax, ay) and b(g, idb, bx, by) at most radius apart, with dist.
 
@@ -205,18 +211,24 @@ def _half_edges(edges: DataFrame, g: str) -> DataFrame:
     return h.join(two.select(g, F.col("n").alias("a"), F.lit(True).alias("mid")), [g, "a"], "left").select(g, "a", "b", "na", "nb", F.coalesce("mid", F.lit(False)).alias("mid"))
 
 
-def runs(edges: DataFrame, g: str = "image_id") -> DataFrame:
+def runs(edges: DataFrame, g: str = "image_id", most: int = 500_000, ready: bool = False) -> DataFrame:
     """(g, chain, pos, a, b, n_edges, closed): the edges of every maximal run through nodes of degree 2, in order.
 
     A run starts at its smaller end, a loop at its junction (a ring at its
     smallest node) towards the smaller neighbour; chain is its first half-edge.
+    Groups of at most `most` edges are walked by one task each, larger ones go
+    by pointer doubling.
     """
+    return _split(edges.select(g, "a", "b"), g, most, regions.walked_runs, _doubled_runs, ready)
+
+
+def _doubled_runs(edges: DataFrame, g: str) -> DataFrame:
     half = cut(_half_edges(edges, g))
     state = _doubled(half.drop("mid"), g)
     closed = state.where("not open").select(g, "a", "b", "ja", "jb", "d")
     ring = state.where("open").select(g, "a", "b", "na", "nb")
     if not ring.isEmpty():
-        low = components(ring.select(g, "a", "b"), g).where("node = component").select(g, F.col("node").alias("b"), F.lit(True).alias("cut"))
+        low = _contracted(ring.select(g, "a", "b"), g).where("node = component").select(g, F.col("node").alias("b"), F.lit(True).alias("cut"))
         opened = ring.join(low, [g, "b"], "left").select(g, "a", "b", F.when(F.col("cut").isNull(), F.col("na")).alias("na"), F.when(F.col("cut").isNull(), F.col("nb")).alias("nb"))
         closed = closed.union(_doubled(opened, g).select(g, "a", "b", "ja", "jb", "d"))
         heads = half.where("not mid").select(g, "a", "b").union(ring.join(low.select(g, F.col("b").alias("a")), [g, "a"], "left_semi").select(g, "a", "b"))
@@ -260,44 +272,134 @@ def quotient(edges: DataFrame, mapping: DataFrame, g: str = "image_id") -> DataF
     return edges.where("a <> b").select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def paths_by_group(edges: DataFrame, pairs: DataFrame, g: str = "image_id", blocks: int = 8, most: int = 500_000) -> DataFrame:
+def _nearest(near: dict[int, list[tuple[int, int]]], source: int, targets: set[int]) -> dict[int, int]:
+    """Distances from a source until all targets that it reaches are settled."""
+    best, heap, left = {}, [(0, source)], set(targets)
+    while heap and left:
+        d, n = heapq.heappop(heap)
+        if n not in best:
+            best[n] = d
+            left.discard(n)
+            for m, w in near.get(n, ()):
+                if m not in best:
+                    heapq.heappush(heap, (d + w, m))
+    return best
+
+
+def _links_of(es: pd.DataFrame) -> dict[int, list[tuple[int, int]]]:
+    near: dict[int, list[tuple[int, int]]] = {}
+    for a, b, w in zip(es["a"].tolist(), es["b"].tolist(), es["w"].tolist(), strict=True):
+        near.setdefault(a, []).append((b, w))
+    return near
+
+
+def overlay(edges: DataFrame, pairs: DataFrame, places: DataFrame, cell: float, most: int, g: str = "image_id") -> DataFrame:
+    """edges(g, a, b, w) between the ends of pairs(g, source, node) and nodes on borders of cells alone, with the same distances between them.
+
+    The graph is cut into cells of at most `most` edges by places(g, node, x, y)
+    of nodes. One task a cell searches from its sources and border nodes to its
+    targets and border nodes, along edges inside; edges across stay.
+    """
+    spots = edges.select(g, F.col("a").alias("node")).join(places.select(g, "node", "x", "y"), [g, "node"])
+    cells = cut(regions.quad_cells(spots, cell, most, g).select(g, "node", F.xxhash64("_cell").alias("cell")).distinct())
+    every = pairs.select(g, F.col("source").alias("node")).union(pairs.select(g, "node")).union(edges.select(g, F.col("b").alias("node"))).distinct()
+    # a node that no edge leaves is a cell of its own
+    alone = every.join(cells, [g, "node"], "left_anti").select(g, "node", F.xxhash64("node", F.lit("alone")).alias("cell"))
+    cells = cut(cells.union(alone))
+    named = edges.join(cells.toDF(g, "a", "ca"), [g, "a"]).join(cells.toDF(g, "b", "cb"), [g, "b"])
+    named = cut(named.select(g, "a", "b", "w", "ca", "cb"))
+    across = named.where("ca <> cb")
+    out = across.select(g, F.col("a").alias("node"), F.lit(False).alias("enters")).union(pairs.select(g, "node", F.lit(False)))
+    into = across.select(g, F.col("b").alias("node"), F.lit(True).alias("enters")).union(pairs.select(g, F.col("source"), F.lit(True)))
+    ends = out.union(into).join(cells, [g, "node"]).groupBy(g, "cell", "node").agg(F.max("enters").alias("enters"), F.min("enters").alias("only"))
+    ends = ends.select(F.col(g).alias("_g"), "cell", "node", "enters", (~F.col("only")).alias("leaves"))
+
+    def search(es: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
+        near, rows = _links_of(es), []
+        to = set(ts.loc[ts["leaves"], "node"].tolist())
+        for s in ts.loc[ts["enters"], "node"].tolist():
+            best = _nearest(near, s, to)
+            rows.extend((s, t, best[t]) for t in to if t != s and t in best)
+        return pd.DataFrame(rows, columns=["a", "b", "w"], dtype="int64").assign(_k=ts["_g"].iloc[0] if len(ts) else es[g].iloc[0])
+
+    kind = dict(edges.dtypes)[g]
+    inner = named.where("ca = cb").select(g, F.col("ca").alias("cell"), "a", "b", "w")
+    inside = inner.groupBy(g, "cell").cogroup(ends.groupBy("_g", "cell")).applyInPandas(search, f"a long, b long, w long, _k {kind}").select(F.col("_k").alias(g), "a", "b", "w")
+    return cut(inside.union(across.select(g, "a", "b", "w")))
+
+
+def paths_by_group(edges: DataFrame, pairs: DataFrame, g: str = "image_id", blocks: int = 8, most: int = 500_000, places: DataFrame | None = None, cell: float = 1.0, per_cell: int = 50_000) -> DataFrame:
     """(g, source, node, dist) of pairs(g, source, node) that edges(g, a, b, w) connect; all longs, edges directed.
 
     A group of at most `most` edges is searched by `blocks` tasks, each from its
-    own sources and only until their targets are settled; larger groups go
-    through shortest_paths.
+    own sources and only until their targets are settled. A larger group with
+    places(g, node, x, y) of its nodes is searched in its overlay of cells of
+    `per_cell` edges; without, or if the overlay is as large, in rounds of joins.
     """
     want = pairs.select(g, F.col("source").cast("long"), F.col("node").cast("long")).distinct()
     e = edges.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("long"))
-    big = cut(e.groupBy(g).agg(F.count("*").alias("n")).where(F.col("n") > most).select(g))
-    few = big.isEmpty()
+    big = regions.over_limit(e, g, most)
+    small_e, small_w = (e, want) if big is None else (e.join(big, g, "left_anti"), want.join(big, g, "left_anti"))
+    out = _searched(small_e, small_w, g, blocks)
+    if big is None:
+        return out
+    e, want = cut(e.join(big.select(g), g, "left_semi")), cut(want.join(big.select(g), g, "left_semi"))
+    if places is not None:
+        e = overlay(e, want, places.select(g, F.col("node").cast("long"), "x", "y"), cell, per_cell, g)
+        left = regions.over_limit(e, g, most)
+        fits = e if left is None else e.join(left, g, "left_anti")
+        out = out.union(_searched(fits, want if left is None else want.join(left, g, "left_anti"), g, blocks))
+        if left is None:
+            return out
+        e, want = e.join(left, g, "left_semi"), want.join(left, g, "left_semi")
+    far = shortest_paths(e, want.select(g, "source").distinct(), g, directed=True)
+    return out.union(far.join(want, [g, "source", "node"], "left_semi").select(g, "source", "node", "dist"))
+
+
+def _searched(edges: DataFrame, want: DataFrame, g: str, blocks: int) -> DataFrame:
+    """paths_by_group of groups that a task can hold."""
     kind = dict(edges.dtypes)[g]
     part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    small_e, small_w = (e, want) if few else (e.join(big, g, "left_anti"), want.join(big, g, "left_anti"))
-    s = small_w.groupBy(g, "source").agg(F.collect_list("node").alias("nodes")).withColumn("part", F.pmod(F.col("source"), F.lit(blocks)).cast("int")).toDF("_g", "source", "nodes", "part")
+    s = want.groupBy(g, "source").agg(F.collect_list("node").alias("nodes")).withColumn("part", F.pmod(F.col("source"), F.lit(blocks)).cast("int")).toDF("_g", "source", "nodes", "part")
 
     def search(es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, int]]] = {}
-        rows: list[tuple] = []
-        if len(ss):
-            for a, b, w in zip(es["a"].tolist(), es["b"].tolist(), es["w"].tolist(), strict=True):
-                near.setdefault(a, []).append((b, w))
+        near, rows = _links_of(es) if len(ss) else {}, []
         for src, nodes in zip(ss["source"].tolist(), ss["nodes"], strict=True):
-            best, heap, left = {}, [(0, src)], set(nodes.tolist())
-            while heap and left:
-                d, n = heapq.heappop(heap)
-                if n not in best:
-                    best[n] = d
-                    if n in left:
-                        left.discard(n)
-                        rows.append((ss["_g"].iloc[0], src, n, d))
-                    for m, w in near.get(n, ()):
-                        if m not in best:
-                            heapq.heappush(heap, (d + w, m))
+            best = _nearest(near, src, set(nodes.tolist()))
+            rows.extend((ss["_g"].iloc[0], src, n, best[n]) for n in set(nodes.tolist()) if n in best)
         return pd.DataFrame(rows, columns=[g, "source", "node", "dist"])
 
-    out = small_e.withColumn("part", part).groupBy(g, "part").cogroup(s.groupBy("_g", "part")).applyInPandas(search, f"{g} {kind}, source long, node long, dist long")
-    if few:
+    return edges.withColumn("part", part).groupBy(g, "part").cogroup(s.groupBy("_g", "part")).applyInPandas(search, f"{g} {kind}, source long, node long, dist long")
+
+
+def distance_rows(edges: DataFrame, points: DataFrame, g: str = "image_id", blocks: int = 8, most: int = 500_000, places: DataFrame | None = None, cell: float = 1.0, per_cell: int = 50_000) -> DataFrame:
+    """(g, idx, dists): for every one of points(g, idx, node), numbered from 0 in its group, its distances to all of them in order, -1 without a way.
+
+    One row a point instead of one a pair. Searched as by paths_by_group.
+    """
+    e = edges.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("long"))
+    p = points.select(g, F.col("idx").cast("long"), F.col("node").cast("long"))
+    big = regions.over_limit(e, g, most)
+    kind = dict(edges.dtypes)[g]
+    part = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    small_e, small_p = (e, p) if big is None else (e.join(big, g, "left_anti"), p.join(big, g, "left_anti"))
+    s = small_p.groupBy(g).agg(F.array_sort(F.collect_list(F.struct("idx", "node")))["node"].alias("nodes")).withColumn("part", part).toDF("_g", "nodes", "part")
+
+    def search(es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(ss):
+            near, k, nodes = _links_of(es), int(ss["part"].iloc[0]), ss["nodes"].iloc[0].tolist()
+            for i in range(k, len(nodes), blocks):
+                best = _nearest(near, nodes[i], set(nodes))
+                rows.append((ss["_g"].iloc[0], i, [best.get(n, -1) for n in nodes]))
+        return pd.DataFrame(rows, columns=[g, "idx", "dists"])
+
+    schema = f"{g} {kind}, idx long, dists array<long>"
+    out = small_e.withColumn("part", part).groupBy(g, "part").cogroup(s.groupBy("_g", "part")).applyInPandas(search, schema)
+    if big is None:
         return out
-    far = shortest_paths(e.join(big, g, "left_semi"), want.join(big, g, "left_semi").select(g, "source").distinct(), g, directed=True)
-    return out.union(far.join(want, [g, "source", "node"], "left_semi").select(g, "source", "node", "dist"))
+    p = cut(p.join(big.select(g), g, "left_semi"))
+    pairs = p.select(g, F.col("idx").alias("i"), F.col("node").alias("source")).join(p.select(g, F.col("idx").alias("j"), "node"), g)
+    got = paths_by_group(e.join(big.select(g), g, "left_semi"), pairs, g, blocks, most, places, cell, per_cell)
+    far = pairs.join(got, [g, "source", "node"], "left").groupBy(g, F.col("i").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("dist", F.lit(-1)).alias("d"))))["d"].alias("dists"))
+    return out.union(far)

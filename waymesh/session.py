@@ -32,6 +32,10 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with an eager reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage and size estimates.
+
+    checkpoint() keeps the estimate of the plan that it ends, and joins multiply
+    estimates, so in loops they grow to numbers of millions of digits that take
+    longer than the data. A written table has the size of its files.
+    """
+    return materialise(df, "cut")
