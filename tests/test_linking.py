@@ -305,7 +305,7 @@ def test_skeleton_keypoints(spark):
 
 
 def test_streams(spark, tmp_path):
-    from waymesh.streaming.scores import keep_running, latest_scores, score_on_arrival
+    from waymesh.streaming.scores import current_scores, keep_running, latest_scores, score_on_arrival
 
     s = spark.createDataFrame([(1, 0.5), (1, float("nan")), (2, 1.0), (1, 1.0), (2, 0.0)], "run_id int, apls double")
     e = spark.createDataFrame([(i % 4, i, i + 1) for i in range(20)] + [(9, 0, 0)], "image_id int, a int, b int")
@@ -316,7 +316,7 @@ def test_streams(spark, tmp_path):
         e.repartition(parts).write.parquet(f"{home}/e")
         stream = lambda name, like: spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/{name}")  # noqa: E731, B023
         keep_running(stream("s", s), f"{home}/out", f"{home}/log1").awaitTermination()
-        assert {x["run_id"]: (x["n"], x["mean"]) for x in spark.read.parquet(f"{home}/out").collect()} == {1: (2, 0.75), 2: (2, 0.5)}
+        assert {x["run_id"]: (x["n"], x["mean"]) for x in current_scores(spark, f"{home}/out").collect()} == {1: (2, 0.75), 2: (2, 0.5)}
         score_on_arrival(stream("e", e), metric, f"{home}/scored", f"{home}/log2").awaitTermination()
         assert {x["image_id"]: x["n"] for x in latest_scores(spark, f"{home}/scored").collect()} == {0: 5, 1: 5, 2: 5, 3: 5, 9: None}
         # nothing new: nothing is scored again
@@ -324,6 +324,16 @@ def test_streams(spark, tmp_path):
         before = spark.read.parquet(f"{home}/scored/scores").count()
         score_on_arrival(stream("e", e), metric, f"{home}/scored", f"{home}/log2").awaitTermination()
         assert spark.read.parquet(f"{home}/scored/scores").count() == before
+        # a late edge after a restart: its image alone is scored again, with all that came before
+        spark.createDataFrame([(2, 77, 78)], e.schema).write.mode("append").parquet(f"{home}/e")
+        score_on_arrival(stream("e", e), metric, f"{home}/scored", f"{home}/log2").awaitTermination()
+        assert spark.read.parquet(f"{home}/scored/scores").count() == before + 1
+        assert {x["image_id"]: x["n"] for x in latest_scores(spark, f"{home}/scored").collect()}[2] == 6
+    # with truth: edges found among those that stay
+    truth = e.where("a < 8")
+    hits = lambda t, same: t.join(same, ["image_id", "a", "b"]).groupBy("image_id").agg(F.count("*").alias("hits"))
+    score_on_arrival(stream("e", e), hits, f"{home}/with", f"{home}/log3", truth).awaitTermination()
+    assert {x["image_id"]: x["hits"] for x in latest_scores(spark, f"{home}/with").collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 9: 1}
 
 
 def test_summary_lines(spark, tmp_path):

@@ -263,6 +263,9 @@ def test_groups_at_once_equal_rounds(spark):
             one, more = f(t), f(t, most=4)
             cols = one.columns
             assert sorted(map(str, one.collect())) == sorted(map(str, more.select(*cols).collect()))
+        whole = iterate.components(t)
+        place = (lambda c: c["y"] % 5) if t is placed else (lambda c: c % 5)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, iterate.components(t, most=4, region=place).collect()))
     source = e.select("image_id", F.col("a").alias("source"))
     near = {tuple(x) for x in iterate.within_hops(e, source, 3).collect()}
     assert near == {tuple(x) for x in iterate.within_hops(e, source, 3, most=4).collect()}

@@ -269,7 +269,8 @@ def label_pixels(pixels: DataFrame) -> DataFrame:
     """pixels with component: the first pixel (row_, col_) of their 8-connected component."""
     e = pixel_graph(pixels)
     pair = e.select(G, F.struct("row_", "col_").alias("a"), F.struct(F.col("row2").alias("row_"), F.col("col2").alias("col_")).alias("b"))
-    comp = iterate.components(pair, G).select(G, "node.row_", "node.col_", "component")
+    tile = lambda n: F.struct(F.floor(n["row_"] / 256).alias("r"), F.floor(n["col_"] / 256).alias("c"))
+    comp = iterate.components(pair, G, region=tile).select(G, "node.row_", "node.col_", "component")
     return pixels.join(comp, [G, "row_", "col_"], "left").withColumn("component", F.coalesce("component", F.struct("row_", "col_")))
 
 

@@ -48,13 +48,32 @@ def _split(edges: DataFrame, g: str, most: int, small: Callable[[DataFrame, str]
     return small(edges.join(big, g, "left_anti"), g).union(large(edges.join(big, g, "left_semi"), g))
 
 
-def components(edges: DataFrame, g: str = "image_id", most: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, g: str = "image_id", most: int = 500_000, region: Callable[[Column], Column] | None = None) -> DataFrame:
     """(g, node, component) of edges(g, a, b): the smallest node that each node reaches; a self-link is a component.
 
-    Groups of at most `most` edges are labelled by one task each, larger ones by
-    star contraction.
+    Groups of at most `most` edges are labelled by one task each. Larger ones go
+    by star contraction: of all edges, or, where `region` gives a node's place,
+    of the labels on borders alone, after each place has been labelled by a task.
     """
-    return _split(edges.select(g, "a", "b"), g, most, regions.labels, _contracted)
+
+    def large(e: DataFrame, g: str) -> DataFrame:
+        return _two_levels(e, g, region) if region is not None and regions.countable(e.schema["a"].dataType) else _contracted(e, g)
+
+    return _split(edges.select(g, "a", "b"), g, most, regions.labels, large)
+
+
+def _two_levels(edges: DataFrame, g: str, region: Callable[[Column], Column]) -> DataFrame:
+    """Components by labels within places and contraction of the links between them."""
+    e = edges.withColumns({"ra": region(F.col("a")), "rb": region(F.col("b"))})
+    inside = e.where("ra = rb").select(F.struct(F.col(g).alias("g"), F.col("ra").alias("r")).alias("place"), "a", "b")
+    local = regions.labels(inside, "place").select(F.col("place.g").alias(g), "node", F.col("component").alias("label"))
+    across = e.where("ra <> rb").select(g, "a", "b")
+    ends = across.select(g, F.col("a").alias("node")).union(across.select(g, "b")).distinct()
+    local = cut(local.union(ends.join(local, [g, "node"], "left_anti").select(g, "node", F.col("node").alias("label"))))
+    for c in ("a", "b"):
+        across = across.join(local.withColumnRenamed("node", c), [g, c]).withColumn(c, F.col("label")).drop("label")
+    whole = _contracted(across.select(g, "a", "b").distinct(), g).withColumnRenamed("node", "label")
+    return local.join(whole, [g, "label"], "left").select(g, "node", F.coalesce("component", "label").alias("component"))
 
 
 def _contracted(edges: DataFrame, g: str) -> DataFrame:

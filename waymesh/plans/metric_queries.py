@@ -11,7 +11,7 @@ from waymesh.operators import directions, experiment, graph, iterate, jobs, loss
 from waymesh.sources import io
 from waymesh.sources.fixtures import table
 from waymesh.session import shared_dir
-from waymesh.streaming.scores import keep_running, latest_scores, running_scores, score_on_arrival
+from waymesh.streaming.scores import current_scores, keep_running, latest_scores, running_scores, score_on_arrival
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -528,24 +528,29 @@ def _(s, d):
     return running_scores(_score(s, d))
 
 
-@query("st1_running_stream", "select run_id, sum(case when is_nan=0 then apls_raw end) total, count(case when is_nan=0 then 1 end) n, avg(case when is_nan=0 then apls_raw end) mean from fx_score group by 1")
+@query("st1_running_stream", "select run_id, image_id // 10 epoch, sum(case when is_nan=0 then apls_raw end) total, count(case when is_nan=0 then 1 end) n, avg(case when is_nan=0 then apls_raw end) mean from fx_score group by 1,2")
 def _(s, d):
     home = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    scores = _score(s, d).select("run_id", "image_id", "apls")
+    scores = _score(s, d).select("run_id", F.floor(F.col("image_id") / 10).alias("epoch"), "apls")
     scores.repartition(3).write.parquet(f"{home}/in")
     arriving = s.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
-    keep_running(arriving, f"{home}/out", f"{home}/log").awaitTermination()
-    return s.read.parquet(f"{home}/out")
+    keep_running(arriving, f"{home}/out", f"{home}/log", by=("run_id", "epoch")).awaitTermination()
+    return current_scores(s, f"{home}/out")
 
 
-@query("st2_score_on_arrival", "select image_id, cast(count(*) as bigint) n, sum(abs(x1-x2) + abs(y1-y2)) length from fx_edge_pred group by 1")
+@query("st2_score_on_arrival", "select p.image_id, cast(count(*) as bigint) n, cast(sum(case when t.x1 is not null then 1 else 0 end) as bigint) hits, sum(abs(p.x1-p.x2) + abs(p.y1-p.y2)) length from fx_edge_pred p left join fx_edge_gt t on t.image_id=p.image_id and t.x1=p.x1 and t.y1=p.y1 and t.x2=p.x2 and t.y2=p.y2 group by 1")
 def _(s, d):
     home = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    e = table(s, d, "fx_edge_pred")
+    e, truth = table(s, d, "fx_edge_pred"), iterate.cut(table(s, d, "fx_edge_gt"))
+    ends = ["image_id", "x1", "y1", "x2", "y2"]
     e.repartition(3, F.xxhash64("image_id", "x1", "y1")).write.parquet(f"{home}/in")  # an image's edges arrive in several files
     arriving = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
-    metric = lambda t: t.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("x1") - F.col("x2")) + F.abs(F.col("y1") - F.col("y2"))).alias("length"))
-    score_on_arrival(arriving, metric, f"{home}/out", f"{home}/log").awaitTermination()
+
+    def metric(whole, same):
+        both = whole.join(same.select(*ends, F.lit(1).alias("hit")), ends, "left")
+        return both.groupBy("image_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"), F.sum(F.abs(F.col("x1") - F.col("x2")) + F.abs(F.col("y1") - F.col("y2"))).alias("length"))
+
+    score_on_arrival(arriving, metric, f"{home}/out", f"{home}/log", truth).awaitTermination()
     return latest_scores(s, f"{home}/out")
 
 
