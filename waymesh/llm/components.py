@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymesh.session import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(u, v); component: its smallest node.
 
     Every round first links each node's larger neighbours to its smallest one,
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     no rows.
     """
     e = cut(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -31,6 +31,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = nxt
         if loose.isEmpty():
             break
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -134,10 +134,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 3, t: int = 2, m: int = 16
     Rows without a doc_id and rows repeated under one are judged like any other:
     of equal ones one stays, and a component without any doc_id keeps one row.
     """
-    prints = materialise(docs.withColumn("_fp", fingerprint(F.col("text"), size)), "simhash")
+    prints = materialise(docs.select("doc_id", fingerprint(F.col("text"), size).alias("_fp"), F.struct("*").alias("row")), "simhash")
     nodes = prints.groupBy("_fp").agg(F.min("doc_id").alias("rep"))
     comps = connected_components(fingerprint_links(nodes.select(F.col("_fp").alias("fp")), t, m, cap))
     joined = nodes.join(comps.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_component", F.coalesce("component", "_fp"))
     lows = joined.groupBy("_component").agg(F.min("rep").alias("_low"))
     named = prints.join(joined.join(lows, "_component").select("_fp", "_component", "_low"), "_fp")
-    return named.where(F.col("doc_id").eqNullSafe(F.col("_low"))).dropDuplicates(["_component"]).select(docs.columns)
+    return named.where(F.col("doc_id").eqNullSafe(F.col("_low"))).dropDuplicates(["_component"]).select("row.*")

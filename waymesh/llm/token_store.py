@@ -12,7 +12,7 @@ every `EVERY` ids) and payload. A block holds whole documents and decodes alone;
 checkpoints let its segments decode side by side from one table.
 
 A null or empty text is the end id alone. Documents of one doc_id stand next to
-each other in the order of their texts; rows without a doc_id come first.
+each other in the order of their texts' hashes; rows without a doc_id come first.
 """
 
 from __future__ import annotations
@@ -230,7 +230,10 @@ def write_tokens(docs: DataFrame, path: str, file: str, end: int, block_ids: int
             yield pd.Series([narrow(x) for x in encode_texts(s.tolist(), file, end)])
 
     # texts are dealt out, not ids: to find its ranges Spark runs what comes before twice
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # one id, or none, on many rows: they go on by their text's hash and their own number, so no range holds them all
+    keys = [F.asc_nulls_first("doc_id"), "hash", "number"]
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    ranged = tagged.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     ranged = ranged.select("doc_id", packed("text").alias("ids"))
     # monotonically_increasing_id: the partition in its upper bits, the row within in its lower 33
     ids = materialise(ranged.withColumn("row", F.monotonically_increasing_id()), "ids")
