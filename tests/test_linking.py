@@ -336,8 +336,36 @@ def test_streams(spark, tmp_path):
     assert {x["image_id"]: x["hits"] for x in latest_scores(spark, f"{home}/with").collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 9: 1}
 
 
-def test_summary_lines(spark, tmp_path):
+def test_sinks_hold_each_batch_once(spark, tmp_path):
     one = spark.createDataFrame([("apls", 0.5)], "name string, value double")
-    for _ in range(2):
-        io.append_summary(one, f"file://{tmp_path}/s")
+    for job in ("a", "b", "a"):
+        io.append_summary(one, f"file://{tmp_path}/s", job)
     assert [r[0] for r in spark.read.text(f"file://{tmp_path}/s").collect()] == ["apls: 0.5"] * 2
+
+    def broken(x):
+        raise RuntimeError("lost half-way")
+
+    scores = spark.createDataFrame([(k % 3, k, k / 10) for k in range(30)], "run_id int, image_id int, apls double")
+    path = f"file://{tmp_path}/scores"
+    for name, k in (("first", 0), ("second", 1), ("second", 1)):
+        io.write_scores(scores.where(F.col("image_id") % 2 == k), path, name)
+    before = sorted(tuple(x) for x in spark.read.parquet(path).select("image_id", "batch").collect())
+    assert before == sorted((k, ("first", "second")[k % 2]) for k in range(30))
+    bad = F.udf(lambda x: broken(x) if x == 28 else x, "double")
+    with pytest.raises(Exception, match="lost half-way"):
+        io.write_scores(scores.withColumn("apls", bad("image_id")), path, "third")
+    assert sorted(tuple(x) for x in spark.read.parquet(path).select("image_id", "batch").collect()) == before
+    io.write_scores(scores.withColumn("apls", F.col("apls") + 1), path, "third")
+    assert spark.read.parquet(path).count() == 60
+
+
+def test_tiles_of_two_sizes_are_cleaned_by_their_own(spark):
+    r = random.Random(8)
+    pts = [(r.randint(0, 199), r.randint(0, 99)) for _ in range(50)]
+    e = spark.createDataFrame([(1, *p, *q) for p, q in itertools.pairwise(pts) if p != q], "image_id long, x1 int, y1 int, x2 int, y2 int")
+    tiles = [(1, 0, 0, 0, 99, 99), (1, 1, 100, 0, 149, 99)]
+    frame = lambda rows: spark.createDataFrame(rows, "image_id long, tile int, left int, top int, right int, bottom int")
+    got = {tuple(x) for x in graph.crop(e, frame(tiles), clean=True, merge=6, band=8, d=6).collect()}
+    apart = {tuple(x) for t in tiles for x in graph.crop(e, frame([t]), clean=True, merge=6, band=8, d=6).collect()}
+    assert got == apart and {x[1] for x in got} == {0, 1}
+    assert all(0 <= v < (100, 50)[t] for _, t, x1, _, x2, _ in got for v in (x1, x2))

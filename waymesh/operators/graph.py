@@ -153,7 +153,7 @@ def merge_at_seams(edges: DataFrame, seams: DataFrame, buffer: float, r: float)
     return _xy(_merged(ab, _near_nodes(near, r)))
 
 
-def separate_border_ends(edges: DataFrame, w: int, h: int, band: float = 10, d: float = 10, seed: int = 0, tries: int = 100) -> DataFrame:
+def separate_border_ends(edges: DataFrame, w: int | F.Column, h: int | F.Column, band: float = 10, d: float = 10, seed: int = 0, tries: int = 100) -> DataFrame:
     """Ends of roads in the border band that are within d of each other moved apart.
 
     Clusters of such ends get up to `tries` seeded moves of at most d / 2 + 1 a
@@ -169,7 +169,7 @@ def separate_border_ends(edges: DataFrame, w: int, h: int, band: float = 10, d:
     reach = int(d / 2) + 1
     members = iterate.cut(_clusters(near))
 
-    def moved(c: str, size: int) -> F.Column:
+    def moved(c: str, size: int | F.Column) -> F.Column:
         low, high = F.greatest(F.lit(-reach), -F.col(f"old.{c}")), F.least(F.lit(reach), size - 1 - F.col(f"old.{c}"))
         return (F.col(f"old.{c}") + low + F.pmod(F.xxhash64(F.lit(seed), F.lit(c), G, "old", "try"), (high - low + 1).cast("long"))).cast("int")
 
@@ -214,171 +214,19 @@ def crop(edges: DataFrame, tiles: DataFrame, cell: int = 256, clean: bool = Fals
     e = edges.withColumns({"al": F.least("x1", "x2"), "ar": F.greatest("x1", "x2"), "ab": F.least("y1", "y2"), "at": F.greatest("y1", "y2")})
     t = tiles.withColumns({"bl": F.col("left"), "br": F.col("right"), "bb": F.col("top"), "bt": F.col("bottom")})
     got = cut_at_rect(iterate.box_join(e, t, cell, G).select(G, "tile", "x1", "y1", "x2", "y2", "left", "top", "right", "bottom"))
-    size = got.select((F.col("right") - F.col("left") + 1).alias("w"), (F.col("bottom") - F.col("top") + 1).alias("h")).distinct().limit(2).collect() if clean else []
-    got = got.select(G, "tile", *((F.col(c) - F.col("left" if c[0] == "x" else "top")).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    if not clean or not size:
-        return got
-    if len(size) > 1:
-        raise ValueError("tiles of one size only can be cleaned")
-    one = iterate.cut(got.select(F.struct(G, "tile").alias(G), "x1", "y1", "x2", "y2"))
+    # a tile's own size rides in its key
+    key = F.struct(G, "tile", (F.col("right") - F.col("left") + 1).alias("w"), (F.col("bottom") - F.col("top") + 1).alias("h")).alias(G)
+    got = got.select(key, *((F.col(c) - F.col("left" if c[0] == "x" else "top")).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    plain = lambda t: t.select(f"{G}.{G}", f"{G}.tile", "x1", "y1", "x2", "y2")
+    if not clean:
+        return plain(got)
+    one = iterate.cut(got)
     for _ in range(2):
         for _ in range(2):
             one = iterate.cut(merge_close(one, merge))
         for k in range(3):
-            one = iterate.cut(separate_border_ends(one, size[0]["w"], size[0]["h"], band, d, seed + k))
-    return one.select(f"{G}.{G}", f"{G}.tile", "x1", "y1", "x2", "y2")
-
-
-def densify_places(geo_edges: DataFrame, longest: float = 3.0, piece: float = 2.0) -> DataFrame:
-    """Pieces (image_id, ka1, ko1, la1, lo1, ka2, ko2, la2, lo2): keys and places of both ends of densify."""
-    d = geo.gps_distance("lat1", "lon1", "lat2", "lon2")
-    n = F.when(d > longest, (d / piece).cast("long") + 1).otherwise(1)
-    e = geo_edges.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-
-    def at(i: F.Column, c: str) -> F.Column:
-        part = i / F.col("n")
-        return F.when(i == 0, F.col(f"{c}1")).when(i == F.col("n"), F.col(f"{c}2")).otherwise(F.col(f"{c}1") * (1 - part) + F.col(f"{c}2") * part)
-
-    cols = {}
-    for k, i in ((1, F.col("i")), (2, F.col("i") + 1)):
-        cols[f"la{k}"], cols[f"lo{k}"] = at(i, "lat"), at(i, "lon")
-        cols[f"ka{k}"], cols[f"ko{k}"] = geo.fine_key(cols[f"la{k}"], cols[f"lo{k}"])
-    return e.select(G, *(v.alias(k) for k, v in cols.items())).where("not (ka1 = ka2 and ko1 = ko2)")
-
-
-def densify(geo_edges: DataFrame, longest: float = 3.0, piece: float = 2.0) -> DataFrame:
-    """Edges (image_id, lat1, lon1, lat2, lon2) over `longest` metres cut into trunc(d / piece) + 1 equal pieces, with keys of 1e-7 degrees."""
-    return densify_places(geo_edges, longest, piece).select(G, "ka1", "ko1", "ka2", "ko2").distinct()
-
-
-def pixel_graph(pixels: DataFrame) -> DataFrame:
-    """8-neighbour links of set pixels (image_id, row_, col_), each once."""
-    later = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))))
-    step = pixels.select(G, "row_", "col_", F.explode(later).alias("o")).select(G, "row_", "col_", (F.col("row_") + F.col("o.r")).alias("row2"), (F.col("col_") + F.col("o.c")).alias("col2"))
-    return step.join(pixels.select(G, F.col("row_").alias("row2"), F.col("col_").alias("col2")), [G, "row2", "col2"]).select(G, "row_", "col_", "row2", "col2")
-
-
-def skeleton_ends(pixels: DataFrame) -> DataFrame:
-    """Set pixels with exactly one set neighbour."""
-    e = pixel_graph(pixels)
-    both = e.select(G, "row_", "col_").union(e.select(G, "row2", "col2"))
-    return both.groupBy(G, "row_", "col_").agg(F.count("*").alias("n")).where("n = 1").select(G, "row_", "col_")
-
-
-def label_pixels(pixels: DataFrame) -> DataFrame:
-    """pixels with component: the first pixel (row_, col_) of their 8-connected component."""
-    e = pixel_graph(pixels)
-    pair = e.select(G, F.struct("row_", "col_").alias("a"), F.struct(F.col("row2").alias("row_"), F.col("col2").alias("col_")).alias("b"))
-    tile = lambda n: F.struct(F.floor(n["row_"] / 256).alias("r"), F.floor(n["col_"] / 256).alias("c"))
-    comp = iterate.components(pair, G, region=tile).select(G, "node.row_", "node.col_", "component")
-    return pixels.join(comp, [G, "row_", "col_"], "left").withColumn("component", F.coalesce("component", F.struct("row_", "col_")))
-
-
-def pixel_components(pixels: DataFrame, value: str = "heat", least: int = 4) -> DataFrame:
-    """8-connected components of set pixels: size, and where the best value is; is_road where of at least `least` pixels."""
-    best = F.max_by(F.struct("row_", "col_"), F.struct(F.col(value), (-F.col("row_")).alias("r"), (-F.col("col_")).alias("c")))
-    out = label_pixels(pixels).groupBy(G, "component").agg(F.count("*").alias("size"), best.alias("best"))
-    return out.select(G, F.col("component.row_").alias("comp_row"), F.col("component.col_").alias("comp_col"), "size", F.col("best.row_").alias("row_"), F.col("best.col_").alias("col_"), (F.col("size") >= least).alias("is_road"))
-
-
-def road_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Directed graph: nodes (image_id, node_id, lat, lon) by the x-latitude convention, edges (image_id, edge_id, n1, n2) both ways."""
-    nodes, e = to_node_edge(edges)
-    lat, lon = geo.xy_to_latlon("x", "y")
-    both = e.union(e.select(G, F.col("n2").alias("n1"), F.col("n1").alias("n2"))).distinct()
-    ids = F.row_number().over(Window.partitionBy(G).orderBy("n1", "n2")) - 1
-    return nodes.select(G, "node_id", lat.alias("lat"), lon.alias("lon")), both.select(G, ids.alias("edge_id"), "n1", "n2")
-
-
-def reverse_links(dedges: DataFrame) -> DataFrame:
-    """Directed edges turned round."""
-    return dedges.select(G, F.col("n2").alias("n1"), F.col("n1").alias("n2")).distinct()
-
-
-def bidirect(dedges: DataFrame) -> DataFrame:
-    """Directed edges with their opposites, the score of an edge going to both; numbered anew."""
-    both = dedges.select(G, "n1", "n2", "score").union(dedges.select(G, "n2", "n1", "score")).groupBy(G, "n1", "n2").agg(F.max("score").alias("score"))
-    return both.select(G, (F.row_number().over(Window.partitionBy(G).orderBy("n1", "n2")) - 1).alias("edge_id"), "n1", "n2", "score")
-
-
-def remove_nodes(dedges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Directed edges without those at nodes(image_id, node_id)."""
-    for c in ("n1", "n2"):
-        dedges = dedges.join(nodes.select(G, F.col("node_id").alias(c)), [G, c], "left_anti")
-    return dedges
-
-
-def attach_edges(nodes: DataFrame, dedges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (image_id, key, node_id, lat, lon) and directed edges (image_id, edge_id, n1, n2, score) with edges from positions to nodes that exist.
-
-    new: (image_id, key, lat, lon, n2, score). A key not known yet gets the next
-    node id of its image, by key, with its smallest position; edges get the next
-    edge ids, by key and n2. Images without nodes have nothing to attach to.
-    """
-    fresh = new.join(nodes.select(G, "key"), [G, "key"], "left_anti").groupBy(G, "key").agg(F.min(F.struct("lat", "lon")).alias("p"))
-    ends = nodes.groupBy(G).agg(F.max("node_id").alias("top"))
-    got = fresh.join(ends, G).select(G, "key", (F.col("top") + F.row_number().over(Window.partitionBy(G).orderBy("key"))).alias("node_id"), "p.lat", "p.lon")
-    every = nodes.select(G, "key", "node_id", "lat", "lon").union(got)
-    last = dedges.groupBy(G).agg(F.max("edge_id").alias("last"))
-    link = new.join(every.select(G, "key", F.col("node_id").alias("n1")), [G, "key"]).join(last, G, "left")
-    number = F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy(G).orderBy("key", "n2", "score"))
-    return every, dedges.select(G, "edge_id", "n1", "n2", "score").union(link.select(G, number.alias("edge_id"), "n1", "n2", "score"))
-
-
-def dead_ends(dedges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """Nodes of one undirected neighbour, or without outgoing or incoming links, but for those in keep(image_id, node_id): terminals and roots of trees."""
-    half = dedges.select(G, F.col("n1").alias("node_id"), F.col("n2").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(
-        dedges.select(G, F.col("n2").alias("node_id"), F.col("n1").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    )
-    d = half.groupBy(G, "node_id").agg(F.count_distinct("n").alias("d"), F.sum("o").alias("o"), F.sum("i").alias("i"))
-    dead = d.where("d = 1 or o = 0 or i = 0").select(G, "node_id")
-    return dead if keep is None else dead.join(keep.select(G, "node_id"), [G, "node_id"], "left_anti")
-
-
-def remove_dead_ends(dedges: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """One simultaneous pass over all dead ends that aren't kept."""
-    return remove_nodes(dedges, dead_ends(dedges, keep))
-
-
-def keypoint_directions(edges: DataFrame) -> DataFrame:
-    """(image_id, x, y, nx, ny, sin, cos, deg): the direction from every node to each neighbour."""
-    both = edges.select(G, "x1", "y1", "x2", "y2").union(edges.select(G, "x2", "y2", "x1", "y1")).toDF(G, "x", "y", "nx", "ny")
-    s, c = geo.step_vector("x", "y", "nx", "ny")
-    return both.select("*", s.alias("sin"), c.alias("cos")).withColumn("deg", geo.angle_deg("sin", "cos"))
-
-
-def chain_table(edges: DataFrame) -> DataFrame:
-    """(image_id, x1, y1, x2, y2, cx1, cy1, cx2, cy2): every edge with the smallest edge of its run."""
-    ch = iterate.chains(_ab(edges), G)
-    return ch.select(G, F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), F.col("chain.a.x").alias("cx1"), F.col("chain.a.y").alias("cy1"), F.col("chain.b.x").alias("cx2"), F.col("chain.b.y").alias("cy2"))
-
-
-def ring_halves(edges: DataFrame) -> DataFrame:
-    """(image_id, chain, half, pos, x, y): the nodes of every closed run, from its junction if it has one, as two halves that share the middle node."""
-    pos = iterate.chain_positions(_ab(edges), G).where("closed")
-    mid = F.floor(F.col("n_edges") / 2)
-    half = F.explode(F.when(F.col("pos") < mid, F.array(F.lit(0))).when(F.col("pos") > mid, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
-    return pos.select(G, "chain", half.alias("half"), "pos", "node.x", "node.y")
-
-
-def run_pixels(edges: DataFrame, raster: bool = True) -> DataFrame:
-    """(image_id, chain, part, pos, node): the pixels of every run in order, legs drawn and the last node added; a closed run is two parts.
-
-    Without raster the nodes themselves.
-    """
-    r = iterate.runs(_ab(edges), G)
-    mid = F.floor(F.col("n_edges") / 2)
-    part = F.when(F.col("closed") & (F.col("pos") >= mid), 1).otherwise(0)
-    legs = r.withColumn("part", part)
-    if raster:
-        line = geo.line_pixels("a.x", "a.y", "b.x", "b.y")
-    else:
-        line = F.array(F.struct("a.x", "a.y"))
-    legs = legs.withColumn("line", line)
-    w = Window.partitionBy(G, "chain", "part").orderBy("pos")
-    legs = legs.select(G, "chain", "part", "line", "b", (F.sum(F.size("line")).over(w) - F.size("line")).alias("at"), F.lead("pos").over(w).isNull().alias("last"))
-    full = F.when(F.col("last"), F.concat("line", F.array(F.struct("b.x", "b.y")))).otherwise(F.col("line"))
-    return legs.select(G, "chain", "part", "at", F.posexplode(full).alias("i", "node")).select(G, F.struct("chain", "part").alias("chain"), (F.col("at") + F.col("i")).alias("pos"), "node")
+            one = iterate.cut(separate_border_ends(one, F.col(f"{G}.w"), F.col(f"{G}.h"), band, d, seed + k))
+    return plain(one)
 
 
 def simplify(edges: DataFrame, eps: float, raster: bool = True) -> DataFrame:

@@ -381,11 +381,20 @@ def _(s, d):
 def _(s, d):
     path = f"{shared_dir(s)}/summary-{uuid.uuid4().hex}"
     t = table(s, d, "fx_score").groupBy("run_id").agg(F.count("*").alias("value")).select("run_id", F.concat(F.lit("run "), F.col("run_id").cast("string")).alias("name"), "value")
-    for k in (0, 1):  # two runs of a job append to one summary
-        io.append_summary(t.where(F.col("run_id") % 2 == k), path)
+    for k in (0, 1, 0):  # two runs of a job append to one summary, one of them twice
+        io.append_summary(t.where(F.col("run_id") % 2 == k), path, f"job-{k}")
     return s.read.text(path).select(F.col("value").alias("line"))
 
 
+@query("s9_score_sink", "select run_id, image_id, apls_raw, case when image_id % 2 = 0 then 'even' else 'odd' end as batch from fx_score")
+def _(s, d):
+    path = f"{shared_dir(s)}/scores-{uuid.uuid4().hex}"
+    t = table(s, d, "fx_score").select("run_id", "image_id", "apls_raw")
+    for k, name in ((0, "even"), (1, "odd"), (1, "odd")):
+        io.write_scores(t.where(F.col("image_id") % 2 == k), path, name)
+    return s.read.parquet(path).select("run_id", "image_id", "apls_raw", "batch")
+
+
 @query("s3_dataset_round_trip", f"select patch_id, cast(kp_seq as int) kp_seq, x::double x, y::double y, cast(sector as int) sector, sin(radians(deg)) sin, cos(radians(deg)) cos from (select k.patch_id, k.kp_seq, x, y, unnest(a) deg, unnest(subset) sector from {_ALLOC} t join fx_keypoint k using (patch_id, kp_seq)) u")
 def _(s, d):
     kp = table(s, d, "fx_keypoint").select(*KEYS, "x", "y")

@@ -63,9 +63,18 @@ def parse_topology_line(line) -> tuple[F.Column, F.Column]:
     return get("precision"), get("recall")
 
 
-def write_scores(scores: DataFrame, path: str) -> None:
-    """Append scores as Parquet by run."""
-    scores.write.mode("append").partitionBy("run_id").parquet(path)
+def write_scores(scores: DataFrame, path: str, batch: str) -> None:
+    """Add scores(run_id, ...) as Parquet by run, under the name of their batch.
+
+    Tasks write aside and files show when the job commits. A batch that is
+    written again, after a failure or twice, takes the place of what its runs
+    had under that name, so no row is there twice; other batches stay.
+    """
+    _committed(scores.withColumn("batch", F.lit(batch))).partitionBy("run_id", "batch").parquet(path)
+
+
+def _committed(rows: DataFrame):
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
 def forest_edges(forest: DataFrame, region: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
@@ -96,9 +105,9 @@ def forest_edges(forest: DataFrame, region: tuple[float, float, float, float]) -
     return edges.groupBy("n1", "n2").agg(*(F.min(c).alias(c) for c in ("lat1", "lon1", "lat2", "lon2"))), ends
 
 
-def append_summary(summary: DataFrame, path: str) -> None:
-    """Append summary rows as lines of `name: value` text."""
-    summary.select(F.concat_ws(": ", "name", F.col("value").cast("string")).alias("value")).write.mode("append").text(path)
+def append_summary(summary: DataFrame, path: str, batch: str) -> None:
+    """Add summary rows as lines of `name: value` text, under the name of their batch; committed as write_scores."""
+    _committed(summary.select(F.concat_ws(": ", "name", F.col("value").cast("string")).alias("value"), F.lit(batch).alias("batch"))).partitionBy("batch").text(path)
 
 
 def read_tiles(spark: SparkSession, path: str, bands: int = 3) -> DataFrame:
