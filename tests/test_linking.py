@@ -369,3 +369,27 @@ def test_tiles_of_two_sizes_are_cleaned_by_their_own(spark):
     apart = {tuple(x) for t in tiles for x in graph.crop(e, frame([t]), clean=True, merge=6, band=8, d=6).collect()}
     assert got == apart and {x[1] for x in got} == {0, 1}
     assert all(0 <= v < (100, 50)[t] for _, t, x1, _, x2, _ in got for v in (x1, x2))
+
+
+def test_auction_costs_as_little_as_the_solver(spark):
+    r = random.Random(9)
+    rows = [(k, a, b, float(r.randint(0, 9))) for k in range(200) for a in range(r.randint(1, 4)) for b in r.sample(range(4), r.randint(1, 3))]
+    pairs = spark.createDataFrame(rows, "image_id long, a long, b long, cost double").coalesce(1)
+    exact, got, cost = {}, {}, {(k, a, b): c for k, a, b, c in rows}
+    for x in matching.component_match(pairs, "image_id", 6.0).collect():
+        exact.setdefault(x["image_id"], []).append((x["a"], x["b"]))
+    for x in matching.component_match(pairs, "image_id", 6.0, most=0, unit=1.0).collect():
+        got.setdefault(x["image_id"], []).append((x["a"], x["b"]))
+    for k in range(200):
+        mine = got.get(k, [])
+        assert len({a for a, _ in mine}) == len({b for _, b in mine}) == len(mine)
+        # a row alone costs the filler
+        assert sum(cost[k, a, b] - 6.0 for a, b in mine) == sum(cost[k, a, b] - 6.0 for a, b in exact.get(k, []))
+
+
+def test_large_keys_are_matched_in_rounds(spark):
+    r = random.Random(10)
+    rows = list({(k % 3, k, r.randrange(7), r.randrange(7)) for k in range(6) for _ in range(12)})
+    pairs = spark.createDataFrame(rows, "image_id long, start long, a long, b long")
+    sizes = [{(x["image_id"], x["start"]): x["matched"] for x in matching.matching_sizes(pairs, ["image_id", "start"], most=m).collect()} for m in (2_000_000, 11)]
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 6

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
-from waymesh.operators import iterate
+from waymesh.operators import iterate, regions
 
 
 def direction_pairs(dirs: DataFrame, g: str = "patch_id") -> DataFrame:
@@ -198,7 +198,53 @@ def matching_rounds(pairs: DataFrame, g: str) -> DataFrame:
             m = iterate.cut(m.join(add.select(g, "a"), [g, "a"], "left_anti").union(add.select(g, "a", "b")))
 
 
-def component_match(pairs: DataFrame, g: str, filler: float | None = None, most: int = 200_000) -> DataFrame:
+def auction(pairs: DataFrame, g: str, filler: float, unit: float = 1e-9, shrink: int = 4) -> DataFrame:
+    """(g, a, b): a least-cost assignment of pairs(g, a, b, cost), a and b long, in which a row may stay alone at `filler`; by auction, for components of any size.
+
+    Costs count in whole units. Every row may take a column or its own blank,
+    every column's shadow that column or the blank of a row it is paired with,
+    so all can be placed and prices never block one. In a round every free
+    bidder offers for what is worth most to it, as much as that is better than
+    its next best, and the step; the highest offer holds. Steps shrink from the
+    range of costs down to less than one unit over all bidders, where the
+    assignment is exact; prices are kept in between. A round is joins of
+    tables; the last ends when nobody is free.
+    """
+    e = iterate.cut(pairs.where(F.col("cost") < filler).groupBy(g, "a", "b").agg(F.min("cost").alias("cost")))
+    sides = e.select(g, F.struct(F.lit(0).alias("s"), F.col("a").alias("n")).alias("p")).union(e.select(g, F.struct(F.lit(1).alias("s"), F.col("b").alias("n")))).distinct()
+    most = sides.groupBy(g).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if most is None:
+        return e.select(g, "a", "b")
+    whole = lambda c: (F.round(c / F.lit(unit)) * F.lit(most + 1)).cast("long")
+    row, shade = F.col("a") * 2, F.col("b") * 2 + 1
+    column, blank = F.col("b") * 2, F.col("a") * 2 + 1
+    zero = F.lit(0).cast("long")
+    worth = [F.struct(row.alias("p"), column.alias("o"), (-whole(F.col("cost"))).alias("v")), F.struct(row.alias("p"), blank.alias("o"), (-whole(F.lit(filler))).alias("v")), F.struct(shade.alias("p"), column.alias("o"), zero.alias("v")), F.struct(shade.alias("p"), blank.alias("o"), zero.alias("v"))]
+    offers = iterate.cut(e.select(g, F.explode(F.array(*worth)).alias("w")).select(g, "w.*").groupBy(g, "p", "o").agg(F.max("v").alias("v")))
+    bidders = iterate.cut(offers.select(g, "p").distinct())
+    state = iterate.cut(offers.select(g, "o").distinct().select(g, "o", zero.alias("price")))
+    span = offers.agg((F.max("v") - F.min("v")).alias("c")).first()["c"]
+    step = max(int(span) // shrink, 1)
+    order = Window.partitionBy(g, "p").orderBy(F.desc("net"), "o")
+    while True:
+        state = state.select(g, "o", "price", F.lit(None).cast("long").alias("owner"))
+        while True:
+            free = bidders.join(state.select(g, F.col("owner").alias("p")), [g, "p"], "left_anti")
+            net = offers.join(free, [g, "p"]).join(state.select(g, "o", "price"), [g, "o"]).withColumn("net", F.col("v") - F.col("price"))
+            best = net.withColumns({"rank": F.row_number().over(order), "next": F.lead("net").over(order)}).where("rank = 1")
+            # a bidder has a second choice always
+            bids = best.select(g, "o", "p", (F.col("price") + F.col("net") - F.col("next") + F.lit(step)).alias("bid"))
+            won = iterate.cut(bids.groupBy(g, "o").agg(F.max(F.struct("bid", "p")).alias("top")).select(g, "o", "top.*"))
+            if won.isEmpty():
+                break
+            state = iterate.cut(state.join(won, [g, "o"], "left").select(g, "o", F.coalesce("bid", "price").alias("price"), F.coalesce("p", "owner").alias("owner")))
+        if step == 1:
+            break
+        step = max(step // shrink, 1)
+    return state.where("o % 2 = 0 and owner % 2 = 0").select(g, F.shiftright("owner", 1).alias("a"), F.shiftright("o", 1).alias("b"))
+
+
+def component_match(pairs: DataFrame, g: str, filler: float | None = None, most: int = 200_000, unit: float = 1e-9) -> DataFrame:
     """pairs(g, a, b, cost) matched exactly within each connected component.
 
     With a filler, a least-cost assignment in which a row may stay alone at
@@ -229,29 +275,33 @@ def component_match(pairs: DataFrame, g: str, filler: float | None = None, most:
     schema = f"{g} {full.schema[g].dataType.simpleString()}, a long, b long, cost double"
     if large.isEmpty():
         return full.groupBy(g, "component").applyInPandas(solve, schema)
-    if filler is not None:
-        raise ValueError(f"a component has more than {most} pairs")
     rest = full.join(large, [g, "component"], "left_semi").select(g, "a", "b", "cost")
     few = full.join(large, [g, "component"], "left_anti").groupBy(g, "component").applyInPandas(solve, schema)
-    return few.union(matching_rounds(rest, g).join(rest, [g, "a", "b"]).select(g, "a", "b", "cost"))
+    found = matching_rounds(rest, g) if filler is None else auction(rest, g, filler, unit)
+    return few.union(found.join(rest, [g, "a", "b"]).select(g, "a", "b", "cost"))
 
 
 def matching_sizes(pairs: DataFrame, keys: list[str], most: int = 2_000_000) -> DataFrame:
     """(keys, matched): how many of pairs(keys, a, b) go together without a common end, per key.
 
-    A key's pairs are solved by one task; they come from samples within one
-    walk's radius, and more than `most` of them is an error.
+    A key's pairs, which come from samples within one walk's radius, are solved
+    by one task; those of a key with more than `most` of them by matching_rounds.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a walk has more than {most} pairs")
         pdf = pdf.sort_values(["a", "b"], kind="stable")
         n = len(largest_matching(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))))
         return pdf.iloc[:1][keys].assign(matched=n)
 
     kind = dict(pairs.dtypes)
-    return pairs.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kind[k]}" for k in keys) + ", matched long")
+    schema = ", ".join(f"{k} {kind[k]}" for k in keys) + ", matched long"
+    big = regions.over_limit(pairs.select(F.struct(*keys).alias("key")), "key", most)
+    if big is None:
+        return pairs.groupBy(*keys).applyInPandas(solve, schema)
+    keyed = pairs.withColumn("key", F.struct(*keys))
+    few = keyed.join(big, "key", "left_anti").select(pairs.columns).groupBy(*keys).applyInPandas(solve, schema)
+    rounds = matching_rounds(keyed.join(big, "key", "left_semi").select("key", "a", "b"), "key")
+    return few.union(rounds.groupBy("key").agg(F.count("*").alias("matched")).select("key.*", "matched"))
 
 
 def link_assign(costs: DataFrame, g: str = "patch_id", filler: float = 1000.0, most: float = 500.0) -> DataFrame:
