@@ -417,22 +417,21 @@ def test_template_classes_against_brute_force(spark):
     count = Counter()
     for _, _, h in pages:
         bs, tags = html_text.parse(h)
-        for p, (_, n) in tags.items():
+        for p, (_, n, _, _) in tags.items():
             count[p, None] += n
         by = {}
-        for p, _, _, t in bs:
-            by.setdefault(p, []).append(t)
+        for x in bs:
+            by.setdefault(x.path, []).append(x.text)
         for p, ts in by.items():
             if len(set(ts)) == 1:
                 count[p, ts[0]] += len(ts)
     # every page has each of these as often, so the tokens on all pages with one count are a class
     tags = {p: n for (p, t), n in count.items() if t is None}
-    want = {(html_text._token(p), None) for p, n in tags.items()} | {(html_text._token(p), html_text._token(p, t)) for (p, t), n in count.items() if t is not None and n == tags[p]}
-    size = Counter(n for n in [tags[p] for p in tags] + [n for (p, t), n in count.items() if t is not None and n == tags[p]])
-    want = {(p, t) for p, t in want if any(html_text._token(q) == p and size[n] > 1 for q, n in tags.items())}
-    assert {(r["path"], r["token"]) for r in got} == want
+    want = {(p, None) for p in tags} | {(p, html_text._token(p, t)) for (p, t), n in count.items() if t is not None and n == tags[p]}
+    size = Counter(tags[p] for p, _ in want)
+    assert {(r["path"], r["token"]) for r in got} == {(p, t) for p, t in want if size[tags[p]] > 1}
     text = {r["page_id"]: r["text"] for r in html_text.main_text(rows).collect()}
-    assert text[2] == "Head 2\n\nText 2.\n\nMore 2." and text[9] == "lone"  # what the template says is text of no page
+    assert text[2] == "Head 2\n\nText 2.\n\nMore 2.\n\nAlways this" and text[9] == "lone"
     nest = {r["class"]: r["within"] for r in html_text.templates(rows).collect()}
     assert nest and all(w is None or w in nest for w in nest.values())
     # a doubled table has the same texts, twice
@@ -445,11 +444,45 @@ def test_template_classes_against_brute_force(spark):
 def test_malformed_pages_take_linear_time():
     import time
 
-    for bad in ("<!-" * 300_000, "<script x" * 100_000, "<b>" * 150_000 + "<td>" * 100_000, '<a x="' * 160_000 + ">", "<" * 1_000_000, "<p " + "a" * 1_000_000 + ">"):
+    n = 90_000
+    for bad in ("<ul><li><ul>" + "<b>" * n + "<li></li>" * n, "<b>" * n + "<p></p>y" * n, "<!-" * 300_000, "<script x" * 100_000, "<b>" * 150_000 + "<td>" * 100_000, '<a x="' * 160_000 + ">", "<" * 1_000_000, "<p " + "a" * 1_000_000 + ">"):
         t = time.process_time()
         html_text.parse(bad)
         assert time.process_time() - t < 4
-    assert html_text.blocks("<head><title>t</title><p>Body text</p>")[0][3] == "Body text"
+    assert html_text.blocks("<head><title>t</title><p>Body text</p>")[0].text == "Body text"
+
+
+def test_template_chooses_the_slot(spark):
+    """Pages where marks tell nothing, or tell wrongly: the template's slots decide."""
+    prose = lambda h, i: " ".join(f"Sentence {j} of story {h} {i} says something of its own." for j in range(3 + i % 2))
+    cases = {}
+
+    def site(name, page, want, n=6):
+        for i in range(n):
+            cases[len(cases)] = (f"http://{name}.com/{i}", page(i, prose(name, i)), want(i, prose(name, i)))
+
+    # an article's byline and closing heading repeat on all its pages
+    site("byline", lambda i, p: f"<body><nav>Home</nav><article><h1>Title {i}</h1><p class='by'>By Ann Lee</p><p>{p}</p><h2>Conclusion</h2><p>End {i}</p></article><footer>(c)</footer></body>", lambda i, p: f"Title {i}\n\nBy Ann Lee\n\n{p}\n\nConclusion\n\nEnd {i}")
+    # names that say little of the element that holds all text
+    for k, name in enumerate(("post tag-python", "article-body hidden-xs", "side-by-side", "legal-news")):
+        site(f"name{k}", lambda i, p, name=name: f"<body><div class='menu'><a href='/'>Home {i}</a></div><div class='{name}'><h1>Head {i}</h1><p>{p}</p></div><div class='ad'>Buy {i} now</div></body>", lambda i, p: f"Head {i}\n\n{p}")
+    # names that differ by page
+    site("differ", lambda i, p: f"<body><div class='post tag-{'abcdef'[i]}'><h1>Head {i}</h1><p>{p}</p></div></body>", lambda i, p: f"Head {i}\n\n{p}")
+    # no marks at all: lists of links, short varying lines and fixed words around the running text
+    site("plain", lambda i, p: f"<body><div class='x1'><a href='/{i}'>Latest {i}</a> <a href='/'>Home</a></div><div class='x2'><h1>Head {i}</h1><div class='x3'><p>{p}</p><p>{p[::-1]}</p></div></div><div class='x4'>Always the same words</div><div class='x5'>Seen {i} times</div></body>", lambda i, p: f"Head {i}\n\n{p}\n\n{p[::-1]}")
+    # text straight in the body, fixed words before, between and behind
+    site("bare", lambda i, p: f"<body><div class='top'>Site of stories</div><h1>Head {i}</h1><p>{p}</p><hr><h2>More</h2><p>Second {p}</p><div class='end'>All rights kept</div></body>", lambda i, p: f"Head {i}\n\n{p}\n\nMore\n\nSecond {p}")
+    # comments longer than the text
+    site("talk", lambda i, p: f"<body><div class='text'><h1>Head {i}</h1><p>{p}</p></div><div class='comments'><p>{(p[::-1] + ' ') * 5}</p></div></body>", lambda i, p: f"Head {i}\n\n{p}")
+    # a single page: its own text decides
+    site("single", lambda i, p: f"<body><div class='m'><a>One</a><a>Two</a></div><div class='tag-x'><p>{p}</p></div></body>", lambda i, p: p, n=1)
+    # a header of the article stands beside its text
+    site("head", lambda i, p: f"<body><header>Site</header><main><article><header><h1>Head {i}</h1></header><div><p>{p}</p></div><footer>Filed {i}</footer></article></main></body>", lambda i, p: f"Head {i}\n\n{p}")
+    rows = spark.createDataFrame([(k, u, h) for k, (u, h, _) in cases.items()], "page_id long, url string, html string")
+    for least in (16_000_000, 0):  # templates broadcast or joined
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(rows, broadcast_bytes=least).collect()}
+        wrong = {cases[k][0]: (got[k], w) for k, (_, _, w) in cases.items() if got[k] != w}
+        assert not wrong, list(wrong.items())[:3]
 
 
 def test_licence_table_and_neighbouring_spellings(spark):
