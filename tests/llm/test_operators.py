@@ -335,6 +335,10 @@ def test_short_benchmark_items_match(spark):
         got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(e, many, block_chars=block).where("edits = 0").collect()}
         assert got == {(i, i) for i in range(0, 40, 7)}
         assert decontamination.drop_leaks(e, many, block_chars=block).count() == 0
+        # rows without an id, repeats and columns of any name stay, whatever the number of blocks
+        clean = spark.createDataFrame([(None, "nothing of the kind", 1), (None, "nothing of the kind", 1), (7, None, 2)], "doc_id long, text string, number int")
+        mixed = clean.unionByName(e.select("doc_id", "text", F.lit(3).alias("number")))
+        assert sorted(decontamination.drop_leaks(mixed, many, block_chars=block).collect(), key=str) == sorted(clean.collect(), key=str)
 
 
 def test_every_spelling_of_a_short_word_is_found():

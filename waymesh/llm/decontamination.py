@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.llm.labelled import by_size
+from waymesh.session import materialise
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -191,17 +192,17 @@ def _matches(index: GramIndex, texts: list[str | None]) -> list[list[tuple[int,
     return [sorted(set(m)) for m in out]
 
 
-def _indexes(benchmark: DataFrame, window: int, edits: int, q: int, block_chars: int) -> list:
-    """The benchmark's index, broadcast in blocks of about `block_chars` characters."""
-    spark = benchmark.sparkSession
+def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
+    """The benchmark's items in blocks of about `block_chars` characters."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_chars))
-    out = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        out.append(spark.sparkContext.broadcast(GramIndex.build(sorted((r["item_id"], normalise(r["text"])) for r in rows), window, edits, q)))
-    return out
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _index(block: DataFrame, window: int, edits: int, q: int):
+    """One block's index, broadcast: its size is bounded by the block's."""
+    return block.sparkSession.sparkContext.broadcast(GramIndex.build(sorted((r["item_id"], normalise(r["text"])) for r in block.collect()), window, edits, q))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: int = 5, q: int = 10, block_chars: int = 4_000_000) -> DataFrame:
@@ -209,11 +210,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: int =
 
     start and end: the extent of the matches in the normalised text; edits: the
     fewest of one window. An item is in one block of the index, so a row's
-    matches with it come together.
+    matches with it come together. Blocks are built, used and released one after
+    another, each one's matches written, so memory doesn't grow with their number.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
-    for index in _indexes(benchmark, window, edits, q, block_chars):
+    blocks = _blocks(benchmark, block_chars)
+    for block in blocks:
+        index = _index(block, window, edits, q)
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -228,15 +232,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: int =
 
         # an id travels as text: pandas would make floats of integers next to a null
         part = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, item_id long, windows long, edits int, start int, end int")
+        if len(blocks) > 1:
+            part = materialise(part, "leaks")
+            index.destroy()
         out = part if out is None else out.union(part)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: int = 5, q: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs whose text holds no passage of the benchmark, whether they have a doc_id or not."""
-    for index in _indexes(benchmark, window, edits, q, block_chars):
-        docs = docs.where(_clean("text", index))
-    return docs
+    blocks = _blocks(benchmark, block_chars)
+    if len(blocks) == 1:
+        return docs.where(_clean("text", _index(blocks[0], window, edits, q)))
+    # rows by a number of their own, and each block's leaking numbers written before the next block is built
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = materialise(docs.select(whole.alias("row")).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    bad = None
+    for block in blocks:
+        index = _index(block, window, edits, q)
+        part = materialise(rows.where(~_clean("row.text", index)).select("number"), "leaks")
+        index.destroy()
+        bad = part if bad is None else bad.union(part)
+    return rows.join(bad, "number", "left_anti").select("row.*")
 
 
 def _clean(text: str, index) -> Column:
