@@ -525,11 +525,19 @@ def _(s, d):
     return records.select("image_id", "tile", "kp_seq", "x", "y", F.posexplode("flat").alias("k", "v")).where("v is not null")
 
 
-@query("b10_heat_export", "select image_id, cast(2*(row_//16) + col_//16 as int) patch_seq, row_ % 16 row_, col_ % 16 col_, cast(round_even(255/(1+exp(-heat)), 0) as int) level from fx_pixel")
+@query("b10_heat_export", "select image_id, cast(2*(row_//16) + col_//16 as int) patch_seq, row_ % 16 row_, col_ % 16 col_, cast(floor(255/(1+exp(-heat))) as int) level from fx_pixel")
 def _(s, d):
     p = raster.assign_patches(table(s, d, "fx_pixel"), 32, 32, 16, 0)
     p = raster.heat_overlay(p)
-    return p.select("image_id", "patch_seq", (F.col("row_") - F.col("top")).alias("row_"), (F.col("col_") - F.col("left")).alias("col_"), F.rint("heat8").cast("int").alias("level"))
+    return p.select("image_id", "patch_seq", (F.col("row_") - F.col("top")).alias("row_"), (F.col("col_") - F.col("left")).alias("col_"), F.floor("heat8").cast("int").alias("level"))
+
+
+@query("b10_heat_maps", "select image_id, cast(2*py + px as int) patch_seq, cast(m as int) map, row_ - 12*py row_, col_ - 12*px col_, cast(floor(255/(1+exp(-(case when m=0 then heat else cast(b + m*g - r as double)/64 end)))) as int) level from fx_pixel cross join (select unnest(range(7)) m) maps join (select unnest([0,1]) py) a on row_ between 12*py and 12*py+19 join (select unnest([0,1]) px) c on col_ between 12*px and 12*px+19")
+def _(s, d):
+    none = F.lit(0.0)
+    slot = lambda m: F.struct(((F.col("b") + m * F.col("g") - F.col("r")) / 64.0).alias("prob"), none.alias("sin"), none.alias("cos"))
+    px = table(s, d, "fx_pixel").select("image_id", "row_", "col_", F.col("heat").alias("loc"), F.array(*(slot(m) for m in range(1, 7))).alias("dirs"))
+    return jobs.heat_export(px, 32, 32, 20, 8)
 
 
 @query("st1_running_scores", "select run_id, sum(case when is_nan=0 then apls_raw end) total, count(case when is_nan=0 then 1 end) n, avg(case when is_nan=0 then apls_raw end) mean from fx_score group by 1")
