@@ -173,18 +173,58 @@ def within_hops(edges: DataFrame, sources: DataFrame, hops: int, g: str = "image
     return got.union(near)
 
 
-def grid_join(a: DataFrame, b: DataFrame, radius: float, g: str = "image_id") -> DataFrame:
+def grid_join(a: DataFrame, b: DataFrame, radius: float, g: str = "image_id", most: int = 20_000) -> DataFrame:
     """Pairs of a(g, ida, ax, ay) and b(g, idb, bx, by) at most radius apart, with dist.
 
     b's rows go to their cell of that size and the eight around it, a's to
-    their own, so no cell meets all others.
+    their own, so no cell meets all others. A cell with more than `most` rows of
+    a or b is split on (`_crowded`), so that no key joins more than about `most`
+    rows of either side, but for rows of b that repeat one id and place.
     """
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     left = a.select("*", F.floor(F.col("ax") / radius).alias("cx"), F.floor(F.col("ay") / radius).alias("cy"))
     right = b.select("*", F.explode(near).alias("ox")).select("*", F.explode(near).alias("oy"))
     right = right.select(*b.columns, (F.floor(F.col("bx") / radius) + F.col("ox")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("oy")).alias("cy"))
+    keys = [g, "cx", "cy"]
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return left.join(right, [g, "cx", "cy"]).withColumn("dist", d).where(F.col("dist") <= radius).drop("cx", "cy")
+    full = regions.crowded_cells(left, right, keys, most)
+    if full is None:
+        pairs = left.join(right, keys).drop("cx", "cy")
+    else:
+        rest = left.join(full, keys, "left_anti").join(right, keys).drop("cx", "cy")
+        pairs = rest.unionByName(_crowded(left, right, full, radius, keys, most))
+    return pairs.withColumn("dist", d).where(F.col("dist") <= radius)
+
+
+def _crowded(left: DataFrame, right: DataFrame, full: DataFrame, radius: float, keys: list[str], most: int, depth: int = 6) -> DataFrame:
+    """Rows of left and right in the cells full(keys, na, nb) that can be within radius, each pair once.
+
+    A cell's rows of left go to the leaves of a quadtree of 2 ** depth squares a
+    side, rows of right to every leaf within radius of them. Where a smallest
+    square still holds more than `most`, or right's rows do, they are dealt into
+    parts by a hash, and the other side's rows go to every part.
+    """
+    least = radius / 2**depth
+    split = full.select(*keys, F.ceil(F.greatest("nb", F.lit(1)) / most).cast("int").alias("_nb"))
+    inside = lambda v, c: F.greatest(F.lit(0.0), F.least(F.col(v) - F.col(c) * radius, F.lit(radius - least / 2)))
+    base = F.struct(*keys).alias("_base")
+    own = [c for c in left.columns if c not in keys]
+    p = left.join(split, keys).select(base, F.struct(*own).alias("_a"), "_nb", inside("ax", "cx").alias("x"), inside("ay", "cy").alias("y"))
+    p = regions.quad_cells(p, least, most, "_base", depth).drop("x", "y")
+    leaves = cut(p.groupBy("_base", "_cell", "_nb").agg(F.ceil(F.count("*") / most).cast("int").alias("_na")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n).cast("long")).cast("int")
+    p = p.join(leaves.drop("_nb"), ["_base", "_cell"]).select("_base", "_cell", "_a", part("_na", "_a.ida", "_a.ax", "_a.ay").alias("_pa"), every("_nb").alias("_pb"))
+    theirs = [c for c in right.columns if c not in keys]
+    q = right.join(split, keys).select(base, F.struct(*theirs).alias("_b"), part("_nb", "idb", "bx", "by").alias("_pb"))
+    # the leaves too are dealt into right's parts, so that no key holds all of a cell's rows
+    q = q.join(leaves.select("_base", "_cell", "_na", every("_nb").alias("_pb")), ["_base", "_pb"])
+    side = least * F.pow(F.lit(2.0), F.col("_cell.k"))
+    gap = lambda v, c: F.greatest(F.col(f"_base.{c}") * radius + F.col(f"_cell.{c}") * side - F.col(v), F.col(v) - F.col(f"_base.{c}") * radius - (F.col(f"_cell.{c}") + 1) * side, F.lit(0.0))
+    slack = 1e-9 * radius + 1e-12 * (F.abs("_b.bx") + F.abs("_b.by"))
+    reach = F.sqrt(gap("_b.bx", "cx") ** 2 + gap("_b.by", "cy") ** 2) <= radius + slack
+    q = q.where(reach).select("_base", "_cell", "_b", "_pb", every("_na").alias("_pa"))
+    return p.join(q, ["_base", "_cell", "_pa", "_pb"]).select(f"_base.{keys[0]}", "_a.*", "_b.*")
 
 
 def box_cells(cell: float, left: Column, low: Column, right: Column, high: Column) -> Column:

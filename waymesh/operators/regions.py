@@ -38,6 +38,15 @@ def quad_cells(points: DataFrame, cell: float, most: int, g: str = "image_id", l
     return every.join(leaves, [g, "_cell"], "left_semi")
 
 
+def crowded_cells(left: DataFrame, right: DataFrame, keys: list[str], most: int) -> DataFrame | None:
+    """(keys, na, nb) of the cells with more than `most` rows of left or right and some of both, or None; counted before they are shuffled."""
+    one = left.groupBy(*keys).agg(F.count("*").alias("na"), F.lit(0).cast("long").alias("nb"))
+    two = right.groupBy(*keys).agg(F.lit(0).cast("long").alias("na"), F.count("*").alias("nb"))
+    both = one.union(two).groupBy(*keys).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    full = cut(both.where((F.greatest("na", "nb") > most) & (F.least("na", "nb") > 0)))
+    return None if full.isEmpty() else full
+
+
 def over_limit(rows: DataFrame, g: str, most: int) -> DataFrame | None:
     """(g, n) of groups with more than `most` rows, or None."""
     sizes = rows.groupBy(g).agg(F.count("*").alias("n")).where(F.col("n") > most)

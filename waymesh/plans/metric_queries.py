@@ -506,6 +506,12 @@ def _(s, d):
     return out.groupBy("patch").agg(F.count("*").alias("n"), F.sum("loc").alias("loc"), F.sum("prob").alias("prob")).select("patch.*", "n", "loc", "prob")
 
 
+@query("b6_sample_pixels")
+def _(s, d):
+    px = table(s, d, "fx_pixel").withColumnRenamed("image_id", "patch_id")
+    return jobs.sample_pixels(px, [1, 2], 32, 9).select("patch.*", "row_", "col_", "b", "g", "r", "valid")
+
+
 @query("b7_truth_relink")
 def _(s, d):
     return graph.to_adjacency(jobs.relink(_directed(s, d))).select("image_id", F.col("node.x").alias("x"), F.col("node.y").alias("y"), F.size("neighbors").alias("n"))
