@@ -1,5 +1,10 @@
 """Steps that have to stay linear, against plain versions."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from waymesh.operators import matching
 from waymesh.session import cut
 
 
@@ -12,3 +17,23 @@ def test_size_on_disk_does_not_make_a_broadcast(spark):
     cut(spark.range(3))
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+
+
+def test_greedy_selection_by_one_task_and_in_rounds(spark):
+    r = random.Random(4)
+    rows = [(g, r.randrange(25), r.randrange(25), r.randrange(9)) for g in range(6) for _ in range(200)]
+    rows += [(9, 0, k, 1) for k in range(3000)]  # one end of all pairs: 4.5 million clashes
+    rows = sorted({(g, a, b): (g, a, b, c) for g, a, b, c in rows}.values())
+    want, used = set(), set()
+    for g, a, b, c in sorted(rows, key=lambda x: (x[0], x[3], x[1], x[2])):
+        if (g, "a", a) not in used and (g, "b", b) not in used:
+            used |= {(g, "a", a), (g, "b", b)}
+            want.add((g, a, b))
+    df = spark.createDataFrame(rows, "g long, a long, b long, cost long")
+    text = df.selectExpr("g", "cast(a as string) a", "cast(b as string) b", "cost", "a as x", "b as y")
+    assert {(x["g"], x["a"], x["b"]) for x in matching.select_ascending(df, "g").collect()} == want
+    ends = [F.expr(f"named_struct('s', {k}, 'n', {c})") for k, c in enumerate("ab")]
+    for t, most in ((df, 50), (text, 500_000)):
+        order = ["cost", *(("a", "b") if t is df else ("x", "y"))]
+        got = matching._greedy(t, "g", order, ends, most=most)
+        assert {(x["g"], int(x["a"]), int(x["b"])) for x in got.collect()} == want
