@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from waymesh.operators import matching
+from waymesh.operators import iterate, matching
 from waymesh.session import cut
 
 
@@ -37,3 +37,14 @@ def test_greedy_selection_by_one_task_and_in_rounds(spark):
         order = ["cost", *(("a", "b") if t is df else ("x", "y"))]
         got = matching._greedy(t, "g", order, ends, most=most)
         assert {(x["g"], int(x["a"]), int(x["b"])) for x in got.collect()} == want
+
+
+def test_searches_of_whole_groups_equal_rounds(spark):
+    r = random.Random(5)
+    edges = [(g, r.randrange(30), r.randrange(30), r.random()) for g in range(4) for _ in range(60)]
+    e = spark.createDataFrame(edges, "image_id long, a long, b long, w double")
+    seeds = [(g, (s, float(s)), n, d) for g in range(5) for s in range(6) for n, d in ((s, 0.1), (s + 7, 0.2 * s))]
+    src = spark.createDataFrame(seeds, "image_id long, source struct<s:long,r:double>, node long, dist double")
+    for how in ({"max_dist": 1.2}, {"directed": True}):
+        got = [sorted(map(str, iterate.shortest_paths(e, src, most=most, **how).collect())) for most in (1000, 0)]
+        assert got[0] == got[1] and len(got[0]) > 60
