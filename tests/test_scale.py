@@ -1,7 +1,9 @@
 """Steps that have to stay linear, against plain versions."""
 
+import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from waymesh.operators import iterate, matching
@@ -48,3 +50,24 @@ def test_searches_of_whole_groups_equal_rounds(spark):
     for how in ({"max_dist": 1.2}, {"directed": True}):
         got = [sorted(map(str, iterate.shortest_paths(e, src, most=most, **how).collect())) for most in (1000, 0)]
         assert got[0] == got[1] and len(got[0]) > 60
+
+
+def test_apart_by_one_task_equals_conflicts(spark):
+    r = random.Random(6)
+    links = [(g, r.randrange(60), r.randrange(60)) for g in range(5) for _ in range(55)]
+    items = [(g, i, r.randrange(60), r.random() < 0.2, r.randrange(30)) for g in range(5) for i in range(40)]
+    e = spark.createDataFrame(links, "image_id long, a long, b long")
+    x = spark.createDataFrame(items, "image_id long, id long, node long, free boolean, key long")
+    got = [sorted((y["image_id"], y["id"]) for y in iterate.apart(x, e, 2, most=most).collect()) for most in (1000, 0)]
+    assert got[0] == got[1] and 60 < len(got[0]) < 240
+
+
+def test_assignment_costs_what_brute_force_finds():
+    r = np.random.default_rng(7)
+    for k in range(200):
+        n = int(r.integers(1, 5))
+        m = n + int(r.integers(0, 3))
+        c = r.integers(0, 4, (n, m)).astype(float) if k % 2 else r.random((n, m))
+        got = matching.assignment(c)
+        want = min(sum(c[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        assert len(set(got.tolist())) == n and abs(c[np.arange(n), got].sum() - want) < 1e-9
