@@ -155,29 +155,57 @@ def ascending_totals(pairs: DataFrame, g: str) -> DataFrame:
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a least-cost assignment (rows <= columns), by shortest augmenting paths."""
+    """Column of each row in a least-cost assignment (rows <= columns).
+
+    Rows first take what is worth most to them and put others out while prices
+    fall, four offers a row at most; what is free then is placed by shortest
+    augmenting paths. Columns that nobody took keep the price zero.
+    """
     n, m = cost.shape
-    u, v, p, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        p[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while p[j0]:
-            used[j0] = True
-            row = cost[p[j0] - 1] - u[p[j0]] - v[1:]
-            better = ~used[1:] & (row < least[1:])
-            least[1:][better], way[1:][better] = row[better], j0
-            j1 = int(np.where(used[1:], np.inf, least[1:]).argmin()) + 1
-            delta = least[j1]
-            u[p[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-        while j0:
-            p[j0] = p[way[j0]]
-            j0 = way[j0]
-    out = np.zeros(n, int)
-    out[p[1:][p[1:] > 0] - 1] = np.flatnonzero(p[1:] > 0)
-    return out
+    v, of_row, of_col = np.zeros(m), np.full(n, -1), np.full(m, -1)
+    free, left = list(range(n - 1, -1, -1)), 4 * n
+    while free and left and m > 1:
+        i, left = free.pop(), left - 1
+        net = cost[i] - v
+        j = int(net.argmin())
+        first, net[j] = net[j], np.inf
+        k = int(net.argmin())
+        if net[k] == first and of_col[j] >= 0 and of_col[k] < 0:
+            j = k
+        elif net[k] > first:
+            v[j] -= net[k] - first
+        elif of_col[j] >= 0:
+            free.append(i)
+            break
+        if (out := of_col[j]) >= 0:
+            of_row[out] = -1
+            free.append(int(out))
+        of_row[i], of_col[j] = j, i
+    u = (cost - v).min(axis=1) if n else np.zeros(0)
+    placed = of_row >= 0
+    u[placed] = cost[np.flatnonzero(placed), of_row[placed]] - v[of_row[placed]]
+    for root in np.flatnonzero(~placed):
+        least, came, used, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool), []
+        i, low, end = root, 0.0, -1
+        while end < 0:
+            seen.append(i)
+            way = cost[i] - v + (low - u[i])
+            better = (way < least) & ~used
+            least[better], came[better] = way[better], i
+            j = int(np.where(used, np.inf, least).argmin())
+            low, used[j] = least[j], True
+            i = of_col[j]
+            end = j if i < 0 else -1
+        u[root] += low
+        for i in seen[1:]:
+            u[i] += low - least[of_row[i]]
+        v[used] -= low - least[used]
+        while True:
+            i = came[end]
+            of_col[end], of_row[i], end = i, end, of_row[i]
+            if i == root:
+                break
+    return of_row
 
 
 def largest_matching(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -305,7 +333,8 @@ def component_match(pairs: DataFrame, g: str, filler: float | None = None, most:
     pairs is matched by matching_rounds; with a filler, where pairs come from
     one patch's top k directions, it is an error.
     """
-    keyed = pairs.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double"))
+    # read for components and for costs: a plan would work all pairs out twice
+    keyed = iterate.cut(pairs.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double")))
     e = keyed.select(g, (F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"))
     comp = iterate.components(e, g).select(g, F.col("node").alias("_a"), "component")
     full = iterate.cut(keyed.groupBy(g, "a", "b").agg(F.min("cost").alias("cost")).withColumn("_a", F.col("a") * 2).join(comp, [g, "_a"]).drop("_a"))
@@ -316,12 +345,10 @@ def component_match(pairs: DataFrame, g: str, filler: float | None = None, most:
         if filler is None:
             keep = largest_matching(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)))
         else:
-            rows, cols = pdf["a"].unique(), pdf["b"].unique()
-            ri, ci = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
+            (ri, rows), (ci, cols) = pd.factorize(pdf["a"]), pd.factorize(pdf["b"])
             c = np.full((len(rows), len(cols) + len(rows)), filler)
-            for a, b, x in zip(pdf["a"], pdf["b"], pdf["cost"], strict=True):
-                c[ri[a], ci[b]] = x
-            keep = [(rows[i], cols[j]) for i, j in enumerate(assignment(c)) if j < len(cols) and c[i, j] < filler]
+            c[ri, ci] = pdf["cost"]
+            return pdf[(assignment(c)[ri] == ci) & (pdf["cost"].to_numpy() < filler)][[g, "a", "b", "cost"]]
         return pdf.merge(pd.DataFrame(keep, columns=["a", "b"], dtype="int64"), on=["a", "b"])[[g, "a", "b", "cost"]]
 
     schema = f"{g} {full.schema[g].dataType.simpleString()}, a long, b long, cost double"
@@ -359,6 +386,7 @@ def matching_sizes(pairs: DataFrame, keys: list[str], most: int = 2_000_000) ->
 def link_assign(costs: DataFrame, g: str = "patch_id", filler: float = 1000.0, most: float = 500.0) -> DataFrame:
     """Least-cost assignment over the full symmetric table of directions; pairs below `most`, each once."""
     i, j = F.col("i") * 6 + F.col("si"), F.col("j") * 6 + F.col("sj")
+    costs = iterate.cut(costs)
     both = costs.select(g, i.alias("a"), j.alias("b"), "cost").union(costs.select(g, j, i, "cost"))
     got = component_match(both, g, filler).where(F.col("cost") < most)
     return got.select(g, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cost").distinct()
