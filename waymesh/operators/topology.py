@@ -367,6 +367,7 @@ def _node_walks(graph: tuple[DataFrame, DataFrame], starts: DataFrame, step: flo
 def list_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], pairs: DataFrame, step: float = 0.00005, r: float = 0.003, threshold: float = 0.00015, wider: float = 0.0) -> DataFrame:
     """(image_id, start, precision, recall, avg_precision, avg_recall) of node pairs (image_id, truth_node, node): any-match shares of both walks and their running means by truth_node; pairs with an empty walk are left out."""
     pairs = iterate.cut(pairs.withColumn("start", F.col("truth_node")))
+    pred, truth = (tuple(iterate.cut(x) for x in t) for t in (pred, truth))  # each is read several times
     marbles = _node_walks(pred, pairs.select(G, "start", "node"), step, r)
     holes = _node_walks(truth, pairs.select(G, "start", F.col("truth_node").alias("node")), step, r + wider)
     p = _any_match(marbles, holes, threshold).withColumnRenamed("share", "precision")
@@ -377,6 +378,7 @@ def list_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataF
 
 def random_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], num: int, seed: int = 0, step: float = 0.00005, r: float = 0.003, threshold: float = 0.0002) -> DataFrame:
     """(image_id, precision, recall): means over `num` seeded nodes of the prediction that have a node of the truth within the threshold, the truth's walk one step wider."""
+    pred, truth = (tuple(iterate.cut(x) for x in t) for t in (pred, truth))  # each is read several times
     cand = pred[1].select(G, F.explode(F.array("n1", "n2")).alias("node_id")).distinct().join(pred[0].select(G, "node_id", "lat", "lon"), [G, "node_id"])
     a = cand.select(G, F.col("node_id").alias("node"), F.col("lat").alias("ax"), F.col("lon").alias("ay"))
     b = truth[0].select(G, F.col("node_id").alias("truth_node"), F.col("lat").alias("bx"), F.col("lon").alias("by"))
