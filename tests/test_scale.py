@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from waymesh.operators import iterate, matching
+from waymesh.operators import graph, iterate, matching
 from waymesh.session import cut
 
 
@@ -71,3 +71,13 @@ def test_assignment_costs_what_brute_force_finds():
         got = matching.assignment(c)
         want = min(sum(c[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
         assert len(set(got.tolist())) == n and abs(c[np.arange(n), got].sum() - want) < 1e-9
+
+
+def test_tries_of_border_ends_are_not_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+    rows = [(g, 0, 100 * k + d, 30, 100 * k + d) for g in range(3) for k in range(4) for d in (0, 4)]
+    e = spark.createDataFrame(rows, "image_id long, x1 int, y1 int, x2 int, y2 int")
+    out = graph.separate_border_ends(e, 448, 448, 10, 10, 3)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert not any("BroadcastHashJoin" in x and "try#" in x for x in plan.splitlines())
+    assert out.count() == len(rows)
