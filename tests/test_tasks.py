@@ -5,13 +5,20 @@ import random
 
 from pyspark.sql import functions as F
 
-from waymesh.operators import directions
+from waymesh.operators import directions, jobs, raster
+from waymesh.session import dealt
 
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _run(df):
+    """The physical plan of a table that has been read."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_allocation_stays_in_its_row(spark):
     r = random.Random(8)
     rows = [(k, i, r.randrange(360)) for k in range(60) for i in range(k % 7)] + [(99, 0, None), (None, 0, 50)]
@@ -42,3 +49,34 @@ def test_augmentation_joins_nothing(spark):
         moved = directions.reslot(directions.rotate(hit, 100, 3), keys, mode).select(*keys, F.col("sector").alias("dir_idx"), "deg")
         got = turned.join(hit.select("patch_id").distinct(), "patch_id").select(*keys, "dir_idx", "deg")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, moved.collect())) != []
+
+
+def test_pixels_meet_a_keypoint_not_its_slots(spark):
+    kp = spark.createDataFrame([(1, 0, 2, 2), (1, 1, 3, 2), (2, 0, 9, 9)], "patch_id long, kp_seq long, x int, y int")
+    d = spark.createDataFrame([(1, 0, 1, 0.5, 0.6, 0.8), (1, 0, 3, None, 1.0, 0.0), (2, 5, 0, 1.0, 1.0, 0.0)], "patch_id long, kp_seq long, slot int, prob double, sin double, cos double")
+    maps = raster.gaussian_maps(kp, 1, 10, 10)
+    out = raster.direction_maps(maps, d, False)
+    plan = _plan(out)
+    assert plan.index("Generate") < plan.index("Join")  # slots are rows only after the join
+    place = {(x["patch_id"], x["row_"], x["col_"]): x["kp_seq"] for x in maps.collect()}
+    got = {(x["patch_id"], x["row_"], x["col_"], x["slot"]): (x["prob"], x["sin"], x["cos"]) for x in out.collect()}
+    own = {(1, 0, 1): (0.5, 0.6, 0.8), (1, 0, 3): (0.0, 1.0, 0.0)}
+    assert got == {(p, r, c, s): own.get((p, k, s), (0.0, 0.0, 0.0)) for (p, r, c), k in place.items() for s in range(6)}
+
+
+def test_training_samples_are_dealt_once(spark):
+    kp = spark.createDataFrame([(p, k, 7 * k + p, 5 * k) for p in range(6) for k in range(4)], "patch_id long, kp_seq long, x int, y int")
+    d = spark.createDataFrame([(p, k, i, 60 * i + p) for p in range(6) for k in range(4) for i in range(1 + k)], "patch_id long, kp_seq long, dir_idx int, deg int")
+    out = jobs.training_samples(kp, d, [1, 2], 40, 1, 9)
+    plan = _run(out)
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len([x for x in shuffles if "patch#" in x]) == 1 and not any("row_" in x for x in shuffles)
+    pixels = out.select("patch", "row_", "col_").distinct().count()
+    assert out.count() == 6 * pixels and out.where("prob > 0").select("patch").distinct().count() == 12
+
+
+def test_tasks_of_a_number_of_rows(spark):
+    t = spark.range(1000).selectExpr("id", "id % 90 g")
+    sizes = dealt(t, 50, "g").select(F.spark_partition_id().alias("p"), "g").groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("g").alias("k")).collect()
+    assert dealt(t, 50, "g").rdd.getNumPartitions() == 20 and sum(x["k"] for x in sizes) == 90
+    assert dealt(t, 50, "g", of=t.limit(100), each=10).rdd.getNumPartitions() == 20
