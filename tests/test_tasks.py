@@ -80,3 +80,24 @@ def test_tasks_of_a_number_of_rows(spark):
     sizes = dealt(t, 50, "g").select(F.spark_partition_id().alias("p"), "g").groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("g").alias("k")).collect()
     assert dealt(t, 50, "g").rdd.getNumPartitions() == 20 and sum(x["k"] for x in sizes) == 90
     assert dealt(t, 50, "g", of=t.limit(100), each=10).rdd.getNumPartitions() == 20
+
+
+def test_masks_are_unique_where_they_are_drawn(spark):
+    rows = [(1, 250, 250, 262, 262), (1, 250, 250, 262, 250), (1, -3, 2, 4, 2), (2, 255, 0, 256, 600), (None, 5, 5, 9, 5)]
+    e = spark.createDataFrame(rows, "image_id long, x1 int, y1 int, x2 int, y2 int")
+    out = raster.thick_mask(e, 5.0)
+    shuffles = [x for x in _run(out).splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 1 and "_tx" in shuffles[0]
+    want = set()
+    for g, x1, y1, x2, y2 in rows:
+        for x in range(min(x1, x2) - 4, max(x1, x2) + 5):
+            for y in range(min(y1, y2) - 4, max(y1, y2) + 5):
+                f = max(0, min(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+                if (x - x1 - f * (x2 - x1)) ** 2 + (y - y1 - f * (y2 - y1)) ** 2 <= 2.5**2:
+                    want.add((g, x, y))
+    got = list(map(tuple, out.collect()))
+    assert len(got) == len(set(got)) and set(got) == want
+    line = raster.centerline(e)
+    assert len([x for x in _run(line).splitlines() if "Exchange hashpartitioning" in x]) == 1
+    got = list(map(tuple, line.collect()))
+    assert len(got) == len(set(got)) and set(got) >= {(1, 250 + k, 250 + k) for k in range(13)} | {(2, 256, 600), (2, 255, 0), (1, -3, 2), (1, 4, 2)}
