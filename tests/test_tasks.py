@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymesh.operators import directions, jobs, raster
 from waymesh.session import dealt
+from waymesh.sources import io
 
 
 def _plan(df):
@@ -101,3 +102,11 @@ def test_masks_are_unique_where_they_are_drawn(spark):
     assert len([x for x in _run(line).splitlines() if "Exchange hashpartitioning" in x]) == 1
     got = list(map(tuple, line.collect()))
     assert len(got) == len(set(got)) and set(got) >= {(1, 250 + k, 250 + k) for k in range(13)} | {(2, 256, 600), (2, 255, 0), (1, -3, 2), (1, 4, 2)}
+
+
+def test_forest_edges_are_unique_where_their_parent_is(spark):
+    f = spark.createDataFrame([(1, 0, 0, 5.0, 5.0, None, None, 0), (1, 1, 0, 6.0, 5.0, 2, 0, 1), (1, 2, 0, 6.5, 5.0, 2, 0, 0), (2, 0, 0, 7.0, 7.0, None, None, 0)], "tree_id long, id long, parent long, lat double, lon double, sim_tree long, sim_id long, out_region int")
+    edges, _ = io.forest_edges(f, (0, 0, 10, 10))
+    assert not any("t2" in x for x in _run(edges).splitlines() if "Exchange" in x)
+    got = sorted((x["n1"]["t"], x["n1"]["i"], x["n2"]["t"], x["n2"]["i"], x["lat2"]) for x in edges.collect())
+    assert got == [(1, 0, 1, 0, 5.0), (1, 0, 2, 0, 7.0), (2, 0, 2, 0, 7.0)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymesh.session import dealt
+
 GEOJSON = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
 DATASET = "dataset_info array<struct<image_name:string,height:int,width:int,keypoints:array<struct<location:array<double>,directions:array<double>>>>>"
 
@@ -90,19 +92,17 @@ def forest_edges(forest: DataFrame, region: tuple[float, float, float, float]) -
     kept = forest.where(F.col("lat").between(lo_lat, hi_lat) & F.col("lon").between(lo_lon, hi_lon))
     up = place.toDF("tree_id", "parent", "lat1", "lon1")
     like = place.toDF("sim_tree", "sim_id", "lats", "lons")
-    e = kept.join(up, ["tree_id", "parent"]).join(like, ["sim_tree", "sim_id"], "left")
+    # edges of a parent meet where they are made unique, in tasks of a bounded number of rows
+    keys = ["tree_id", "parent"]
+    e = dealt(kept.join(like, ["sim_tree", "sim_id"], "left"), 500_000, *keys, of=forest).join(dealt(up, 500_000, *keys, of=forest), keys)
     node = lambda t, i: F.struct(F.col(t).alias("t"), F.col(i).alias("i"))
     own = F.col("sim_tree").isNull()
-    edges = e.select(
-        node("tree_id", "parent").alias("n1"),
-        F.when(own, node("tree_id", "id")).otherwise(node("sim_tree", "sim_id")).alias("n2"),
-        "lat1",
-        "lon1",
-        F.when(own, F.col("lat")).otherwise(F.col("lats")).alias("lat2"),
-        F.when(own, F.col("lon")).otherwise(F.col("lons")).alias("lon2"),
-    )
+    other = lambda a, b: F.when(own, F.col(a)).otherwise(F.col(b))
+    e = e.select(*keys, other("tree_id", "sim_tree").alias("t2"), other("id", "sim_id").alias("i2"), "lat1", "lon1", other("lat", "lats").alias("lat2"), other("lon", "lons").alias("lon2"))
+    places = ["lat1", "lon1", "lat2", "lon2"]
+    edges = e.groupBy(*keys, "t2", "i2").agg(*(F.min(c).alias(c) for c in places))
     ends = kept.where("out_region = 1").select(node("tree_id", "parent").alias("node")).distinct()
-    return edges.groupBy("n1", "n2").agg(*(F.min(c).alias(c) for c in ("lat1", "lon1", "lat2", "lon2"))), ends
+    return edges.select(node(*keys).alias("n1"), node("t2", "i2").alias("n2"), *places), ends
 
 
 def append_summary(summary: DataFrame, path: str, batch: str) -> None:
