@@ -242,7 +242,9 @@ def pair_nodes(nodes: DataFrame, dedges: DataFrame, truth_nodes: DataFrame, trut
     mine = e.select(G, F.explode(F.array("n1", "n2")).alias("node_id")).distinct().join(nodes.select(G, "node_id", "lat", "lon"), [G, "node_id"])
     row, col = geo.window_index("lat", "lon", "min_lat", "min_lon", "max_lat", "max_lon", *mask_size)
     there = truth_nodes.select(G, "node_id", "lat", "lon").join(window, G).withColumns({"row_": row, "col_": col})
-    there = there.where((F.col("row_") > 0) & (F.col("row_") < mask_size[0]) & (F.col("col_") > 0) & (F.col("col_") < mask_size[1])).join(mask.select(G, "row_", "col_").distinct(), [G, "row_", "col_"], "left_semi")
+    there = there.where((F.col("row_") > 0) & (F.col("row_") < mask_size[0]) & (F.col("col_") > 0) & (F.col("col_") < mask_size[1]))
+    # the mask is far larger than the nodes: it runs past a table of them, neither made unique nor sorted; a node found twice is one in the end
+    there = there.hint("shuffle_hash").join(mask.select(G, "row_", "col_"), [G, "row_", "col_"])
     a = mine.select(G, F.col("node_id").alias("node"), F.col("lat").alias("ax"), F.col("lon").alias("ay"))
     b = there.select(G, F.col("node_id").alias("truth_node"), F.col("lat").alias("bx"), F.col("lon").alias("by"))
     j = iterate.grid_join(a, b, threshold * 1.5, G).where((F.abs(F.col("ax") - F.col("bx")) <= threshold) & (F.abs(F.col("ay") - F.col("by")) <= threshold))
