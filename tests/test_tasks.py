@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from waymesh.operators import directions, jobs, raster
+from waymesh.operators import directions, jobs, matching, raster
 from waymesh.session import dealt
 from waymesh.sources import io
 
@@ -104,6 +104,19 @@ def test_masks_are_unique_where_they_are_drawn(spark):
     assert len(got) == len(set(got)) and set(got) >= {(1, 250 + k, 250 + k) for k in range(13)} | {(2, 256, 600), (2, 255, 0), (1, -3, 2), (1, 4, 2)}
 
 
+def test_matching_of_whole_groups_and_rounds(spark):
+    r = random.Random(5)
+    rows = sorted({(g, r.randrange(12), r.randrange(12)) for g in range(4) for _ in range(30)})
+    pairs = spark.createDataFrame([*rows, rows[0]], "g int, a long, b long")
+    got = [{x["g"]: x["count"] for x in matching.matching_rounds(pairs, "g", most=m).groupBy("g").count().collect()} for m in (1000, 31, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4
+    cost = pairs.selectExpr("*", "cast((a * 7 + b) % 5 as double) cost")
+    whole = matching.component_match(cost, "g")
+    assert {x["g"]: x["count"] for x in whole.groupBy("g").count().collect()} == got[0]
+    # pairs are put in order in their task: the table has no place of each
+    assert "_id" not in _plan(matching.select_ascending(cost, "g"))
+
+
 def test_forest_edges_are_unique_where_their_parent_is(spark):
     f = spark.createDataFrame([(1, 0, 0, 5.0, 5.0, None, None, 0), (1, 1, 0, 6.0, 5.0, 2, 0, 1), (1, 2, 0, 6.5, 5.0, 2, 0, 0), (2, 0, 0, 7.0, 7.0, None, None, 0)], "tree_id long, id long, parent long, lat double, lon double, sim_tree long, sim_id long, out_region int")
     edges, _ = io.forest_edges(f, (0, 0, 10, 10))

@@ -6,8 +6,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymesh.functions import geo
 from waymesh.operators import iterate, regions
@@ -88,18 +90,22 @@ def _greedy(pairs: DataFrame, g: str, order: list, ends: list, also: list | None
     that are taken: no table of clashes, of which an end of n pairs has n * n / 2.
     Larger groups go through rounds (_taken_in_rounds).
     """
-    w = Window.partitionBy(g).orderBy(*order)
     every = [*ends, *(also or [])]
     named = {f"_end{k}": e for k, e in enumerate(every)}
-    keyed = pairs.where(F.col(g).isNotNull()).withColumns({"_id": F.row_number().over(w).cast("long"), "_n": F.count("*").over(Window.partitionBy(g)), **named})
+    keyed = pairs.where(F.col(g).isNotNull()).withColumns(named)
     kinds = {keyed.schema[n].dataType for n in named}
     if len(kinds) > 1 or not all(regions.countable(k) for k in kinds):
         keyed = keyed.withColumns({n: F.to_json(n) for n in named})
+    ranked = lambda t: t.withColumn("_id", F.row_number().over(Window.partitionBy(g).orderBy(*order)).cast("long"))
+    by = list(order)
+    if any(isinstance(keyed.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) for c in order):
+        keyed, by = ranked(keyed), ["_id"]
     p = iterate.cut(keyed)
     columns, names = pairs.columns, list(named)
 
     def scan(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_id")
+        # put in order here: a window before would shuffle and sort all pairs once more
+        t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in by], null_placement="at_start"))
         used: set[int] = set()
         keep = []
         for i, at in enumerate(_end_codes(t, names)):
@@ -109,10 +115,13 @@ def _greedy(pairs: DataFrame, g: str, order: list, ends: list, also: list | None
         return t.take(pa.array(keep, pa.int64())).select(columns)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    got = p.where(F.col("_n") <= most).groupBy(g).applyInArrow(scan, schema)
-    large = p.where(F.col("_n") > most)
-    if large.isEmpty():
-        return got
+    big = regions.over_limit(p, g, most)
+    if big is None:
+        return p.groupBy(g).applyInArrow(scan, schema)
+    big = big.select(g)
+    got = p.join(big, g, "left_anti").groupBy(g).applyInArrow(scan, schema)
+    large = p.join(big, g, "left_semi").select(p.columns)
+    large = iterate.cut(large if by == ["_id"] else ranked(large))
     return got.union(_taken_in_rounds(large, g, names).select(columns))
 
 
@@ -242,14 +251,35 @@ def largest_matching(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for b, a in of_b.items()]
 
 
-def matching_rounds(pairs: DataFrame, g: str) -> DataFrame:
-    """(g, a, b): a largest set of pairs(g, a, b) without a common end, in rounds of joins for components of any size.
+def _matched_whole(pairs: DataFrame, g: str) -> DataFrame:
+    """(g, a, b, cost): as many of pairs(g, a, b, cost) as can be, a task a group; of repeated pairs the cheapest."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("a", "ascending"), ("b", "ascending"), ("cost", "ascending")])
+        rows: dict[tuple, int] = {}
+        for i, ab in enumerate(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)):
+            rows.setdefault(ab, i)
+        return t.take(pa.array([rows[ab] for ab in largest_matching(list(rows))], pa.int64())).select([g, "a", "b", "cost"])
+
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in (g, "a", "b", "cost"))
+    known = F.col(g).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull()
+    return pairs.select(g, "a", "b", "cost").where(known).groupBy(g).applyInArrow(solve, schema)
+
 
-    From every free a alternating trees grow, each node in one tree only; every
+def matching_rounds(pairs: DataFrame, g: str, most: int = 500_000) -> DataFrame:
+    """(g, a, b): a largest set of pairs(g, a, b) without a common end, in rounds of joins for groups of more than `most` pairs, which may be of any size.
+
+    Smaller groups are solved by one task each, so they need no round. From every free a alternating trees grow, each node in one tree only; every
     tree that reaches a free b gives one path, all these are turned over at
     once, and it ends when no tree reaches one.
     """
-    e = iterate.cut(pairs.select(g, "a", "b").distinct())
+    every = iterate.cut(pairs.select(g, "a", "b"))
+    big = regions.over_limit(every, g, most)
+    few = every if big is None else every.join(big.select(g), g, "left_anti")
+    small = _matched_whole(few.withColumn("cost", F.lit(0)), g).select(g, "a", "b")
+    if big is None:
+        return small
+    e = iterate.cut(every.join(big.select(g), g, "left_semi").distinct())
     # in order of a hash, so that large groups need few rounds
     m = iterate.cut(select_ascending(e.withColumn("cost", F.xxhash64("a", "b")), g).select(g, "a", "b"))
     while True:
@@ -268,7 +298,7 @@ def matching_rounds(pairs: DataFrame, g: str) -> DataFrame:
             # trees that have their path stop growing
             front = iterate.cut(step.join(m.toDF(g, "next", "b"), [g, "b"]).select(g, F.col("next").alias("a"), "root").join(ends.select(g, "root"), [g, "root"], "left_anti"))
         if ends is None or ends.isEmpty():
-            return m
+            return small.union(m.select(g, "a", "b"))
         # walk every path back from its free b: the pair (a, b) comes in, a's old pair goes
         at = ends
         while not at.isEmpty():
@@ -325,16 +355,28 @@ def auction(pairs: DataFrame, g: str, filler: float, unit: float = 1e-9, shrink:
 
 
 def component_match(pairs: DataFrame, g: str, filler: float | None = None, most: int = 200_000, unit: float = 1e-9) -> DataFrame:
-    """pairs(g, a, b, cost) matched exactly within each connected component.
+    """pairs(g, a, b, cost) matched exactly.
 
     With a filler, a least-cost assignment in which a row may stay alone at
-    that cost; without, as many pairs as can be. Components are split in Spark
-    and solved apart, which is exact for both. A component of more than `most`
-    pairs is matched by matching_rounds; with a filler, where pairs come from
-    one patch's top k directions, it is an error.
+    that cost; without, as many pairs as can be. Without, a group of at most
+    `most` pairs is solved whole, as its components don't meet in a search.
+    Else components are split in Spark and solved apart, which is exact for
+    both. A component of more than `most` pairs is matched by matching_rounds;
+    with a filler by auction.
     """
     # read for components and for costs: a plan would work all pairs out twice
     keyed = iterate.cut(pairs.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double")))
+    if filler is None:
+        big = regions.over_limit(keyed, g, most)
+        if big is None:
+            return _matched_whole(keyed, g)
+        whole = _matched_whole(keyed.join(big.select(g), g, "left_anti"), g)
+        return whole.union(_by_component(iterate.cut(keyed.join(big.select(g), g, "left_semi").select(keyed.columns)), g, None, most, unit))
+    return _by_component(keyed, g, filler, most, unit)
+
+
+def _by_component(keyed: DataFrame, g: str, filler: float | None, most: int, unit: float) -> DataFrame:
+    """component_match of a table, each component by itself."""
     e = keyed.select(g, (F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"))
     comp = iterate.components(e, g).select(g, F.col("node").alias("_a"), "component")
     full = iterate.cut(keyed.groupBy(g, "a", "b").agg(F.min("cost").alias("cost")).withColumn("_a", F.col("a") * 2).join(comp, [g, "_a"]).drop("_a"))
@@ -356,7 +398,7 @@ def component_match(pairs: DataFrame, g: str, filler: float | None = None, most:
         return full.groupBy(g, "component").applyInPandas(solve, schema)
     rest = full.join(large, [g, "component"], "left_semi").select(g, "a", "b", "cost")
     few = full.join(large, [g, "component"], "left_anti").groupBy(g, "component").applyInPandas(solve, schema)
-    found = matching_rounds(rest, g) if filler is None else auction(rest, g, filler, unit)
+    found = matching_rounds(rest, g, 0) if filler is None else auction(rest, g, filler, unit)
     return few.union(found.join(rest, [g, "a", "b"]).select(g, "a", "b", "cost"))
 
 
