@@ -104,6 +104,14 @@ def test_masks_are_unique_where_they_are_drawn(spark):
     assert len(got) == len(set(got)) and set(got) >= {(1, 250 + k, 250 + k) for k in range(13)} | {(2, 256, 600), (2, 255, 0), (1, -3, 2), (1, 4, 2)}
 
 
+def test_pairs_of_keypoints_are_dealt_by_patch(spark):
+    r = random.Random(3)
+    rows = [(p, k, 3 * k, k * k, s, r.uniform(-1, 1), r.uniform(-1, 1)) for p in range(5) for k in range(6) for s in range(1 + k % 3)]
+    d = spark.createDataFrame(rows, "patch_id long, kp_seq long, x int, y int, slot int, sin double, cos double")
+    out = matching.designed_distances(d, 100, 100)
+    assert "REPARTITION_BY_NUM" in _run(out) and out.count() == 5 * 15
+
+
 def test_matching_of_whole_groups_and_rounds(spark):
     r = random.Random(5)
     rows = sorted({(g, r.randrange(12), r.randrange(12)) for g in range(4) for _ in range(30)})

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from waymesh.functions import geo
 from waymesh.operators import iterate, regions
+from waymesh.session import dealt
 
 
 def direction_pairs(dirs: DataFrame, g: str = "patch_id") -> DataFrame:
@@ -60,6 +61,8 @@ def line_costs(dirs: DataFrame, g: str = "patch_id", distance_range: tuple[float
 def designed_distances(dirs: DataFrame, width: int, height: int, g: str = "patch_id") -> DataFrame:
     """(g, i, j, dist) of keypoints of one patch that have directions: geo.designed_distance, i < j."""
     d = dirs.select(g, F.col("kp_seq").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("sin").alias("is"), F.col("cos").alias("ic"))
+    # a task's table of pairs is as large as its patches are many, so these are dealt
+    d = dealt(d, 50_000, g)
     p = d.join(d.toDF(g, "j", "jx", "jy", "js", "jc"), g).where("i < j")
     gap = F.min(F.sqrt((F.col("is") + F.col("js")) ** 2 + (F.col("ic") + F.col("jc")) ** 2))
     best = p.groupBy(g, "i", "j").agg(F.min(geo.euclidean("ix", "iy", "jx", "jy")).alias("apart"), gap.alias("gap"))
