@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from waymesh.operators import directions, jobs, matching, raster
+from waymesh.operators import directions, graph, iterate, jobs, matching, raster
 from waymesh.session import dealt
 from waymesh.sources import io
 
@@ -131,3 +131,21 @@ def test_forest_edges_are_unique_where_their_parent_is(spark):
     assert not any("t2" in x for x in _run(edges).splitlines() if "Exchange" in x)
     got = sorted((x["n1"]["t"], x["n1"]["i"], x["n2"]["t"], x["n2"]["i"], x["lat2"]) for x in edges.collect())
     assert got == [(1, 0, 1, 0, 5.0), (1, 0, 2, 0, 7.0), (2, 0, 2, 0, 7.0)]
+
+
+def test_runs_are_simplified_in_their_row(spark, monkeypatch):
+    r = random.Random(11)
+    at = lambda: (r.randrange(90), r.randrange(90))
+    rows = []
+    for g in (1, 2, None):
+        line = [at() for _ in range(25)]
+        ring = [(200, 0), (240, 9), (230, 50), (190, 30), (200, 0)]
+        rows += [(g, *p, *q) for p, q in [*itertools.pairwise(line), *itertools.pairwise(ring)]]
+    e = graph.canonical(spark.createDataFrame(rows, "image_id long, x1 int, y1 int, x2 int, y2 int"))
+    written = []
+    own = iterate.cut
+    monkeypatch.setattr(iterate, "cut", lambda t: written.append(1) or own(t))
+    whole = graph.simplify(e, 3.0)
+    assert len(written) <= 3  # no round of tables a level
+    for most in (0, 60):  # all runs, or the long ones, by levels
+        assert sorted(map(str, graph.simplify(e, 3.0, most=most).collect())) == sorted(map(str, whole.collect())) != []
