@@ -87,3 +87,18 @@ def test_sample_pixels(spark):
     assert all(len(s) >= n for s in blank.values())
     few = spark.createDataFrame([(1, 0, 0, None, 5, 5), (1, 0, 1, 5, 5, 5)], px.schema)
     assert sorted(r["valid"] for r in jobs.sample_pixels(few, [1], n, 1).collect()) == [0.0, 1.0] and jobs.sample_pixels(px.limit(0), [1], n, 1).count() == 0
+
+
+def test_small_groups_are_joined_where_they_lie(spark):
+    r = random.Random(4)
+    key = lambda: r.choice([(1, 2), (2, None), (None, 1), None])
+    at = lambda: r.choice([r.uniform(-9, 9), float(r.randrange(-3, 3)), None, float("nan")])
+    a, b = ([(key(), i, at(), r.uniform(-3, 3)) for i in range(700)] for _ in "ab")
+    p = spark.createDataFrame(a, "k struct<u:long,v:long>, ida long, ax double, ay double")
+    q = spark.createDataFrame(b, "k struct<u:long,v:long>, idb long, bx double, by double")
+    out = iterate.grid_join(p, q, 1.0, "k")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row goes to nine cells
+    want = {(i, j) for k, i, x, y in a for m, j, u, v in b if k is not None and k == m and None not in (x, u) and (x - u) ** 2 + (y - v) ** 2 <= 1}
+    got = [(x["ida"], x["idb"]) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want != set()
+    assert sorted((x["ida"], x["idb"]) for x in iterate.grid_join(p, q, 1.0, "k", most=100).collect()) == sorted(got)
