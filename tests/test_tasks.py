@@ -149,3 +149,11 @@ def test_runs_are_simplified_in_their_row(spark, monkeypatch):
     assert len(written) <= 3  # no round of tables a level
     for most in (0, 60):  # all runs, or the long ones, by levels
         assert sorted(map(str, graph.simplify(e, 3.0, most=most).collect())) == sorted(map(str, whole.collect())) != []
+
+
+def test_road_graph_reads_its_edges_once(spark):
+    e = spark.createDataFrame([(1, 0, 0, 3, 4), (1, 3, 4, 9, 9), (2, 5, 5, 6, 6)], "image_id long, x1 int, y1 int, x2 int, y2 int")
+    nodes, edges = graph.road_graph(e)
+    assert nodes.inputFiles() and set(nodes.inputFiles()) == set(edges.inputFiles())  # both come from one written table
+    assert sorted(map(tuple, edges.collect())) == [(1, 0, 0, 1), (1, 1, 1, 0), (1, 2, 1, 2), (1, 3, 2, 1), (2, 0, 0, 1), (2, 1, 1, 0)]
+    assert nodes.count() == 5
