@@ -157,3 +157,13 @@ def test_road_graph_reads_its_edges_once(spark):
     assert nodes.inputFiles() and set(nodes.inputFiles()) == set(edges.inputFiles())  # both come from one written table
     assert sorted(map(tuple, edges.collect())) == [(1, 0, 0, 1), (1, 1, 1, 0), (1, 2, 1, 2), (1, 3, 2, 1), (2, 0, 0, 1), (2, 1, 1, 0)]
     assert nodes.count() == 5
+
+
+def test_pairs_of_directions_carry_what_their_costs_need(spark):
+    r = random.Random(6)
+    rows = [(p, k, s, r.randrange(448), r.randrange(448), r.randrange(360)) for p in range(3) for k in range(6) for s in range(3)] + [(0, 9, None, 5, 5, 40), (None, 0, 0, 1, 1, 0)]
+    d = directions.with_vectors(spark.createDataFrame(rows, "patch_id int, kp_seq int, slot int, x int, y int, deg int"))
+    for costs in (matching.pair_costs(d), matching.line_costs(d)):
+        # one join makes the pairs; none looks up their ends
+        assert _plan(costs).count("Join ") == 1
+        assert costs.where("si is null or sj is null or patch_id is null").isEmpty() and not costs.isEmpty()

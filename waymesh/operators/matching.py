@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,17 +21,29 @@ def direction_pairs(dirs: DataFrame, g: str = "patch_id") -> DataFrame:
 
     dirs: (g, kp_seq, slot, deg).
     """
-    d = dirs.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"), (F.floor(F.col("deg") / 60) % 6).cast("int").alias("_s"))
-    left = d.withColumn("_s", F.explode(F.array(*((F.col("_s") + k) % 6 for k in (2, 3, 4)))))
-    right = d.toDF(g, "j", "sj", "_s")
-    return left.join(right, [g, "_s"]).where("i < j").select(g, "i", "si", "j", "sj")
+    return _facing(dirs, g, (), ()).select(g, "i", "si", "j", "sj")
 
 
-def _with_sums(pairs: DataFrame, dirs: DataFrame, g: str, penalty: float = 1e4) -> DataFrame:
-    """Pairs (g, i, si, j, sj) with the keypoints' distance, the sum of both angles to the other keypoint, and of both line distances."""
-    a = dirs.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("sin").alias("is"), F.col("cos").alias("ic"))
-    b = dirs.select(g, F.col("kp_seq").alias("j"), F.col("slot").alias("sj"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("sin").alias("js"), F.col("cos").alias("jc"))
-    q = pairs.join(a, [g, "i", "si"]).join(b, [g, "j", "sj"]).withColumn("dist", geo.euclidean("ix", "iy", "jx", "jy"))
+def _facing(dirs: DataFrame, g: str, mine: tuple[Column, ...], theirs: tuple[Column, ...]) -> DataFrame:
+    """direction_pairs with further columns of the one direction and of the other."""
+    sector = (F.floor(F.col("deg") / 60) % 6).cast("int")
+    left = dirs.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"), *mine, F.explode(F.array(*((sector + k) % 6 for k in (2, 3, 4)))).alias("_s"))
+    right = dirs.select(g, F.col("kp_seq").alias("j"), F.col("slot").alias("sj"), *theirs, sector.alias("_s"))
+    return left.join(right, [g, "_s"]).where("i < j").drop("_s")
+
+
+def _sides(*columns: str) -> list[tuple[Column, ...]]:
+    """Place and vector of a direction as columns of a pair's one side, and of the other."""
+    return [tuple(F.col(c).alias(k + c[:1]) for c in ("x", "y", "sin", "cos")) for k in columns]
+
+
+def _with_sums(pairs: DataFrame, penalty: float = 1e4) -> DataFrame:
+    """Pairs (i, si, j, sj) that carry both sides' places and vectors (_sides), with the keypoints' distance, the sum of both angles to the other keypoint, and of both line distances.
+
+    What a pair needs comes with it from the join that made it: pairs are many
+    times the directions, so they are never shuffled to look it up.
+    """
+    q = pairs.where("si is not null and sj is not null").withColumn("dist", geo.euclidean("ix", "iy", "jx", "jy"))
     ux, uy = F.col("jx") - F.col("ix"), F.col("jy") - F.col("iy")
     l1, l2 = geo.ray_distance("jx", "jy", "ix", "iy", "ic", "is", penalty), geo.ray_distance("ix", "iy", "jx", "jy", "jc", "js", penalty)
     return q.withColumns({"angle_sum": geo.vector_angle("ic", "is", ux, uy) + geo.vector_angle("jc", "js", -ux, -uy), "line_sum": l1 + l2})
@@ -42,7 +54,7 @@ def pair_costs(dirs: DataFrame, g: str = "patch_id", reject: float = 1000.0, **l
 
     dirs: (g, kp_seq, slot, x, y, deg, sin, cos).
     """
-    q = _with_sums(direction_pairs(dirs, g), dirs, g).where("dist > 0")
+    q = _with_sums(_facing(dirs, g, *_sides("i", "j"))).where("dist > 0")
     q = q.withColumn("cost", F.round(geo.pair_cost("dist", "angle_sum", "line_sum", reject=reject, **limits), 9))
     return q.where(F.col("cost") < reject).select(g, "i", "si", "j", "sj", "dist", "cost")
 
@@ -52,9 +64,11 @@ def line_costs(dirs: DataFrame, g: str = "patch_id", distance_range: tuple[float
 
     A patch has as many keypoints as its decoder's top k, which bounds its pairs.
     """
-    d = dirs.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"))
-    pairs = d.join(d.toDF(g, "j", "sj"), g).where("i < j").select(g, "i", "si", "j", "sj")
-    q = _with_sums(pairs, dirs, g, penalty).where(F.col("line_sum") <= geo.lerp_clamped("dist", *distance_range, *line_range))
+    mine, theirs = _sides("i", "j")
+    # dealt by rows: a task's pairs are many times what comes in
+    d = dealt(dirs, 50_000, g)
+    pairs = d.select(g, F.col("kp_seq").alias("i"), F.col("slot").alias("si"), *mine).join(d.select(g, F.col("kp_seq").alias("j"), F.col("slot").alias("sj"), *theirs), g).where("i < j")
+    q = _with_sums(pairs, penalty).where(F.col("line_sum") <= geo.lerp_clamped("dist", *distance_range, *line_range))
     return q.select(g, "i", "si", "j", "sj", "dist", F.round("line_sum", 9).alias("cost"))
 
 
