@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from waymesh.operators import directions, graph, iterate, jobs, matching, raster
+from waymesh.operators import directions, graph, iterate, jobs, matching, metrics, raster
 from waymesh.session import dealt
 from waymesh.sources import io
 
@@ -167,3 +167,44 @@ def test_pairs_of_directions_carry_what_their_costs_need(spark):
         # one join makes the pairs; none looks up their ends
         assert _plan(costs).count("Join ") == 1
         assert costs.where("si is null or sj is null or patch_id is null").isEmpty() and not costs.isEmpty()
+
+
+def _dense_edges(spark):
+    r = random.Random(31)
+    at = [(x, y) for x in range(0, 60, 12) for y in range(0, 60, 12)]
+    rows = [(g, *a, *b) for g in range(4) for a in at for b in r.sample(at, 1 + g % 2) if a != b and r.random() < 0.6]
+    rows += [(7, 0, 0, 30, 0), (7, 30, 0, 30, 30), (7, 30, 30, 0, 0), (7, 80, 80, 90, 90), (8, 5, 5, 9, 9)]  # a ring, lone roads
+    return spark.createDataFrame(rows + [(None, 0, 0, 9, 9)], "image_id long, x1 int, y1 int, x2 int, y2 int")
+
+
+def test_dense_images_are_made_whole_as_by_joins(spark):
+    e = _dense_edges(spark)
+    placed = iterate.cut(metrics._placed(e).where("image_id is not null"))
+    want = sorted(metrics._steps_by_joins(placed).collect(), key=str)
+    for at_once in (1, 500, 200_000):
+        got = metrics._steps_by_tasks(placed, at_once)
+        assert sorted(got.collect(), key=str) == want
+    # one shuffle by image, of edges
+    assert _plan(got).count("Repartition") == 1 and "Join" not in _plan(got)
+    for most in (0, 100, 10_000):
+        rows = metrics._dense_rows(e, most)
+        assert rows.count() == len(want) and rows.where("ring").count() > 0
+    # what follows makes its proposals from these rows alone
+    assert _plan(metrics.control_points(*metrics._views(rows))).count("Join ") == 1
+
+
+def test_pairs_of_points_are_written_by_the_search(spark):
+    e = metrics._views(metrics._dense_rows(_dense_edges(spark).where("image_id in (0, 7)")))
+    p = e[0].where("degree <> 2").select("image_id", "node")
+    found = [sorted(map(tuple, metrics.all_key_paths(*e[::2], p, 10_000, many).collect())) for many in (1_000, 3)]
+    assert found[0] == found[1] and any(x[3] > 0 for x in found[0]) and any(x[3] == -1 for x in found[0])
+
+
+def test_all_paths_make_no_table_of_pairs(spark):
+    links = spark.createDataFrame([(1, 1, 2, 5), (1, 2, 3, 0), (1, 3, 1, 9), (2, 4, 5, 1)], "image_id long, a long, b long, w long")
+    p = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 9), (2, 5), (2, 4), (3, 1), (3, 2)], "image_id long, node long")
+    got = iterate.all_paths(links, p)
+    assert "Join" not in _plan(got)
+    got = {tuple(x) for x in got.collect()}
+    assert got == {(1, 1, 2, 5), (1, 1, 3, 5), (1, 2, 3, 0), (1, 1, 9, -1), (1, 2, 9, -1), (1, 3, 9, -1), (2, 4, 5, 1), (3, 1, 2, -1)}
+    assert {tuple(x) for x in iterate.all_paths(links, p, many=1).collect()} == got
