@@ -362,11 +362,9 @@ def _weighted(s, d):
 @query("g23_shortest_paths")
 def _(s, d):
     e = iterate.cut(_weighted(s, d))
-    ends = iterate.degree(e).where("degree <> 2").select("image_id", F.col("node").alias("source"))
-    pairs = ends.join(ends.withColumnRenamed("source", "node"), "image_id").where("source < node")
+    ends = iterate.degree(e).where("degree <> 2").select("image_id", "node")
     both = e.union(e.select("image_id", "b", "a", "w"))
-    found = iterate.paths_by_group(both, pairs)
-    return pairs.join(found, ["image_id", "source", "node"], "left").select("image_id", "source", "node", F.coalesce("dist", F.lit(-1)).alias("dist"))
+    return iterate.all_paths(both, ends)
 
 
 @query("g22_single_pair")
