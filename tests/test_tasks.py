@@ -3,6 +3,7 @@
 import itertools
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymesh.operators import directions, graph, iterate, jobs, matching, metrics, raster
@@ -208,3 +209,19 @@ def test_all_paths_make_no_table_of_pairs(spark):
     got = {tuple(x) for x in got.collect()}
     assert got == {(1, 1, 2, 5), (1, 1, 3, 5), (1, 2, 3, 0), (1, 1, 9, -1), (1, 2, 9, -1), (1, 3, 9, -1), (2, 4, 5, 1), (3, 1, 2, -1)}
     assert {tuple(x) for x in iterate.all_paths(links, p, many=1).collect()} == got
+
+
+def test_radius_join_meets_sides_that_are_dealt_by_group_and_cut_apart(spark):
+    """Both sides come dealt by group from a window, one much larger, so that adaptive execution closes their parts up differently."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.shuffle.partitions": "32"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        w = Window.partitionBy("image_id").orderBy("x")
+        side = lambda n, c: spark.range(n).select((F.col("id") % 100).alias("image_id"), F.floor(F.col("id") / 100).alias("x")).withColumn(f"id{c}", F.row_number().over(w)).select("image_id", f"id{c}", F.col("x").alias(f"{c}x"), F.lit(0).alias(f"{c}y"))
+        got = iterate.grid_join(side(40_000, "a"), side(1_000, "b"), 1).count()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == 100 * (10 * 3 - 1)
