@@ -262,3 +262,41 @@ def test_matching_in_rounds_is_as_large(spark):
         assert len(matching.largest_matching([(a, b) for h, a, b in rows if h == g])) == len(mine)
     sizes = matching.component_match(pairs.selectExpr("*", "0d cost"), "g", most=3).groupBy("g").count().collect()
     assert {x["g"]: x["count"] for x in sizes} == {g: sum(x["g"] == g for x in got) for g in range(6)}
+
+
+def _close(a, b):
+    """Rows of two tables alike, numbers up to rounding."""
+    a, b = (sorted((r.asDict() for r in x.collect()), key=lambda r: (r["image_id"], r["start"])) for x in (a, b))
+    assert len(a) == len(b) > 0
+    for p, q in zip(a, b, strict=True):
+        assert p.keys() == q.keys() and all(p[c] == q[c] or abs(p[c] - q[c]) < 1e-9 for c in p)
+
+
+def test_walks_of_whole_images_equal_joins(spark, roads, monkeypatch):
+    (pred, truth), _ = roads
+    low = (truth[0], truth[1].selectExpr("*", "case when edge_id % 7 = 0 then -1 else 0 end layer"))
+    x = topology._Pair(pred, low, 0.0001, 0.0005)
+    x.starts = iterate.cut(x.starts.withColumn("r", x.starts["r"] * 0.4))
+    x.pairs = iterate.cut(x.pairs.withColumn("r", x.pairs["r"] * 0.4))
+    nodes = truth[0].join(pred[0].selectExpr("image_id", "lat", "lon", "node_id node"), ["image_id", "lat", "lon"]).where("node % 6 = 0").selectExpr("image_id", "node_id truth_node", "node")
+    steps = [
+        lambda: topology.start_scores(x.pred, x.truth, x.pairs, x.starts),
+        lambda: topology.start_scores(x.pred, x.truth, x.pairs, x.starts, one_to_one=False),
+        lambda: topology.soft_scores(x.pred, x.truth, x.pairs, x.starts),
+        lambda: topology.matched_samples(x.pred, x.truth, x.pairs, x.starts, 0.0001, 0.0006),
+        lambda: topology.list_scores(pred, truth, nodes, r=0.0006),
+    ]
+    whole = [iterate.cut(s()) for s in steps]
+    one_way = topology.walk(*pred, x.pairs, r="r", directed=True).count()
+    monkeypatch.setattr(topology, "MOST", 0)
+    for a, s in zip(whole, steps, strict=True):
+        _close(a, s())
+    assert one_way == topology.walk(*pred, x.pairs, r="r", directed=True).count() > 0
+
+
+def test_scores_of_starts_write_no_samples(spark, roads):
+    (pred, truth), _ = roads
+    x = topology._Pair(pred, truth, 0.0001, 0.0005)
+    for t in (topology.start_scores(x.pred, x.truth, x.pairs, x.starts), topology.matched_samples(x.pred, x.truth, x.pairs, x.starts, 0.0001, 0.0006)):
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Aggregate" not in plan and "Generate" not in plan

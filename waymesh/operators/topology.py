@@ -8,16 +8,21 @@ use final shortest distances, so no order of visits shows in them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
-from waymesh.operators import iterate, matching
+from waymesh.operators import iterate, matching, regions, walks
 
 G = "image_id"
 
+#: Links of images that one task walks (walks.Roads); images with more go by joins. Starts that a task has.
+MOST = 50_000
+STARTS = 2_000
+
 
 def _links(nodes: DataFrame, dedges: DataFrame, directed: bool = False) -> DataFrame:
     """(image_id, u, v, l, lat1, lon1, lat2, lon2[, hidden], two_way): steps along roads, each once; l takes its width from v."""
@@ -70,9 +75,67 @@ def walk(nodes: DataFrame, dedges: DataFrame, starts: DataFrame, step: float = 0
     samples, but their own start does.
     """
     radius = F.col(r) if isinstance(r, str) else F.lit(float(r))
+    starts = starts.select(G, "start", *(("n1", "n2", "d1", "d2") if "n1" in starts.columns else ("node",)), radius.alias("_r"))
+    pts = _by_size([(nodes, dedges)], [starts], lambda links, x: _walk_whole(*links, *x, step), lambda g, x: _walk_joined(*g[0], *x, step, directed), directed)
+    if doubled:
+        pts = iterate.cut(pts)
+        pts = pts.union(pts.where("two_way").select(G, "start", F.col("lat") + shift, F.col("lon") + shift, "dlat", "dlon", "two_way"))
+    pts = pts.drop("two_way")
+    return pts.where(keep(F.col("lat"), F.col("lon"))) if keep else pts
+
+
+def _by_size(graphs: list[tuple[DataFrame, DataFrame]], tables: list[DataFrame], small: Callable[[list[DataFrame], list[DataFrame]], DataFrame], large: Callable[[list[tuple[DataFrame, DataFrame]], list[DataFrame]], DataFrame], directed: bool = False) -> DataFrame:
+    """small(links of the graphs, tables) of images with at most MOST links in all graphs, large(graphs, tables) of the others."""
+    links = [iterate.cut(_links(*g, directed)) for g in graphs]
+    if not all(regions.countable(x.schema[c].dataType) for x, c in [*((x, "u") for x in links), *((x, c) for x in tables for c in (G, "start"))]):
+        return large(graphs, tables)
+    every = links[0].select(G)
+    for x in links[1:]:
+        every = every.union(x.select(G))
+    big = regions.over_limit(every, G, MOST)
+    if big is None:
+        return small(links, tables)
+    big = big.select(G)
+    few, many = (lambda x: x.join(big, G, "left_anti")), (lambda x: x.join(big, G, "left_semi"))
+    got = small([few(x) for x in links], [few(x) for x in tables])
+    return got.unionByName(large([tuple(many(x) for x in g) for g in graphs], [many(x) for x in tables]))
+
+
+def _walk_whole(links: DataFrame, starts: DataFrame, step: float) -> DataFrame:
+    """Samples of walks, with two_way, of images that a task can hold."""
+
+    def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+        roads, (ids, x) = walks.Roads(t[0]), _starts_of(t[1])
+        for rows in walks.blocks(len(ids), len(roads.u)):
+            y = _some(x, rows)
+            s = roads.walk(y, y["_r"], step)
+            yield {"start": ids[rows][s[0]], **dict(zip(("lat", "lon", "dlat", "dlon", "two_way"), s[1:], strict=True))}
+
+    known = iterate.cut(starts.where("start is not null and _r is not null"))
+    return walks.by_group([links, known], work, f"start {starts.schema['start'].dataType.simpleString()}, lat double, lon double, dlat double, dlon double, two_way boolean", STARTS)
+
+
+def _starts_of(x: walks.Side) -> tuple[np.ndarray, walks.Side]:
+    """Different starts, and their rows with the place of the start (at), the first radius of each."""
+    ids, first, at = np.unique(x["start"], return_index=True, return_inverse=True)
+    if "node" in x:
+        return ids, {**x, "at": at, "_r": x["_r"][first]}
+    return ids, {c: v[first] for c, v in x.items()}
+
+
+def _some(x: walks.Side, rows: np.ndarray) -> walks.Side:
+    """The rows of some starts, numbered from 0."""
+    if "at" not in x:
+        return {c: v[rows] for c, v in x.items()}
+    mine = (x["at"] >= rows[0]) & (x["at"] <= rows[-1])
+    return {c: v[rows] if c == "_r" else v[mine] - rows[0] if c == "at" else v[mine] for c, v in x.items()}
+
+
+def _walk_joined(nodes: DataFrame, dedges: DataFrame, starts: DataFrame, step: float, directed: bool) -> DataFrame:
+    """Samples of walks from starts(image_id, start, n1, n2, d1, d2, _r) or (image_id, start, node, _r), with two_way, by joins."""
     own = "n1" in starts.columns
     seeds = [F.struct(F.col("n1").alias("node"), F.col("d1").alias("dist")), F.struct(F.col("n2").alias("node"), F.col("d2").alias("dist"))] if own else [F.struct("node", F.lit(0.0).alias("dist"))]
-    starts = iterate.cut(starts.withColumn("_r", radius))
+    starts = iterate.cut(starts)
     links = iterate.cut(_links(nodes, dedges, directed))
     begin = starts.select(G, F.struct("start", "_r").alias("source"), F.explode(F.array(*seeds)).alias("s")).select(G, "source", "s.node", "s.dist").where("dist <= source._r")
     far = _bounded_paths(links, begin)
@@ -108,11 +171,7 @@ def walk(nodes: DataFrame, dedges: DataFrame, starts: DataFrame, step: float = 0
         e = e.withColumns({"lat": F.col("lat1") * F.col("al") + F.col("lat2") * (1 - F.col("al")), "lon": F.col("lon1") * F.col("al") + F.col("lon2") * (1 - F.col("al"))})
         near = (F.col("d1") - geo.deg_distance("lat", "lon", "lat1", "lon1") < F.col("_r")) | (F.col("d2") - geo.deg_distance("lat", "lon", "lat2", "lon2") < F.col("_r"))
         pts = pts.union(e.where(near).select(G, "start", "lat", "lon", (F.col("lat2") - F.col("lat1")).alias("dlat"), (F.col("lon2") - F.col("lon1")).alias("dlon"), "two_way"))
-    pts = pts.distinct()
-    if doubled:
-        pts = pts.union(pts.where("two_way").select(G, "start", F.col("lat") + shift, F.col("lon") + shift, "dlat", "dlon", "two_way"))
-    pts = pts.drop("two_way")
-    return pts.where(keep(F.col("lat"), F.col("lon"))) if keep else pts
+    return pts.distinct()
 
 
 def _bounded_paths(links: DataFrame, begin: DataFrame) -> DataFrame:
@@ -125,10 +184,15 @@ def _bounded_paths(links: DataFrame, begin: DataFrame) -> DataFrame:
 
 def walk_from_nodes(nodes: DataFrame, dedges: DataFrame, starts: DataFrame, step: float = 0.00005, r: float = 0.003, directed: bool = False) -> DataFrame:
     """(image_id, start, lat, lon): samples of walks from starts(image_id, start, node) over nodes and edges whose scores, if any, are over 0."""
+    return walk(nodes, _scored(nodes, dedges), starts, step, r, directed=directed).select(G, "start", "lat", "lon").distinct()
+
+
+def _scored(nodes: DataFrame, dedges: DataFrame) -> DataFrame:
+    """Edges that count: their scores and those of their second nodes, if any, are over 0."""
     ok = dedges.where("score > 0") if "score" in dedges.columns else dedges
     if "score" in nodes.columns:
         ok = ok.join(nodes.where("score > 0").select(G, F.col("node_id").alias("n2")), [G, "n2"], "left_semi")
-    return walk(nodes, ok, starts, step, r, directed=directed).select(G, "start", "lat", "lon").distinct()
+    return ok
 
 
 def evaluation_window(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -273,6 +337,31 @@ def sample_matches(a: DataFrame, b: DataFrame, threshold: float, angle: float =
     return j.withColumn("angle", off).where(F.col("angle") < angle).select(f"k.{G}", "k.start", F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("d").alias("dist"), "angle")
 
 
+def matched_samples(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], pairs: DataFrame, starts: DataFrame, threshold: float, r: float, step: float = 0.00005) -> DataFrame:
+    """(image_id, start, pairs, dist): number and total distance of sample_matches of both graphs' walks from paired starts, of those that have some."""
+    kind = pairs.schema["start"].dataType.simpleString()
+
+    def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
+        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+            a, b, s = walks.Roads(t[0]), walks.Roads(t[1]), t[2]
+            for rows in walks.blocks(len(s["start"]), len(a.u) + len(b.u)):
+                y = {c: v[rows] for c, v in s.items()}
+                reach = np.full(len(rows), float(r))
+                marbles, holes = a.walk(y, reach, step), b.walk({c: y[f"t{c}"] for c in ("n1", "n2", "d1", "d2")}, reach, step)
+                i, _, d, _ = walks.matches(marbles, holes, threshold, 0.29, True)
+                n = np.bincount(marbles[0][i], minlength=len(rows))
+                total = np.bincount(marbles[0][i], weights=d, minlength=len(rows))
+                yield {"start": y["start"][n > 0], "pairs": n[n > 0], "dist": total[n > 0]}
+
+        return walks.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, pairs long, dist double", STARTS)
+
+    def large(g: list[tuple[DataFrame, DataFrame]], x: list[DataFrame]) -> DataFrame:
+        m, h = (_numbered(walk(*graph, s, step, r)) for graph, s in zip(g, x, strict=True))
+        return sample_matches(m, h, threshold).groupBy(G, "start").agg(F.count("*").alias("pairs"), F.sum("dist").alias("dist"))
+
+    return _by_size([pred, truth], [pairs, starts], small, large)
+
+
 def _numbered(samples: DataFrame) -> DataFrame:
     w = Window.partitionBy(G, "start").orderBy("lat", "lon", "dlat", "dlon")
     return iterate.cut(samples.withColumn("id", F.row_number().over(w).cast("long")))
@@ -286,6 +375,40 @@ def start_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, Data
     it counts all pairs. Starts where either walk is empty are left out.
     pairs and starts carry the walk's radius in column r.
     """
+    kind = pairs.schema["start"].dataType.simpleString()
+
+    def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
+        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+            a, b, s = walks.Roads(t[0]), walks.Roads(t[1]), t[2]
+            for rows in walks.blocks(len(s["start"]), len(a.u) + len(b.u)):
+                y = {c: v[rows] for c, v in s.items()}
+                theirs = {c: y[f"t{c}"] for c in ("n1", "n2", "d1", "d2")}
+                marbles, holes = a.walk(y, y["r"], step), b.walk(theirs, y["tr"], step)
+                double = walks.doubled(b.walk(theirs, y["tr"], step, tunnels=True) if b.hidden.any() else holes, 0.00001)
+                nm, nh = (np.bincount(v[0], minlength=len(rows)) for v in (marbles, holes))
+
+                def hits(v: walks.Samples, w: walks.Samples) -> np.ndarray:
+                    i, j = walks.matches(v, w, threshold, 0.29, True)[:2]
+                    return walks.most_together(v[0][i], i, j, len(rows)) if one_to_one else np.bincount(v[0][i], minlength=len(rows))
+
+                ok = (nm > 0) & (nh > 0)
+                out = {c: y[c][ok] for c in ("start", "lat", "lon", "n1", "n2", "d1", "d2")}
+                yield {**out, "precision": (hits(marbles, double)[ok] / nm[ok]), "recall": (hits(holes, marbles)[ok] / nh[ok])}
+
+        node = pairs.schema["n1"].dataType.simpleString()
+        return walks.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, precision double, recall double, lat double, lon double, n1 {node}, n2 {node}, d1 double, d2 double", STARTS)
+
+    return _by_size([pred, truth], [pairs, starts], small, lambda g, x: _start_scores_joined(*g, *x, step, threshold, one_to_one))
+
+
+def _both_starts(pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(image_id, start, n1, n2, d1, d2, r, tn1, tn2, td1, td2, tr, lat, lon): paired starts on both graphs."""
+    theirs = starts.select(G, "start", *(F.col(c).alias(f"t{c}") for c in ("n1", "n2", "d1", "d2", "r")), "lat", "lon")
+    return pairs.select(G, "start", "n1", "n2", "d1", "d2", "r").join(theirs, [G, "start"])
+
+
+def _start_scores_joined(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], pairs: DataFrame, starts: DataFrame, step: float, threshold: float, one_to_one: bool) -> DataFrame:
+    """start_scores by joins of samples."""
     key = ["start"]
     a = pairs.select(G, "start", "n1", "n2", "d1", "d2", "r")
     b = starts.join(pairs.select(G, "start"), [G, "start"], "left_semi").select(G, "start", "n1", "n2", "d1", "d2", "r")
@@ -366,16 +489,43 @@ def _node_walks(graph: tuple[DataFrame, DataFrame], starts: DataFrame, step: flo
     return iterate.cut(s.withColumn("id", F.row_number().over(w).cast("long")))
 
 
+def _shares(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], pairs: DataFrame, step: float, r: float, truth_r: float, threshold: float) -> DataFrame:
+    """(image_id, start, precision, recall) of pairs(image_id, start, node, truth_node): the shares of either walk's samples that have one of the other's near; none where a walk is empty."""
+    kind = pairs.schema["start"].dataType.simpleString()
+
+    def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
+        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+            a, b = walks.Roads(t[0]), walks.Roads(t[1])
+            ids, s = _starts_of({**t[2], "_r": np.full(len(t[2]["start"]), float(r))})
+            for rows in walks.blocks(len(ids), len(a.u) + len(b.u)):
+                y = _some(s, rows)
+                marbles = walks.distinct(a.walk({"at": y["at"], "node": y["node"]}, y["_r"], step)[:3])
+                holes = walks.distinct(b.walk({"at": y["at"], "node": y["truth_node"]}, np.full(len(rows), float(truth_r)), step)[:3])
+                out = {}
+                for name, v, w, turned in (("precision", marbles, holes, False), ("recall", holes, marbles, True)):
+                    n = np.bincount(v[0], minlength=len(rows))
+                    out[name] = np.bincount(v[0][walks.any_match(v, w, threshold, turned)], minlength=len(rows)) / np.where(n, n, np.nan)
+                ok = np.isfinite(out["precision"]) & np.isfinite(out["recall"])
+                yield {"start": ids[rows][ok], **{c: v[ok] for c, v in out.items()}}
+
+        known = x[0].where("start is not null and node is not null and truth_node is not null")
+        return walks.by_group([*links, iterate.cut(known)], work, f"start {kind}, precision double, recall double", STARTS)
+
+    def large(g: list[tuple[DataFrame, DataFrame]], x: list[DataFrame]) -> DataFrame:
+        marbles = _node_walks(g[0], x[0].select(G, "start", "node"), step, r)
+        holes = _node_walks(g[1], x[0].select(G, "start", F.col("truth_node").alias("node")), step, truth_r)
+        p = _any_match(marbles, holes, threshold).withColumnRenamed("share", "precision")
+        return p.join(_any_match(holes, marbles, threshold, turned=True).withColumnRenamed("share", "recall"), [G, "start"])
+
+    return _by_size([(g[0], _scored(*g)) for g in (pred, truth)], [pairs], small, large)
+
+
 def list_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], pairs: DataFrame, step: float = 0.00005, r: float = 0.003, threshold: float = 0.00015, wider: float = 0.0) -> DataFrame:
     """(image_id, start, precision, recall, avg_precision, avg_recall) of node pairs (image_id, truth_node, node): any-match shares of both walks and their running means by truth_node; pairs with an empty walk are left out."""
-    pairs = iterate.cut(pairs.withColumn("start", F.col("truth_node")))
+    pairs = iterate.cut(pairs.select(G, F.col("truth_node").alias("start"), "node", "truth_node"))
     pred, truth = (tuple(iterate.cut(x) for x in t) for t in (pred, truth))  # each is read several times
-    marbles = _node_walks(pred, pairs.select(G, "start", "node"), step, r)
-    holes = _node_walks(truth, pairs.select(G, "start", F.col("truth_node").alias("node")), step, r + wider)
-    p = _any_match(marbles, holes, threshold).withColumnRenamed("share", "precision")
-    q = _any_match(holes, marbles, threshold, turned=True).withColumnRenamed("share", "recall")
     w = Window.partitionBy(G).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    return p.join(q, [G, "start"]).withColumns({"avg_precision": F.avg("precision").over(w), "avg_recall": F.avg("recall").over(w)})
+    return _shares(pred, truth, pairs, step, r, r + wider, threshold).withColumns({"avg_precision": F.avg("precision").over(w), "avg_recall": F.avg("recall").over(w)})
 
 
 def random_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], num: int, seed: int = 0, step: float = 0.00005, r: float = 0.003, threshold: float = 0.0002) -> DataFrame:
@@ -388,10 +538,7 @@ def random_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, Dat
     best = j.groupBy(G, "node").agg(F.min(F.struct("d", "truth_node"))["truth_node"].alias("truth_node"))
     order = Window.partitionBy(G).orderBy(F.xxhash64(F.lit(seed), G, "node"), "node")
     drawn = iterate.cut(best.withColumn("start", F.row_number().over(order).cast("long")).where(F.col("start") <= num))
-    marbles = _node_walks(pred, drawn.select(G, "start", "node"), step, r)
-    holes = _node_walks(truth, drawn.select(G, "start", F.col("truth_node").alias("node")), step, r + step)
-    p, q = _any_match(marbles, holes, threshold), _any_match(holes, marbles, threshold, turned=True)
-    return p.withColumnRenamed("share", "precision").join(q.withColumnRenamed("share", "recall"), [G, "start"]).groupBy(G).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
+    return _shares(pred, truth, drawn.select(G, "start", "node", "truth_node"), step, r, r + step, threshold).groupBy(G).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
 
 
 def soft_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame], pairs: DataFrame, starts: DataFrame, step: float = 0.00005, threshold: float = 0.00015, soft: bool = True, keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -401,14 +548,33 @@ def soft_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataF
     plus half a threshold for each unit of angle (nothing where not soft), an
     unmatched sample 1.15 thresholds; f joins the smooth precision and recall.
     """
-    a = pairs.select(G, "start", "n1", "n2", "d1", "d2", "r")
-    b = starts.join(pairs.select(G, "start"), [G, "start"], "left_semi").select(G, "start", "n1", "n2", "d1", "d2", "r")
-    marbles, holes = _numbered(walk(*pred, a, step, "r")), _numbered(walk(*truth, b, step, "r", keep=keep))
-    m = sample_matches(marbles, holes, threshold, 0.3, zero_rule=False)
-    cost = F.greatest((F.col("dist") - threshold / 3) * 1.5, F.lit(0.0)) + F.col("angle") * threshold * 0.5
-    keyed = m.select(F.struct(G, "start").alias("k"), "a", "b", cost.alias("cost"))
-    t = matching.ascending_totals(keyed, "k").select(f"k.{G}", "k.start", "matched", "total")
-    n = a.select(G, "start").join(marbles.groupBy(G, "start").agg(F.count("*").alias("n_marbles")), [G, "start"], "left").join(holes.groupBy(G, "start").agg(F.count("*").alias("n_holes")), [G, "start"], "left").join(t, [G, "start"], "left")
+    kind = pairs.schema["start"].dataType.simpleString()
+
+    def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
+        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+            a, b, s = walks.Roads(t[0]), walks.Roads(t[1]), t[2]
+            for rows in walks.blocks(len(s["start"]), len(a.u) + len(b.u)):
+                y = {c: v[rows] for c, v in s.items()}
+                marbles, holes = a.walk(y, y["r"], step), b.walk({c: y[f"t{c}"] for c in ("n1", "n2", "d1", "d2")}, y["tr"], step)
+                i, j, d, angle = walks.matches(marbles, holes, threshold, 0.3, False)
+                cost = np.maximum((d - threshold / 3) * 1.5, 0.0) + angle * threshold * 0.5
+                matched, total = walks.taken_ascending(marbles[0][i], i, j, cost, len(rows))
+                yield {"start": y["start"], "n_marbles": np.bincount(marbles[0], minlength=len(rows)), "n_holes": np.bincount(holes[0], minlength=len(rows)), "matched": matched, "total": total}
+
+        got = walks.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, n_marbles long, n_holes long, matched long, total double", STARTS)
+        return x[0].select(G, "start").join(got, [G, "start"], "left")  # the starts of images without any link, too
+
+    def large(g: list[tuple[DataFrame, DataFrame]], x: list[DataFrame]) -> DataFrame:
+        a = x[0].select(G, "start", "n1", "n2", "d1", "d2", "r")
+        b = x[1].join(x[0].select(G, "start"), [G, "start"], "left_semi").select(G, "start", "n1", "n2", "d1", "d2", "r")
+        marbles, holes = _numbered(walk(*g[0], a, step, "r")), _numbered(walk(*g[1], b, step, "r", keep=keep))
+        m = sample_matches(marbles, holes, threshold, 0.3, zero_rule=False)
+        cost = F.greatest((F.col("dist") - threshold / 3) * 1.5, F.lit(0.0)) + F.col("angle") * threshold * 0.5
+        keyed = m.select(F.struct(G, "start").alias("k"), "a", "b", cost.alias("cost"))
+        t = matching.ascending_totals(keyed, "k").select(f"k.{G}", "k.start", "matched", "total")
+        return a.select(G, "start").join(marbles.groupBy(G, "start").agg(F.count("*").alias("n_marbles")), [G, "start"], "left").join(holes.groupBy(G, "start").agg(F.count("*").alias("n_holes")), [G, "start"], "left").join(t, [G, "start"], "left")
+
+    n = large([pred, truth], [pairs, starts]) if keep else _by_size([pred, truth], [pairs, starts], small, large)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     n = n.select(G, "start", zero("n_marbles").alias("n_marbles"), zero("n_holes").alias("n_holes"), zero("matched").alias("matched"), (F.coalesce("total", F.lit(0.0)) if soft else F.lit(0.0)).alias("cost"))
     pen = threshold * 1.15
