@@ -300,3 +300,13 @@ def test_scores_of_starts_write_no_samples(spark, roads):
     for t in (topology.start_scores(x.pred, x.truth, x.pairs, x.starts), topology.matched_samples(x.pred, x.truth, x.pairs, x.starts, 0.0001, 0.0006)):
         plan = t._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_list_scores_query_takes_every_node(spark):
+    from waymesh.plans import metric_queries
+
+    d = "/root/testdata/sf0.001"
+    got = {(r["image_id"], r["start"]) for r in metric_queries.Q["t12_list_scores"](spark, d).select("image_id", "start").collect()}
+    (n, e), (tn, _) = (metric_queries._roads(spark, d, t) for t in ("fx_edge_pred", "fx_edge_gt"))
+    want = {(r["image_id"], r["node_id"]) for r in tn.join(n.select("image_id", "lat", "lon"), ["image_id", "lat", "lon"]).collect()}
+    assert got == want and len({s % 10 for _, s in got}) == 10
