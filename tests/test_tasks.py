@@ -6,6 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from waymesh.functions import geo
 from waymesh.operators import directions, graph, iterate, jobs, matching, metrics, raster
 from waymesh.session import dealt
 from waymesh.sources import io
@@ -225,3 +226,34 @@ def test_radius_join_meets_sides_that_are_dealt_by_group_and_cut_apart(spark):
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == 100 * (10 * 3 - 1)
+
+
+def _turned(spark, g="patch_id"):
+    r = random.Random(11)
+    rows = [(p, k, s, float(r.randrange(448)), float(r.randrange(448)), r.randrange(360)) for p in range(6) for k in range(12) for s in range(r.randrange(1, 6))]
+    rows += [(None, 0, 0, 1.0, 1.0, 5), (7, 0, 0, 5.0, 5.0, 10), (7, 1, 0, 5.0, 5.0, 190), (7, 2, 0, 9.0, 5.0, None)]
+    d = spark.createDataFrame(rows, "p long, kp_seq int, slot int, x double, y double, deg int")
+    return directions.with_vectors(d).withColumnRenamed("p", g)
+
+
+def test_pair_costs_are_worked_out_for_pairs_in_reach_alone(spark):
+    d = _turned(spark)
+    got = matching.pair_costs(d)
+    assert "MapInArrow" in _plan(got) and "Join" not in _plan(got)
+    q = matching._with_sums(matching._facing(d, "patch_id", *matching._sides("i", "j"))).where("dist > 0")
+    want = q.withColumn("cost", F.round(geo.pair_cost("dist", "angle_sum", "line_sum"), 9)).where("cost < 1000").select(got.columns)
+    a, b = sorted(map(tuple, got.collect())), sorted(map(tuple, want.collect()))
+    assert a == b and len(a) > 20
+    of = matching.pair_costs(d.withColumn("patch_id", F.struct(F.col("patch_id").alias("image_id"), F.lit(1).alias("patch_seq"))))
+    assert sorted((*x[:1][0][:1], *x[1:]) for x in of.where("patch_id.image_id is not null").collect()) == a
+
+
+def test_assignment_of_small_groups_needs_no_components(spark):
+    r = random.Random(12)
+    rows = [(g, r.randrange(20), r.randrange(20), r.randrange(1, 1000) / 10) for g in range(30) for _ in range(g)]
+    p = spark.createDataFrame(rows, "g long, a long, b long, cost double")
+    got = matching.component_match(p, "g", 60.0)
+    assert "MapInArrow" in _plan(got) and "FlatMapGroups" not in _plan(got)
+    want = matching._by_component(iterate.cut(p), "g", 60.0, 200_000, 1e-9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 50

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,12 +50,48 @@ def _with_sums(pairs: DataFrame, penalty: float = 1e4) -> DataFrame:
     return q.withColumns({"angle_sum": geo.vector_angle("ic", "is", ux, uy) + geo.vector_angle("jc", "js", -ux, -uy), "line_sum": l1 + l2})
 
 
+def _meeting_lines(dirs: DataFrame, g: str, top: float) -> DataFrame:
+    """_facing with both sides' places and vectors (_sides), of pairs that lie ahead of each other and whose line distances sum to less than `top`.
+
+    Few pairs do. The cost's expression is longer than what the JVM compiles, so
+    it is kept for them; a task goes through whole patches, some rows against all at a time.
+    """
+    own = ("kp_seq", "slot", "x", "y", "sin", "cos", "deg")
+    d = dirs.select(g, *own)
+    for c in own:
+        d = d.where(F.col(c).isNotNull())
+
+    def work(t: list[iterate.Side]) -> Iterator[iterate.Side]:
+        t = t[0]
+        kp, sector = t["kp_seq"], np.floor(t["deg"] / 60) % 6
+        x, y, sin, cos = (t[c].astype(np.float64) for c in ("x", "y", "sin", "cos"))
+        each = max(1_000_000 // len(kp), 1)
+        for p in range(0, len(kp), each):
+            r = np.arange(p, min(p + each, len(kp)))
+            turn = (sector - sector[r, None]) % 6
+            i, j = np.nonzero((kp[r, None] < kp) & (turn >= 2) & (turn <= 4))
+            i = r[i]
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            far = (dx * cos[i] + dy * sin[i] >= 0) & (-dx * cos[j] + -dy * sin[j] >= 0)
+            i, j, dx, dy = i[far], j[far], dx[far], dy[far]
+            near = np.abs(dx * sin[i] - dy * cos[i]) + np.abs(-dx * sin[j] - -dy * cos[j]) < top
+            i, j = i[near], j[near]
+            both = {k: t[c][v] for k, c, v in (("i", "kp_seq", i), ("si", "slot", i), ("j", "kp_seq", j), ("sj", "slot", j))}
+            yield {**both, **{k + c[:1]: t[c][v] for k, v in (("i", i), ("j", j)) for c in ("x", "y", "sin", "cos")}}
+
+    kind = {c: d.schema[c].dataType.simpleString() for c in own}
+    names = [("i", "kp_seq"), ("si", "slot"), ("j", "kp_seq"), ("sj", "slot"), *((k + c[:1], c) for k in "ij" for c in ("x", "y", "sin", "cos"))]
+    return iterate.by_group([d], work, ", ".join(f"{n} {kind[c]}" for n, c in names), 100_000, g)
+
+
 def pair_costs(dirs: DataFrame, g: str = "patch_id", reject: float = 1000.0, **limits) -> DataFrame:
     """direction_pairs of keypoints apart with the cost of joining them (geo.pair_cost with these limits), those below reject only.
 
     dirs: (g, kp_seq, slot, x, y, deg, sin, cos).
     """
-    q = _with_sums(_facing(dirs, g, *_sides("i", "j"))).where("dist > 0")
+    top = max(limits.get("line_range", (70.0, 140.0)))
+    pairs = _meeting_lines(dirs, g, top) if top <= 1e4 and regions.countable(dirs.schema[g].dataType) else _facing(dirs, g, *_sides("i", "j"))
+    q = _with_sums(pairs).where("dist > 0")
     q = q.withColumn("cost", F.round(geo.pair_cost("dist", "angle_sum", "line_sum", reject=reject, **limits), 9))
     return q.where(F.col("cost") < reject).select(g, "i", "si", "j", "sj", "dist", "cost")
 
@@ -375,21 +412,61 @@ def component_match(pairs: DataFrame, g: str, filler: float | None = None, most:
     """pairs(g, a, b, cost) matched exactly.
 
     With a filler, a least-cost assignment in which a row may stay alone at
-    that cost; without, as many pairs as can be. Without, a group of at most
-    `most` pairs is solved whole, as its components don't meet in a search.
-    Else components are split in Spark and solved apart, which is exact for
-    both. A component of more than `most` pairs is matched by matching_rounds;
-    with a filler by auction.
+    that cost; without, as many pairs as can be. A group of at most `most`
+    pairs is solved by one task, with a filler component by component. The
+    components of larger ones are split in Spark and solved apart, which is
+    exact for both. A component of more than `most` pairs is matched by
+    matching_rounds; with a filler by auction.
     """
     # read for components and for costs: a plan would work all pairs out twice
     keyed = iterate.cut(pairs.select(g, F.col("a").cast("long"), F.col("b").cast("long"), F.col("cost").cast("double")))
-    if filler is None:
-        big = regions.over_limit(keyed, g, most)
-        if big is None:
-            return _matched_whole(keyed, g)
-        whole = _matched_whole(keyed.join(big.select(g), g, "left_anti"), g)
-        return whole.union(_by_component(iterate.cut(keyed.join(big.select(g), g, "left_semi").select(keyed.columns)), g, None, most, unit))
-    return _by_component(keyed, g, filler, most, unit)
+    if filler is not None and not regions.countable(keyed.schema[g].dataType):
+        return _by_component(keyed, g, filler, most, unit)
+    solved = (lambda x: _matched_whole(x, g)) if filler is None else (lambda x: _assigned_whole(x, g, filler))
+    big = regions.over_limit(keyed, g, most)
+    if big is None:
+        return solved(keyed)
+    whole = solved(keyed.join(big.select(g), g, "left_anti"))
+    return whole.union(_by_component(iterate.cut(keyed.join(big.select(g), g, "left_semi").select(keyed.columns)), g, filler, most, unit))
+
+
+def _assigned_whole(pairs: DataFrame, g: str, filler: float) -> DataFrame:
+    """component_match of pairs(g, a, b, cost) with a filler, of groups that a task can hold: their components are found and solved one by one where the group lies."""
+
+    def work(t: list[iterate.Side]) -> Iterator[iterate.Side]:
+        order = np.lexsort((t[0]["cost"], t[0]["b"], t[0]["a"]))
+        a, b, cost = (t[0][c][order] for c in ("a", "b", "cost"))
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b, cost = a[new], b[new], cost[new]
+        row, col = (np.unique(x, return_inverse=True)[1] for x in (a, b))
+        col += row.max() + 1
+        low = np.arange(col.max() + 1)
+        while True:
+            m = np.minimum(low[row], low[col])
+            was = low.copy()
+            for side in (row, col):
+                np.minimum.at(low, low[side], m)
+                np.minimum.at(low, side, m)
+            low = low[low]
+            if (low == was).all():
+                break
+        comp = low[row]
+        order = np.argsort(comp, kind="stable")
+        stops = np.flatnonzero(np.r_[True, comp[order][1:] != comp[order][:-1], True])
+        keep = []
+        for p, q in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            at = order[p:q]
+            if q - p > 1:
+                (ri, rows), (ci, cols) = pd.factorize(a[at]), pd.factorize(b[at])
+                c = np.full((len(rows), len(cols) + len(rows)), filler)
+                c[ri, ci] = cost[at]
+                at = at[assignment(c)[ri] == ci]
+            keep.append(at[cost[at] < filler])
+        keep = np.concatenate(keep)
+        yield {"a": a[keep], "b": b[keep], "cost": cost[keep]}
+
+    known = pairs.select(g, "a", "b", "cost").where("a is not null and b is not null and cost is not null")
+    return iterate.by_group([known], work, "a long, b long, cost double", 50_000, g)
 
 
 def _by_component(keyed: DataFrame, g: str, filler: float | None, most: int, unit: float) -> DataFrame:

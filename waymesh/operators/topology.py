@@ -104,7 +104,7 @@ def _by_size(graphs: list[tuple[DataFrame, DataFrame]], tables: list[DataFrame],
 def _walk_whole(links: DataFrame, starts: DataFrame, step: float) -> DataFrame:
     """Samples of walks, with two_way, of images that a task can hold."""
 
-    def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+    def work(t: list[iterate.Side]) -> Iterator[dict[str, np.ndarray]]:
         roads, (ids, x) = walks.Roads(t[0]), _starts_of(t[1])
         for rows in walks.blocks(len(ids), len(roads.u)):
             y = _some(x, rows)
@@ -112,10 +112,10 @@ def _walk_whole(links: DataFrame, starts: DataFrame, step: float) -> DataFrame:
             yield {"start": ids[rows][s[0]], **dict(zip(("lat", "lon", "dlat", "dlon", "two_way"), s[1:], strict=True))}
 
     known = iterate.cut(starts.where("start is not null and _r is not null"))
-    return walks.by_group([links, known], work, f"start {starts.schema['start'].dataType.simpleString()}, lat double, lon double, dlat double, dlon double, two_way boolean", STARTS)
+    return iterate.by_group([links, known], work, f"start {starts.schema['start'].dataType.simpleString()}, lat double, lon double, dlat double, dlon double, two_way boolean", STARTS)
 
 
-def _starts_of(x: walks.Side) -> tuple[np.ndarray, walks.Side]:
+def _starts_of(x: iterate.Side) -> tuple[np.ndarray, iterate.Side]:
     """Different starts, and their rows with the place of the start (at), the first radius of each."""
     ids, first, at = np.unique(x["start"], return_index=True, return_inverse=True)
     if "node" in x:
@@ -123,7 +123,7 @@ def _starts_of(x: walks.Side) -> tuple[np.ndarray, walks.Side]:
     return ids, {c: v[first] for c, v in x.items()}
 
 
-def _some(x: walks.Side, rows: np.ndarray) -> walks.Side:
+def _some(x: iterate.Side, rows: np.ndarray) -> iterate.Side:
     """The rows of some starts, numbered from 0."""
     if "at" not in x:
         return {c: v[rows] for c, v in x.items()}
@@ -342,7 +342,7 @@ def matched_samples(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, D
     kind = pairs.schema["start"].dataType.simpleString()
 
     def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
-        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+        def work(t: list[iterate.Side]) -> Iterator[dict[str, np.ndarray]]:
             a, b, s = walks.Roads(t[0]), walks.Roads(t[1]), t[2]
             for rows in walks.blocks(len(s["start"]), len(a.u) + len(b.u)):
                 y = {c: v[rows] for c, v in s.items()}
@@ -353,7 +353,7 @@ def matched_samples(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, D
                 total = np.bincount(marbles[0][i], weights=d, minlength=len(rows))
                 yield {"start": y["start"][n > 0], "pairs": n[n > 0], "dist": total[n > 0]}
 
-        return walks.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, pairs long, dist double", STARTS)
+        return iterate.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, pairs long, dist double", STARTS)
 
     def large(g: list[tuple[DataFrame, DataFrame]], x: list[DataFrame]) -> DataFrame:
         m, h = (_numbered(walk(*graph, s, step, r)) for graph, s in zip(g, x, strict=True))
@@ -378,7 +378,7 @@ def start_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, Data
     kind = pairs.schema["start"].dataType.simpleString()
 
     def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
-        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+        def work(t: list[iterate.Side]) -> Iterator[dict[str, np.ndarray]]:
             a, b, s = walks.Roads(t[0]), walks.Roads(t[1]), t[2]
             for rows in walks.blocks(len(s["start"]), len(a.u) + len(b.u)):
                 y = {c: v[rows] for c, v in s.items()}
@@ -396,7 +396,7 @@ def start_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, Data
                 yield {**out, "precision": (hits(marbles, double)[ok] / nm[ok]), "recall": (hits(holes, marbles)[ok] / nh[ok])}
 
         node = pairs.schema["n1"].dataType.simpleString()
-        return walks.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, precision double, recall double, lat double, lon double, n1 {node}, n2 {node}, d1 double, d2 double", STARTS)
+        return iterate.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, precision double, recall double, lat double, lon double, n1 {node}, n2 {node}, d1 double, d2 double", STARTS)
 
     return _by_size([pred, truth], [pairs, starts], small, lambda g, x: _start_scores_joined(*g, *x, step, threshold, one_to_one))
 
@@ -494,7 +494,7 @@ def _shares(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame
     kind = pairs.schema["start"].dataType.simpleString()
 
     def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
-        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+        def work(t: list[iterate.Side]) -> Iterator[dict[str, np.ndarray]]:
             a, b = walks.Roads(t[0]), walks.Roads(t[1])
             ids, s = _starts_of({**t[2], "_r": np.full(len(t[2]["start"]), float(r))})
             for rows in walks.blocks(len(ids), len(a.u) + len(b.u)):
@@ -509,7 +509,7 @@ def _shares(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataFrame
                 yield {"start": ids[rows][ok], **{c: v[ok] for c, v in out.items()}}
 
         known = x[0].where("start is not null and node is not null and truth_node is not null")
-        return walks.by_group([*links, iterate.cut(known)], work, f"start {kind}, precision double, recall double", STARTS)
+        return iterate.by_group([*links, iterate.cut(known)], work, f"start {kind}, precision double, recall double", STARTS)
 
     def large(g: list[tuple[DataFrame, DataFrame]], x: list[DataFrame]) -> DataFrame:
         marbles = _node_walks(g[0], x[0].select(G, "start", "node"), step, r)
@@ -551,7 +551,7 @@ def soft_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataF
     kind = pairs.schema["start"].dataType.simpleString()
 
     def small(links: list[DataFrame], x: list[DataFrame]) -> DataFrame:
-        def work(t: list[walks.Side]) -> Iterator[dict[str, np.ndarray]]:
+        def work(t: list[iterate.Side]) -> Iterator[dict[str, np.ndarray]]:
             a, b, s = walks.Roads(t[0]), walks.Roads(t[1]), t[2]
             for rows in walks.blocks(len(s["start"]), len(a.u) + len(b.u)):
                 y = {c: v[rows] for c, v in s.items()}
@@ -561,7 +561,7 @@ def soft_scores(pred: tuple[DataFrame, DataFrame], truth: tuple[DataFrame, DataF
                 matched, total = walks.taken_ascending(marbles[0][i], i, j, cost, len(rows))
                 yield {"start": y["start"], "n_marbles": np.bincount(marbles[0], minlength=len(rows)), "n_holes": np.bincount(holes[0], minlength=len(rows)), "matched": matched, "total": total}
 
-        got = walks.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, n_marbles long, n_holes long, matched long, total double", STARTS)
+        got = iterate.by_group([*links, iterate.cut(_both_starts(*x))], work, f"start {kind}, n_marbles long, n_holes long, matched long, total double", STARTS)
         return x[0].select(G, "start").join(got, [G, "start"], "left")  # the starts of images without any link, too
 
     def large(g: list[tuple[DataFrame, DataFrame]], x: list[DataFrame]) -> DataFrame:
