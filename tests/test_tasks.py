@@ -257,3 +257,17 @@ def test_assignment_of_small_groups_needs_no_components(spark):
     want = matching._by_component(iterate.cut(p), "g", 60.0, 200_000, 1e-9)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 50
+
+
+def test_direction_arrays_equal_direction_maps(spark):
+    r = random.Random(13)
+    kp = spark.createDataFrame([(p, k, r.randrange(60), r.randrange(60)) for p in range(4) for k in range(9)], "patch_id long, kp_seq int, x int, y int")
+    d = spark.createDataFrame([(p, k, s, r.random(), r.random(), r.random()) for p in range(4) for k in range(8) for s in range(6) if r.random() < 0.5], "patch_id long, kp_seq int, slot int, prob double, sin double, cos double")
+    maps = iterate.cut(raster.gaussian_maps(kp, 2, 60, 60))
+    got = raster.direction_arrays(maps, d)
+    assert "Generate" not in _plan(got)
+    want = {}
+    for x in raster.direction_maps(maps, d, False).collect():
+        want.setdefault((x["patch_id"], x["row_"], x["col_"]), {})[x["slot"]] = (x["prob"], x["sin"], x["cos"])
+    rows = {(x["patch_id"], x["row_"], x["col_"]): [tuple(s) for s in x["dirs"]] for x in got.collect()}
+    assert rows == {k: [v[s] for s in range(6)] for k, v in want.items()} and len(rows) == maps.count()
