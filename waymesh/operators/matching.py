@@ -50,38 +50,16 @@ def _with_sums(pairs: DataFrame, penalty: float = 1e4) -> DataFrame:
     return q.withColumns({"angle_sum": geo.vector_angle("ic", "is", ux, uy) + geo.vector_angle("jc", "js", -ux, -uy), "line_sum": l1 + l2})
 
 
-def _meeting_lines(dirs: DataFrame, g: str, top: float) -> DataFrame:
-    """_facing with both sides' places and vectors (_sides), of pairs that lie ahead of each other and whose line distances sum to less than `top`.
+def _in_reach(dirs: DataFrame, g: str, top: float) -> DataFrame:
+    """_facing with both sides' places and vectors (_sides), of pairs whose line distances sum to less than `top`.
 
     Few pairs do. The cost's expression is longer than what the JVM compiles, so
-    it is kept for them; a task goes through whole patches, some rows against all at a time.
+    it is kept for them: rows are handed on as they are, which keeps Spark from
+    working the cost out within the join.
     """
-    own = ("kp_seq", "slot", "x", "y", "sin", "cos", "deg")
-    d = dirs.select(g, *own)
-    for c in own:
-        d = d.where(F.col(c).isNotNull())
-
-    def work(t: list[iterate.Side]) -> Iterator[iterate.Side]:
-        t = t[0]
-        kp, sector = t["kp_seq"], np.floor(t["deg"] / 60) % 6
-        x, y, sin, cos = (t[c].astype(np.float64) for c in ("x", "y", "sin", "cos"))
-        each = max(1_000_000 // len(kp), 1)
-        for p in range(0, len(kp), each):
-            r = np.arange(p, min(p + each, len(kp)))
-            turn = (sector - sector[r, None]) % 6
-            i, j = np.nonzero((kp[r, None] < kp) & (turn >= 2) & (turn <= 4))
-            i = r[i]
-            dx, dy = x[j] - x[i], y[j] - y[i]
-            far = (dx * cos[i] + dy * sin[i] >= 0) & (-dx * cos[j] + -dy * sin[j] >= 0)
-            i, j, dx, dy = i[far], j[far], dx[far], dy[far]
-            near = np.abs(dx * sin[i] - dy * cos[i]) + np.abs(-dx * sin[j] - -dy * cos[j]) < top
-            i, j = i[near], j[near]
-            both = {k: t[c][v] for k, c, v in (("i", "kp_seq", i), ("si", "slot", i), ("j", "kp_seq", j), ("sj", "slot", j))}
-            yield {**both, **{k + c[:1]: t[c][v] for k, v in (("i", i), ("j", j)) for c in ("x", "y", "sin", "cos")}}
-
-    kind = {c: d.schema[c].dataType.simpleString() for c in own}
-    names = [("i", "kp_seq"), ("si", "slot"), ("j", "kp_seq"), ("sj", "slot"), *((k + c[:1], c) for k in "ij" for c in ("x", "y", "sin", "cos"))]
-    return iterate.by_group([d], work, ", ".join(f"{n} {kind[c]}" for n, c in names), 100_000, g)
+    pairs = _facing(dirs, g, *_sides("i", "j"))
+    lines = geo.ray_distance("jx", "jy", "ix", "iy", "ic", "is") + geo.ray_distance("ix", "iy", "jx", "jy", "jc", "js")
+    return pairs.where(lines < top).mapInArrow(lambda batches: batches, pairs.schema)
 
 
 def pair_costs(dirs: DataFrame, g: str = "patch_id", reject: float = 1000.0, **limits) -> DataFrame:
@@ -89,9 +67,7 @@ def pair_costs(dirs: DataFrame, g: str = "patch_id", reject: float = 1000.0, **l
 
     dirs: (g, kp_seq, slot, x, y, deg, sin, cos).
     """
-    top = max(limits.get("line_range", (70.0, 140.0)))
-    pairs = _meeting_lines(dirs, g, top) if top <= 1e4 and regions.countable(dirs.schema[g].dataType) else _facing(dirs, g, *_sides("i", "j"))
-    q = _with_sums(pairs).where("dist > 0")
+    q = _with_sums(_in_reach(dirs, g, max(limits.get("line_range", (70.0, 140.0))))).where("dist > 0")
     q = q.withColumn("cost", F.round(geo.pair_cost("dist", "angle_sum", "line_sum", reject=reject, **limits), 9))
     return q.where(F.col("cost") < reject).select(g, "i", "si", "j", "sj", "dist", "cost")
 
